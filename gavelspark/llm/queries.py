@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embed_dedup, langid, line_dedup, packing, quality, simhash, toxicity
+from . import embed_dedup, langid, line_dedup, packing, quality, secrets, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,39 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs, train=~held)
     found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+OP8_SQL = r"""
+WITH t AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(65533)) AS text FROM documents),
+rules(kind, turn, re, at_least) AS (VALUES
+  ('assign', 1, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
+  ('access', 2, '(AKIA[A-Z0-9]+)()', 20),
+  ('hex', 3, '([0-9a-f]{24,})()', 24),
+  ('private_key', 4, '(-----BEGIN [A-Z ]*PRIVATE KEY-----)()', 0),
+  ('github', 5, '(gh[opsu]_[A-Za-z0-9]{36})()', 0),
+  ('google', 6, '(AIza[0-9A-Za-z_-]{35})()', 0),
+  ('slack', 7, '(xox[abprs]-[A-Za-z0-9-]{10,})()', 0),
+  ('stripe', 8, '([rs]k_live_[A-Za-z0-9]{16,})()', 0),
+  ('jwt', 9, '(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})()', 0)),
+m AS (SELECT doc_id, kind, turn, re, at_least,
+             string_split(regexp_replace(text, re, chr(1) || '\0' || chr(1), 'g'), chr(1)) AS pieces
+      FROM t, rules WHERE regexp_matches(text, re)),
+p AS (SELECT doc_id, kind, turn, re, at_least, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS n FROM m),
+o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, kind ORDER BY n) AS stop FROM p),
+s AS (SELECT doc_id, kind, turn, CAST(stop - length(piece) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM o
+      WHERE n % 2 = 0 AND length(CASE WHEN kind = 'assign' THEN regexp_extract(piece, re, 2) ELSE piece END) >= at_least),
+g AS (SELECT doc_id,
+             count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+             count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, turn) FILTER (WHERE turn <= 3) AS base,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, turn) AS spans
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op8_secret_scans", OP8_SQL)
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
