@@ -114,14 +114,16 @@ def _kept(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the surviving lines as text (null stays null); other columns as they were."""
 
+    names = docs.columns
+
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, maps = batch.column(text_col), batch.column("__keep")
         if maps.null_count < len(maps):
             texts = pa.array([t if m is None else _kept(t, m)[2] for t, m in zip(texts.to_pylist(), maps.to_pylist())], pa.string())
-        return pa.RecordBatch.from_arrays([texts if n == text_col else batch.column(n) for n in docs.columns], names=docs.columns)
+        return pa.RecordBatch.from_arrays([texts if n == text_col else batch.column(n) for n in names], names=names)
 
     joined = with_bitmaps(docs, id_col, text_col, min_chars).withColumnRenamed("keep_bitmap", "__keep")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__keep").mapInArrow(per_batch(apply), docs.schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], "__keep").mapInArrow(per_batch(apply), docs.schema)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
