@@ -28,7 +28,8 @@ PER_LANG = 1500
 MAX_LANGS = 64
 BUCKETS = 1 << 14
 DIM = 16
-EPOCHS = 4
+#: Gradient steps, of ``BATCH`` rows each, whatever the size of the sample.
+STEPS, BATCH = 1000, 32
 REJECT = 0.001
 UND = "und"
 _MIX = np.uint32(2654435761)
@@ -82,29 +83,27 @@ def fit(hists: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[s
     hold = np.arange(len(y)) % 5 == 4
     train = np.nonzero(~hold)[0]
     weights = [c / c.sum() for _, c in hists]
-    step = 0
-    total = EPOCHS * (len(train) // 32 + 1)
-    for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(train), len(train) // 32 + 1):
-            rate = 1.0 * (1 - step / total)
-            step += 1
-            if not len(batch):
-                continue
-            mean = np.stack([weights[i] @ emb[hists[i][0]] for i in batch])
-            error = softmax(mean @ out + bias)
-            error[np.arange(len(batch)), y[batch]] -= 1
-            error /= len(batch)
-            back = error @ out.T
-            out -= rate * mean.T @ error
-            bias -= rate * error.sum(axis=0)
-            for i, g in zip(batch, back):
-                emb[hists[i][0]] -= (rate * len(batch)) * weights[i][:, None] * g
+    for step in range(STEPS if len(train) else 0):
+        rate = 1.0 * (1 - step / STEPS)
+        batch = rng.choice(train, BATCH)
+        mean = np.stack([weights[i] @ emb[hists[i][0]] for i in batch])
+        error = softmax(mean @ out + bias)
+        error[np.arange(BATCH), y[batch]] -= 1
+        error /= BATCH
+        back = error @ out.T
+        out -= rate * mean.T @ error
+        bias -= rate * error.sum(axis=0)
+        for i, g in zip(batch, back):
+            emb[hists[i][0]] -= (rate * BATCH) * weights[i][:, None] * g
     table = emb @ out
     z = np.stack([weights[i] @ table[hists[i][0]] + bias for i in np.nonzero(hold)[0]]) if hold.any() else np.zeros((0, len(langs)))
     scale, threshold = 1.0, 0.0
     if len(z):
         t = y[hold]
-        losses = {s: -np.log(softmax(z * s)[np.arange(len(t)), t] + 1e-12).mean() for s in np.geomspace(0.25, 8, 41)}
+        # smoothed targets: left-out rows without an error still leave room for one
+        target = np.full(z.shape, 1 / (len(t) + 2) / max(len(langs) - 1, 1))
+        target[np.arange(len(t)), t] = 1 - 1 / (len(t) + 2)
+        losses = {s: -(target * np.log(softmax(z * s) + 1e-12)).sum(axis=1).mean() for s in np.geomspace(0.05, 8, 61)}
         scale = float(min(losses, key=losses.get))
         threshold = float(min(0.5, np.quantile(softmax(z * scale).max(axis=1), REJECT)))
     return LanguageModel(langs, (table * scale).astype(np.float32), bias * scale, threshold)
@@ -119,12 +118,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     if train is not None:
         rows = rows.filter(train)
-    frequent = [r[0] for r in rows.groupBy(F.col(lang_col)).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()]
-    langs = sorted(frequent)
+    frequent = rows.groupBy(F.col(lang_col)).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGS).collect()
+    langs = sorted(r[0] for r in frequent)
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    least = Window.partitionBy("l").orderBy("h", "id")
+    # hashes are even: those under a share of their range hold about twice the rows to take, and only they are ranked
+    range_ = 1 << 20
+    share = F.create_map(*[F.lit(x) for r in frequent for x in (r[0], int(range_ * min(1.0, (2 * per_lang + 100) / r.n)))])
     ids = rows.filter(F.col(lang_col).isin(langs)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.xxhash64(id_col).alias("h"))
+    ids = ids.filter(F.pmod("h", F.lit(range_)) <= share[F.col("l")])
+    least = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(range_)), "h", "id")
     ids = ids.withColumn("place", F.row_number().over(least)).filter(F.col("place") <= per_lang).select("id", "l", "h")
     ids = F.broadcast(durable(ids, "sample"))
 
