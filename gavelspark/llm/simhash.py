@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import NO_ID, durable, per_batch, row_id, shuffle_width
+from .common import ID, NO_ID, RK, durable, keyed, per_batch, shuffle_width
 from .components import connected_components
 
 RADIUS = 2
@@ -55,13 +55,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per row; fp as a signed long."""
+    """(id, rk, fp) per row: the id (``NO_ID`` for null), the row key and the fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(t) for t in batch.column("t").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64())], names=["id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rk"), pa.array(fps, pa.int64())], names=["id", "rk", "fp"])
 
-    return docs.select(row_id(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(per_batch(run), "id long, fp long")
+    rows = keyed(docs, id_col, text_col).select(F.col(ID).alias("id"), F.col(RK).alias("rk"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(per_batch(run), "id long, rk long, fp long")
 
 
 def _masks(bits: list[int], blocks: int, keep: int) -> list[int]:
@@ -184,16 +185,21 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_links_of_sorted(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component_id) per row; component_id is the smallest id reachable over links."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(id, rk, fp, component_id) per row, with ``NO_ID`` for null ids."""
     prints = durable(fingerprints(docs, id_col, text_col), "prints")
     distinct = durable(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = connected_components(fingerprint_links(distinct, radius))
     linked = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     groups = distinct.join(roots.select(F.col("node").alias("fp"), "root").join(least, "root"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    return prints.join(groups, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(id, fp, component_id) per row; component_id is the smallest id reachable over links."""
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return prints.join(groups, "fp").select(null("id").alias(id_col), "fp", null("component_id").alias("component_id"))
+    return grouped(docs, id_col, text_col, radius).select(null("id").alias(id_col), "fp", null("component_id").alias("component_id"))
 
 
 def hex_digits(fp: str = "fp") -> Column:
@@ -201,6 +207,7 @@ def hex_digits(fp: str = "fp") -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the members of a group but its smallest id. Rows that share an id share its fate."""
-    lost = near_duplicates(docs, id_col, text_col, radius).filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(row_id(id_col).alias("__lost")).distinct()
-    return docs.join(lost, row_id(id_col) == F.col("__lost"), "left_anti")
+    """``docs`` without the members of a group but its smallest id. Rows that share id and text share their fate; rows
+    that share only the id are judged each in its own group."""
+    lost = grouped(docs, id_col, text_col, radius).filter("id != component_id").select(F.col("id").alias(ID), F.col("rk").alias(RK)).distinct()
+    return keyed(docs, id_col, text_col).join(lost, [ID, RK], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
