@@ -11,7 +11,7 @@ At cosine 0.95 two vectors agree on a sign with probability 0.899, so a table of
 tables with 0.9997; the recall is over 0.9999 at 0.96.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their
-own component; vectors of different lengths never link; equal vectors link; repeated ids count as separate vectors.
+own component; vectors of different lengths never link; equal vectors link; rows that repeat an id count as vectors of their own.
 """
 
 from __future__ import annotations
@@ -77,6 +77,7 @@ def _compare(threshold: float, bits: int, tables: int):
         mult = np.array([g[5] for g in group])
         piece = np.array([g[3] for g in group])
         unit = np.stack([g[6] for g in group])
+        unit /= np.abs(unit).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         a, b = group[0][1], group[0][2]
         left, right = (np.nonzero(piece == p)[0] for p in (a, b))
@@ -169,13 +170,16 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, bits: int = B
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, bits: int = BITS, tables: int = TABLES) -> DataFrame:
     """(id, n_links, component_id, kept) per vector."""
     held = durable(rows.select(row_id(id_col).alias("id"), F.when(usable(vector_col), F.col(vector_col)).alias("v")), "vectors")
-    distinct = durable(held.filter("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("mult")), "distinct")
+    folded = held.filter("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("mult"))
+    # vectors get a number of their own, as ids may repeat; written at once, so that it never changes
+    distinct = durable(folded.withColumn("id", F.monotonically_increasing_id()), "distinct")
     links = durable(vector_links(distinct, threshold, bits, tables), "links")
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
     roots = connected_components(links.select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "id")
-    least = roots.groupBy("root").agg(F.min("id").alias("component"))
-    found = distinct.join(counts, "id", "left").join(roots.join(least, "root"), "id", "left")
-    found = found.select("v", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    known = distinct.join(counts, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    found = known.select("v", "root", "least", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    components = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = found.join(components, "root").select("v", "n_links", "component_id")
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     full = held.join(found, "v", "left")
     full = full.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
