@@ -98,8 +98,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with ``keep_bitmap`` (null: every line stays)."""
-    return keyed(docs, id_col, text_col).join(keep_bitmaps(docs, id_col, text_col, min_chars), [ID, RK], "left")
+    """``docs`` with ``__keep``, the row's bitmap (null: every line stays)."""
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars).withColumnRenamed("keep_bitmap", "__keep")
+    return keyed(docs, id_col, text_col).join(maps, [ID, RK], "left")
 
 
 def _kept(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
@@ -122,7 +123,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = pa.array([t if m is None else _kept(t, m)[2] for t, m in zip(texts.to_pylist(), maps.to_pylist())], pa.string())
         return pa.RecordBatch.from_arrays([texts if n == text_col else batch.column(n) for n in names], names=names)
 
-    joined = with_bitmaps(docs, id_col, text_col, min_chars).withColumnRenamed("keep_bitmap", "__keep")
+    joined = with_bitmaps(docs, id_col, text_col, min_chars)
     return joined.select(*[F.col(f"`{c}`") for c in names], "__keep").mapInArrow(per_batch(apply), docs.schema)
 
 
@@ -130,11 +131,11 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_lines, n_dropped, kept_sha256) for each document, from the bitmaps."""
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        done = [_kept(t, m) for t, m in zip(batch.column("t").to_pylist(), batch.column("keep_bitmap").to_pylist())]
+        done = [_kept(t, m) for t, m in zip(batch.column("t").to_pylist(), batch.column("__keep").to_pylist())]
         return pa.RecordBatch.from_arrays(
             [batch.column(id_col), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([hashlib.sha256(d[2].encode()).hexdigest() for d in done], pa.string())],
             names=[id_col, "n_lines", "n_dropped", "kept_sha256"],
         )
 
-    rows = with_bitmaps(docs, id_col, text_col, min_chars).select(id_col, F.col(text_col).alias("t"), "keep_bitmap")
+    rows = with_bitmaps(docs, id_col, text_col, min_chars).select(id_col, F.col(text_col).alias("t"), "__keep")
     return rows.mapInArrow(per_batch(digest), f"{id_col} long, n_lines long, n_dropped long, kept_sha256 string")
