@@ -37,6 +37,8 @@ _BROKEN = re.compile(r"[^\W\d_]+(?:[@$!|*0-9._\-]+[^\W\d_]+)+|[^\W\d_]*[@$!|0-9]
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 FEATURES = ["word_hits", "word_density", "word_weight", "stem_hits", "stem_density", "stem_weight", "hidden_hits", "hidden_density", "broken_rate", "near_you", "you_rate", "upper_share", "mark_rate", "symbol_rate", "digit_rate", "log_words"]
 NEAR = 5
+#: Words whose stems a task remembers at most.
+SEEN = 200_000
 
 
 def split_words(text: str) -> list[str]:
@@ -47,6 +49,7 @@ def split_words(text: str) -> list[str]:
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    seen: dict[str, float | None] = field(default_factory=dict, repr=False, compare=False)
 
     def features(self, text: str | None) -> tuple[float, ...]:
         if not text:
@@ -54,16 +57,10 @@ class Lexicon:
         words = split_words(text)
         n = max(len(words), 1)
         hits = [i for i, w in enumerate(words) if w in self.words]
-        stems = 0
-        stem_weight = 0.0
-        for w in words:
-            for k in STEM_LENGTHS:
-                weight = self.stems.get(w[:k]) if len(w) >= k else None
-                if weight is not None:
-                    stems += 1
-                    stem_weight += weight
-                    break
-        broken = _BROKEN.findall(text)
+        found = [x for x in map(self._stem, words) if x is not None]
+        stems, stem_weight = len(found), sum(found)
+        # a match never spans white space, and needs a letter after a mark
+        broken = [b for w in text.split() if not (x := w.rstrip(EDGE_MARKS)).isalpha() for b in _BROKEN.findall(x)]
         hidden = sum(1 for b in broken if self._folded(b))
         you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
         near = sum(1 for i in hits if any(abs(i - j) <= NEAR for j in you)) if hits and you else 0
@@ -79,6 +76,14 @@ class Lexicon:
             float(np.log1p(n)),
         )
 
+    def _stem(self, word: str) -> float | None:
+        """Weight of the shortest known beginning; what recent words gave is remembered."""
+        if word not in self.seen:
+            if len(self.seen) >= SEEN:
+                self.seen.clear()
+            self.seen[word] = next((x for k in STEM_LENGTHS if len(word) >= k and (x := self.stems.get(word[:k])) is not None), None)
+        return self.seen[word]
+
     def _folded(self, piece: str) -> bool:
         low = piece.lower()
         return any(_NOT_LETTER.sub("", x) in self.words for x in (low.translate(LOOK_ALIKE), low))
