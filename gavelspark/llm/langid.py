@@ -75,18 +75,36 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(hists: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str], seed: int = 3) -> LanguageModel:
-    """``hists``: (buckets, counts) per text. A fifth of the rows calibrates."""
+@dataclass
+class Histograms:
+    """(bucket, count) lists of many texts, end to end in small integers: the sample lies in the driver's memory."""
+
+    buckets: np.ndarray
+    counts: np.ndarray
+    offsets: np.ndarray
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of text ``i`` and their shares."""
+        at = slice(self.offsets[i], self.offsets[i + 1])
+        counts = self.counts[at].astype(float)
+        return self.buckets[at].astype(np.int64), counts / counts.sum()
+
+    def mean(self, i: int, table: np.ndarray) -> np.ndarray:
+        buckets, shares = self[i]
+        return shares @ table[buckets]
+
+
+def fit(hists: Histograms, order: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 3) -> LanguageModel:
+    """``order``: the texts to learn from; ``y``: their languages, in that order. A fifth of them calibrates."""
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     out, bias = rng.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
     hold = np.arange(len(y)) % 5 == 4
     train = np.nonzero(~hold)[0]
-    weights = [c / c.sum() for _, c in hists]
     for step in range(STEPS if len(train) else 0):
         rate = 1.0 * (1 - step / STEPS)
         batch = rng.choice(train, BATCH)
-        mean = np.stack([weights[i] @ emb[hists[i][0]] for i in batch])
+        mean = np.stack([hists.mean(order[i], emb) for i in batch])
         error = softmax(mean @ out + bias)
         error[np.arange(BATCH), y[batch]] -= 1
         error /= BATCH
@@ -94,9 +112,10 @@ def fit(hists: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[s
         out -= rate * mean.T @ error
         bias -= rate * error.sum(axis=0)
         for i, g in zip(batch, back):
-            emb[hists[i][0]] -= (rate * BATCH) * weights[i][:, None] * g
+            buckets, shares = hists[order[i]]
+            emb[buckets] -= (rate * BATCH) * shares[:, None] * g
     table = emb @ out
-    z = np.stack([weights[i] @ table[hists[i][0]] + bias for i in np.nonzero(hold)[0]]) if hold.any() else np.zeros((0, len(langs)))
+    z = np.stack([hists.mean(order[i], table) + bias for i in np.nonzero(hold)[0]]) if hold.any() else np.zeros((0, len(langs)))
     scale, threshold = 1.0, 0.0
     if len(z):
         t = y[hold]
@@ -139,10 +158,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         )
 
     sample = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).join(ids.drop("l"), "id").select("id", "l", "t")
-    got = sample.mapInArrow(per_batch(run), "id long, l string, b array<smallint>, c array<int>").toPandas().sort_values("id", kind="stable")
-    got = got.iloc[np.random.default_rng(1).permutation(len(got))]
-    hists = [(np.asarray(b).astype(np.int64), np.asarray(c).astype(float)) for b, c in zip(got["b"], got["c"])]
-    return fit(hists, np.array([langs.index(x) for x in got["l"]], int), langs)
+    got = sample.mapInArrow(per_batch(run), "id long, l string, b array<smallint>, c array<int>").toArrow().combine_chunks()
+    ids_, b, c = (got.column(n).chunk(0) if got.num_rows else pa.array([], got.schema.field(n).type) for n in ("id", "b", "c"))
+    order = np.argsort(ids_.to_numpy(), kind="stable")
+    order = order[np.random.default_rng(1).permutation(len(order))]
+    hists = Histograms(b.values.to_numpy(), c.values.to_numpy(), b.offsets.to_numpy().astype(np.int64))
+    labels = got.column("l").to_pylist()
+    return fit(hists, order, np.array([langs.index(labels[i]) for i in order], int), langs)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
