@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import city_name, normalise_location
 from ..rules.tables import TAXONOMY
@@ -56,11 +56,16 @@ def global_counts(items: DataFrame) -> DataFrame:
 
 def index_percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Order statistics by place: element floor(q n) of the sorted values (the upper median at one half), with rounded
-    extremes and mean. Values of a group meet in one list: use it on groups that are bounded, such as the comparable
-    sales of one target."""
-    pick = lambda q: F.get(F.col("__v"), F.least(F.floor(F.col("n") * q), F.col("n") - 1).cast("int"))
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("__v"), F.count(value).alias("n"), F.avg(value).alias("__m"))
-    return rows.filter("n > 0").select(*by, "n", pick(0.25).alias("p25"), pick(0.5).alias("median"), pick(0.75).alias("p75"), F.array_min("__v").alias("low"), F.array_max("__v").alias("high"), F.floor(F.col("__m") + 0.5).alias("mean"))
+    extremes and mean. Equal values are counted before anything is sorted, so a hot group shrinks to its distinct
+    values; nulls do not count, and groups without a value are left out."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(*by)
+    rows = counts.withColumns({"__upto": F.sum("__c").over(group.orderBy("__v")), "__n": F.sum("__c").over(group)})
+    pick = lambda q: F.min(F.when(F.col("__upto") > F.least(F.floor(F.col("__n") * q), F.col("__n") - 1), F.col("__v")))
+    return rows.groupBy(*by).agg(
+        F.sum("__c").alias("n"), pick(0.25).alias("p25"), pick(0.5).alias("median"), pick(0.75).alias("p75"),
+        F.min("__v").alias("low"), F.max("__v").alias("high"), F.floor(F.sum(F.col("__v") * F.col("__c")) / F.sum("__c") + 0.5).alias("mean"),
+    )
 
 
 def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -63,25 +63,30 @@ def title_pairs(targets: DataFrame, history: DataFrame, threshold: float = SIMIL
 
 
 def comparables(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Gated comparable sales per distinct target (title, category): one row each with ``strict``, ``similarity`` and
-    ``price``. A target has at most ``MOST`` candidates, the most similar; the cut is the feature's own."""
-    t = targets.select("title", "category").distinct()
-    sold = history.filter("sold").select(F.col("title").alias("s_title"), F.col("category").alias("s_category"), F.col("final_total").alias("price"), "external_id", "ended_at")
-    pairs = title_pairs(t, sold.select(F.col("s_title").alias("title")), threshold)
+    """Gated comparable sales per distinct target title and main category: one row each with ``strict``,
+    ``similarity`` and ``price``. A target has at most ``MOST`` candidates, the most similar and then the newest; the
+    cut is the feature's own. Sales of one title and main are alike to every target, so no more than ``MOST`` of them
+    enter the join, however many a hot title has."""
+    t = targets.select("title", top_level(F.col("category")).alias("main")).distinct()
+    sold = history.filter("sold").select(F.col("title").alias("b"), top_level(F.col("category")).alias("s_main"), F.col("final_total").alias("price"), "external_id", "ended_at")
+    newest = F.row_number().over(Window.partitionBy("b", "s_main").orderBy(F.desc("ended_at"), "external_id"))
+    recent = sold.withColumn("__r", newest).filter(F.col("__r") <= MOST).drop("__r")
+    pairs = title_pairs(t, sold.select(F.col("b").alias("title")), threshold)
     pairs = pairs.filter(overlap_ok(F.col("a"), F.col("b"), F.col("similarity"), threshold) & counts_agree(lot_count(F.col("a")), lot_count(F.col("b"))))
     pairs = pairs.withColumn("strict", model_agrees(quoted_models(F.col("a")), F.col("b")))
-    rows = t.join(pairs, t.title == pairs.a).join(sold, F.col("b") == F.col("s_title"))
-    rows = rows.filter(F.coalesce(top_level(F.col("category")) == top_level(F.col("s_category")), F.lit(True)))
-    place = F.row_number().over(Window.partitionBy("title", "category").orderBy(F.desc("similarity"), F.desc("ended_at"), "external_id"))
-    return rows.withColumn("place", place).filter(F.col("place") <= MOST).select("title", "category", "strict", "similarity", "price", "external_id", "place")
+    rows = t.join(pairs, t.title == pairs.a).join(recent, "b")
+    rows = rows.filter(F.coalesce(F.col("main") == F.col("s_main"), F.lit(True)))
+    place = F.row_number().over(Window.partitionBy("title", "main").orderBy(F.desc("similarity"), F.desc("ended_at"), "external_id"))
+    return rows.withColumn("place", place).filter(F.col("place") <= MOST).select("title", "main", "strict", "similarity", "price", "external_id", "place")
 
 
 def price_stats(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Per target: statistics over the strict comparables, or over all when the strict are too few; none under three."""
+    """Per target title and main category: statistics over the strict comparables, or over all when the strict are too
+    few; none under three."""
     found = comparables(targets, history, threshold)
-    by = Window.partitionBy("title", "category")
+    by = Window.partitionBy("title", "main")
     found = found.withColumn("n_strict", F.count_if("strict").over(by)).filter(F.col("strict") | (F.col("n_strict") < LEAST))
-    return index_percentiles(found, ["title", "category"], "price").filter(F.col("n") >= LEAST)
+    return index_percentiles(found, ["title", "main"], "price").filter(F.col("n") >= LEAST)
 
 
 def lookup(history: DataFrame, words: list[str], since: Column, as_of: Column, months: int = 12) -> DataFrame:
