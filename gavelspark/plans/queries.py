@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_items, queries_prices, queries_rules  # noqa: F401
+from . import queries_items, queries_prices, queries_rules, queries_state  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
