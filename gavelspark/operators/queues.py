@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .stable import pinned
+
 
 def quota_union(first: DataFrame, second: DataFrame, order: list[Column], size: int, share: float = 0.7) -> DataFrame:
     """``size`` rows: a share of the first branch, the rest of the second, each by its order."""
@@ -26,7 +28,7 @@ def poll_tiers(items: DataFrame, as_of: Column, tiers: tuple[tuple[int, int], ..
 def capped_ranges(rows: DataFrame, bucket: str, value: str, cap: int, steps: int = 20) -> DataFrame:
     """(bucket, low, high, n): value ranges of each bucket by repeated halving of its span while a range holds more
     than ``cap`` rows, ``steps`` times at most. Rows only ever travel as counts per value."""
-    counts = rows.groupBy(bucket, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counts = pinned(rows.groupBy(bucket, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
     leaves = None
     spans = counts.groupBy(bucket).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
     for step in range(steps + 1):
@@ -46,7 +48,7 @@ def capped_ranges(rows: DataFrame, bucket: str, value: str, cap: int, steps: int
 def numbered_pages(rows: DataFrame, key: str, size: int) -> DataFrame:
     """``rows`` with ``page``, ``size`` rows each in key order. Places come from a range partitioning and the counts of
     earlier partitions, so that no task sees more than its range; the key must be unique."""
-    part = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
+    part = pinned(rows.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id()))
     counts = part.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     local = F.row_number().over(Window.partitionBy("__p").orderBy(key))

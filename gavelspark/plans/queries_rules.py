@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import money, text as T, times, vectors
 from ..rules import classify
@@ -156,3 +156,38 @@ def html_title_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+
+
+@query("chart_axis", "SELECT o_orderkey, p * CASE WHEN x / p <= 1 THEN 1 WHEN x / p <= 2 THEN 2 WHEN x / p <= 5 THEN 5 ELSE 10 END AS top FROM (SELECT o_orderkey, o_totalprice AS x, pow(10.0, floor(log10(o_totalprice))) AS p FROM orders)")
+def chart_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", money.nice_ceiling(F.col("o_totalprice")).alias("top"))
+
+
+@query("fee_calibration", "WITH p AS (SELECT l_partkey, min(l_quantity) AS x1, max(l_quantity) AS x2, min(l_extendedprice) AS f1, max(l_extendedprice) AS f2 FROM lineitem GROUP BY l_partkey), s AS (SELECT *, (f2 - f1) / nullif(x2 * 10000 - x1 * 10000, 0) AS a FROM p) SELECT l_partkey, CASE WHEN a BETWEEN 0 AND 1 AND f1 - a * x1 * 10000 >= 0 THEN round(a, 9) END AS slope FROM s")
+def fee_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_quantity").alias("x1"), F.max("l_quantity").alias("x2"), F.min("l_extendedprice").alias("f1"), F.max("l_extendedprice").alias("f2"))
+    line = money.calibrated(F.col("x1") * 10000, F.col("f1"), F.col("x2") * 10000, F.col("f2"))
+    return probes.select("l_partkey", F.round(line["slope"], 9).alias("slope"))
+
+
+@query("point_in_polygon", "SELECT n_nationkey, n_nationkey BETWEEN 5 AND 14 AS inside FROM nation")
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    square = [(4.5, -1.0), (4.5, 1.0), (14.5, 1.0), (14.5, -1.0)]
+    return table(spark, sf_dir, "nation").select("n_nationkey", vectors.in_polygon(F.col("n_nationkey").cast("double"), F.lit(0.0), square).alias("inside"))
+
+
+@query("route_plan")
+def route_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round trip for each region over the suppliers' nations."""
+    from ..operators.route import plan_routes
+
+    n = F.col("n_nationkey")
+    stops = table(spark, sf_dir, "nation").select(
+        F.col("n_regionkey").cast("long").alias("route_id"), n.cast("long").alias("stop_id"), (55.0 + n * 0.4).alias("lat"), (12.0 + n * n % 7 * 0.3).alias("lon"),
+        F.lit(480.0).alias("opens"), F.lit(1020.0).alias("closes"), (F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) == 1).alias("depot"))
+    return plan_routes(stops)
+
+
+@query("html_fields", "SELECT page_id, html LIKE '%<nav>%' AS nav, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.contains("html", F.lit("<nav>")).alias("nav"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from pathlib import PurePosixPath
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 PER_SEARCH = 30
@@ -46,9 +43,10 @@ def notify_once(spark: SparkSession, path: str, schema: str, key: str = "dedup_k
     subfolder and overwrites it when it is replayed, so that a restart neither loses nor repeats a row."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{PurePosixPath(path.rstrip('/')) if '://' not in path else path.rstrip('/')}/batch={batch_id}"
-        sent = batch.sparkSession.read.schema(f"{schema}, batch long").option("basePath", path).parquet(path) if _exists(batch.sparkSession, path) else batch.sparkSession.createDataFrame([], f"{schema}, batch long")
-        unsent(batch, sent.filter(F.col("batch") != batch_id), key).write.mode("overwrite").parquet(target)
+        session, kinds = batch.sparkSession, f"{schema}, batch long"
+        sent = session.read.schema(kinds).parquet(path) if _exists(session, path) else session.createDataFrame([], kinds)
+        fresh = unsent(batch, sent.filter(F.col("batch") != batch_id), key)
+        fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
     return write
 
@@ -56,7 +54,3 @@ def notify_once(spark: SparkSession, path: str, schema: str, key: str = "dedup_k
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
-def any_of(predicates: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, predicates) if predicates else F.lit(False)
