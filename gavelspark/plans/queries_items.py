@@ -94,7 +94,7 @@ def fee_basis_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fees.with_total(items(spark, sf_dir)).groupBy("house", "total_basis").agg(F.count(F.lit(1)).alias("n"), F.sum("total_price").alias("total"), F.sum("fee").alias("fees"))
 
 
-@query("fx_normalised_price", f"WITH {ITEMS_SQL} SELECT currency, count(*) AS n, round(max(coalesce(current_bid, min_bid) * {_RATE_SQL}), 4) AS high, round(min(coalesce(current_bid, min_bid) * {_RATE_SQL}), 4) AS low FROM items GROUP BY currency")
+@query("fx_normalised_price", f"WITH {ITEMS_SQL} SELECT currency, count(*) AS n, round(max(coalesce(current_bid, min_bid) * ({_RATE_SQL})::DOUBLE), 4) AS high, round(min(coalesce(current_bid, min_bid) * ({_RATE_SQL})::DOUBLE), 4) AS low FROM items GROUP BY currency")
 def fx_normalised_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).withColumn("sek", money.shown_price(F.col("current_bid"), F.col("min_bid"), F.col("currency")))
     return rows.groupBy("currency").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("sek"), 4).alias("high"), F.round(F.min("sek"), 4).alias("low"))

@@ -191,3 +191,29 @@ def route_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("html_fields", "SELECT page_id, html LIKE '%<nav>%' AS nav, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.contains("html", F.lit("<nav>")).alias("nav"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+golden("html_entities", T.strip_html, [("<p>A &amp; B</p><script>x</script> <b>c</b>", "A & B c"), ("&lt;b&gt;", "<b>"), ("", ""), (None, None)])
+golden("item_text", lambda x: T.item_text(F.lit("Stol"), x), [("  röd \n fin ", "Stol. röd fin"), ("", "Stol"), (None, "Stol")])
+golden("spec_value", lambda x: T.label_value(x, "Höjd", ("Bredd", "Vikt")), [("Höjd: 30 cm Bredd: 10", "30 cm"), ("Vikt: 2", None), (None, None)])
+golden("image_url", T.image_url, [("https://a/b_thumb.jpg", "https://a/b.jpg"), ("https://a/b-640x480.png", "https://a/b.png"), ("https://a/b.jpg", "https://a/b.jpg"), (None, None)])
+golden("fitted_text", lambda x: T.fitted(x, 10), [("kort", "kort"), ("en längre text", "en längre…"), (None, None)])
+golden("worth_expanding", T.worth_expanding, [("ring", True), ("12 34", False), ("abc", False), (None, None)], "BOOLEAN")
+
+
+@query("attributes_agree", "SELECT part_a, part_b, (contains(x, y) OR contains(y, x)) AND abs(za - zb) <= 20 AS agree FROM (SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, replace(lower(a.p_name), ' ', '') AS x, replace(lower(b.p_name), ' ', '') AS y, a.p_size AS za, b.p_size AS zb FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 64)")
+def attributes_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.price import attributes_agree as agree
+
+    p = table(spark, sf_dir, "part")
+    a, b = p.select(F.col("p_partkey").alias("part_a"), F.col("p_name").alias("x"), F.col("p_size").alias("za")), p.select(F.col("p_partkey").alias("part_b"), F.col("p_name").alias("y"), F.col("p_size").alias("zb"))
+    test = agree({"m": F.col("x")}, {"m": F.col("y")}, F.col("za"), F.col("zb"))
+    return a.join(b, F.col("part_b") == F.col("part_a") + 64).select("part_a", "part_b", test.alias("agree"))
+
+
+@query("price_regression", "SELECT p_type, count(*) AS n, round(regr_slope(ln(l_extendedprice), l_quantity), 9) AS slope, round(regr_r2(ln(l_extendedprice), l_quantity), 9) AS r2 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type HAVING count(*) >= 30")
+def price_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log price against one feature per group of 30 or more."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("y", F.log("l_extendedprice"))
+    out = rows.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope("y", "l_quantity"), 9).alias("slope"), F.round(F.regr_r2("y", "l_quantity"), 9).alias("r2"))
+    return out.filter("n >= 30")

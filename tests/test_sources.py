@@ -114,3 +114,33 @@ def test_html_fields(spark):
     got = {r.page_id: r.m for r in df.select("page_id", html.label_values(F.col("html")).alias("m")).collect()}
     assert got == {1: {"Märke": "Volvo", "Antal": "1 234 kr", "Färg": "Röd & vit"}, 2: {}, 3: None}
     assert [(r.label, r.value) for r in html.table_series(df, "page_id").collect()] == [("Antal", 1234.0)]
+
+
+def test_verdicts_of_an_answer(spark):
+    from gavelspark.sources import answers
+
+    text = '```json\n[{"i":0,"k":"media/vinyl","n":3,"b":" Abba  Band ","y":1976},{"k":"elektronik/hittepa","i":1},{"i":0,"k":"media/film"},{"i":9,"k":"media/film"},{"i":2,"k":"nonsense"},{"i":2,"k":"fordon/personbilar","n":0,"reg":"abc 123","y":3000},{"i":3,"k":"media/f'
+    df = spark.createDataFrame([("x", text, 4), ("y", None, 4), ("z", "no objects", 1)], "batch string, answer string, n_rows int")
+    got = {r.i: r for r in answers.verdicts(df, "batch", "answer", "n_rows").collect()}
+    assert {i: (r.category, r.n) for i, r in got.items()} == {0: ("media/vinyl", 3), 1: ("elektronik", None), 2: ("fordon/personbilar", None)}
+    assert (got[0].attrs.b, got[0].attrs.y, got[1].attrs, got[2].attrs.reg, got[2].attrs.y) == ("Abba Band", 1976, None, "ABC123", None)
+
+
+def test_expansion_of_a_query(spark):
+    from gavelspark.sources import answers
+
+    df = spark.createDataFrame([('{"synonyms":["RAM-minne"," ram ","minne","ram minne","DDR4","ddr4","x"],"related":[],"categories":["elektronik/datorer","nope"]}',), ("sorry",), (None,)], "a string")
+    got = [r[0] for r in df.select(answers.expansion(F.col("a"), F.lit("Ram minne"))).collect()]
+    assert (got[0].synonyms, got[0].related, got[0].categories) == (["ram-minne", "ddr4"], [], ["elektronik/datorer"]) and got[1] is None and got[2] is None
+
+
+def test_verdicts_are_applied_by_rank(spark):
+    from gavelspark.sources import answers
+
+    attrs = "struct<b:string,m:string,d:string,t:string,mat:string,y:int,reg:string>"
+    items = spark.createDataFrame([("1", "A", "x/y", "human", True, 2, None), ("2", "B", "x/y", "text", True, 2, ("old", "keep", None, None, None, None, None)), ("3", "C", None, "none", None, None, None)], f"id string, title string, category string, category_conf string, category_conflict boolean, lot_count int, attrs {attrs}")
+    found = spark.createDataFrame([("1", "media/film", 1, None), ("2", "media/film", None, ("new", None, None, None, None, 1990, None)), ("3", "ovrigt/diverse", 4, None)], f"id string, category string, n int, attrs {attrs}")
+    after, learn = answers.apply_verdicts(items, found, ["id"])
+    got = {r.id: r for r in after.collect()}
+    assert got["1"].category == "x/y" and (got["2"].category, got["2"].lot_count, got["2"].attrs.b, got["2"].attrs.m, got["2"].attrs.y) == ("media/film", 2, "new", "keep", 1990)
+    assert (got["3"].category_conf, got["3"].lot_count) == ("llm", 4) and [tuple(r) for r in learn.collect()] == [("B", "media/film")]
