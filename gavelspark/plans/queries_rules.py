@@ -217,3 +217,22 @@ def price_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("y", F.log("l_extendedprice"))
     out = rows.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope("y", "l_quantity"), 9).alias("slope"), F.round(F.regr_r2("y", "l_quantity"), 9).alias("r2"))
     return out.filter("n >= 30")
+
+
+@query("future_biased_dates", f"WITH m AS (SELECT o_orderkey, month(o_orderdate) AS m, least(day(o_orderdate), 28) AS d FROM orders) SELECT o_orderkey, CASE WHEN make_date(2001, m, d) < DATE '2001-05-31' THEN make_date(2002, m, d) ELSE make_date(2001, m, d) END AS future, CASE WHEN make_date(2001, m, d) > DATE '2001-06-02' THEN make_date(2000, m, d) ELSE make_date(2001, m, d) END AS past FROM m")
+def future_biased_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates without a year, around the first of June 2001."""
+    month, day = F.month("o_orderdate"), F.least(F.dayofmonth("o_orderdate"), F.lit(28))
+    return table(spark, sf_dir, "orders").select("o_orderkey", times.future_biased(month, day, ntz(AS_OF)).alias("future"), times.past_biased(month, day, ntz(AS_OF)).alias("past"))
+
+
+@query("residual_vat", "SELECT o_orderkey, CASE WHEN o_totalprice * (1 + (o_custkey % 3) * 0.15) - o_totalprice - 100 - 25 > 0.05 * o_totalprice THEN 25 ELSE 0 END AS vat FROM orders")
+def residual_vat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bid = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select("o_orderkey", money.residual_vat(bid * (1 + (F.col("o_custkey") % 3) * 0.15), bid, F.lit(100.0)).alias("vat"))
+
+
+@query("best_price", f"WITH {ITEMS_SQL} SELECT house, external_id, CASE WHEN fee_value > 50 THEN fee_value WHEN current_bid > 0 THEN current_bid WHEN min_bid > 0 THEN min_bid END AS price FROM items")
+def best_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = F.when(F.col("fee_value") > 50, F.col("fee_value"))
+    return items(spark, sf_dir).select("house", "external_id", money.best_price(total, F.col("current_bid"), F.col("min_bid")).alias("price"))

@@ -144,3 +144,26 @@ def test_verdicts_are_applied_by_rank(spark):
     got = {r.id: r for r in after.collect()}
     assert got["1"].category == "x/y" and (got["2"].category, got["2"].lot_count, got["2"].attrs.b, got["2"].attrs.m, got["2"].attrs.y) == ("media/film", 2, "new", "keep", 1990)
     assert (got["3"].category_conf, got["3"].lot_count) == ("llm", 4) and [tuple(r) for r in learn.collect()] == [("B", "media/film")]
+
+
+def test_source_category_names(spark):
+    from gavelspark.rules.classify import by_name
+
+    df = spark.createDataFrame([("Vinyl & LP",), ("Frimärken Sverige",), ("Något annat",), (None,)], "n string")
+    assert [r[0] for r in df.select(by_name(F.col("n"))).collect()] == ["media/vinyl", "samla/frimarken", None, None]
+
+
+def test_csv_round_trip(spark, tmp_path):
+    rows = [("a \"quoted\", text", 1), ("åäö", None)]
+    html.write_csv(spark.createDataFrame(rows, "titel string, bud long"), str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("escape", '"').schema("titel string, bud long").csv(str(tmp_path / "csv"))
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_routes_refuse_too_many_stops(spark):
+    import pytest
+    from gavelspark.operators.route import MOST, plan_routes
+
+    stops = spark.range(MOST + 2).selectExpr("1L AS route_id", "id AS stop_id", "57.0 + id / 100 AS lat", "12D AS lon", "480D AS opens", "900D AS closes", "id = 0 AS depot").selectExpr("route_id", "stop_id", "CAST(lat AS DOUBLE) lat", "lon", "opens", "closes", "depot")
+    with pytest.raises(Exception, match="stops"):
+        plan_routes(stops).collect()
