@@ -18,11 +18,17 @@ _FIRST = "array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l)
 
 @query("tokens", f"WITH d AS (SELECT doc_id, substring(text, 1, 400) AS text FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, {_TOKENS} AS l FROM d) SELECT doc_id, {_FIRST} AS tokens FROM t")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles are short: the start of a document stands for one."""
+    """Of the first 400 characters only, as its SQL has it; ``tokens_whole`` reads whole texts."""
     rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.substring("text", 1, 400).alias("text"))
     return rows.select("doc_id", F.array_join(T.title_tokens(F.col("text")), " ").alias("tokens"))
 
 
+@query("tokens_whole", f"WITH t AS (SELECT doc_id, {_TOKENS} AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, {_FIRST} AS tokens FROM t")
+def tokens_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return rows.select("doc_id", F.array_join(T.title_tokens(F.col("text")), " ").alias("tokens"))
+
+
 _LEX = "seen AS (SELECT DISTINCT w AS token, lower(p_type) AS category, p_partkey FROM part, unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')) AS u(w) WHERE length(w) >= 3 AND w NOT IN ('set', 'par', 'old', 'new') OR w IN ('old', 'new') AND length(w) >= 3), lex AS (SELECT token, category, count(*) AS seen FROM seen GROUP BY token, category)"
 
 
