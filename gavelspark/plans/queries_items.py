@@ -230,6 +230,28 @@ def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"])
 
 
+@query(
+    "semantic_rrf",
+    f"""WITH {ITEMS_SQL}, x AS (SELECT *, CASE WHEN title ILIKE '%ring%' THEN 1 WHEN seller ILIKE '%ring%' THEN 3 END AS tier FROM items WHERE {_ACTIVE}),
+lex AS (SELECT part_id, tier, row_number() OVER (ORDER BY tier, ends_at, house, external_id) AS lrank FROM (SELECT * FROM x WHERE tier IS NOT NULL ORDER BY tier, ends_at, house, external_id LIMIT 450)),
+l AS (SELECT part_id, min(tier) AS tier, min(lrank) AS lrank FROM lex GROUP BY part_id),
+v AS (SELECT e.vec_id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
+g AS (SELECT count(*) AS n, avg(score) AS mean, stddev_pop(score) AS dev FROM v),
+s AS (SELECT vec_id AS part_id, row_number() OVER (ORDER BY score DESC, vec_id) AS srank FROM v, g WHERE n >= 50 AND score >= greatest(0.2, mean + 1.0 * dev) ORDER BY score DESC, vec_id LIMIT 300)
+SELECT part_id, lrank, srank, round(coalesce(1.0 / (60 + lrank), 0) + coalesce(0.5 / (60 + srank), 0), 9) AS rrf,
+       CASE WHEN tier <= 2 THEN 0 WHEN tier IS NOT NULL THEN 1 ELSE 2 END AS bucket
+FROM l FULL JOIN s USING (part_id)""",
+)
+def semantic_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``full_outer_rrf``, whose SQL takes vec_id < 300 and made-up ranks, with the semantic side ranked over all vectors."""
+    hits = search.lexical(items(spark, sf_dir), "ring", _active(), text_cols=("seller",))
+    lex = search.ranked(hits, search.KEY, 50 + search.LEXICAL_MARGIN)
+    lex = lex.groupBy("part_id").agg(F.min("tier").alias("tier"), F.min("lrank").alias("lrank"))
+    sem = search.semantic_top(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), ["vec_id"], floor=0.2, z=1.0)
+    sem = sem.select(F.col("vec_id").alias("part_id"), "srank")
+    return search.fuse(lex, sem, ["part_id"]).select("part_id", "lrank", "srank", F.round("rrf", 9).alias("rrf"), "bucket")
+
+
 @query("cosine_topk", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS} DESC, e.vec_id LIMIT 25")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = search.scored(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir)).orderBy(F.desc("score"), "vec_id").limit(25)

@@ -44,6 +44,13 @@ def media_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.sync_children(e.filter("event_id % 2 = 0"), e.filter("event_id % 5 = 0 AND user_id < 60").withColumn("value", F.col("value") + 1), ["user_id"], "event_id", ["value"])
 
 
+@query("media_sync_all", "WITH cur AS (SELECT user_id, event_id, value FROM events WHERE event_id % 2 = 0), new AS (SELECT user_id, event_id, value + 1 AS value FROM events WHERE event_id % 5 = 0) SELECT * FROM cur WHERE user_id NOT IN (SELECT user_id FROM new) UNION ALL SELECT * FROM new")
+def media_sync_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``media_sync``, whose batch is of user_id < 60, with a batch from all users."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return M.sync_children(e.filter("event_id % 2 = 0"), e.filter("event_id % 5 = 0").withColumn("value", F.col("value") + 1), ["user_id"], "event_id", ["value"])
+
+
 @query("verdict_merge", "WITH o AS (SELECT doc_id, quality AS v, CASE WHEN doc_id % 2 = 0 THEN 'human' ELSE 'ai' END AS source FROM (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id)), n AS (SELECT DISTINCT doc_id, 9 AS v, CASE WHEN doc_id % 3 = 0 THEN 'human' ELSE 'ai' END AS source FROM documents WHERE doc_id % 5 <> 0) SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL OR (o.source = 'human' AND n.source <> 'human') THEN o.v ELSE n.v END AS v, CASE WHEN n.doc_id IS NULL OR (o.source = 'human' AND n.source <> 'human') THEN o.source ELSE n.source END AS source FROM o FULL JOIN n ON o.doc_id = n.doc_id")
 def verdict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = lambda m: F.when(F.col("doc_id") % m == 0, "human").otherwise("ai").alias("source")

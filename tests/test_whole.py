@@ -2,6 +2,8 @@
 
 from gavelspark.plans.queries import QUERIES
 
+from .support import MIDDLE
+
 
 def _written(df, folder, name):
     df.write.parquet(f"{folder}/{name}.parquet")
@@ -13,3 +15,20 @@ def test_tokens_beyond_character_400(spark, tmp_path):
     d = _written(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path, "documents")
     got = {r.doc_id: r.tokens for r in QUERIES["tokens_whole"](spark, d).collect()}
     assert got == {1: "silverfat", 2: "abcdefgh"}
+
+
+def test_fusion_ranks_all_vectors(spark, tmp_path):
+    """The vectors most like the first have ids of 300 and more."""
+    for name in ("lineitem", "part", "supplier", "nation"):
+        d = _written(spark.read.parquet(f"{MIDDLE}/{name}.parquet").limit(0), tmp_path, name)
+    near = [1.0, 0.0]
+    rows = [(i, near if i == 0 or i >= 900 else [0.0, 1.0], 0) for i in range(1000)]
+    _written(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tmp_path, "embeddings")
+    got = {r.part_id: r.srank for r in QUERIES["semantic_rrf"](spark, d).collect()}
+    assert got == {0: 1} | {i: i - 898 for i in range(900, 1000)}
+
+
+def test_media_batch_of_all_users(spark, tmp_path):
+    d = _written(spark.createDataFrame([(60, 10, 1.0), (60, 12, 1.0), (61, 14, 2.0)], "user_id long, event_id long, value double"), tmp_path, "events")
+    got = sorted(map(tuple, QUERIES["media_sync_all"](spark, d).select("user_id", "event_id", "value").collect()))
+    assert got == [(60, 10, 2.0), (61, 14, 2.0)]
