@@ -26,8 +26,9 @@ def poll_tiers(items: DataFrame, as_of: Column, tiers: tuple[tuple[int, int], ..
 
 
 def capped_ranges(rows: DataFrame, bucket: str, value: str, cap: int, steps: int = 20) -> DataFrame:
-    """(bucket, low, high, n): value ranges of each bucket by repeated halving of its span while a range holds more
-    than ``cap`` rows, ``steps`` times at most. Rows only ever travel as counts per value."""
+    """(bucket, low, high, n, over_cap): value ranges of each bucket by repeated halving of its span while a range holds
+    more than ``cap`` rows, ``steps`` times at most. A range that still holds more, such as a single value, is marked.
+    Rows only ever travel as counts per value."""
     counts = pinned(rows.groupBy(bucket, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
     leaves = None
     spans = counts.groupBy(bucket).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
@@ -42,7 +43,7 @@ def capped_ranges(rows: DataFrame, bucket: str, value: str, cap: int, steps: int
         halves = spans.select(bucket, F.inline(F.array(F.struct(F.col("low").alias("low"), mid.alias("high")), F.struct((mid + 1).alias("low"), F.col("high").alias("high")))))
         inside = counts.withColumnRenamed(bucket, "__b").join(halves, (F.col("__b") == F.col(bucket)) & F.col("v").between(F.col("low"), F.col("high")))
         spans = inside.groupBy(bucket, "low", "high").agg(F.sum("c").alias("n"))
-    return leaves
+    return leaves.withColumn("over_cap", F.col("n") > cap)
 
 
 def numbered_pages(rows: DataFrame, key: str, size: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Queries that do the whole job: what a cut of their input would lose."""
 
-from gavelspark.plans.queries import QUERIES
+from gavelspark.plans.queries import ORACLE, QUERIES
 
-from .support import MIDDLE
+from .support import MIDDLE, assert_same
 
 
 def _written(df, folder, name):
@@ -32,3 +32,12 @@ def test_media_batch_of_all_users(spark, tmp_path):
     d = _written(spark.createDataFrame([(60, 10, 1.0), (60, 12, 1.0), (61, 14, 2.0)], "user_id long, event_id long, value double"), tmp_path, "events")
     got = sorted(map(tuple, QUERIES["media_sync_all"](spark, d).select("user_id", "event_id", "value").collect()))
     assert got == [(60, 10, 2.0), (61, 14, 2.0)]
+
+
+def test_capped_plan_keeps_a_price_over_the_cap(spark, tmp_path):
+    rows = [(i, "1-URGENT", 9.5 if i < 600 else i / 100) for i in range(1500)]
+    d = _written(spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_totalprice double"), tmp_path, "orders")
+    assert_same(QUERIES["capped_partition_plan"](spark, d), d, ORACLE["capped_partition_plan"].replace("FROM orders", f"FROM read_parquet('{d}/orders.parquet/*.parquet')"))
+    leaves = QUERIES["capped_partition_ranges"](spark, d).collect()
+    assert [(r.low, r.high, r.n) for r in leaves if r.over_cap] == [(950, 950, 600)]
+    assert sum(r.n for r in leaves) == 1500
