@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import lot_count, quoted_models, telling_words, top_level
+from ..functions.text import lot_count, main_category, quoted_models, telling_words
+from ..rules import classify
 from .facets import index_percentiles
 from .fuzzy import similar_pairs, word_pairs
 
@@ -62,31 +63,59 @@ def title_pairs(targets: DataFrame, history: DataFrame, threshold: float = SIMIL
     return similar.unionByName(by_word).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def comparables(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def verified(history: DataFrame) -> DataFrame:
+    """Sales sold for sure; a history without reserves has nothing against them."""
+    of = lambda name, kind: F.col(name) if name in history.columns else F.lit(None).cast(kind)
+    return history.filter("sold").filter(verified_sold(F.col("final_bid"), of("reserve_price", "double"), of("reserve_status", "string")))
+
+
+def sale_mains(sales: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """``sales`` with ``s_main``: of a trusted category, else by the lexicon, else as stored, else by the title's words."""
+    stored = main_category(F.col("category"))
+    trusted = F.when(F.col("category_conf").isin("human", "llm", "learned"), stored) if "category_conf" in sales.columns else F.lit(None).cast("string")
+    if lexicon is None:
+        voted = F.lit(None).cast("string")
+    else:
+        won = classify.vote(sales.select("title").distinct(), "title", "title", lexicon).select(F.col("title").alias("__title"), F.col("category").alias("__voted"))
+        sales, voted = sales.join(won, sales.title == won["__title"], "left"), main_category(F.col("__voted"))
+    return sales.withColumn("s_main", F.coalesce(trusted, voted, stored, main_category(classify.by_text(F.col("title"))))).drop("__title", "__voted")
+
+
+def comparables(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY, lexicon: DataFrame | None = None) -> DataFrame:
     """Gated comparable sales per distinct target title and main category: one row each with ``strict``,
     ``similarity`` and ``price``. A target has at most ``MOST`` candidates, the most similar and then the newest; the
     cut is the feature's own. Sales of one title and main are alike to every target, so no more than ``MOST`` of them
     enter the join, however many a hot title has."""
-    t = targets.select("title", top_level(F.col("category")).alias("main")).distinct()
-    sold = history.filter("sold").select(F.col("title").alias("b"), top_level(F.col("category")).alias("s_main"), F.col("final_total").alias("price"), "external_id", "ended_at")
+    t = targets.select("title", main_category(F.col("category")).alias("main")).distinct()
+    sold = sale_mains(verified(history), lexicon).select(F.col("title").alias("b"), "s_main", F.col("final_total").alias("price"), "external_id", "ended_at")
     newest = F.row_number().over(Window.partitionBy("b", "s_main").orderBy(F.desc("ended_at"), "external_id"))
     recent = sold.withColumn("__r", newest).filter(F.col("__r") <= MOST).drop("__r")
     pairs = title_pairs(t, sold.select(F.col("b").alias("title")), threshold)
     pairs = pairs.filter(overlap_ok(F.col("a"), F.col("b"), F.col("similarity"), threshold) & counts_agree(lot_count(F.col("a")), lot_count(F.col("b"))))
     pairs = pairs.withColumn("strict", model_agrees(quoted_models(F.col("a")), F.col("b")))
     rows = t.join(pairs, t.title == pairs.a).join(recent, "b")
-    rows = rows.filter(F.coalesce(F.col("main") == F.col("s_main"), F.lit(True)))
+    rows = rows.filter(F.coalesce(F.col("main") == F.col("s_main"), F.col("main").isNull()))
     place = F.row_number().over(Window.partitionBy("title", "main").orderBy(F.desc("similarity"), F.desc("ended_at"), "external_id"))
     return rows.withColumn("place", place).filter(F.col("place") <= MOST).select("title", "main", "strict", "similarity", "price", "external_id", "place")
 
 
-def price_stats(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def _used(targets: DataFrame, history: DataFrame, threshold: float, lexicon: DataFrame | None) -> DataFrame:
+    found = comparables(targets, history, threshold, lexicon)
+    by = Window.partitionBy("title", "main")
+    return found.withColumn("n_strict", F.count_if("strict").over(by)).filter(F.col("strict") | (F.col("n_strict") < LEAST))
+
+
+def price_stats(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY, lexicon: DataFrame | None = None) -> DataFrame:
     """Per target title and main category: statistics over the strict comparables, or over all when the strict are too
     few; none under three."""
-    found = comparables(targets, history, threshold)
+    return index_percentiles(_used(targets, history, threshold, lexicon), ["title", "main"], "price").filter(F.col("n") >= LEAST)
+
+
+def price_samples(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY, lexicon: DataFrame | None = None) -> DataFrame:
+    """The comparables behind ``price_stats``, the ``SAMPLES`` most similar of each title and main, numbered from 1."""
     by = Window.partitionBy("title", "main")
-    found = found.withColumn("n_strict", F.count_if("strict").over(by)).filter(F.col("strict") | (F.col("n_strict") < LEAST))
-    return index_percentiles(found, ["title", "main"], "price").filter(F.col("n") >= LEAST)
+    rows = _used(targets, history, threshold, lexicon).withColumns({"n": F.count("price").over(by), "sample": F.row_number().over(by.orderBy("place"))})
+    return rows.filter((F.col("n") >= LEAST) & (F.col("sample") <= SAMPLES)).select("title", "main", "sample", "external_id", "similarity", "price")
 
 
 def lookup(history: DataFrame, words: list[str], since: Column, as_of: Column, months: int = 12) -> DataFrame:

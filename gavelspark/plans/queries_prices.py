@@ -103,6 +103,12 @@ def price_stats_all_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price.price_stats(targets, history(spark, sf_dir))
 
 
+@query("price_samples_all_targets")
+def price_samples_all_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = search.Filters(as_of=ntz(AS_OF)).apply(items(spark, sf_dir))
+    return price.price_samples(targets, history(spark, sf_dir))
+
+
 @query(
     "deals",
     f"""WITH {ITEMS_SQL}, {HISTORY_SQL}, sales AS (SELECT * FROM history WHERE sold), e AS ({_stats('category', 'sales', 'final_total')}),

@@ -1,5 +1,6 @@
 """Queries that do the whole job: what a cut of their input would lose."""
 
+from gavelspark.operators import price
 from gavelspark.plans.queries import ORACLE, QUERIES
 
 from .support import MIDDLE, assert_same
@@ -41,3 +42,18 @@ def test_capped_plan_keeps_a_price_over_the_cap(spark, tmp_path):
     leaves = QUERIES["capped_partition_ranges"](spark, d).collect()
     assert [(r.low, r.high, r.n) for r in leaves if r.over_cap] == [(950, 950, 600)]
     assert sum(r.n for r in leaves) == 1500
+
+
+def test_comparables_are_verified_and_of_the_right_main(spark):
+    """A sale under its reserve is out; a trusted category, then the lexicon, goes before the stored one."""
+    title = "Silverfat graverat"
+    targets = spark.createDataFrame([(title, "silver/fat")], "title string, category string")
+    sale = lambda i, category, conf=None, reserve=None, status=None: (str(i), title, category, conf, 100 + i, 125 + i, True, i, reserve, status)
+    rows = [*[sale(i, "silver/fat") for i in range(20)], sale(50, "silver/fat", None, 500.0), sale(51, "silver/fat", None, None, "not_met"), sale(52, "konst/tavla"), sale(53, "konst/tavla", "human")]
+    kinds = "external_id string, title string, category string, category_conf string, final_bid long, final_total long, sold boolean, ended_at long, reserve_price double, reserve_status string"
+    history = spark.createDataFrame(rows, kinds)
+    lexicon = spark.createDataFrame([("silverfat", "silver/fat", 30)], "token string, category string, seen long")
+    found = {r.external_id for r in price.comparables(targets, history, lexicon=lexicon).collect()}
+    assert found == {str(i) for i in [*range(20), 52]}
+    samples = price.price_samples(targets, history, lexicon=lexicon).orderBy("sample").collect()
+    assert [r.external_id for r in samples] == ["52", *[str(i) for i in range(19, 5, -1)]]
