@@ -242,3 +242,31 @@ def residual_vat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.when(F.col("fee_value") > 50, F.col("fee_value"))
     return items(spark, sf_dir).select("house", "external_id", money.best_price(total, F.col("current_bid"), F.col("min_bid")).alias("price"))
+
+
+def over_rows(name: str, fn, source: str, key: str, text: str, sql: str | None = None) -> None:
+    """A query that applies a scalar function to a whole table; its known cases are those of ``golden``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, source).select(key, fn(F.col(text)).alias("y"))
+
+    query(name, sql and f"SELECT {key}, {sql} AS y FROM {source}")(run)
+
+
+_SQUEEZED = "trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g'))"
+over_rows("keyword_classify_rows", classify.by_text, "part", "p_partkey", "p_name")
+over_rows("lot_count_rows", T.lot_count, "part", "p_partkey", "p_name")
+over_rows("plate_regex_rows", T.plate, "documents", "doc_id", "text")
+over_rows("swedish_number_rows", T.number, "documents", "doc_id", "text")
+over_rows("slugify_rows", T.slug, "part", "p_partkey", "p_name", "regexp_replace(regexp_replace(translate(lower(p_name), 'åäöéèüàçñóíêß', 'aaoeeuacnoies'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
+over_rows("countdown_rows", times.countdown_seconds, "documents", "doc_id", "text")
+over_rows("quoted_models_rows", lambda x: F.array_join(T.quoted_models(x), "|"), "documents", "doc_id", "text")
+over_rows("condition_badge_rows", T.condition_badge, "documents", "doc_id", "text")
+over_rows("normalise_query_rows", T.normalise_query, "part", "p_partkey", "p_name", _SQUEEZED)
+over_rows("clock_minutes_rows", times.clock_minutes, "documents", "doc_id", "text")
+over_rows("html_entities_rows", T.strip_html, "pages", "page_id", "html")
+over_rows("item_text_rows", lambda x: T.item_text(F.lit("Stol"), x), "documents", "doc_id", "text")
+over_rows("spec_value_rows", lambda x: T.label_value(x, "Höjd", ("Bredd", "Vikt")), "documents", "doc_id", "text")
+over_rows("image_url_rows", T.image_url, "pages", "page_id", "url")
+over_rows("fitted_text_rows", lambda x: T.fitted(x, 10), "part", "p_partkey", "p_name", "CASE WHEN length(p_name) <= 10 THEN p_name ELSE rtrim(left(p_name, 9)) || '…' END")
+over_rows("worth_expanding_rows", T.worth_expanding, "part", "p_partkey", "p_name", f"length({_SQUEEZED}) BETWEEN 4 AND 60 AND regexp_matches({_SQUEEZED}, '\\p{{L}}{{4,}}')")

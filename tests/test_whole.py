@@ -1,5 +1,7 @@
 """Queries that do the whole job: what a cut of their input would lose."""
 
+import re
+
 from gavelspark.operators import price
 from gavelspark.plans.queries import ORACLE, QUERIES
 
@@ -57,3 +59,17 @@ def test_comparables_are_verified_and_of_the_right_main(spark):
     assert found == {str(i) for i in [*range(20), 52]}
     samples = price.price_samples(targets, history, lexicon=lexicon).orderBy("sample").collect()
     assert [r.external_id for r in samples] == ["52", *[str(i) for i in range(19, 5, -1)]]
+
+
+def test_html_entities_of_all_pages(spark):
+    entities = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
+    def plain(html):
+        text = re.sub("<[^>]*>", " ", re.sub(r"(?is)<(script|style)[^>]*>.*?</\1\s*>", " ", html))
+        for name, char in entities.items():
+            text = text.replace(name, char)
+        return re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ")
+
+    pages = {r.page_id: plain(r.html) for r in spark.read.parquet(f"{MIDDLE}/pages.parquet").collect()}
+    got = {r.page_id: r.y for r in QUERIES["html_entities_rows"](spark, MIDDLE).collect()}
+    assert got == pages
