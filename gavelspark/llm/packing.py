@@ -1,9 +1,12 @@
 """Length-bucketed packing into token-budget batches.
 
-The global histogram of lengths (one small aggregation) goes through a dynamic programme on the driver that places the
-bucket boundaries where the total padding, every row padded to its bucket's boundary, is least. Histogram bins are
-exact up to ``FINE`` tokens and keep six bits of precision above, so that their number is bounded (about 64 for each
-doubling) whatever the corpus; a bin knows its count, sum and true maximum, so that the cost of a boundary is exact.
+The length of a document is its number of white-space separated words unless the caller passes another column, such as
+a count of encoded tokens. The exact global histogram of lengths (one small aggregation) goes through a dynamic
+programme on the driver that places the bucket boundaries where the total padding, every row padded to its bucket's
+boundary, is least. The histogram has one row for each distinct length: n distinct lengths take n * n / 2 words at
+least, so a corpus of W words has at most sqrt(2 * W) of them (3 million for 5 * 10^12 words, 48 MB). Each of the
+programme's rounds takes the lower envelope of one line for each possible start of a bucket, in whole numbers, so it is
+exact and linear in the number of lengths.
 
 Rows are then range-partitioned by (length, id), which keeps buckets contiguous and splits a length that holds a third
 of the corpus. Places inside a bucket come from a local count plus the counts of earlier partitions, so no bucket is
@@ -15,6 +18,8 @@ batch of its own and is not cut; ties in length go by id, null ids last; an empt
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,7 +28,6 @@ from .common import NO_ID, WHITE, durable, row_id, shuffle_width
 
 BUDGET = 16_384
 BUCKETS = 16
-FINE = 128
 
 
 def count_words(text_col: str = "text") -> Column:
@@ -33,41 +37,54 @@ def count_words(text_col: str = "text") -> Column:
     return F.size(pieces).cast("long")
 
 
-def bin_of(length: str = "length") -> Column:
-    """The histogram bin of a length: itself up to ``FINE``, above that its leading seven bits."""
-    shift = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col(length), F.lit(1)).cast("double"))).cast("int") - 6)
-    coarse = F.call_function("shiftleft", F.call_function("shiftright", F.col(length), shift), shift)
-    return F.when(F.col(length) < FINE, F.col(length)).otherwise(coarse)
-
-
-def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
-    """(count, sum, maximum) of each bin, shortest first."""
-    rows = lengths.groupBy(bin_of().alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("s"), F.max("length").alias("m")).orderBy("bin").collect()
-    return [(r.n, r.s, r.m) for r in rows]
-
-
-def best_boundaries(bins: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list[int]:
-    """Boundaries (largest length of each bucket, ascending) of least total padding with ``buckets`` at most."""
-    if not bins:
-        return []
-    n, s, m = (np.array(x, dtype=np.float64) for x in zip(*bins))
-    count, total = np.concatenate([[0], n.cumsum()]), np.concatenate([[0], s.cumsum()])
-    size = len(bins)
-    buckets = min(buckets, size)
-    cost = np.full((buckets + 1, size + 1), np.inf)
-    cut = np.zeros((buckets + 1, size + 1), int)
-    cost[0, 0] = 0
-    for k in range(1, buckets + 1):
-        for j in range(k, size + 1):
-            start = np.arange(k - 1, j)
-            padded = cost[k - 1, start] + m[j - 1] * (count[j] - count[start]) - (total[j] - total[start])
-            best = int(padded.argmin())
-            cost[k, j], cut[k, j] = padded[best], start[best]
-    k, j, found = int(cost[1:, size].argmin()) + 1, size, []
-    while k:
-        found.append(int(bins[j - 1][2]))
-        j = int(cut[k, j])
-        k -= 1
+def histogram(lengths: DataFrame) -> tuple[list[int], list[int]]:
+    """Distinct lengths, shortest first, and the rows of each."""
+    counts = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    order = np.argsort(counts.column("length").to_numpy())
+    return tuple(counts.column(c).to_numpy()[order].tolist() for c in ("length", "n"))
+
+
+def best_boundaries(lengths: list[int], rows: list[int], buckets: int = BUCKETS) -> list[int]:
+    """Boundaries (largest length of each bucket, ascending) of least total padding with ``buckets`` at most.
+
+    Padding lengths i to j - 1 to the last of them costs ``lengths[j - 1] * (rows before j - rows before i)`` less the
+    words they hold. For a fixed j that is a line for each i, taken at ``lengths[j - 1]``: slopes fall with i and the
+    places rise with j, so the best line moves only forward along the lower envelope.
+    """
+    size = len(lengths)
+    count, total = [0], [0]
+    for x, n in zip(lengths, rows):
+        count.append(count[-1] + n)
+        total.append(total[-1] + x * n)
+    before: list[int | None] = [0] + [None] * size
+    cuts = []
+    for _ in range(min(buckets, size)):
+        after: list[int | None] = [None] * (size + 1)
+        cut = array("q", bytes(8 * (size + 1)))
+        hull: list[tuple[int, int, int]] = []  # (slope, value at 0, start) of the lower envelope
+        at = 0
+        for j in range(1, size + 1):
+            if before[j - 1] is not None:
+                slope, base = -count[j - 1], before[j - 1] + total[j - 1]
+                while len(hull) - at >= 2:
+                    (m1, b1, _), (m2, b2, _) = hull[-2:]
+                    if (base - b1) * (m1 - m2) > (b2 - b1) * (m1 - slope):
+                        break
+                    hull.pop()
+                hull.append((slope, base, j - 1))
+            if at >= len(hull):
+                continue
+            x = lengths[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
+                at += 1
+            after[j] = hull[at][0] * x + hull[at][1] + x * count[j] - total[j]
+            cut[j] = hull[at][2]
+        cuts.append(cut)
+        before = after
+    found, j = [], size
+    for cut in reversed(cuts):
+        found.append(lengths[j - 1])
+        j = cut[j]
     return found[::-1]
 
 
@@ -98,9 +115,10 @@ def _numbered(bounds: list[int]):
 
 def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id", budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
     """(id, n_tokens, bucket, boundary, batch, padding) per row: batch ``(bucket, batch)`` holds at most ``budget``
-    tokens after padding each of its rows to ``boundary``, unless a single row is longer."""
+    tokens after padding each of its rows to ``boundary``, unless a single row is longer. ``n_tokens`` is the length
+    that was packed: words, unless ``length`` says otherwise."""
     lengths = durable(docs.select(row_id(id_col).alias("id"), (count_words() if length is None else length).cast("long").alias("length")), "lengths")
-    bounds = best_boundaries(histogram(lengths), buckets)
+    bounds = best_boundaries(*histogram(lengths), buckets)
     n = shuffle_width(docs.sparkSession)
     ranged = lengths.repartitionByRange(n, "length", "id").sortWithinPartitions("length", "id")
     placed = durable(ranged.mapInArrow(_numbered(bounds), "id long, length long, bucket int, part int, place long"), "placed")

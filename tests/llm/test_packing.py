@@ -2,22 +2,41 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
+
 from gavelspark.llm import packing, queries
 
 from ..support import MIDDLE
 from .fixtures import EDGE, documents, empty
 
 
+def padding(bounds, lengths):
+    return sum(min(b for b in bounds if b >= x) - x for x in lengths)
+
+
 def test_boundaries_are_optimal():
     r = random.Random(1)
-    for _ in range(30):
-        lengths = sorted(r.randint(0, 60) for _ in range(r.randint(1, 25)))
-        values = sorted(set(lengths))
-        bins = [(lengths.count(v), v * lengths.count(v), v) for v in values]
-        found = packing.best_boundaries(bins, 3)
-        padding = lambda bounds: sum(min(b for b in bounds if b >= x) - x for x in lengths)
-        best = min(padding([*c, values[-1]]) for k in range(3) for c in combinations(values[:-1], k))
-        assert padding(found) == best and len(found) <= 3
+    for top in (60, 3_000, 1_000_000):
+        for buckets in (1, 3, 5):
+            for _ in range(12):
+                lengths = [r.randint(0, top) for _ in range(r.randint(1, 16))] + [r.randint(0, top)] * r.choice([0, 1, 40])
+                values = sorted(set(lengths))
+                found = packing.best_boundaries(values, [lengths.count(v) for v in values], buckets)
+                best = min(padding([*c, values[-1]], lengths) for k in range(buckets) for c in combinations(values[:-1], k))
+                assert padding(found, lengths) == best and len(found) <= buckets
+    assert packing.best_boundaries([], []) == []
+
+
+def least_padding(lengths, buckets):
+    """The textbook programme over all pairs of cuts."""
+    values = sorted(set(lengths))
+    rows = np.array([lengths.count(v) for v in values])
+    count, words = np.concatenate([[0], rows.cumsum()]), np.concatenate([[0], (rows * values).cumsum()])
+    cost = np.array([[values[j - 1] * (count[j] - count[i]) - (words[j] - words[i]) if i < j else 10**15 for j in range(1, len(values) + 1)] for i in range(len(values))])
+    best = cost[0]
+    for _ in range(buckets - 1):
+        best = np.minimum(best, [min((best[i - 1] + cost[i, j] for i in range(1, j + 1)), default=10**15) for j in range(len(values))])
+    return int(best[-1])
 
 
 def test_query_packs_every_document(spark):
@@ -25,9 +44,10 @@ def test_query_packs_every_document(spark):
     rows = queries.QUERIES["op7_packing"](spark, MIDDLE).collect()
     assert sorted(r.doc_id for r in rows) == sorted(docs)
     check(rows)
-    # the boundaries are those of the brute-force histogram, rows lie in the first bucket that holds them
+    # rows lie in the first bucket that holds them, and the whole padding is the least possible
     bounds = sorted({r.boundary for r in rows})
     assert all(r.boundary == min(b for b in bounds if b >= r.n_tokens) for r in rows)
+    assert sum(r.padding for r in rows) == least_padding(list(docs.values()), packing.BUCKETS)
 
 
 def check(rows, budget=packing.BUDGET):
