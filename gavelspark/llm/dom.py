@@ -1,21 +1,37 @@
-"""A tolerant HTML reader: block nodes of the document tree and the text blocks between block boundaries."""
+"""A tolerant HTML reader: block nodes of the document tree and the text blocks between block boundaries.
+
+Tags are cut as browsers cut them: an attribute value is quoted only if it starts with a quote, so one inside a name or
+an unquoted value is a character like any other, and a quote that nothing closes ends with its word. Elements whose
+content is no text of the page are skipped up to their own end tag. One without an end tag ends at the next block, so
+that what follows is not lost; only an unclosed script or style takes the rest of the page, as in a browser.
+"""
 
 from __future__ import annotations
 
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+_VALUE = r"\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)"
+_ATTRIBUTES = rf"(?:[\s/]+|(?:=[^\s/>=]*|[^\s/>=]+)(?:{_VALUE})?)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s/>=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))")
+_MATH = "math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mspace mtable mtr mtd semantics"
+INLINE = frozenset(f"a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark nobr picture q ruby rp rt s samp small span strike strong sub sup time tt u var video wbr {_MATH}".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title select object xmp".split())
+#: Elements that hold text only, up to their end tag.
+RAW = frozenset("script style textarea iframe title xmp noembed noframes".split())
+#: Elements whose whole content is left out.
+SKIPPED = frozenset("noscript template svg select object".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag closes an open element of these names (up to the nearest scope).
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table tbody thead tfoot body div article section main nav aside header footer form blockquote td th".split())
-_RAW_END = {tag: re.compile(rf"</{tag}[^>]*(?:>|$)", re.I) for tag in RAW}
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|</{tag}\Z", re.I) for tag in RAW}
+_TAG = re.compile(r"<[a-zA-Z/!]")
+_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|center|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?=[\s/>])", re.I)
+_SVG_TEXT = re.compile(r"<(?:foreignobject|desc|title)(?=[\s/>])", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -42,6 +58,22 @@ def attributes(attrs: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
 
 
+@lru_cache(maxsize=None)
+def _marks(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>]).*?(?:</(?P=raw)|\Z)|<(?P<end>/?)(?P<tag>{tag})(?=[\s/>]){_ATTRIBUTES}(?:>|\Z)", re.S | re.I)
+
+
+def _closings(page: str, tag: str) -> dict[int, int]:
+    """End of each start tag of a skipped element -> end of the end tag that belongs to it."""
+    found, open_ = {}, []
+    for m in _marks(tag).finditer(page):
+        if m["tag"] and not m["end"] and not m[0].endswith("/>"):
+            open_.append(m.end())
+        elif m["tag"] and m["end"] and open_:
+            found[open_.pop()] = m.end()
+    return found
+
+
 def read(page: str) -> Page:
     nodes = [Node("#root", "", -1, 0)]
     blocks: list[tuple[int, str]] = []
@@ -53,7 +85,7 @@ def read(page: str) -> Page:
     def flush() -> None:
         nonlocal linked
         if run:
-            text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
+            text = _SPACE.sub(" ", "".join(run)).strip()
             run.clear()
             if text:
                 at = open_[-1][1]
@@ -74,10 +106,22 @@ def read(page: str) -> Page:
     def text(piece: str) -> None:
         nonlocal linked
         if piece:
+            piece = html.unescape(piece)
             run.append(piece)
             if links:
                 linked += len(piece.strip())
 
+    def after_skipped(tag: str, at: int) -> int:
+        """Where reading goes on behind a skipped element whose start tag ends at ``at``."""
+        if tag not in closings:
+            closings[tag] = _closings(page, tag)
+        end = closings[tag].get(at)
+        block = _BLOCK.search(page, at, size if end is None else end) if end is None or tag == "svg" else None
+        if block and (end is None or not _SVG_TEXT.search(page, at, block.start())):
+            return block.start()  # blocks break out of a drawing
+        return size if end is None else end
+
+    closings: dict[str, dict[int, int]] = {}
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -99,10 +143,18 @@ def read(page: str) -> Page:
             continue
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
-            if not m[3].endswith("/") or tag == "script":
-                at = size if end is None else end.end()
-            if tag not in INLINE:
-                text(" ")
+            if end is not None:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = size
+            else:
+                at = size if (next_tag := _TAG.search(page, at)) is None else next_tag.start()
+            text(" ")
+            continue
+        if tag in SKIPPED:
+            if not m[3].endswith("/"):
+                at = after_skipped(tag, at)
+            text(" ")
             continue
         if tag in INLINE:
             if tag == "br":

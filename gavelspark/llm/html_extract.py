@@ -1,14 +1,15 @@
 """Main-text extraction with a tree-structured graphical model.
 
 A page's block elements form a tree of binary variables (content or not). Node potentials come from sparse features
-(tag, words in class, id and role, own text, links, place); parent-child potentials depend on both labels and the
+(tag, words in class, id and role, own text and that right below, links, place, a page without containers); parent-child potentials depend on both labels and the
 child's kind. Sum-product messages go up the tree and back down and give each node's content marginal; the text blocks
 of nodes at one half or more make the result. The weights maximise the likelihood of labelled pages, by gradient steps
 on the difference between observed and expected features, which the same messages yield. Training pages come from a
 seeded generator (``PAGES`` of them), so that the model is the same in every process.
 
-Edge cases: null, empty and text-free pages give an empty text; text outside any element belongs to the root; broken
-and unclosed markup is read as far as it goes; scripts, styles, titles, comments and form controls never give text.
+Edge cases: null, empty and text-free pages give an empty text; text outside any element belongs to the root, and a
+page without markup is its own text; broken and unclosed markup is read as far as it goes; scripts, styles, titles,
+comments and form controls never give text.
 """
 
 from __future__ import annotations
@@ -67,9 +68,11 @@ def _index(name: str) -> int:
     return _NAMES.setdefault(name, len(_NAMES))
 
 
-for _n in ["bias", *(f"tag:{g}" for g in [*_GROUPS, "other"]), *(f"hint:{h}" for h in HINTS), *(f"{a}:{k}" for a in ("own", "all") for k in range(6)), *(f"{a}:{k}" for a in ("links", "alllinks") for k in range(4)), "stop", "nostop", "first", "last", "classless"]:
+for _n in ["bias", *(f"tag:{g}" for g in [*_GROUPS, "other"]), *(f"hint:{h}" for h in HINTS), *(f"{a}:{k}" for a in ("own", "all", "near") for k in range(6)), *(f"{a}:{k}" for a in ("links", "alllinks") for k in range(4)), "stop", "nostop", "first", "last", "classless", *(f"bare:{g}" for g in ("page", "text", "heading", "box"))]:
     _index(_n)
 SIZE = len(_NAMES)
+#: A page without any node of these features is bare.
+_CONTAINERS = frozenset(_NAMES[n] for n in ("tag:article", "tag:main", "hint:content"))
 
 
 @lru_cache(maxsize=65536)
@@ -99,14 +102,22 @@ def features(page: dom.Page) -> list[list[int]]:
     for i in range(len(nodes) - 1, 0, -1):
         total[nodes[i].parent] += total[i]
         linked[nodes[i].parent] += linked[i]
+    near = [n.own for n in nodes]  # own text and that of paragraphs and headings right below
+    for n in nodes[1:]:
+        if GROUP.get(n.tag) in ("text", "heading"):
+            near[n.parent] += n.own
+    markup = [_markup(n.tag, n.attrs) for n in nodes]
+    bare = not any(_CONTAINERS.intersection(f) for f in markup)
     out = []
     for i, n in enumerate(nodes):
-        f = [*_markup(n.tag, n.attrs), _NAMES[f"own:{_step(n.own)}"], _NAMES[f"all:{_step(total[i])}"]]
+        f = [*markup[i], _NAMES[f"near:{_step(near[i])}"], _NAMES[f"own:{_step(n.own)}"], _NAMES[f"all:{_step(total[i])}"]]
         if n.own:
             f.append(_NAMES[f"links:{_share(n.linked, n.own)}"])
             f.append(_NAMES["stop" if n.last in ".!?:;\"'”" else "nostop"])
         if total[i]:
             f.append(_NAMES[f"alllinks:{_share(linked[i], total[i])}"])
+        if bare and (name := "bare:" + GROUP.get(n.tag, "other")) in _NAMES:
+            f.append(_NAMES[name])
         place = n.start / max(page.size, 1)
         if place < 0.1:
             f.append(_NAMES["first"])
@@ -180,7 +191,9 @@ _GOLD = re.compile(r'data-y="([01])"')
 
 
 def gold(page: dom.Page) -> list[int]:
-    return [int(m[1]) if (m := _GOLD.search(n.attrs)) else 0 for n in page.nodes]
+    """Labels of a generated page; text outside any element is content there."""
+    labels = [int(m[1]) if (m := _GOLD.search(n.attrs)) else 0 for n in page.nodes]
+    return [int(page.nodes[0].own > 0), *labels[1:]]
 
 
 def train(pages: list[str], epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-4) -> TreeModel:

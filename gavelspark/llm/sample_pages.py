@@ -2,7 +2,8 @@
 
 Every block element carries ``data-y``: 1 for main content and its container, 0 for the rest. Markup is drawn from many habits of real
 pages: semantic and class-only containers, boilerplate in every place including inside the article, comments, notices,
-forms, unclosed paragraphs and list items, pages cut off at the end.
+forms, unclosed paragraphs and list items, pages cut off at the end. Some pages have no container: their paragraphs lie
+in the body, or their text stands there (or in no element at all) with line breaks.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ class Maker:
 
     def content(self) -> str:
         r, out = self.r, []
+        if r.random() < 0.12:  # hardly any text
+            return "".join(f'<p data-y="1">{self.words(r.randint(1, 6))}</p>' for _ in range(r.randint(1, 3)))
         if r.random() < 0.8:
             h = f'<h1 data-y="1">{self.words(r.randint(2, 12))}</h1>'
             out.append(f'<header data-y="1">{h}</header>' if r.random() < 0.15 else h)
@@ -101,8 +104,21 @@ class Maker:
             body = inner if tag == "p" or r.random() < 0.6 else f'<p data-y="0">{inner}</p>'
         return f'<{tag}{name} data-y="0">{body}</{tag}>'
 
+    def flat(self) -> str:
+        """A page without a container."""
+        r = self.r
+        lines = r.choice(["<br>", "<br><br>", "\n"]).join(self.inline(self.text(1, 3)) for _ in range(r.randint(1, 6)))
+        if r.random() < 0.4:
+            return lines
+        before, after = ("".join(map(self.boiler, r.sample(kinds, r.choice([0, 1, 2])))) for kinds in (["header", "nav", "ad", "notice"], ["comments", "sidebar", "footer", "ad"]))
+        body = self.content() if r.random() < 0.6 else lines
+        body = f'<body data-y="1">{before}{body}{after}</body>'
+        return body if r.random() < 0.3 else f'<html data-y="0"><head data-y="0"><title>{self.words(4)}</title></head>{body}</html>'
+
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.2:
+            return self.flat()
         before = [k for k in ("header", "nav", "ad", "notice", "form", "nav") if r.random() < 0.4]
         after = [k for k in ("share", "comments", "sidebar", "ad", "form", "footer", "notice") if r.random() < 0.35]
         tag, name = r.choice([("article", ""), ("article", ""), ("main", ""), ("div", self.named(_CONTENT)), ("div", self.named(_CONTENT)), ("section", self.named(_CONTENT)), ("article", self.named(_CONTENT)), ("div", "")])

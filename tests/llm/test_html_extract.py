@@ -1,4 +1,6 @@
+import html
 import re
+from collections import Counter
 
 from gavelspark.llm import dom, html_extract, queries
 from gavelspark.llm.sample_pages import labelled_pages
@@ -34,16 +36,68 @@ def test_edges(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+PROBES = [
+    ("<article><p title=it's>First one here.</p><p>It's the second one.</p><p>Third one here.</p></article>", "First one here.\n\nIt's the second one.\n\nThird one here."),
+    ("<article><p title=it's>Only one quote in the page.</p></article>", "Only one quote in the page."),
+    ("<article><p data-x=a'b\"c class=d>One.</p><p title='a>b' lang=sv>Two is here.</p></article>", "One.\n\nTwo is here."),
+    ("<article><h1 class=\"t\"id=x>Heading here</h1><p =odd a==b / c>Text with a slash.</p></article>", "Heading here\n\nText with a slash."),
+    ("<article><p>Before the drawing.</p><svg><path d='M0'><p>After the drawing comes text.</p></article>", "Before the drawing.\n\nAfter the drawing comes text."),
+    ("<article><p>Before it all.</p><svg><text>no text</text></svg><p>After the drawing.</p></article>", "Before it all.\n\nAfter the drawing."),
+    ("<article><p>Before the list.</p><select><option>a<option>b<p>After the list comes text.</p></article>", "Before the list.\n\nAfter the list comes text."),
+    ("<article><p>Choose <select><option>a<option>b</select> one of them.</p></article>", "Choose one of them."),
+    ("<article><p>An object.</p><object data=x><p>After the object comes text.</p></article>", "An object.\n\nAfter the object comes text."),
+    ("<article><p>A movie.</p><object><p>No player.</p></object><p>After the movie.</p></article>", "A movie.\n\nAfter the movie."),
+    ("<article><noscript>Switch it on.<p>The text goes on here.</p><noscript>Once more.</noscript><p>And ends here.</p></article>", "The text goes on here.\n\nAnd ends here."),
+    ("<article><template><p>Text behind a template.</p></article>", "Text behind a template."),
+    ("<title>Never closed<article><p>Text behind a title.</p></article>", "Text behind a title."),
+    ("<article><p>Area <math><mi>r</mi><mo>=</mo><mn>2</mn></math> as said.</p></article>", "Area r=2 as said."),
+    ("<article><p>Fish &am<b>p;</b> chips &amp;lt; 5.</p></article>", "Fish &amp; chips &lt; 5."),
+    ("<article><p>A comment <!-- > <p> --> inside.</p><script>'</p>' + \"<svg>\"</script><p>Behind a script.</p></article>", "A comment inside.\n\nBehind a script."),
+]
+
+
+def test_no_text_is_lost_to_odd_markup(spark):
+    got = extract(spark, [(i, None, h) for i, (h, _) in enumerate(PROBES)])
+    for i, (h, text) in enumerate(PROBES):
+        assert got[i] == text, h
+
+
+def test_pages_without_a_container(spark):
+    plain = "This page has no markup at all. It is a few sentences long, and all of them are its text. Nothing else is here."
+    pages = [plain, plain + "<br><br>" + plain, f"<html><body><h1>A heading for the page</h1><p>{plain}</p><p>{plain}</p></body></html>", f"<body>{plain}<br>{plain}</body>"]
+    got = extract(spark, [(i, None, p) for i, p in enumerate(pages)])
+    assert got[0] == plain and got[1] == got[3] == f"{plain} {plain}"
+    assert got[2] == f"A heading for the page\n\n{plain}\n\n{plain}"
+
+
+_CUT = re.compile(r"<nav>.*?</nav>|<aside\b.*?</aside>|<footer\b.*?</footer>|<form\b.*?</form>|<script\b.*?</script>|<!--.*?-->|<(div|p|section)\b[^>]*class=\"?[^>]*\b(?:ad|comment|comments|cookie|share|promo)\b[^>]*>.*?</\1>", re.S)
+_INLINE = re.compile(r"</?(?:a|b|i|em|strong|span|code|br|small|sub|sup|u|mark|q|cite|img)\b[^>]*>")
+
+
+def by_rules(page):
+    """The article of a page of the tables, cut out by hand-written rules; nothing where they do not apply."""
+    if page is None or page.count("<article") != 1 or "</article>" not in page:
+        return None
+    article = _CUT.sub("", re.search(r"<article[^>]*>(.*?)</article>", page, re.S)[1])
+    blocks = re.split(r"<[^>]*>", _INLINE.sub(lambda m: " " if m[0].startswith("<br") else "", article))
+    return [t for b in blocks if (t := " ".join(html.unescape(b).split()))]
+
+
 def test_whole_table(spark):
     rows = queries.QUERIES["op1_html_extraction"](spark, MIDDLE).collect()
-    pages = spark.read.parquet(f"{MIDDLE}/pages.parquet")
-    assert len(rows) == pages.count()
-    html = {p.page_id: p.html for p in pages.collect()}
+    pages = {p.page_id: p.html for p in spark.read.parquet(f"{MIDDLE}/pages.parquet").collect()}
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    right = wrong = checked = 0
     for r in rows:
         assert r.n_chars == len(r.text) and r.text == r.text.strip() and "\n\n\n" not in r.text
-        article = re.search(r"<article>(.*?)</article>", html[r.page_id] or "", re.S)
-        if article and "<h1>" in article[1]:  # the heading opens the result; footers and menus are out
-            assert r.text.startswith(dom.read(article[1]).blocks[0][1]) and "©" not in r.text
+        want = by_rules(pages[r.page_id])
+        if want is not None:
+            checked += 1
+            got = r.text.split("\n\n") if r.text else []
+            both = sum((Counter(got) & Counter(want)).values())
+            right += both
+            wrong += len(got) + len(want) - 2 * both
+    assert checked >= 0.8 * len(rows) and right > 3 * checked and wrong <= 0.01 * right, (checked, right, wrong)
 
 
 def test_blocks_of_unseen_pages():
