@@ -49,7 +49,8 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """``df``, after bounding the rows that Python gets at a time: texts can be very long."""
+    """``df``, after bounding the rows that Python gets at a time: texts can be very long. Spark reads the option when
+    a plan starts to run, so it stays set; every operator that hands texts to Python sets the same value."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
@@ -70,6 +71,19 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.withColumns({ID: row_id(id_col), RK: row_key(id_col, text_col)})
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with a caller's columns of these names under others, and what gives a result of the same columns their
+    own names back. Names that Spark takes for equal count as equal."""
+    taken, used = {n.lower() for n in names}, {c.lower() for c in docs.columns}
+    other: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in taken:
+            new = next(x for k in range(len(used) + 1) if (x := f"caller_{k}") not in used)
+            used.add(new)
+            other[c] = new
+    return docs.withColumnsRenamed(other), lambda done: done.withColumnsRenamed({new: c for c, new in other.items()})
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

@@ -88,7 +88,7 @@ rules(kind, turn, re, at_least) AS (VALUES
   ('assign', 1, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
   ('access', 2, '(AKIA[A-Z0-9]+)()', 20),
   ('hex', 3, '([0-9a-f]{24,})()', 24),
-  ('private_key', 4, '(-----BEGIN [A-Z ]*PRIVATE KEY-----)()', 0),
+  ('private_key', 4, '(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.\x20\x09-\x0D\\-]*?-----END [A-Z ]*PRIVATE KEY-----|(?:[\x20\x09-\x0D]+[A-Za-z0-9+/=]{16,})*))()', 0),
   ('github', 5, '(gh[opsu]_[A-Za-z0-9]{36})()', 0),
   ('google', 6, '(AIza[0-9A-Za-z_-]{35})()', 0),
   ('slack', 7, '(xox[abprs]-[A-Za-z0-9-]{10,})()', 0),

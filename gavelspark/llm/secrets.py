@@ -8,6 +8,7 @@ without a mandatory trigram scan every text.
 
 Spans come from one pass of the expression that puts a mark around each match: the pieces between marks are numbered,
 and a running sum of their code points gives starts and ends. Text goes through joins once, postings carry keys only.
+Masking replaces the spans that were found, whatever rule gave them.
 
 Edge cases: null and empty texts have no spans; the mark character inside a text is replaced by another that no rule
 can match, so offsets never move; overlapping spans of different kinds all stay; rows equal in id and text share their
@@ -17,12 +18,12 @@ spans.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from re import _parser
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ID, RK, ascii_lower, durable, keyed
+from .common import ID, RK, ascii_lower, aside, durable, keyed
 
+SPANS = "__spans"
 MARK, STAND_IN = "\u0001", "�"
 MASK = "[REDACTED]"
 #: Classes of more characters than this end a literal run instead of branching it.
@@ -38,23 +39,22 @@ class Rule:
     #: Group whose text must have ``at_least`` characters for a match to count; 0 is the whole match.
     group: int = 0
     at_least: int = 0
-    #: The expression to mask with, if a failing match may not be masked.
-    mask: str = ""
 
     @property
     def java(self) -> str:
         return ("(?i)" if self.any_case else "") + self.pattern
 
 
-_VALUE = "[A-Za-z0-9+/_.=-]"
-_ASSIGN = rf"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?({_VALUE}+)"""
 BASE = (
-    Rule("assign", _ASSIGN, any_case=True, group=2, at_least=6, mask=_ASSIGN.replace(f"({_VALUE}+)", f"({_VALUE}{{6,}})")),
-    Rule("access", "AKIA[A-Z0-9]+", at_least=20, mask="AKIA[A-Z0-9]{16,}"),
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", any_case=True, group=2, at_least=6),
+    Rule("access", "AKIA[A-Z0-9]+", at_least=20),
     Rule("hex", "[0-9a-f]{24,}"),
 )
+#: A private key is one secret from its first line to its last; where the last is missing, the lines of key material.
+_KEY_END = r"[A-Za-z0-9+/=:,.\x20\x09-\x0D\\-]*?-----END [A-Z ]*PRIVATE KEY-----"
+_KEY_LINES = r"(?:[\x20\x09-\x0D]+[A-Za-z0-9+/=]{16,})*+"
 ADDED = (
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_KEY_END}|{_KEY_LINES})"),
     Rule("github", "gh[opsu]_[A-Za-z0-9]{36}"),
     Rule("google", "AIza[0-9A-Za-z_-]{35}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -63,7 +63,96 @@ ADDED = (
 )
 RULES = BASE + ADDED
 
+#: Parts of a pattern: ("char", c), ("any", characters or None), ("one of", branches), ("times", low, high, part), ("none",).
+Part = tuple
 State = tuple[str, frozenset[str]]
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v"}
+_UNBOUNDED = 1 << 30
+
+
+class _Reader:
+    """Reads the expressions that rules are written in: literals, escapes, classes, groups, alternatives, counts."""
+
+    def __init__(self, pattern: str) -> None:
+        self.rest = pattern
+
+    def take(self, start: str) -> bool:
+        if not self.rest.startswith(start):
+            return False
+        self.rest = self.rest[len(start) :]
+        return True
+
+    def next(self) -> str:
+        char, self.rest = self.rest[0], self.rest[1:]
+        return char
+
+    def branches(self) -> list[list[Part]]:
+        out: list[list[Part]] = [[]]
+        while self.rest and self.rest[0] != ")":
+            if self.take("|"):
+                out.append([])
+            else:
+                out[-1].append(self.counted(self.part()))
+        return out
+
+    def part(self) -> Part:
+        char = self.next()
+        if char == "(":
+            looks = any(self.take(x) for x in ("?=", "?!", "?<=", "?<!"))
+            if not looks and self.take("?") and not self.take(":"):
+                raise ValueError("flags and names are not read")
+            inner = self.branches()
+            self.take(")")
+            return ("none",) if looks else ("one of", inner)
+        if char == "[":
+            return ("any", self.members())
+        if char == "\\":
+            return self.escape()
+        return ("none",) if char in "^$" else ("any", None) if char == "." else ("char", char)
+
+    def escape(self) -> Part:
+        char = self.next()
+        if char == "x":
+            return ("char", chr(int(self.next() + self.next(), 16)))
+        if char in "bBAzZ":
+            return ("none",)
+        return ("any", None) if char in "dDsSwW" or char.isdigit() else ("char", _ESCAPED.get(char, char))
+
+    def members(self) -> frozenset[str] | None:
+        """Characters of a class; nothing for one that is negated or has a class inside."""
+        known, chars = not self.take("^"), set()
+        while True:
+            char = self.next()
+            if char == "]":
+                return frozenset(chars) if known else None
+            part = self.escape() if char == "\\" else ("char", char)
+            if part[0] != "char":
+                known = False
+            elif self.rest[0] == "-" and self.rest[1] != "]":
+                self.next()
+                chars |= {chr(c) for c in range(ord(part[1]), ord(self.next()) + 1)}
+            else:
+                chars.add(part[1])
+
+    def counted(self, part: Part) -> Part:
+        if self.take("*"):
+            part = ("times", 0, _UNBOUNDED, part)
+        elif self.take("+"):
+            part = ("times", 1, _UNBOUNDED, part)
+        elif self.take("?"):
+            part = ("times", 0, 1, part)
+        elif self.take("{"):
+            bounds, self.rest = self.rest.split("}", 1)
+            low, _, high = bounds.partition(",")
+            part = ("times", int(low), int(high) if high else _UNBOUNDED if "," in bounds else int(low), part)
+        else:
+            return part
+        self.take("?") or self.take("+")
+        return part
+
+
+def _low(char: str) -> str:
+    return char.lower() if char.isascii() else char
 
 
 def _put(states: set[State], char: str) -> set[State]:
@@ -78,39 +167,29 @@ def _cut(states: set[State]) -> set[State]:
     return {("", grams) for _, grams in states}
 
 
-def _small_class(items: list) -> set[str] | None:
-    chars: set[str] = set()
-    for op, arg in items:
-        if str(op) == "LITERAL":
-            chars.add(chr(arg).lower())
-        elif str(op) == "RANGE" and arg[1] - arg[0] < BRANCH:
-            chars |= {chr(c).lower() for c in range(arg[0], arg[1] + 1)}
-        else:
-            return None
-    return chars if len(chars) <= BRANCH else None
-
-
-def _walk(states: set[State], items) -> set[State]:
-    for op, arg in items:
-        name = str(op)
-        if name == "LITERAL":
-            states = _put(states, chr(arg).lower())
-        elif name == "IN" and (chars := _small_class(arg)) is not None:
-            states = set().union(*(_put(states, c) for c in chars))
-        elif name == "SUBPATTERN":
-            states = _walk(states, arg[-1])
-        elif name == "BRANCH":
-            states = set().union(*(_walk(states, branch) for branch in arg[1]))
-        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
-            low, high, inner = arg
-            done = states
-            for _ in range(min(low, 3)):
-                done = _walk(done, inner)
-            if low > 3 or high > max(low, 1):
-                done = _cut(done)
-            states = states | _walk(states, inner) if (low, high) == (0, 1) else done
-        elif name not in ("AT", "ASSERT", "ASSERT_NOT"):
-            states = _cut(states)
+def _after(states: set[State], part: Part) -> set[State]:
+    kind = part[0]
+    if kind == "char":
+        return _put(states, _low(part[1]))
+    if kind == "any":
+        chars = {_low(c) for c in part[1] or ()}
+        return set().union(*(_put(states, c) for c in chars)) if 0 < len(chars) <= BRANCH else _cut(states)
+    if kind == "one of":
+        return set().union(*(_walk(states, branch) for branch in part[1]))
+    if kind == "times":
+        _, low, high, inner = part
+        done = states
+        for _ in range(min(low, 3)):
+            done = _after(done, inner)
+        if (low, high) == (0, 1):
+            return states | _after(states, inner)
+        return _cut(done) if low > 3 or high > max(low, 1) else done
+    return states
+
+
+def _walk(states: set[State], parts: list[Part]) -> set[State]:
+    for part in parts:
+        states = _after(states, part)
         if len(states) > STATES:  # what all share still is mandatory
             states = {("", frozenset.intersection(*(g for _, g in states)))}
     return states
@@ -118,7 +197,7 @@ def _walk(states: set[State], items) -> set[State]:
 
 def trigram_query(pattern: str) -> set[frozenset[str]]:
     """Alternatives of which one must hold, each a set of trigrams that must all occur; empty: no mandatory trigram."""
-    found = {grams for _, grams in _walk({("", frozenset())}, _parser.parse(pattern))}
+    found = {grams for _, grams in _after({("", frozenset())}, ("one of", _Reader(pattern).branches()))}
     if frozenset() in found:
         return set()
     return {g for g in found if not any(h < g for h in found)}
@@ -188,11 +267,31 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[
     return rows.select(id_col, *counts, F.sha2(_listed("base_spans"), 256).alias("base_sha256"), _listed("all_spans").alias("spans"))
 
 
+def masked_text(text: Column, spans: Column, mask: str = MASK, step: int = 4096) -> Column:
+    """``text`` with each span of ``spans`` (ascending structs of start and end in code points) replaced by ``mask``,
+    overlapping ones by a single one. The text is cut into pieces of ``step`` code points first, so that the work does
+    not grow with the product of its length and its spans."""
+
+    def piece_without(piece: Column, number: Column) -> Column:
+        base = number.cast("long") * step
+        local = F.filter(spans, lambda s: (s["end"] > base) & (s["start"] < base + step))
+        part = lambda start, end: F.substring(piece, (start - base + 1).cast("int"), (end - start).cast("int"))
+
+        def add(done: Column, span: Column) -> Column:
+            opens = F.when((span["start"] >= done["at"]) & (span["start"] >= base), mask).otherwise("")
+            kept = F.when(span["start"] > done["at"], part(done["at"], span["start"])).otherwise("")
+            return F.struct(F.concat(done["out"], kept, opens).alias("out"), F.greatest(done["at"], span["end"]).alias("at"))
+
+        nothing = F.struct(F.lit("").alias("out"), base.alias("at"))
+        return F.aggregate(local, nothing, add, lambda done: F.concat(done["out"], F.when(done["at"] < base + step, part(done["at"], base + step)).otherwise("")))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), piece_without), "")
+
+
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every secret's text replaced by ``MASK``; texts without one stay as they were."""
-    holders = find_spans(docs, rules, id_col, text_col).select(ID, RK, F.lit(True).alias("__holds")).distinct()
-    masked = F.col(text_col)
-    for rule in rules:
-        masked = F.regexp_replace(masked, F.lit(("(?i)" if rule.any_case else "") + (rule.mask or rule.pattern)), F.lit(MASK))
-    rows = keyed(docs, id_col, text_col).join(holders, [ID, RK], "left")
-    return rows.withColumn(text_col, F.when(F.col("__holds"), masked).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with every span that ``find_spans`` gives replaced by ``MASK``; texts without one stay as they were."""
+    docs, back = aside(docs, ID, RK, SPANS)
+    spans = find_spans(docs, rules, id_col, text_col).groupBy(ID, RK).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(SPANS))
+    rows = keyed(docs, id_col, text_col).join(spans, [ID, RK], "left")
+    masked = F.when(F.col(SPANS).isNotNull(), masked_text(F.col(text_col), F.col(SPANS))).otherwise(F.col(text_col))
+    return back(rows.withColumn(text_col, masked).select(*[F.col(f"`{c}`") for c in docs.columns]))

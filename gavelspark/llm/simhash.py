@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ID, NO_ID, RK, durable, keyed, per_batch, shuffle_width
+from .common import ID, NO_ID, RK, aside, durable, keyed, per_batch, shuffle_width
 from .components import connected_components
 
 RADIUS = 2
@@ -209,5 +209,6 @@ def hex_digits(fp: str = "fp") -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` without the members of a group but its smallest id. Rows that share id and text share their fate; rows
     that share only the id are judged each in its own group."""
+    docs, back = aside(docs, ID, RK)
     lost = grouped(docs, id_col, text_col, radius).filter("id != component_id").select(F.col("id").alias(ID), F.col("rk").alias(RK)).distinct()
-    return keyed(docs, id_col, text_col).join(lost, [ID, RK], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(keyed(docs, id_col, text_col).join(lost, [ID, RK], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
