@@ -22,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ID, RK, WHITE, ascii_lower, durable, keyed, per_batch, shuffle_width, with_columns
+from .common import ID, RK, WHITE, ascii_lower, aside, durable, keyed, per_batch, shuffle_width, small_batches, with_columns
 
 MIN_CHARS = 10
 _DROP, _OPEN, _EDGE = 0, 1, 2
+KEEP = "__keep"
 
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -83,10 +84,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(__id, __rk, keep_bitmap) for each document that loses a line."""
     n = shuffle_width(docs.sparkSession)
     order = ["h1", "h2", ID, RK, "pos"]
-    marked = durable(
-        line_hashes(docs, id_col, text_col, min_chars).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream, f"kind tinyint, h1 long, h2 long, {ID} long, {RK} long, pos int"),
-        "lines",
-    )
+    # written first: the range partitioning reads its input twice, to sample it and to deal it
+    hashes = durable(line_hashes(docs, id_col, text_col, min_chars), "hashes")
+    ranged = hashes.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    marked = durable(ranged.mapInArrow(_stream, f"kind tinyint, h1 long, h2 long, {ID} long, {RK} long, pos int"), "lines")
     opened = marked.filter(F.col("kind") == _EDGE).groupBy("h1", "h2").agg(F.min(ID).alias("first"))
     late = marked.filter(F.col("kind") == _OPEN).join(opened, ["h1", "h2"]).filter(F.col(ID) > F.col("first"))
     drops = marked.filter(F.col("kind") == _DROP).select(ID, RK, "pos").union(late.select(ID, RK, "pos"))
@@ -99,7 +100,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with ``__keep``, the row's bitmap (null: every line stays)."""
-    maps = keep_bitmaps(docs, id_col, text_col, min_chars).withColumnRenamed("keep_bitmap", "__keep")
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars).withColumnRenamed("keep_bitmap", KEEP)
     return keyed(docs, id_col, text_col).join(maps, [ID, RK], "left")
 
 
@@ -114,28 +115,28 @@ def _kept(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the surviving lines as text (null stays null); other columns as they were."""
-
+    docs, back = aside(docs, ID, RK, KEEP)
     names = docs.columns
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, maps = batch.column(text_col), batch.column("__keep")
+        texts, maps = batch.column(text_col), batch.column(KEEP)
         if maps.null_count < len(maps):
             texts = pa.array([t if m is None else _kept(t, m)[2] for t, m in zip(texts.to_pylist(), maps.to_pylist())], pa.string())
         return pa.RecordBatch.from_arrays([texts if n == text_col else batch.column(n) for n in names], names=names)
 
     joined = with_bitmaps(docs, id_col, text_col, min_chars)
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__keep").mapInArrow(per_batch(apply), docs.schema)
+    return back(small_batches(joined).select(*[F.col(f"`{c}`") for c in names], KEEP).mapInArrow(per_batch(apply), docs.schema))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, n_lines, n_dropped, kept_sha256) for each document, from the bitmaps."""
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        done = [_kept(t, m) for t, m in zip(batch.column("t").to_pylist(), batch.column("__keep").to_pylist())]
+        done = [_kept(t, m) for t, m in zip(batch.column("t").to_pylist(), batch.column(KEEP).to_pylist())]
         return pa.RecordBatch.from_arrays(
             [batch.column(id_col), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([hashlib.sha256(d[2].encode()).hexdigest() for d in done], pa.string())],
             names=[id_col, "n_lines", "n_dropped", "kept_sha256"],
         )
 
-    rows = with_bitmaps(docs, id_col, text_col, min_chars).select(id_col, F.col(text_col).alias("t"), "__keep")
+    rows = small_batches(with_bitmaps(docs.select(id_col, text_col), id_col, text_col, min_chars)).select(id_col, F.col(text_col).alias("t"), KEEP)
     return rows.mapInArrow(per_batch(digest), f"{id_col} long, n_lines long, n_dropped long, kept_sha256 string")
