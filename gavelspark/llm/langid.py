@@ -1,16 +1,18 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax.
 
 A text is the average embedding of its hashed byte bigrams and trigrams (lower-cased), followed by a linear layer. Both
-are trained with stochastic gradient descent in numpy on a bounded sample: at most ``PER_LANG`` rows of each of the
-``MAX_LANGS`` most frequent languages, those of least id hash. As the model is linear in the gram counts, applying it
-needs one table of ``BUCKETS`` rows, which is all that goes to the executors.
+are trained with stochastic gradient descent in numpy on a bounded sample: at most ``PER_LANG`` texts of each language,
+those of least id hash, and at most ``MAX_TEXTS`` in all, shared evenly by the languages. Every language of the labels
+is learned. As the model is linear in the gram counts, applying it needs one table of ``BUCKETS`` rows, which is all
+that goes to the executors.
 
 The softmax is calibrated by a temperature on rows left out of training, and the rejection threshold is the score that
 ``REJECT`` of those rows stay under, but never above one half: rejected texts are those that look like no learned
 language.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and are rejected; with no labelled row at
-all every text is ``und``; ties go to the language that sorts first.
+all every text is ``und``; ties go to the language that sorts first; of rows that share an id and a language one (that
+of least text hash) is learned from.
 """
 
 from __future__ import annotations
@@ -21,26 +23,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import durable, per_batch
+from .common import durable, per_batch, small_batches
 
-#: Bounds on the training sample.
+#: Bounds on the training sample: texts of a language, and of all languages.
 PER_LANG = 1500
-MAX_LANGS = 64
+MAX_TEXTS = 96_000
 BUCKETS = 1 << 14
 DIM = 16
-#: Gradient steps, of ``BATCH`` rows each, whatever the size of the sample.
-STEPS, BATCH = 1000, 32
+#: Gradient steps, of ``BATCH`` rows each: so many, or so many for each language, whatever the size of the sample.
+STEPS, STEPS_PER_LANG, BATCH = 1000, 100, 32
+#: Bytes of a text that are hashed at a time.
+CHUNK = 1 << 18
 REJECT = 0.001
 UND = "und"
 _MIX = np.uint32(2654435761)
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashed byte bigrams and trigrams of the lower-cased text with a space at both ends."""
-    a = np.frombuffer(b" " + text.lower().encode() + b" ", np.uint8).astype(np.uint32)
-    two = a[:-1] << np.uint32(8) | a[1:]
-    three = two[:-1] << np.uint32(8) | a[2:] | np.uint32(1 << 24)
-    return (np.concatenate([two, three]) * _MIX) >> np.uint32(32 - 14)
+def gram_counts(text: str) -> np.ndarray:
+    """How many hashed byte bigrams and trigrams of the lower-cased text, with a space at both ends, fall into each
+    bucket. A text of any length takes one array of ``BUCKETS`` counts."""
+    raw = np.frombuffer(b" " + text.lower().encode() + b" ", np.uint8)
+    counts = np.zeros(BUCKETS, np.int64)
+    for start in range(0, len(raw) - 1, CHUNK):
+        a = raw[start : start + CHUNK + 2].astype(np.uint32)
+        two = a[:-1] << np.uint32(8) | a[1:]
+        three = two[:-1] << np.uint32(8) | a[2:] | np.uint32(1 << 24)
+        both = np.concatenate([two[:CHUNK], three[:CHUNK]])
+        counts += np.bincount((both * _MIX) >> np.uint32(32 - 14), minlength=BUCKETS)
+    return counts
 
 
 def has_letter(text: str | None) -> bool:
@@ -62,7 +72,9 @@ class LanguageModel:
         letters = [has_letter(t) for t in texts]
         for i, t in enumerate(texts):
             if letters[i]:
-                logits[i] = self.table[grams(t)].mean(axis=0) + self.bias
+                counts = gram_counts(t)
+                held = np.nonzero(counts)[0]
+                logits[i] = counts[held] @ self.table[held] / counts.sum() + self.bias
         p = softmax(logits)
         for i in np.nonzero(letters)[0]:
             k = int(p[i].argmax())
@@ -101,8 +113,9 @@ def fit(hists: Histograms, order: np.ndarray, y: np.ndarray, langs: list[str], s
     out, bias = rng.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
     hold = np.arange(len(y)) % 5 == 4
     train = np.nonzero(~hold)[0]
-    for step in range(STEPS if len(train) else 0):
-        rate = 1.0 * (1 - step / STEPS)
+    steps = max(STEPS, STEPS_PER_LANG * len(langs))
+    for step in range(steps if len(train) else 0):
+        rate = 1.0 * (1 - step / steps)
         batch = rng.choice(train, BATCH)
         mean = np.stack([hists.mean(order[i], emb) for i in batch])
         error = softmax(mean @ out + bias)
@@ -137,34 +150,40 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     if train is not None:
         rows = rows.filter(train)
-    frequent = rows.groupBy(F.col(lang_col)).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGS).collect()
-    langs = sorted(r[0] for r in frequent)
+    counts = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy("l").collect()
+    langs = [r.l for r in counts]
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
+    per_lang = max(1, min(per_lang, MAX_TEXTS // len(langs)))
     # hashes are even: those under a share of their range hold about twice the rows to take, and only they are ranked
     range_ = 1 << 20
-    share = F.create_map(*[F.lit(x) for r in frequent for x in (r[0], int(range_ * min(1.0, (2 * per_lang + 100) / r.n)))])
-    ids = rows.filter(F.col(lang_col).isin(langs)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.xxhash64(id_col).alias("h"))
-    ids = ids.filter(F.pmod("h", F.lit(range_)) <= share[F.col("l")])
+    spark = docs.sparkSession
+    shares = F.broadcast(spark.createDataFrame([(r.l, int(range_ * min(1.0, (2 * per_lang + 100) / r.n))) for r in counts], "l string, share long"))
+    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.xxhash64(id_col).alias("h")).join(shares, "l")
+    ids = ids.filter(F.pmod("h", F.lit(range_)) <= F.col("share")).select("id", "l", "h").distinct()
     least = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(range_)), "h", "id")
-    ids = ids.withColumn("place", F.row_number().over(least)).filter(F.col("place") <= per_lang).select("id", "l", "h")
+    ids = ids.withColumn("place", F.row_number().over(least)).filter(F.col("place") <= per_lang).select("id", "l")
     ids = F.broadcast(durable(ids, "sample"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hists = [np.unique(grams(t), return_counts=True) for t in batch.column("t").to_pylist()]
+        counts = [gram_counts(t) for t in batch.column("t").to_pylist()]
+        held = [np.nonzero(c)[0] for c in counts]
         return pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("l"), pa.array([h[0].astype(np.int16) for h in hists], pa.list_(pa.int16())), pa.array([h[1].astype(np.int32) for h in hists], pa.list_(pa.int32()))],
+            [batch.column("id"), batch.column("l"), pa.array([h.astype(np.int16) for h in held], pa.list_(pa.int16())), pa.array([c[h].astype(np.int32) for c, h in zip(counts, held)], pa.list_(pa.int32()))],
             names=["id", "l", "b", "c"],
         )
 
-    sample = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).join(ids.drop("l"), "id").select("id", "l", "t")
-    got = sample.mapInArrow(per_batch(run), "id long, l string, b array<smallint>, c array<int>").toArrow().combine_chunks()
+    sample = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).join(ids, ["id", "l"])
+    # one text for an id that repeats, so that the sample keeps its bound
+    sample = sample.groupBy("id", "l").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    got = small_batches(sample).mapInArrow(per_batch(run), "id long, l string, b array<smallint>, c array<int>").toArrow().combine_chunks()
     ids_, b, c = (got.column(n).chunk(0) if got.num_rows else pa.array([], got.schema.field(n).type) for n in ("id", "b", "c"))
-    order = np.argsort(ids_.to_numpy(), kind="stable")
+    labels = got.column("l").to_pylist()
+    order = np.lexsort([np.array(labels, str), ids_.to_numpy()])
     order = order[np.random.default_rng(1).permutation(len(order))]
     hists = Histograms(b.values.to_numpy(), c.values.to_numpy(), b.offsets.to_numpy().astype(np.int64))
-    labels = got.column("l").to_pylist()
-    return fit(hists, order, np.array([langs.index(labels[i]) for i in order], int), langs)
+    number = {l: k for k, l in enumerate(langs)}
+    return fit(hists, order, np.array([number[labels[i]] for i in order], int), langs)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -180,4 +199,4 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     plain = docs.drop("lang_pred", "score", "rejected")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema] + ["lang_pred string, score double, rejected boolean"])
-    return plain.mapInArrow(per_batch(run), schema)
+    return small_batches(plain).mapInArrow(per_batch(run), schema)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import durable, per_batch
+from .common import durable, per_batch, small_batches
 
 #: Bound on the labelled rows the list is learned from.
 MAX_LABELLED = 20_000
@@ -97,7 +97,7 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         rows = np.array([text_stats(t) for t in batch.column("t").to_pylist()], np.int64).reshape(-1, len(STATS))
         return pa.RecordBatch.from_arrays([batch.column("id")] + [pa.array(rows[:, i]) for i in range(len(STATS))], names=["id", *STATS])
 
-    done = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(per_batch(run), "id long, " + ", ".join(f"{s} long" for s in STATS))
+    done = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(per_batch(run), "id long, " + ", ".join(f"{s} long" for s in STATS))
     return done.withColumnRenamed("id", id_col)
 
 

@@ -4,12 +4,12 @@ From a bounded sample of labelled rows (``MAX_LABELLED``, those of least id hash
 one of whole words and one of word beginnings; the classic insults need no list of their own. Dense features of a text
 are: lexicon densities and counts, second-person words near lexicon hits, capitals, marks, digits and symbols, and
 obfuscation (letters swapped for look-alikes or broken by symbols, folded back and looked up). Histogram trees are
-boosted on the features in numpy; scores of rows outside each fold's training set fit a pool-adjacent-violators curve
-that makes the final score a probability.
+boosted on the features in numpy. The curve that makes the score a probability (pool adjacent violators) is fitted on
+scores from outside: for each of ``FOLDS`` folds of the ids, lexicons and trees are learned from the other folds only.
 
 Edge cases: null and empty texts have all-zero features and get the calibrated score of that point; with no labels, or
 one class only, every score is the share of toxic labels (0 with none); repeated labels of a row count as toxic if one
-of them is.
+of them is; of rows that share an id one (that of least text hash) is learned from.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import durable, per_batch
+from .common import durable, per_batch, small_batches
 
 #: Bound on the labelled rows that the lexicons and trees are learned from.
 MAX_LABELLED = 20_000
@@ -45,6 +45,15 @@ def split_words(text: str) -> list[str]:
     return [w for w in (x.strip(EDGE_MARKS) for x in text.lower().split()) if w]
 
 
+def _near(hits: list[int], you: list[int]) -> int:
+    """Hits with a second-person word at most ``NEAR`` words away; both lists ascend."""
+    if not hits or not you:
+        return 0
+    at = np.array(hits)
+    first = np.searchsorted(you, at - NEAR)
+    return int((first < np.searchsorted(you, at + NEAR, side="right")).sum())
+
+
 @dataclass
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
@@ -63,7 +72,7 @@ class Lexicon:
         broken = [b for w in text.split() if not (x := w.rstrip(EDGE_MARKS)).isalpha() for b in _BROKEN.findall(x)]
         hidden = sum(1 for b in broken if self._folded(b))
         you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-        near = sum(1 for i in hits if any(abs(i - j) <= NEAR for j in you)) if hits and you else 0
+        near = _near(hits, you)
         raw = text.encode()
         size = len(raw)
         count = lambda chars: size - len(raw.translate(None, chars))
@@ -187,25 +196,37 @@ class ToxicityModel:
 
 
 def _terms(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Distinct terms of each text: =word for words, ^stem for beginnings; a fold for each row."""
-    out, label = [], []
-    for t, y in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist()):
+    """Distinct terms of each text: =word for words, ^stem for beginnings; with the row's label and fold."""
+    out, label, fold = [], [], []
+    for t, y, f in zip(*(batch.column(c).to_pylist() for c in ("t", "y", "fold"))):
         words = set(split_words(t or ""))
         terms = {"=" + w for w in words} | {"^" + w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k}
         out += terms
         label += [y] * len(terms)
-    return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(label, pa.int32())], names=["term", "y"])
-
-
-def _learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> Lexicon:
-    counts = sample.select("t", "y").mapInArrow(per_batch(_terms), "term string, y int").groupBy("term").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    p, q = (F.col("p") + 0.5) / (toxic + 1), (F.col("q") + 0.5) / (clean + 1)
-    scored = counts.filter(F.col("p") >= MIN_DOCS).withColumn("w", F.log(p / q)).filter("w > 1.2").withColumn("use", F.col("p") * F.col("w"))
-    lexicon = Lexicon()
-    for sign, kept, limit in (("=", lexicon.words, WORDS), ("^", lexicon.stems, STEMS)):
-        for r in scored.filter(F.col("term").startswith(sign)).orderBy(F.desc("use"), "term").limit(limit).collect():
-            kept[r.term[1:]] = r.w
-    return lexicon
+        fold += [f] * len(terms)
+    return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(label, pa.int32()), pa.array(fold, pa.int32())], names=["term", "y", "fold"])
+
+
+def _learn_lexicons(sample: DataFrame, rows: dict[tuple[int, int], int]) -> list[Lexicon]:
+    """A lexicon without each fold, then one of all rows; ``rows``: number of rows by (fold, label)."""
+    of = lambda k, y: F.count(F.when((F.col("fold") == k) & (F.col("y") == y), True))
+    terms = small_batches(sample).select("t", "y", "fold").mapInArrow(per_batch(_terms), "term string, y int, fold int")
+    counts = terms.groupBy("term").agg(*[of(k, y).alias(f"n{k}{y}") for k in range(FOLDS) for y in (0, 1)])
+    counts = durable(counts.filter(sum((F.col(f"n{k}1") for k in range(FOLDS)), F.lit(0)) >= MIN_DOCS), "terms")
+    lexicons = []
+    for left_out in range(FOLDS + 1):
+        folds = [k for k in range(FOLDS) if k != left_out]
+        total = [sum(rows.get((k, y), 0) for k in folds) for y in (0, 1)]
+        p = (sum((F.col(f"n{k}1") for k in folds), F.lit(0)) + 0.5) / (total[1] + 1)
+        q = (sum((F.col(f"n{k}0") for k in folds), F.lit(0)) + 0.5) / (total[0] + 1)
+        found = sum((F.col(f"n{k}1") for k in folds), F.lit(0))
+        scored = counts.filter(found >= MIN_DOCS).withColumn("w", F.log(p / q)).filter("w > 1.2").withColumn("use", found * F.col("w"))
+        lexicon = Lexicon()
+        for sign, kept, limit in (("=", lexicon.words, WORDS), ("^", lexicon.stems, STEMS)):
+            for r in scored.filter(F.col("term").startswith(sign)).orderBy(F.desc("use"), "term").limit(limit).collect():
+                kept[r.term[1:]] = r.w
+        lexicons.append(lexicon)
+    return lexicons
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
@@ -213,24 +234,29 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if train is not None:
         known = known.filter(train)
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    sample = durable(texts.join(F.broadcast(known), "id"), "labelled")
-    totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(totals) < 2:
-        return ToxicityModel(Lexicon(), None, None, float(totals.get(1, 0) > 0))
-    lexicon = _learn_lexicon(sample, totals[1], totals[0])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(known), "id")
+    # one text for an id that repeats, so that the sample keeps its bound
+    sample = texts.groupBy("id", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    sample = durable(sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int")), "labelled")
+    rows = {(r.fold, r.y): r.n for r in sample.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = {y for _, y in rows}
+    if len(seen) < 2:
+        return ToxicityModel(Lexicon(), None, None, float(1 in seen))
+    lexicons = _learn_lexicons(sample, rows)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [list(map(float, lexicon.features(t))) for t in batch.column("t").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
-
-    rows = sample.mapInArrow(per_batch(run), "id long, y int, x array<double>").toPandas().sort_values("id", kind="stable")
-    x, y = np.array(rows["x"].tolist()), rows["y"].to_numpy().astype(float)
-    fold = np.arange(len(y)) % FOLDS
+        texts = batch.column("t").to_pylist()
+        x = [pa.array([list(map(float, lexicon.features(t))) for t in texts], pa.list_(pa.float64())) for lexicon in lexicons]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("fold"), *x], names=["id", "y", "fold", *(f"x{k}" for k in range(len(x)))])
+
+    schema = "id long, y int, fold int, " + ", ".join(f"x{k} array<double>" for k in range(len(lexicons)))
+    rows = small_batches(sample).mapInArrow(per_batch(run), schema).toArrow().sort_by("id")
+    x = [rows.column(f"x{k}").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) for k in range(len(lexicons))]
+    y, fold = rows.column("y").to_numpy().astype(float), rows.column("fold").to_numpy()
     outside = np.empty(len(y))
     for k in range(FOLDS):
-        outside[fold == k] = boost(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return ToxicityModel(lexicon, boost(x, y), isotonic(outside, y), float(y.mean()))
+        outside[fold == k] = boost(x[k][fold != k], y[fold != k]).raw(x[k][fold == k])
+    return ToxicityModel(lexicons[-1], boost(x[-1], y), isotonic(outside, y), float(y.mean()))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,5 +267,5 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         s = shared.value.score(batch.column("t").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
-    done = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(per_batch(run), "id long, score double, predicted int")
+    done = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(per_batch(run), "id long, score double, predicted int")
     return done.withColumnRenamed("id", id_col)

@@ -40,6 +40,57 @@ def test_language_edges(spark):
     assert langid.identify(empty(spark), model).count() == 0
 
 
+def gram_list(text):
+    raw = b" " + text.lower().encode() + b" "
+    two = [raw[i] << 8 | raw[i + 1] for i in range(len(raw) - 1)]
+    three = [raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2] | 1 << 24 for i in range(len(raw) - 2)]
+    return Counter((g * 2654435761 % (1 << 32)) >> 18 for g in two + three)
+
+
+def test_gram_counts_equal_brute_force(monkeypatch):
+    texts = ["", "a", "Åäö 東京", "the cat sat on the mat " * 30]
+    for chunk in (langid.CHUNK, 1, 2, 7, 64):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        for t in texts:
+            counts = langid.gram_counts(t)
+            assert {int(b): int(counts[b]) for b in np.nonzero(counts)[0]} == gram_list(t)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any fixed list; ids that repeat under several of them."""
+    rng = np.random.default_rng(5)
+    vocabulary = {f"l{k:02}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(12)] for k in range(80)}
+    rows = [(100 * k + i, " ".join(rng.choice(words, 30)), lang) for k, (lang, words) in enumerate(vocabulary.items()) for i in range(12)]
+    rows += [(7, f"same id number {i}", "zz" if i % 2 else "aa") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert model.langs == sorted({r[2] for r in rows})
+    got = langid.identify(docs.filter("doc_id != 7"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
+
+
+def test_near_equals_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        hits, you = (sorted(set(rng.integers(0, 60, rng.integers(0, 12)).tolist())) for _ in range(2))
+        assert toxicity._near(hits, you) == sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in hits)
+    assert toxicity._near(list(range(0, 10**6, 2)), list(range(1, 10**6, 2))) == 5 * 10**5
+
+
+def test_features_of_a_very_long_text():
+    lexicon = toxicity.Lexicon({"idiot": 2.0}, {"idio": 1.0})
+    x = dict(zip(toxicity.FEATURES, lexicon.features("you idiot and more words " * 200_000)))
+    assert x["near_you"] == x["word_hits"] == x["stem_hits"] == 200_000 and x["you_rate"] == 0.2
+
+
+def test_toxicity_with_repeated_ids(spark):
+    rows = [(i % 40, f"you {'fool' if i % 2 else 'friend'} number {i}", None, None) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    got = toxicity.score(docs, toxicity.learn(docs, labels, max_labelled=30)).collect()
+    assert len(got) == 400 and all(r.predicted == r.doc_id % 2 for r in got)
+
+
 def test_toxicity_of_held_out_documents(spark):
     got = {r.doc_id: r for r in queries.QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.1").collect()}
     labels = {}
@@ -102,6 +153,18 @@ def test_quality_of_labelled_documents(spark):
     assert sum(clean) >= 0.95 * len(clean)
 
 
+def test_quality_of_held_out_documents(spark):
+    """Rules learned from four fifths of the labels, judged on the rest."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels, held = spark.read.parquet(f"{sf_dir}/labels.parquet"), langid.in_fold(5, 0)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels.select("doc_id").distinct(), "doc_id")
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, labels.filter(~held)).collect()}
+    rows = labels.filter(held).groupBy("doc_id").agg(F.min("quality").alias("quality")).collect()
+    clean, bad = ([kept[r.doc_id] for r in rows if r.quality == q] for q in (1, 0))
+    assert len(clean) > 50 and len(bad) > 50
+    assert sum(clean) >= 0.95 * len(clean) and sum(bad) <= 0.06 * len(bad), (sum(clean), len(clean), sum(bad), len(bad))
+
+
 def test_repeats_in_long_texts(monkeypatch):
     words = [f"w{i % 50}".encode() for i in range(200)] + [f"x{i}".encode() for i in range(100)]
     short = quality.repeated_words(words)
