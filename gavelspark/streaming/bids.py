@@ -14,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 GRACE_MINUTES = 20
 EXTEND_MINUTES = 3
 RUN_MINUTES = 60
+#: How long a closed item is remembered, in minutes of event time.
+REMEMBER_MINUTES = 60 * 24 * 30
 
 
 def event_time(events: DataFrame, col: str = "ts") -> DataFrame:
@@ -27,7 +29,8 @@ def current_bids(bids: DataFrame) -> DataFrame:
 
 
 def dedup_events(events: DataFrame, key: str = "event_id", watermark: str = "1 hour") -> DataFrame:
-    """First row of each key; state is kept for the watermark only."""
+    """First row of each key; on a stream state is kept for the watermark only. Keys that must never repeat go through
+    ``watch.notify_once``, which looks them up among all rows sent so far."""
     if not events.isStreaming:
         return events.dropDuplicates([key])
     return event_time(events).withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
@@ -75,40 +78,61 @@ def soft_close_batch(bids: DataFrame, run: int = RUN_MINUTES, extend: int = EXTE
     return out.select("item_id", "final_bid", "bid_count", F.timestamp_micros("end").cast("timestamp_ntz").alias("ended_at"))
 
 
-def soft_close_stream(bids: DataFrame, run: int = RUN_MINUTES, extend: int = EXTEND_MINUTES, grace: int = GRACE_MINUTES) -> DataFrame:
+def _counted(state: tuple, rows: list[tuple], run: int, reach: int) -> tuple[tuple, bool]:
+    """(opening, last, high, n) after further bids in time order, and whether one came after the close."""
+    opening, last, high, n = state
+    for t, _, value in rows:
+        if n and t > opening + run and t - last > reach:
+            return (opening, last, high, n), True
+        opening, last = (opening if n else t), t
+        high, n = value if high is None else high if value is None else max(high, value), n + 1
+    return (opening, last, high, n), False
+
+
+def soft_close_stream(bids: DataFrame, run: int = RUN_MINUTES, extend: int = EXTEND_MINUTES, grace: int = GRACE_MINUTES, remember: int = REMEMBER_MINUTES) -> DataFrame:
     """The same on a stream: one row per item, once, when the watermark passes its close. Rows up to ``grace`` minutes
-    late are waited for; later ones are dropped and never reopen an item. State per item: its bids still inside the
-    grace period and the running figures of those before."""
-    reach = pd.Timedelta(minutes=extend)
+    late are waited for; later ones are dropped.
+
+    State per item: the figures of the bids that the watermark has passed (no earlier one can come any more) and only
+    the bids beyond it. A closed item leaves a mark for ``remember`` minutes of event time after its close or its last
+    late bid, so that bids after the close neither count nor open the item again.
+    """
+    run_us, reach_us = run * 60_000_000, extend * 60_000_000
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = list(state.get[0]) if state.exists else []
-        if state.hasTimedOut:
-            rows = sorted(pending)
-            close = rows[0][0] + run * 60_000_000
-            step = int(reach.total_seconds() * 1e6)
-            high, n, last = None, 0, rows[0][0]
-            for t, _, value in rows:
-                if t > close and t - last > step:
-                    break
-                high, n, last = value if high is None else max(high, value), n + 1, t
+        opening, last, high, n, closed, pending = state.get if state.exists else (None, None, None, 0, False, [])
+        if closed and state.hasTimedOut:
             state.remove()
-            end = max(close, last + step)
-            yield pd.DataFrame({"item_id": [key[0]], "final_bid": [high], "bid_count": [n], "ended_at": [pd.Timestamp(end, unit="us")]})
             return
+        passed = state.getCurrentWatermarkMs() * 1000
+        newest = passed
+        rows = [tuple(r) for r in pending]
         for batch in batches:
             micros = batch["created_at"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
-            pending += list(zip(micros, batch["bid_id"].tolist(), batch["value"].tolist()))
-        rows = sorted(pending)
-        close = max(rows[0][0] + run * 60_000_000, rows[-1][0] + int(reach.total_seconds() * 1e6))
-        state.update((rows,))
-        state.setTimeoutTimestamp(max(close // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            newest = max(newest, *micros)
+            rows += zip(micros, batch["bid_id"].tolist(), batch["value"].tolist())
+        if not closed:
+            rows.sort(key=lambda r: r[:2])
+            known = [r for r in rows if r[0] <= passed]
+            rows = rows[len(known) :]
+            (opening, last, high, n), closed = _counted((opening, last, high, n), known, run_us, reach_us)
+            ahead, _ = _counted((opening, last, high, n), rows, run_us, reach_us)
+            end = max(ahead[0] + run_us, ahead[1] + reach_us)
+            if closed or end <= passed:
+                closed, end = True, max(opening + run_us, last + reach_us)
+                yield pd.DataFrame({"item_id": [key[0]], "final_bid": [high], "bid_count": [n], "ended_at": [pd.Timestamp(end, unit="us")]})
+        if closed:
+            state.update((opening, last, high, n, True, []))
+            state.setTimeoutTimestamp(newest // 1000 + remember * 60_000 + 1)
+        else:
+            state.update((opening, last, high, n, False, rows))
+            state.setTimeoutTimestamp(max(end, passed) // 1000 + 1)
 
     rows = event_time(bids, "created_at").withWatermark("created_at", f"{grace} minutes").select("item_id", "bid_id", "value", "created_at")
     return rows.groupBy("item_id").applyInPandasWithState(
         update,
         "item_id long, final_bid double, bid_count long, ended_at timestamp_ntz",
-        "pending array<struct<t:bigint,bid_id:bigint,value:double>>",
+        "opening bigint, last bigint, high double, n bigint, closed boolean, pending array<struct<t:bigint,bid_id:bigint,value:double>>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

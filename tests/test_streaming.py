@@ -1,5 +1,8 @@
 """Streams against their batch twins over the same files."""
 
+import os
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +68,35 @@ def test_soft_close(spark, files, tmp_path):
     same(got.filter("item_id >= 0"), B.soft_close_batch(as_bids(spark.read.parquet(files[0])), **kw).filter("item_id >= 0"))
 
 
+def test_soft_close_stream_with_late_bids_and_bids_after_the_close(spark, tmp_path):
+    """Bids in other order than their times, over many files, with several after the close: one row for each item, the
+    batch twin's; a closed item is not opened again."""
+    files = [
+        [(1, 1, 10.0, "10:00"), (2, 2, 5.0, "10:00"), (3, 3, 7.0, "10:10")],
+        [(4, 1, 20.0, "10:30"), (5, 2, 6.0, "11:01")],
+        [(6, 2, 8.0, "10:55"), (7, 1, 15.0, "10:20"), (8, 3, 9.0, "11:12")],
+        [(9, 2, 9.0, "11:03"), (10, 3, 11.0, "11:09")],
+        [(11, 9, 1.0, "12:00")],
+        [(12, 9, 2.0, "12:30")],
+        [(13, 1, 99.0, "15:00"), (14, 2, 98.0, "12:40"), (15, 9, 3.0, "15:00")],
+        [(16, 1, 97.0, "19:00"), (17, 3, 96.0, "20:00"), (18, 9, 4.0, "21:00")],
+        [(19, 8, 1.0, "23:00")],
+    ]
+    folder, all_rows = tmp_path / "bids", []
+    schema = "bid_id long, item_id long, value double, created_at timestamp_ntz"
+    make = lambda rows: spark.createDataFrame([(b, i, v, datetime.fromisoformat(f"2024-01-01 {t}:00")) for b, i, v, t in rows], schema)
+    for k, rows in enumerate(files):
+        make(rows).coalesce(1).write.mode("append").parquet(str(folder))
+        all_rows += rows
+        written = max(folder.glob("part-*"), key=lambda p: p.stat().st_mtime_ns)
+        os.utime(written, (10**9 + k, 10**9 + k))
+    got = run(spark, (str(folder), schema), B.soft_close_stream, "s_late", tmp_path / "state")
+    want = B.soft_close_batch(make(all_rows))
+    assert {r.item_id for r in got.collect()} == {1, 2, 3, 9}
+    same(got, want.filter("item_id != 8"))
+    assert {r.item_id: (r.final_bid, r.bid_count) for r in want.collect()}[1] == (20.0, 3)
+
+
 def test_soft_close_extends_and_ends(spark):
     rows = [(1, 7, 10.0, "2024-01-01 10:00:00"), (2, 7, 12.0, "2024-01-01 10:59:00"), (3, 7, 15.0, "2024-01-01 11:01:30"), (4, 7, 99.0, "2024-01-01 11:05:00"), (5, 8, 1.0, "2024-01-01 10:00:00")]
     df = spark.createDataFrame(rows, "bid_id long, item_id long, value double, t string").selectExpr("bid_id", "item_id", "value", "CAST(t AS TIMESTAMP_NTZ) AS created_at")
