@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 MOST, DETOUR, SPEED_KMH, ROUNDS, SERVICE_MINUTES = 40, 1.3, 70.0, 200, 15
 _EARTH = 6_371_000.0
-RESULT = "route_id long, place int, stop_id long, metres double, arrival double, wait double, late boolean"
+RESULT = "route_id long, place int, stop_id long, metres double, arrival double, wait double, late boolean, refused boolean"
 
 
 def distances(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -41,8 +41,9 @@ def tour(d: np.ndarray) -> list[int]:
 
 def _planned(stops: pd.DataFrame) -> pd.DataFrame:
     stops = stops.sort_values(["depot", "stop_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    if len(stops) > MOST + 1:
-        raise ValueError(f"route {stops['route_id'].iloc[0]} has over {MOST} stops")
+    names = ["route_id", "place", "stop_id", "metres", "arrival", "wait", "late", "refused"]
+    if not 1 < len(stops) <= MOST + 1:
+        return pd.DataFrame([(stops["route_id"].iloc[0], None, None, None, None, None, None, True)], columns=names)
     d = distances(stops["lat"].to_numpy(), stops["lon"].to_numpy())
     order, clock, out = tour(d), float(stops["opens"].iloc[0]), []
     for place, (at, before) in enumerate(zip(order + [0], [0] + order)):
@@ -51,12 +52,13 @@ def _planned(stops: pd.DataFrame) -> pd.DataFrame:
         last = place == len(order)
         opens, closes = stops["opens"].iloc[at], stops["closes"].iloc[at]
         wait = 0.0 if place == 0 or last else max(0.0, float(opens) - clock)
-        out.append((stops["route_id"].iloc[0], place, stops["stop_id"].iloc[at], metres, clock, wait, bool(place > 0 and not last and clock + wait > closes)))
+        out.append((stops["route_id"].iloc[0], place, stops["stop_id"].iloc[at], metres, clock, wait, bool(place > 0 and not last and clock + wait > closes), False))
         clock += wait + (SERVICE_MINUTES if 0 < place < len(order) else 0)
-    return pd.DataFrame(out, columns=["route_id", "place", "stop_id", "metres", "arrival", "wait", "late"])
+    return pd.DataFrame(out, columns=names)
 
 
 def plan_routes(stops: DataFrame) -> DataFrame:
     """Timelines of all routes from (route_id, stop_id, lat, lon, opens, closes, depot); times in minutes after midnight.
-    The depot opens the route and closes it; a route of more than ``MOST`` stops is refused."""
+    The depot opens the route and closes it; a route without a stop or of more than ``MOST``
+    stops gives one row that says it is refused, and leaves the others alone."""
     return stops.groupBy("route_id").applyInPandas(_planned, RESULT)
