@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.money import half_up
 from .tables import FEE_MODELS
@@ -16,50 +16,37 @@ def fee_table(spark: SparkSession) -> DataFrame:
 
 
 def with_model(items: DataFrame, models: DataFrame | None = None) -> DataFrame:
-    """``items`` with the columns of its house's model under ``m_``; houses without one are plain sources."""
+    """``items`` with the columns of its house's model under ``m_``; houses without one are plain sources. The models of
+    a house come as one map by currency, so that one broadcast join finds them."""
     models = fee_table(items.sparkSession) if models is None else models
-    own = models.filter("currency != '*'").select(*[F.col(c).alias("o_" + c) for c in models.columns])
-    rest = models.filter("currency = '*'").select(*[F.col(c).alias("r_" + c) for c in models.columns])
-    currency = F.upper(F.coalesce("currency", F.lit("SEK")))
-    rows = items.join(F.broadcast(own), (F.col("house") == F.col("o_house")) & (currency == F.col("o_currency")), "left").join(F.broadcast(rest), F.col("house") == F.col("r_house"), "left")
-    picked = [F.when(F.col("o_house").isNotNull(), F.col("o_" + c)).otherwise(F.col("r_" + c)).alias("m_" + c) for c in models.columns[2:]]
-    rows = rows.select(*items.columns, *picked)
-    return rows.withColumn("m_kind", F.coalesce("m_kind", F.lit("source")))
-
-
-def breakdown(bid: Column, fee: Column, vat: Column) -> Column:
-    """Struct of fee, vat, total and basis for a row that carries its model. Each part is rounded by itself, and the
-    total from the unrounded sum."""
-    bid = F.coalesce(bid, F.lit(0)).cast("double")
-    own_vat = F.coalesce(vat, F.lit(0.0)) / 100
-
-    def parts(f: Column, v: Column, total: Column, basis: str | Column) -> Column:
-        whole = lambda c: half_up(c).cast("long")
-        return F.struct(whole(f).alias("fee"), whole(v).alias("vat"), whole(total).alias("total"), (F.lit(basis) if isinstance(basis, str) else basis).alias("basis"))
-
-    zero = F.lit(0.0)
-    external = parts(zero, zero, bid, "external")
-    premium = F.greatest(bid * F.col("m_premium_rate"), F.coalesce("m_premium_min", zero))
-    premium = F.when(F.col("m_premium_max").isNotNull(), F.least(premium, F.col("m_premium_max"))).otherwise(premium)
-    with_lot = premium + F.coalesce("m_lot_fee", zero)
-    premium_vat = F.coalesce("m_premium_vat", zero) * premium + bid * own_vat
-    percentage = parts(with_lot, premium_vat, bid + with_lot + premium_vat, "percentage")
-    given = F.coalesce(fee.cast("double"), zero)
-    given_vat = bid * own_vat + given * F.coalesce(F.col("m_fee_vat"), vat, zero) / 100
-    source = parts(given, given_vat, bid + given + given_vat, F.when(F.coalesce("m_approximate", F.lit(False)), "estimate").otherwise("source"))
-    return (
-        F.when(F.col("m_kind") == "external", external)
-        .when(F.col("m_kind") == "percentage", percentage)
-        .when(F.coalesce("m_external_fallback", F.lit(False)) & fee.isNull(), external)
-        .when(fee.isNotNull() | vat.isNotNull(), source)
-        .otherwise(parts(zero, zero, bid, "source"))
-    )
+    terms = [c for c in models.columns if c not in ("house", "currency")]
+    by_house = models.groupBy(F.col("house").alias("__house")).agg(F.map_from_entries(F.collect_list(F.struct("currency", F.struct(*terms)))).alias("__models"))
+    rows = items.join(F.broadcast(by_house), F.col("house") == F.col("__house"), "left")
+    own = F.try_element_at("__models", F.upper(F.coalesce("currency", F.lit("SEK"))))
+    rows = rows.withColumn("__model", F.coalesce(own, F.try_element_at("__models", F.lit("*"))))
+    picked = [F.col("__model")[c].alias("m_" + c) for c in terms if c != "kind"]
+    return rows.select(*items.columns, F.coalesce(F.col("__model")["kind"], F.lit("source")).alias("m_kind"), *picked)
 
 
 def with_total(items: DataFrame, models: DataFrame | None = None) -> DataFrame:
-    """``items`` with fee, vat, total_price and total_basis. A total is known only for a positive price, or where the
-    fee is external."""
-    price = F.coalesce("current_bid", "min_bid", F.lit(0))
-    rows = with_model(items, models).withColumn("__b", breakdown(price, F.col("fee_value"), F.col("vat_rate")))
-    known = (price > 0) | (F.col("__b.basis") == "external")
-    return rows.select(*items.columns, F.col("__b.fee").alias("fee"), F.col("__b.vat").alias("vat"), F.when(known, F.col("__b.total")).alias("total_price"), F.col("__b.basis").alias("total_basis"))
+    """``items`` with fee, vat, total_price and total_basis. Each part is rounded by itself, and the total from the
+    unrounded sum; a total is known only for a positive price, or where the fee is external."""
+    zero, c = F.lit(0.0), F.col
+    rows = with_model(items, models).withColumns({"__bid": F.coalesce("current_bid", "min_bid", F.lit(0)).cast("double"), "__given": c("fee_value").cast("double"), "__vat": c("vat_rate").cast("double")})
+    premium = F.greatest(c("__bid") * c("m_premium_rate"), F.coalesce("m_premium_min", zero))
+    own_vat = c("__bid") * (F.coalesce("__vat", zero) / 100)
+    told = c("__given").isNotNull() | c("__vat").isNotNull()
+    external = (c("m_kind") == "external") | ((c("m_kind") == "source") & F.coalesce("m_external_fallback", F.lit(False)) & c("__given").isNull())
+    by_rate = c("m_kind") == "percentage"
+    rows = rows.withColumns({
+        "__premium": F.when(by_rate, F.coalesce(F.least(premium, c("m_premium_max")), premium)),
+        "__own": own_vat,
+        "total_basis": F.when(external, "external").when(by_rate, "percentage").when(told & F.coalesce("m_approximate", F.lit(False)), "estimate").otherwise("source"),
+    })
+    known_fee = F.when(by_rate, c("__premium") + F.coalesce("m_lot_fee", zero)).otherwise(F.coalesce("__given", zero))
+    known_vat = F.when(by_rate, F.coalesce("m_premium_vat", zero) * c("__premium") + c("__own")).otherwise(c("__own") + F.coalesce("__given", zero) * F.coalesce("m_fee_vat", "__vat", zero) / 100)
+    outside = c("total_basis") == "external"
+    rows = rows.withColumns({"__fee": F.when(outside, zero).otherwise(known_fee), "__tax": F.when(outside, zero).otherwise(known_vat)})
+    whole = lambda x: half_up(x).cast("long")
+    total = F.when((c("__bid") > 0) | outside, whole(c("__bid") + c("__fee") + c("__tax")))
+    return rows.select(*items.columns, whole(c("__fee")).alias("fee"), whole(c("__tax")).alias("vat"), total.alias("total_price"), "total_basis")
