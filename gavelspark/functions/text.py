@@ -42,7 +42,7 @@ def lot_count(title: Column) -> Column:
 def quoted_models(title: Column) -> Column:
     """Names of 2 to 40 characters between double quotes, as an array."""
     found = F.regexp_extract_all(title, F.lit(f"[{QUOTES}]([^{QUOTES}]{{2,40}})[{QUOTES}]"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda s: F.length(s) >= 2)
+    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: F.length(s) >= 2)
 
 
 def title_tokens(title: Column) -> Column:
@@ -107,12 +107,22 @@ def strip_html_lines(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r"\n\s*\n+", "\n"))
 
 
-def allow_tags(html: Column, tags: tuple[str, ...] = ("p", "br", "b", "strong", "i", "em", "ul", "ol", "li", "h2", "h3")) -> Column:
-    """Markup with only the named tags and no attributes; scripts and styles go with their content."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1\s*>", "")
+#: A tag with its attributes; a mark inside a quoted value does not end it.
+_TAG_REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+#: Tags that may stay (fixed values).
+SAFE_TAGS = ("p", "br", "ul", "ol", "li", "strong", "b", "em", "i", "h2", "h3", "h4", "div", "span")
+
+
+def allow_tags(html: Column, tags: tuple[str, ...] = SAFE_TAGS) -> Column:
+    """Markup with only the named tags and no attributes; scripts, styles and comments go with their content, other tags
+    leave a space, and a mark that is no part of a tag is written as a reference."""
+    bare = F.regexp_replace(F.translate(html, "\u0001\u0002", ""), r"(?is)<(script|style)[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
     known = "|".join(tags)
-    bare = F.regexp_replace(bare, rf"(?i)<(?!/?(?:{known})\b)[^>]*>", "")
-    return F.regexp_replace(bare, rf"(?i)<(/?)({known})\b[^>]*>", "<$1$2>")
+    bare = F.regexp_replace(bare, rf"(?i)<(/?)({known})(?![a-z0-9-]){_TAG_REST}", "\u0001$1$2\u0002")
+    bare = F.regexp_replace(bare, rf"(?i)</?[a-z!?]{_TAG_REST}", " ")
+    bare = F.replace(F.replace(bare, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lowered = F.transform(F.split(bare, "\u0001"), lambda p, i: F.when(i > 0, F.concat(F.lit("<"), F.lower(F.substring_index(p, "\u0002", 1)), F.lit(">"), F.substring(p, F.length(F.substring_index(p, "\u0002", 1)) + 2, F.length(p)))).otherwise(p))
+    return F.array_join(lowered, "")
 
 
 def slug(text: Column) -> Column:
@@ -161,3 +171,20 @@ def brand(title: Column) -> Column:
     """The first word of a title when it starts upper case and is no number."""
     first = F.split(F.trim(title), r"\s+").getItem(0)
     return F.when(first.rlike(r"^\p{Lu}[\p{L}&.-]+$"), first)
+
+
+def condition(description: Column, title: Column | None = None) -> Column:
+    """'new' when a text says that a thing is new or unused, else 'used'."""
+    text = F.lower(description if title is None else F.concat_ws(" ", description, title))
+    return F.when(text.rlike(ascii_words(r"\b(ny|nytt|nya|oanvänd|oanvänt|unused|new\s+condition)\b")), "new").otherwise("used")
+
+
+def stated_brand(description: Column) -> Column:
+    """The first word behind 'Märke', 'Fabrikat' or 'Tillverkare' in a description; null if none is stated."""
+    found = F.trim(F.regexp_extract(strip_html_lines(description), r"(?iu)(?:Märke|Fabrikat|Tillverkare)\s*[:=]\s*([^\n,]+)", 1))
+    return F.nullif(F.substring_index(found, " ", 1), F.lit(""))
+
+
+def text_key(*columns: Column) -> Column:
+    """One text for a key of several columns."""
+    return F.concat_ws("/", *columns)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..rules.tables import MONTHS
+
 
 def month_rule_utc(local: Column) -> Column:
     """UTC of a local time under the rule "two hours ahead from April to October, one otherwise"."""
@@ -27,6 +29,28 @@ def past_biased(month: Column, day: Column, as_of: Column) -> Column:
     return F.when(this > F.date_add(F.to_date(as_of), 1), F.make_date(F.year(as_of) - 1, month, day)).otherwise(this)
 
 
+def exact_local(text: Column) -> Column:
+    """UTC of the first 'YYYY-MM-DD HH:MM[:SS]' in a text that tells local time; null if there is none."""
+    part = lambda k: F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2})(:\d{2})?", k)
+    return month_rule_utc(F.try_to_timestamp(F.concat(part(1), F.lit(" "), part(2), F.coalesce(F.nullif(part(3), F.lit("")), F.lit(":00")))).cast("timestamp_ntz"))
+
+
+def yearless(text: Column, as_of: Column, past: bool = False) -> Column:
+    """UTC of a local time such as '29 jun 09:59' or '23 augusti 15:01': of the year of ``as_of``, or of the next if
+    that lies more than a day back (``past``: of the last if it lies more than a day ahead)."""
+    part = lambda k: F.regexp_extract(F.lower(text), r"(\d{1,2})\s+([a-zåäö]{3,})\.?\s+(\d{1,2}):(\d{2})", k)
+    month = F.create_map(*[F.lit(v) for pair in MONTHS.items() for v in pair])[F.left(part(2), F.lit(3))]
+    number = lambda k: part(k).try_cast("int")
+
+    def of(year: Column) -> Column:
+        written = F.concat_ws(" ", F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(1), 2, "0")), F.concat(F.lpad(part(3), 2, "0"), F.lit(":"), part(4)))
+        return F.when(month.isNotNull() & (number(3) < 24), month_rule_utc(F.try_to_timestamp(written, F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")))
+
+    this, day = of(F.year(as_of)), F.expr("INTERVAL 1 DAY")
+    wrong = this > as_of + day if past else this < as_of - day
+    return F.when(wrong, of(F.year(as_of) + (-1 if past else 1))).otherwise(this)
+
+
 def countdown_seconds(text: Column) -> Column:
     """Seconds that a countdown such as '3 dygn 10 tim 46 minuter 5 sek' leaves; null if it says nothing."""
     total = None
@@ -57,3 +81,8 @@ def clock_minutes(text: Column) -> Column:
     """Minutes after midnight of 'H:MM'; null unless it is a time of day."""
     h, m = (F.regexp_extract(text, r"^(\d{1,2}):(\d{2})$", i).try_cast("int") for i in (1, 2))
     return F.when((h < 24) & (m < 60), h * 60 + m)
+
+
+def from_epoch(number: Column, millis: bool = False) -> Column:
+    """The UTC time that is so many seconds (or milliseconds) after the epoch."""
+    return (F.timestamp_millis(number) if millis else F.timestamp_seconds(number)).cast("timestamp_ntz")

@@ -45,3 +45,33 @@ def in_polygon(lat: Column, lon: Column, polygon: list[tuple[float, float]]) ->
         crosses = ((F.lit(lat1) > lat) != (F.lit(lat2) > lat)) & (lon < (lon2 - lon1) * (lat - lat1) / (lat2 - lat1) + lon1)
         inside = inside != crosses
     return inside
+
+
+def polyline(text: Column, precision: int = 5) -> Column:
+    """The points (lat, lon) of an encoded polyline. Each character holds five bits, low ones first, and a sixth that
+    says whether more follow; numbers are differences with their sign in the lowest bit."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda ch: ch != ""), lambda ch: F.ascii(ch) - 63)
+    whole = lambda x: x.cast("long")
+    numbers = F.array().cast("array<bigint>")
+    start = F.struct(whole(F.lit(0)).alias("value"), F.lit(0).alias("shift"), numbers.alias("out"))
+
+    def add(state: Column, code: Column) -> Column:
+        value = state["value"] + F.call_function("shiftleft", whole(code.bitwiseAND(F.lit(31))), state["shift"])
+        signed = F.when(value % 2 == 1, -((value + 1) / 2).cast("long")).otherwise((value / 2).cast("long"))
+        more = code >= 32
+        return F.struct(
+            F.when(more, value).otherwise(whole(F.lit(0))).alias("value"),
+            F.when(more, state["shift"] + 5).otherwise(0).alias("shift"),
+            F.when(more, state["out"]).otherwise(F.concat(state["out"], F.array(signed))).alias("out"),
+        )
+
+    steps = F.aggregate(codes, start, add, lambda s: s["out"])
+    sums = lambda kept: F.aggregate(kept, F.struct(whole(F.lit(0)).alias("at"), numbers.alias("out")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")), lambda s: s["out"])
+    lat, lon = (sums(F.filter(steps, lambda x, i: i % 2 == odd)) for odd in (0, 1))
+    return F.zip_with(lat, lon, lambda y, x: F.struct((y / 10.0**precision).alias("lat"), (x / 10.0**precision).alias("lon")))
+
+
+def looks_alike(a: Column, b: Column, least: float = 0.30) -> Column:
+    """False only when both vectors are known and too far apart."""
+    known = (F.size(a) > 0) & (F.size(b) > 0)
+    return ~F.coalesce(known, F.lit(False)) | (dot(a, b) >= least)

@@ -69,11 +69,67 @@ def index_percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Interpolated quartiles with extremes, mean and count."""
-    rows = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(value), 4).alias("mean"), F.count(value).alias("n"))
+    """Interpolated quartiles with extremes, mean and count. Equal values are counted first, so that what one task holds
+    of a hot group are its distinct values."""
+    counts = df.groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    quartiles = F.percentile("__v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__c"))
+    known = F.when(F.col("__v").isNotNull(), F.col("__c"))
+    mean = F.round(F.sum(F.col("__v") * F.col("__c")) / F.sum(known), 4)
+    rows = counts.groupBy(*by).agg(quartiles.alias("q"), F.min("__v").alias("low"), F.max("__v").alias("high"), mean.alias("mean"), F.coalesce(F.sum(known), F.lit(0)).alias("n"))
     return rows.select(*by, *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p25", "median", "p75"))], "low", "high", "mean", "n")
 
 
 def first_by(df: DataFrame, by: list[str], order: Column, *cols: str) -> DataFrame:
     """One row per group, the first by ``order``; a plain minimum, so hot groups combine before the shuffle."""
     return df.groupBy(*by).agg(F.min(F.struct(order.alias("__o"), *cols)).alias("__f")).select(*by, *[F.col(f"__f.{c}").alias(c) for c in cols])
+
+
+def coverage(items: DataFrame, children: DataFrame, key: list[str], by: str, digits: int = 0) -> DataFrame:
+    """Per group: items, and the share of those that have a child, in percent."""
+    with_child = children.select(*key).distinct().withColumn("__has", F.lit(True))
+    rows = items.join(with_child, key, "left")
+    has = F.count_if(F.col("__has"))
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), has.alias("covered"), F.round(100.0 * has / F.count(F.lit(1)), digits).alias("percent"))
+
+
+def processing_state(images: DataFrame, key: list[str], vector: str, since: Column, done_at: str) -> DataFrame:
+    """One row: items with images, those with a vector, those without a try, and tries a second over the last minute.
+    An empty vector marks a try that gave nothing."""
+    each = images.groupBy(*key).agg(F.bool_or(F.coalesce(F.size(vector) > 0, F.lit(False))).alias("ok"), F.bool_or(F.col(vector).isNotNull()).alias("tried"), F.count_if(F.col(done_at) > since).alias("recent"))
+    return each.agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("ok"), F.count_if(~F.col("tried")).alias("remaining"), (F.coalesce(F.sum("recent"), F.lit(0)) / 60).alias("rate"))
+
+
+def soonest(items: DataFrame, as_of: Column) -> DataFrame:
+    """Milliseconds until the next end of each house's active items."""
+    ahead = items.filter((F.col("status") == "active") & (F.col("ends_at") > as_of)).groupBy("house").agg(F.min("ends_at").alias("e"))
+    return ahead.select("house", F.timestamp_diff("MILLISECOND", as_of, F.col("e")).alias("ms"))
+
+
+def galleries(images: DataFrame, key: list[str], least: int = 2) -> DataFrame:
+    """Items that have several images already."""
+    return images.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+
+
+def places(items: DataFrame) -> DataFrame:
+    return items.select(normalise_location(F.col("location")).alias("place")).filter("place != ''").distinct()
+
+
+def located(items: DataFrame, places_: DataFrame) -> DataFrame:
+    """``items`` with lat and lon of their place, null where it is not known. ``places_``: (place, lat, lon)."""
+    return items.withColumn("__place", normalise_location(F.col("location"))).join(places_.withColumnRenamed("place", "__place"), "__place", "left").drop("__place")
+
+
+def unknown_places(items: DataFrame, places_: DataFrame) -> DataFrame:
+    """Places still to be looked up; one that was looked up without a result is known too."""
+    return places(items).join(places_.select("place"), "place", "left_anti")
+
+
+def class_mix(items: DataFrame) -> DataFrame:
+    """Items per main category and confidence, with the share in percent."""
+    counts = items.groupBy(F.coalesce(F.substring_index("category", "/", 1), F.lit("-")).alias("main"), F.coalesce("category_conf", F.lit("-")).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total)).select("main", "confidence", "n", F.round(100.0 * F.col("n") / F.col("total"), 2).alias("percent"))
+
+
+def top_houses(history: DataFrame, most: int = 14) -> DataFrame:
+    return counts_by(history, "house").orderBy(F.desc("n"), "house").limit(most)

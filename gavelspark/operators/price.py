@@ -124,3 +124,21 @@ def lookup(history: DataFrame, words: list[str], since: Column, as_of: Column, m
     for w in words:
         rows = rows.filter(F.col("title").ilike(f"%{w}%"))
     return rows
+
+
+def public(stats: DataFrame) -> DataFrame:
+    """Statistics without the sales behind them."""
+    return stats.drop("samples", "sample", "external_id")
+
+
+def next_cards(samples: DataFrame, verdicts: DataFrame, images: DataFrame, target: str = "target") -> DataFrame:
+    """(target, sample columns) of the next pair to judge: the first sample of each target that has a picture and no
+    verdict yet. ``samples``: (target, sample, cmp); ``verdicts``: (target, cmp); ``images``: (cmp, image)."""
+    open_ = samples.join(verdicts.select(target, "cmp").distinct(), [target, "cmp"], "left_anti").join(images.select("cmp", "image"), "cmp")
+    first = open_.groupBy(target).agg(F.min(F.struct("sample", "cmp", "image")).alias("f"))
+    return first.select(target, "f.sample", "f.cmp", "f.image")
+
+
+def with_items(history: DataFrame, items: DataFrame, key: tuple[str, ...] = ("house", "external_id")) -> DataFrame:
+    """Sales with what is known of their lot; a sale whose lot is gone stays."""
+    return history.join(items, list(key), "left")

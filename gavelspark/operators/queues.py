@@ -25,18 +25,67 @@ def poll_tiers(items: DataFrame, as_of: Column, tiers: tuple[tuple[int, int], ..
     return rows.orderBy("ends_at", "house", "external_id").limit(limit)
 
 
-def capped_ranges(rows: DataFrame, bucket: str, value: str, cap: int, steps: int = 20) -> DataFrame:
+def estimates_due(items: DataFrame, as_of: Column, hours: int = 18, limit: int = 200) -> DataFrame:
+    """Active lots to estimate: those never estimated first, then those whose estimate is too old, by their ends."""
+    old = F.col("est_at").isNull() | (F.col("est_at") < as_of - F.expr(f"INTERVAL {hours} HOURS"))
+    rows = items.filter(F.col("status") == "active").filter(old)
+    return rows.orderBy(F.col("est_at").isNull().desc(), F.col("ends_at").asc_nulls_last(), "house", "external_id").limit(limit)
+
+
+def sharp(url: str) -> Column:
+    """Not one of the small sizes."""
+    return ~F.col(url).rlike(r"_mid\.")
+
+
+def reading_queue(items: DataFrame, images: DataFrame, mains: tuple[str, ...], limit: int) -> DataFrame:
+    """Active lots whose picture was not read yet, those of the given main categories first. ``images``: (house,
+    external_id, url, sort); small sizes do not count, and lots without a picture are left out before the limit."""
+    best = images.filter(sharp("url")).groupBy("house", "external_id").agg(F.min_by("url", F.struct(F.coalesce("sort", F.lit(1 << 30)), "url")).alias("image"))
+    rows = items.filter((F.col("status") == "active") & F.col("ocr_text").isNull()).join(best, ["house", "external_id"])
+    first = F.coalesce(F.substring_index("category", "/", 1).isin(*mains), F.lit(False))
+    return rows.orderBy(first.desc(), F.col("ends_at").asc_nulls_last(), "house", "external_id").limit(limit)
+
+
+def classification_queue(items: DataFrame, images: DataFrame, tried: DataFrame, rank: Column, limit: int) -> DataFrame:
+    """Active lots without a picture and without a sure category that were not tried yet: conflicts first, then the
+    least sure, then by their ends."""
+    rows = items.filter((F.col("status") == "active") & F.col("title").isNotNull())
+    rows = rows.filter(F.col("category_conf").isNull() | ~F.col("category_conf").isin("llm", "learned", "human"))
+    for seen in (tried, images):
+        rows = rows.join(seen.select("house", "external_id").distinct(), ["house", "external_id"], "left_anti")
+    return rows.orderBy(F.col("category_conflict").desc(), rank, F.col("ends_at").asc_nulls_last(), "house", "external_id").limit(limit)
+
+
+def reclassify_queue(items: DataFrame, tried: DataFrame, limit: int) -> DataFrame:
+    """Lots that are over, have a title and were not classified by a service yet, the latest first."""
+    rows = items.filter((F.col("status") != "active") & F.col("title").isNotNull() & ~F.col("category_conf").eqNullSafe("llm"))
+    rows = rows.join(tried.select("house", "external_id").distinct(), ["house", "external_id"], "left_anti")
+    return rows.orderBy(F.col("ends_at").desc_nulls_last(), "house", "external_id").limit(limit)
+
+
+def some_of_first(rows: DataFrame, order: list[Column], first: int, take: int, seed: int) -> DataFrame:
+    """``take`` of the ``first`` rows by an order, drawn by a seed; the cut is the feature's own."""
+    return rows.orderBy(*order).limit(first).withColumn("__r", F.rand(seed)).orderBy("__r").limit(take).drop("__r")
+
+
+def pending_images(images: DataFrame, items: DataFrame, limit: int) -> DataFrame:
+    """Pictures of active lots that have no copy yet, in the order of their numbers."""
+    active = items.filter(F.col("status") == "active").select("house", "external_id").distinct()
+    return images.filter(F.col("local_path").isNull()).join(active, ["house", "external_id"], "left_semi").orderBy("image_id").limit(limit)
+
+
+def capped_ranges(rows: DataFrame, bucket: str, value: str, cap: int) -> DataFrame:
     """(bucket, low, high, n, over_cap): value ranges of each bucket by repeated halving of its span while a range holds
-    more than ``cap`` rows, ``steps`` times at most. A range that still holds more, such as a single value, is marked.
-    Rows only ever travel as counts per value."""
+    more than ``cap`` rows and more than one value; a single value over the cap is marked. Values are whole numbers, so
+    there are as many rounds as the widest span has bits at most. Rows only ever travel as counts per value."""
     counts = pinned(rows.groupBy(bucket, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
     leaves = None
     spans = counts.groupBy(bucket).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
-    for step in range(steps + 1):
-        fits = (F.col("n") <= cap) | (F.col("low") >= F.col("high")) | F.lit(step == steps)
+    while True:
+        fits = (F.col("n") <= cap) | (F.col("low") >= F.col("high"))
         done = spans.filter(fits)
         leaves = done if leaves is None else leaves.unionByName(done)
-        spans = spans.filter(~fits)
+        spans = pinned(spans.filter(~fits))
         if spans.isEmpty():
             break
         mid = F.floor((F.col("low") + F.col("high")) / 2)

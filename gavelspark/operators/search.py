@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import shown_price, sort_rate
-from ..functions.regex import any_term, like_escape, matches, query_words, word_start
+from ..functions.regex import any_term, like_escape, matches, query_words, unicode_words, word_start
 from ..functions.text import location_pattern
 from ..functions.vectors import dot
+from ..rules.tables import CONDITION_NEW, CONDITION_UNTESTED
 
 KEY = ["house", "external_id"]
 #: Candidates that the lexical side of a fused search may rank beyond the page.
@@ -35,6 +36,8 @@ class Filters:
     include_ended: bool = False
     reserve: str | None = None
     insolvency: bool | None = None
+    #: 'ny' or 'otestad', as the description tells.
+    condition: str | None = None
     extra: tuple[Column, ...] = field(default=())
 
     def predicates(self, df: DataFrame) -> list[Column]:
@@ -66,6 +69,8 @@ class Filters:
             out.append(c("reserve_status") == self.reserve)
         if self.insolvency is not None:
             out.append(c("insolvency") == self.insolvency)
+        if self.condition is not None:
+            out.append(matches("description", unicode_words({"ny": CONDITION_NEW, "otestad": CONDITION_UNTESTED}[self.condition])))
         return [*out, *self.extra]
 
     def apply(self, df: DataFrame) -> DataFrame:
@@ -157,12 +162,31 @@ def ranked(hits: DataFrame, key: list[str], limit: int) -> DataFrame:
     return hits.orderBy(*order).limit(limit).withColumn("lrank", F.row_number().over(Window.orderBy(*order)))
 
 
-def hybrid(items: DataFrame, query: str, filters: Filters, semantic: DataFrame, limit: int = 48, offset: int = 0, **kw) -> DataFrame:
-    """A page of the fused search; semantic-only hits pass the same filters."""
+def hybrid(items: DataFrame, query: str, filters: Filters, semantic: DataFrame | None, sort: str | None = None, limit: int = 48, offset: int = 0, **kw) -> DataFrame:
+    """A page of the fused search; semantic-only hits pass the same filters. Without a sort the fused rank orders; with
+    one, the bucket comes first and the rank last. Without semantic hits it is the plain search."""
+    if semantic is None or semantic.isEmpty():
+        return search(items, query, filters, sort or "ending", limit, offset, **kw)
     lex = ranked(lexical(items, query, filters, **kw), KEY, offset + limit + LEXICAL_MARGIN).select(*KEY, "tier", "lrank")
     both = fuse(lex, semantic.select(*KEY, "srank"), KEY)
     rows = filters.apply(items).join(both, KEY)
-    return rows.orderBy("bucket", F.desc("rrf"), *KEY).offset(offset).limit(limit)
+    order = [F.desc("rrf"), *[F.col(k) for k in KEY]] if sort is None else [F.col("bucket"), *order_for(sort, filters.include_ended)[: -len(KEY)], F.desc("rrf"), *[F.col(k) for k in KEY]]
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def without(rows: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` whose key is not among those seen."""
+    return rows.join(seen.select(*key).distinct(), key, "left_anti")
+
+
+def among(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` whose key is among those wanted."""
+    return rows.join(wanted.select(*key), key, "left_semi")
+
+
+def marked(rows: DataFrame, those: DataFrame, key: list[str], flag: str) -> DataFrame:
+    """``rows`` with a flag that says whether their key is among those."""
+    return rows.join(those.select(*key).distinct().withColumn(flag, F.lit(True)), key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def keyset_page(df: DataFrame, key: str, after, limit: int) -> DataFrame:

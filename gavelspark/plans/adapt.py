@@ -101,3 +101,27 @@ def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
 BIDS_SQL = """bids AS (
   SELECT event_id AS bid_id, user_id AS item_id, value, event_type AS type, ts AS created_at,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
+
+
+def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lot per order, with reserves, classification state and a raw payload; sales and writes work on these."""
+    c, key = F.col, F.col("o_orderkey")
+    title = F.element_at(F.array(*[F.lit(t) for t in LOT_TITLES]), (key % len(LOT_TITLES) + 1).cast("int"))
+    price = F.floor("o_totalprice")
+    return table(spark, sf_dir, "orders").select(
+        _pick(HOUSES, c("o_custkey")).alias("house"), key.cast("string").alias("external_id"), (c("o_custkey") % 50).cast("string").alias("auction_external_id"), (c("o_custkey") % 70).cast("string").alias("part_external_id"), title.alias("title"),
+        F.lit(None).cast("string").alias("description"), F.when(c("o_orderstatus") == "F", "ended").otherwise("active").alias("status"), c("o_orderdate").alias("ends_at"), F.when(key % 11 > 0, price).alias("current_bid"), F.lit(100).cast("long").alias("min_bid"),
+        F.when(key % 5 == 0, "not_met").when(key % 5 == 1, "met").alias("reserve_status"), F.when(key % 7 == 0, price + 1).when(key % 7 == 1, price).alias("reserve_price"), F.when(key % 3 > 0, c("o_custkey") % 200).alias("fee_value"), F.when(key % 2 == 0, 25.0).otherwise(0.0).alias("vat_rate"),
+        F.lit("SEK").alias("currency"), F.when(key % 4 > 0, c("o_orderpriority")).alias("category"), F.element_at(F.array(*[F.lit(x) for x in CONFIDENCES]), (key % len(CONFIDENCES) + 1).cast("int")).alias("category_conf"), (key % 9 == 0).alias("category_conflict"),
+        F.to_json(F.struct(F.when(key % 2 == 0, "cars").otherwise("it").alias("category"))).alias("raw"), F.when(key % 13 == 0, True).alias("insolvency"))
+
+
+LOT_TITLES = ("Volvo V70 kombi 2008", "Guldring 18k med safir", "LP-skiva vinyl Abba", "Okänd sak")
+CONFIDENCES = ("text", "house", "none", "llm", "human", "learned", "text")
+LOTS_SQL = f"""lots AS (
+  SELECT list_extract([{", ".join(f"'{h}'" for h in HOUSES)}], (o_custkey % {len(HOUSES)} + 1)::INT) AS house, o_orderkey::VARCHAR AS external_id, (o_custkey % 50)::VARCHAR AS auction_external_id, (o_custkey % 70)::VARCHAR AS part_external_id,
+         list_extract([{", ".join(f"'{t}'" for t in LOT_TITLES)}], (o_orderkey % {len(LOT_TITLES)} + 1)::INT) AS title, NULL::VARCHAR AS description, CASE WHEN o_orderstatus = 'F' THEN 'ended' ELSE 'active' END AS status, o_orderdate AS ends_at,
+         CASE WHEN o_orderkey % 11 > 0 THEN floor(o_totalprice)::BIGINT END AS current_bid, 100::BIGINT AS min_bid, CASE o_orderkey % 5 WHEN 0 THEN 'not_met' WHEN 1 THEN 'met' END AS reserve_status,
+         CASE o_orderkey % 7 WHEN 0 THEN floor(o_totalprice)::BIGINT + 1 WHEN 1 THEN floor(o_totalprice)::BIGINT END AS reserve_price, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 200 END AS fee_value, CASE WHEN o_orderkey % 2 = 0 THEN 25.0 ELSE 0.0 END AS vat_rate, 'SEK' AS currency,
+         CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS category, list_extract([{", ".join(f"'{x}'" for x in CONFIDENCES)}], (o_orderkey % {len(CONFIDENCES)} + 1)::INT) AS category_conf, o_orderkey % 9 = 0 AS category_conflict, o_orderkey AS k, o_custkey AS cust, CASE WHEN o_orderkey % 13 = 0 THEN true END AS insolvency
+  FROM orders)"""

@@ -205,34 +205,14 @@ def synonym_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(matches("text", any_term(["licens", "apache"]))).select("doc_id")
 
 
-@query(
-    "full_outer_rrf",
-    f"""WITH {ITEMS_SQL}, x AS (SELECT *, CASE WHEN title ILIKE '%ring%' THEN 1 WHEN seller ILIKE '%ring%' THEN 3 END AS tier FROM items WHERE {_ACTIVE}),
-lex AS (SELECT part_id, tier, row_number() OVER (ORDER BY tier, ends_at, house, external_id) AS lrank FROM (SELECT * FROM x WHERE tier IS NOT NULL ORDER BY tier, ends_at, house, external_id LIMIT 450)),
-l AS (SELECT part_id, min(tier) AS tier, min(lrank) AS lrank FROM lex GROUP BY part_id),
-s AS (SELECT vec_id AS part_id, label + 1 + vec_id AS srank FROM embeddings WHERE vec_id < 300)
-SELECT part_id, lrank, srank, round(coalesce(1.0 / (60 + lrank), 0) + coalesce(0.5 / (60 + srank), 0), 9) AS rrf,
-       CASE WHEN tier <= 2 THEN 0 WHEN tier IS NOT NULL THEN 1 ELSE 2 END AS bucket
-FROM l FULL JOIN s USING (part_id)""",
-)
-def full_outer_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.lexical(items(spark, sf_dir), "ring", _active(), text_cols=("seller",))
-    lex = search.ranked(hits, search.KEY, 50 + search.LEXICAL_MARGIN)
-    lex = lex.groupBy("part_id").agg(F.min("tier").alias("tier"), F.min("lrank").alias("lrank"))
-    sem = table(spark, sf_dir, "embeddings").filter("vec_id < 300").select(F.col("vec_id").alias("part_id"), (F.col("label") + 1 + F.col("vec_id")).alias("srank"))
-    return search.fuse(lex, sem, ["part_id"]).select("part_id", "lrank", "srank", F.round("rrf", 9).alias("rrf"), "bucket")
-
-
 _COS = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 
 
-def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"])
 
 
-@query(
-    "semantic_rrf",
-    f"""WITH {ITEMS_SQL}, x AS (SELECT *, CASE WHEN title ILIKE '%ring%' THEN 1 WHEN seller ILIKE '%ring%' THEN 3 END AS tier FROM items WHERE {_ACTIVE}),
+_RRF = f"""WITH {ITEMS_SQL}, x AS (SELECT *, CASE WHEN title ILIKE '%ring%' THEN 1 WHEN seller ILIKE '%ring%' THEN 3 END AS tier FROM items WHERE {_ACTIVE}),
 lex AS (SELECT part_id, tier, row_number() OVER (ORDER BY tier, ends_at, house, external_id) AS lrank FROM (SELECT * FROM x WHERE tier IS NOT NULL ORDER BY tier, ends_at, house, external_id LIMIT 450)),
 l AS (SELECT part_id, min(tier) AS tier, min(lrank) AS lrank FROM lex GROUP BY part_id),
 v AS (SELECT e.vec_id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
@@ -240,21 +220,24 @@ g AS (SELECT count(*) AS n, avg(score) AS mean, stddev_pop(score) AS dev FROM v)
 s AS (SELECT vec_id AS part_id, row_number() OVER (ORDER BY score DESC, vec_id) AS srank FROM v, g WHERE n >= 50 AND score >= greatest(0.2, mean + 1.0 * dev) ORDER BY score DESC, vec_id LIMIT 300)
 SELECT part_id, lrank, srank, round(coalesce(1.0 / (60 + lrank), 0) + coalesce(0.5 / (60 + srank), 0), 9) AS rrf,
        CASE WHEN tier <= 2 THEN 0 WHEN tier IS NOT NULL THEN 1 ELSE 2 END AS bucket
-FROM l FULL JOIN s USING (part_id)""",
-)
+FROM l FULL JOIN s USING (part_id)"""
+
+
+@query("full_outer_rrf", _RRF)
+@query("semantic_rrf", _RRF)
 def semantic_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like ``full_outer_rrf``, whose SQL takes vec_id < 300 and made-up ranks, with the semantic side ranked over all vectors."""
+    """Lexical and semantic ranks of parts, fused."""
     hits = search.lexical(items(spark, sf_dir), "ring", _active(), text_cols=("seller",))
     lex = search.ranked(hits, search.KEY, 50 + search.LEXICAL_MARGIN)
     lex = lex.groupBy("part_id").agg(F.min("tier").alias("tier"), F.min("lrank").alias("lrank"))
-    sem = search.semantic_top(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), ["vec_id"], floor=0.2, z=1.0)
+    sem = search.semantic_top(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), ["vec_id"], floor=0.2, z=1.0)
     sem = sem.select(F.col("vec_id").alias("part_id"), "srank")
     return search.fuse(lex, sem, ["part_id"]).select("part_id", "lrank", "srank", F.round("rrf", 9).alias("rrf"), "bucket")
 
 
 @query("cosine_topk", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS} DESC, e.vec_id LIMIT 25")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = search.scored(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir)).orderBy(F.desc("score"), "vec_id").limit(25)
+    rows = search.scored(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir)).orderBy(F.desc("score"), "vec_id").limit(25)
     return rows.select("vec_id", F.round("score", 6).alias("score"))
 
 
@@ -266,7 +249,7 @@ SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC,
 FROM s, g WHERE n >= 50 AND score >= greatest(0.2, mean + 1.0 * dev) ORDER BY s.score DESC, vec_id LIMIT 300""",
 )
 def semantic_zgate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = search.semantic_top(table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir), ["vec_id"], floor=0.2, z=1.0)
+    top = search.semantic_top(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), ["vec_id"], floor=0.2, z=1.0)
     return top.select("vec_id", F.round("score", 6).alias("score"), "srank")
 
 
@@ -319,5 +302,6 @@ def city_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("embedding_progress", "SELECT label, count(*) AS vectors, count(*) FILTER (WHERE vec_id % 3 = 0) AS third, round(100.0 * count(*) FILTER (WHERE vec_id % 3 = 0) / count(*), 2) AS percent FROM embeddings GROUP BY label")
 def embedding_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    third = F.count_if(F.col("vec_id") % 3 == 0)
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), third.alias("third"), F.round(100.0 * third / F.count(F.lit(1)), 2).alias("percent"))
+    rows = table(spark, sf_dir, "embeddings")
+    found = facets.coverage(rows, rows.filter("vec_id % 3 = 0"), ["vec_id"], "label", digits=2)
+    return found.select("label", F.col("n").alias("vectors"), F.col("covered").alias("third"), "percent")

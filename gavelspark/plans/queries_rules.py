@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import money, text as T, times, vectors
 from ..rules import classify
 from ..rules.tables import FEE_KNOTS, STOP_WORDS
+from ..sources import html as H
 from .adapt import AS_OF, ITEMS_SQL, items, ntz, table
 from .registry import query
 
@@ -16,14 +19,11 @@ _TOKENS = f"list_filter(regexp_split_to_array(lower(text), '[^a-zåäöéü]+'),
 _FIRST = "array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda z: list_position(l, z[1]) = z[2]), lambda z: z[1])[1:12], ' ')"
 
 
-@query("tokens", f"WITH d AS (SELECT doc_id, substring(text, 1, 400) AS text FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, {_TOKENS} AS l FROM d) SELECT doc_id, {_FIRST} AS tokens FROM t")
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 400 characters only, as its SQL has it; ``tokens_whole`` reads whole texts."""
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.substring("text", 1, 400).alias("text"))
-    return rows.select("doc_id", F.array_join(T.title_tokens(F.col("text")), " ").alias("tokens"))
+_TOKENS_SQL = f"WITH t AS (SELECT doc_id, {_TOKENS} AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, {_FIRST} AS tokens FROM t"
 
 
-@query("tokens_whole", f"WITH t AS (SELECT doc_id, {_TOKENS} AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, {_FIRST} AS tokens FROM t")
+@query("tokens", _TOKENS_SQL)
+@query("tokens_whole", _TOKENS_SQL)
 def tokens_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     return rows.select("doc_id", F.array_join(T.title_tokens(F.col("text")), " ").alias("tokens"))
@@ -32,37 +32,26 @@ def tokens_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEX = "seen AS (SELECT DISTINCT w AS token, lower(p_type) AS category, p_partkey FROM part, unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')) AS u(w) WHERE length(w) >= 3 AND w NOT IN ('set', 'par', 'old', 'new') OR w IN ('old', 'new') AND length(w) >= 3), lex AS (SELECT token, category, count(*) AS seen FROM seen GROUP BY token, category)"
 
 
-def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.train_lexicon(table(spark, sf_dir, "part").withColumn("kind", F.lower("p_type")), "p_name", "kind")
 
 
 @query("lexicon_train", f"WITH {_LEX} SELECT token, category, seen FROM lex")
 def lexicon_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexicon(spark, sf_dir)
+    return part_lexicon(spark, sf_dir)
 
 
-@query(
-    "lexicon_vote",
-    f"""WITH {_LEX}, w AS (SELECT token, category, seen, seen * (max(seen) OVER (PARTITION BY token) / (sum(seen) OVER (PARTITION BY token))::DOUBLE) AS w FROM lex),
+LEXICON_SQL = f"""{_LEX}, w AS (SELECT token, category, seen, seen * (max(seen) OVER (PARTITION BY token) / (sum(seen) OVER (PARTITION BY token))::DOUBLE) AS w FROM lex),
 t AS (SELECT DISTINCT p_name, u.x AS token FROM part, unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')) AS u(x)),
 s AS (SELECT p_name, category, sum(w) AS w, sum(seen) AS evidence FROM t JOIN w USING (token) GROUP BY p_name, category),
-b AS (SELECT *, sum(w) OVER (PARTITION BY p_name) AS total, row_number() OVER (PARTITION BY p_name ORDER BY round(w, 9) DESC, category) AS rn FROM s)
-SELECT p_partkey, category, evidence::BIGINT AS evidence, round(w / total, 6) AS share FROM part JOIN b USING (p_name) WHERE rn = 1 AND evidence >= 12 AND w / total >= 0.17""",
-)
-def lexicon_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    won = classify.vote(table(spark, sf_dir, "part"), "p_partkey", "p_name", _lexicon(spark, sf_dir), min_share=0.17)
-    return won.select("p_partkey", "category", "evidence", F.round("share", 6).alias("share"))
+b AS (SELECT *, sum(w) OVER (PARTITION BY p_name) AS total, row_number() OVER (PARTITION BY p_name ORDER BY round(w, 9) DESC, category) AS rn FROM s),
+votes AS (SELECT p_partkey, category, evidence::BIGINT AS evidence, round(w / total, 6) AS share FROM part JOIN b USING (p_name) WHERE rn = 1 AND evidence >= 12 AND w / total >= 0.17)"""
 
 
-@query(
-    "keyword_classify",
-    """WITH t(title) AS (VALUES ('Volvo V70 kombi 2008'), ('Guldring 18k med safir'), ('Matta, stol och dator'), ('Diverse dödsbo'), ('Okänd sak'), ('LP-skiva vinyl Abba'))
-SELECT title, CASE title WHEN 'Volvo V70 kombi 2008' THEN 'fordon/personbilar' WHEN 'Guldring 18k med safir' THEN 'smycken/smycken-sub' WHEN 'Matta, stol och dator' THEN 'ovrigt/partier'
-  WHEN 'Diverse dödsbo' THEN 'ovrigt/partier' WHEN 'LP-skiva vinyl Abba' THEN 'media/vinyl' END AS category FROM t""",
-)
-def keyword_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = ["Volvo V70 kombi 2008", "Guldring 18k med safir", "Matta, stol och dator", "Diverse dödsbo", "Okänd sak", "LP-skiva vinyl Abba"]
-    return spark.createDataFrame([(t,) for t in titles], "title string").select("title", classify.by_text(F.col("title")).alias("category"))
+@query("lexicon_vote", f"WITH {LEXICON_SQL} SELECT * FROM votes")
+def lexicon_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    won = classify.vote(table(spark, sf_dir, "part"), "p_partkey", "p_name", part_lexicon(spark, sf_dir), min_share=0.17)
+    return won.select("p_partkey", "category", "evidence", F.round("share", 6).alias("share"))
 
 
 @query(
@@ -86,34 +75,44 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("conflict"), "rank", F.col("ends_at").asc_nulls_last(), "house", "external_id").limit(50).select("house", "external_id", "conflict", "rank")
 
 
-def _values(spark: SparkSession, values: list[str | None]) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], "x string")
+def derived(name: str, fn: Callable[[Column], Column], x: Callable[[], Column], y: str) -> None:
+    """A query that applies a scalar function to a text made from the columns of each part; ``y`` is SQL of what it must
+    give, from the same columns."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, "part").select("p_partkey", fn(x()).alias("y"))
 
-def _expected(pairs: list[tuple], kind: str = "VARCHAR") -> str:
-    lit = lambda v: "NULL" if v is None else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
-    return "SELECT x, y::" + kind + " AS y FROM (VALUES " + ", ".join(f"({lit(a)}, {lit(b)})" for a, b in pairs) + ") AS t(x, y)"
+    query(name, f"SELECT p_partkey, {y} AS y FROM part")(run)
 
 
-def golden(name: str, fn, pairs: list[tuple], kind: str = "VARCHAR") -> None:
-    """A query that applies a scalar function to a fixed table of cases with known results."""
+def _by(step: int, *texts: str | Column) -> Column:
+    """One of the texts, by a part's size."""
+    return F.element_at(F.array(*[F.lit(t) if isinstance(t, str) else t for t in texts]), (F.col("p_size") % step + 1).cast("int"))
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made: Column = fn(F.col("x"))
-        return _values(spark, [a for a, _ in pairs]).select("x", (made.cast("string") if kind == "VARCHAR" else made).alias("y"))
 
-    query(name, _expected(pairs, kind))(run)
+def _said(*parts: str | Column) -> Column:
+    """Column names and columns in brackets of literal text: names start with p_."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) and not p.startswith("p_") else p for p in parts])
 
 
-golden("lot_count", T.lot_count, [("6 st stolar", 6), ("Ett par ljusstakar", 2), ("stolar, par", 2), ("Stol", None), (None, None), ("12 stycken glas", 12), ("0 st", None)], "BIGINT")
-golden("plate_regex", T.plate, [("Volvo ABC123 röd", "ABC123"), ("abc 12d", "ABC12D"), ("AAA000", None), ("ingen", None), (None, None)])
-golden("swedish_number", T.number, [("1 234,50", 1234.5), ("12.500", 12500.0), ("3,5", 3.5), ("x", None), (None, None), ("7", 7.0)], "DOUBLE")
-golden("slugify", T.slug, [("Åkerö & Söner, 2:a", "akero-soner-2-a"), ("  Café Noir ", "cafe-noir"), ("", ""), (None, None)])
-golden("countdown", times.countdown_seconds, [("3 dygn 10 tim", 295200), ("46 minuter", 2760), ("5 sek", 5), ("snart", None), (None, None)], "BIGINT")
-golden("quoted_models", lambda x: F.array_join(T.quoted_models(x), "|"), [('Fåtölj "Jetson" av "Bruno M"', "Jetson|Bruno M"), ('"x"', ""), ("ingen", ""), ("”Lamino” stol", "Lamino")])
-golden("condition_badge", T.condition_badge, [("Ny i kartong", "ny"), ("helt oanvänd vara", "ny"), ("ej testad", "otestad"), ("begagnad", None), (None, None)])
-golden("normalise_query", T.normalise_query, [("  Röd   STOL ", "röd stol"), ("", ""), (None, None)])
-golden("clock_minutes", times.clock_minutes, [("8:05", 485), ("23:59", 1439), ("24:00", None), ("x", None)], "INTEGER")
+_TITLES = {"Volvo V70 kombi 2008": "fordon/personbilar", "Guldring 18k med safir": "smycken/smycken-sub", "Matta, stol och dator": "ovrigt/partier", "Diverse dödsbo": "ovrigt/partier", "Okänd sak": None, "LP-skiva vinyl Abba": "media/vinyl"}
+_NUMBER = "lpad((p_partkey % 1000)::VARCHAR, 3, '0')"
+derived("keyword_classify", classify.by_text, lambda: _by(6, *_TITLES), "CASE p_size % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_TITLES.values()) if v) + " END")
+derived("lot_count", T.lot_count, lambda: _by(4, _said("p_size", " st ", "p_name"), _said("Ett par ", "p_name"), _said("p_name", ", par"), F.col("p_name")), "CASE p_size % 4 WHEN 0 THEN nullif(p_size, 0) WHEN 1 THEN 2 WHEN 2 THEN 2 END::BIGINT")
+derived("plate_regex", T.plate, lambda: _by(3, _said("p_name", " abc ", F.col("p_partkey") % 900 + 100, " röd"), _said("AAA000 ", "p_name"), F.col("p_name")), "CASE WHEN p_size % 3 = 0 THEN 'ABC' || (p_partkey % 900 + 100) END")
+derived("swedish_number", T.number, lambda: _by(3, _said("p_size", " ", F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), ",50"), _said("p_size", ".500"), F.col("p_name")), "CASE p_size % 3 WHEN 0 THEN p_size * 1000 + p_partkey % 1000 + 0.5 WHEN 1 THEN p_size * 1000 + 500 END::DOUBLE")
+derived("slugify", T.slug, lambda: _said("Åkerö & ", "p_name", ", 2:a "), "'akero-' || replace(p_name, ' ', '-') || '-2-a'")
+derived("countdown", times.countdown_seconds, lambda: _by(3, _said(F.col("p_size") % 4, " dygn ", F.col("p_size") % 24, " tim"), _said(F.col("p_partkey") % 60, " minuter"), F.lit("snart")), "CASE p_size % 3 WHEN 0 THEN p_size % 4 * 86400 + p_size % 24 * 3600 WHEN 1 THEN p_partkey % 60 * 60 END::BIGINT")
+derived("quoted_models", lambda x: F.array_join(T.quoted_models(x), "|"), lambda: _by(2, _said('Fåtölj "', "p_brand", '" av "', "p_type", '"'), _said("p_name", ' "x" ”Lamino” stol')), "CASE WHEN p_size % 2 = 0 THEN p_brand || '|' || p_type ELSE 'Lamino' END")
+derived("condition_badge", T.condition_badge, lambda: _by(4, _said("p_name", " Ny i kartong"), _said("helt OANVÄND vara ", "p_name"), _said("p_name", " ej testad"), _said("oanvändbar ", "p_name")), "CASE p_size % 4 WHEN 0 THEN 'ny' WHEN 1 THEN 'ny' WHEN 2 THEN 'otestad' END")
+derived("normalise_query", T.normalise_query, lambda: _said("  ", F.upper("p_name"), "   STOL "), "p_name || ' stol'")
+derived("clock_minutes", times.clock_minutes, lambda: _said(F.col("p_size") % 30, ":", F.lpad((F.col("p_partkey") % 70).cast("string"), 2, "0")), "CASE WHEN p_size % 30 < 24 AND p_partkey % 70 < 60 THEN p_size % 30 * 60 + p_partkey % 70 END::INTEGER")
+derived("html_entities", T.strip_html, lambda: _said("<p>", "p_name", " &amp; B</p><script>x</script> <b>&lt;", "p_type", "&gt;</b>"), "p_name || ' & B <' || p_type || '>'")
+derived("item_text", lambda x: T.item_text(F.lit("Stol"), x), lambda: _by(2, _said("  ", "p_name", " \n fin "), F.lit(" ")), "CASE WHEN p_size % 2 = 0 THEN 'Stol. ' || p_name || ' fin' ELSE 'Stol' END")
+derived("spec_value", lambda x: T.label_value(x, "Höjd", ("Bredd", "Vikt")), lambda: _by(2, _said("p_name", " Höjd: ", "p_size", " cm Bredd: 10"), _said("Vikt: ", "p_size")), "CASE WHEN p_size % 2 = 0 THEN p_size || ' cm' END")
+derived("image_url", T.image_url, lambda: _said("https://a/", "p_partkey", _by(3, "_thumb", "-640x480", ""), ".jpg"), "'https://a/' || p_partkey || '.jpg'")
+derived("fitted_text", lambda x: T.fitted(x, 10), lambda: F.col("p_name"), "CASE WHEN length(p_name) <= 10 THEN p_name ELSE rtrim(left(p_name, 9)) || '…' END")
+derived("worth_expanding", T.worth_expanding, lambda: _by(4, _said(" ", F.upper("p_name")), _said("p_size", " 34"), F.lit("abc"), F.repeat("p_name", 20)), "p_size % 4 = 0 AND regexp_matches(p_name, '[a-z]{4}')")
 
 
 @query("normalise_location", "SELECT c_custkey, 'nation_' || c_nationkey AS place FROM customer")
@@ -155,13 +154,12 @@ def haversine_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("html_title_strip", "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"'))::BIGINT AS links FROM pages")
 def html_title_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), links.alias("links"))
+    return table(spark, sf_dir, "pages").select("page_id", H.tag_text(F.col("html"), "h1").alias("title"), H.link_count(F.col("html")).alias("links"))
 
 
 @query("json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", H.raw_field(F.col("props"), "k", "long").alias("k"))
 
 
 @query("chart_axis", "SELECT o_orderkey, p * CASE WHEN x / p <= 1 THEN 1 WHEN x / p <= 2 THEN 2 WHEN x / p <= 5 THEN 5 ELSE 10 END AS top FROM (SELECT o_orderkey, o_totalprice AS x, pow(10.0, floor(log10(o_totalprice))) AS p FROM orders)")
@@ -196,15 +194,9 @@ def route_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("html_fields", "SELECT page_id, html LIKE '%<nav>%' AS nav, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.contains("html", F.lit("<nav>")).alias("nav"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", F.contains("html", F.lit("<nav>")).alias("nav"), H.tag_text(F.col("html"), "title").alias("title"))
 
 
-golden("html_entities", T.strip_html, [("<p>A &amp; B</p><script>x</script> <b>c</b>", "A & B c"), ("&lt;b&gt;", "<b>"), ("", ""), (None, None)])
-golden("item_text", lambda x: T.item_text(F.lit("Stol"), x), [("  röd \n fin ", "Stol. röd fin"), ("", "Stol"), (None, "Stol")])
-golden("spec_value", lambda x: T.label_value(x, "Höjd", ("Bredd", "Vikt")), [("Höjd: 30 cm Bredd: 10", "30 cm"), ("Vikt: 2", None), (None, None)])
-golden("image_url", T.image_url, [("https://a/b_thumb.jpg", "https://a/b.jpg"), ("https://a/b-640x480.png", "https://a/b.png"), ("https://a/b.jpg", "https://a/b.jpg"), (None, None)])
-golden("fitted_text", lambda x: T.fitted(x, 10), [("kort", "kort"), ("en längre text", "en längre…"), (None, None)])
-golden("worth_expanding", T.worth_expanding, [("ring", True), ("12 34", False), ("abc", False), (None, None)], "BOOLEAN")
 
 
 @query("attributes_agree", "SELECT part_a, part_b, (contains(x, y) OR contains(y, x)) AND abs(za - zb) <= 20 AS agree FROM (SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, replace(lower(a.p_name), ' ', '') AS x, replace(lower(b.p_name), ' ', '') AS y, a.p_size AS za, b.p_size AS zb FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 64)")
@@ -245,7 +237,7 @@ def best_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def over_rows(name: str, fn, source: str, key: str, text: str, sql: str | None = None) -> None:
-    """A query that applies a scalar function to a whole table; its known cases are those of ``golden``."""
+    """A query that applies a scalar function to a column of a table."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, source).select(key, fn(F.col(text)).alias("y"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import merge as M, queues
+from ..operators import merge as M, queues, search
 from ..streaming import bids as B, watch
 from .adapt import AS_OF, BIDS_SQL, ITEMS_SQL, bids, items, ntz, table
 from .registry import query
@@ -38,15 +38,12 @@ def bid_merge_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.leading_bids(bids(spark, sf_dir))
 
 
-@query("media_sync", "WITH cur AS (SELECT user_id, event_id, value FROM events WHERE event_id % 2 = 0), new AS (SELECT user_id, event_id, value + 1 AS value FROM events WHERE event_id % 5 = 0 AND user_id < 60) SELECT * FROM cur WHERE user_id NOT IN (SELECT user_id FROM new) UNION ALL SELECT * FROM new")
-def media_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return M.sync_children(e.filter("event_id % 2 = 0"), e.filter("event_id % 5 = 0 AND user_id < 60").withColumn("value", F.col("value") + 1), ["user_id"], "event_id", ["value"])
+_SYNC = "WITH cur AS (SELECT user_id, event_id, value FROM events WHERE event_id % 2 = 0), new AS (SELECT user_id, event_id, value + 1 AS value FROM events WHERE event_id % 5 = 0) SELECT * FROM cur WHERE user_id NOT IN (SELECT user_id FROM new) UNION ALL SELECT * FROM new"
 
 
-@query("media_sync_all", "WITH cur AS (SELECT user_id, event_id, value FROM events WHERE event_id % 2 = 0), new AS (SELECT user_id, event_id, value + 1 AS value FROM events WHERE event_id % 5 = 0) SELECT * FROM cur WHERE user_id NOT IN (SELECT user_id FROM new) UNION ALL SELECT * FROM new")
+@query("media_sync", _SYNC)
+@query("media_sync_all", _SYNC)
 def media_sync_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``media_sync``, whose batch is of user_id < 60, with a batch from all users."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
     return M.sync_children(e.filter("event_id % 2 = 0"), e.filter("event_id % 5 = 0").withColumn("value", F.col("value") + 1), ["user_id"], "event_id", ["value"])
 
@@ -86,26 +83,26 @@ def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("konkurs_semijoin", "SELECT o_orderkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AS insolvent FROM orders")
 def konkurs_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    poor = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select("c_custkey").distinct()
-    return table(spark, sf_dir, "orders").join(poor, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.col("c_custkey").isNotNull().alias("insolvent"))
+    poor = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return search.marked(table(spark, sf_dir, "orders"), poor, ["o_custkey"], "insolvent").select("o_orderkey", "insolvent")
 
 
 @query("queue_antijoin", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def queue_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
-    return table(spark, sf_dir, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return search.without(table(spark, sf_dir, "customer"), done, ["c_custkey"]).select("c_custkey")
 
 
 @query("tuple_in_semijoin", "SELECT event_id FROM events WHERE (user_id, event_type) IN ((1, 'view'), (2, 'click'), (3, 'error'))")
 def tuple_in_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.createDataFrame([(1, "view"), (2, "click"), (3, "error")], "user_id long, event_type string")
-    return table(spark, sf_dir, "events").join(wanted, ["user_id", "event_type"], "left_semi").select("event_id")
+    return search.among(table(spark, sf_dir, "events"), wanted, ["user_id", "event_type"]).select("event_id")
 
 
 @query("theta_rules_join", f"WITH {ITEMS_SQL} SELECT r.name AS search, count(*) AS n FROM items i, (VALUES ('cheap'), ('rings'), ('busy')) AS r(name) WHERE CASE r.name WHEN 'cheap' THEN current_bid < 5000 WHEN 'rings' THEN title ILIKE '%ring%' ELSE bid_count > 40 END AND ends_at > TIMESTAMP '2001-06-01' AND ends_at <= TIMESTAMP '2001-08-01' GROUP BY r.name")
 def theta_rules_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [("cheap", F.col("current_bid") < 5000), ("rings", F.col("title").ilike("%ring%")), ("busy", F.col("bid_count") > 40)]
-    rows = watch.match_searches(items(spark, sf_dir), rules, ntz("2001-06-01 00:00:00"), ntz("2001-08-01 00:00:00"), "ends_at", limit=1 << 30)
+    rows = watch.match_searches(items(spark, sf_dir), rules, ntz("2001-06-01 00:00:00"), ntz("2001-08-01 00:00:00"), "ends_at", limit=None)
     return rows.groupBy("search").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.regex import ascii_words
 from ..functions.text import title_tokens, top_level
-from .tables import CATCH_ALL, CONFIDENCE_RANK, MIXED, MIXED_SIGNAL, NAME_RULES, TITLE_RULES, UNSORTED
+from .tables import CATCH_ALL, CONFIDENCE_RANK, HOUSE_KEYS, LABEL_RULES, MIXED, MIXED_SIGNAL, NAME_RULES, TITLE_RULES, UNSORTED
 
 MIN_EVIDENCE, MIN_SHARE = 12, 0.75
 
@@ -30,6 +30,33 @@ def by_name(name: Column, rules: tuple[tuple[str, str], ...] = NAME_RULES) -> Co
     return F.coalesce(*[F.when(text.rlike(ascii_words(p)), key) for p, key in rules])
 
 
+def by_label(label: Column) -> Column:
+    """The category a source's label stands for: as a title would, else by the label patterns; null if unknown."""
+    as_title = by_text(label)
+    text = F.concat(F.lit(" "), F.lower(label), F.lit(" "))
+    known = F.coalesce(*[F.when(text.rlike(ascii_words(p)), key) for p, key in LABEL_RULES])
+    return F.when(F.length(label) >= 2, F.coalesce(F.when(as_title != MIXED, as_title), known))
+
+
+def house_category(house: Column, raw: Column, ids: Column | None = None) -> Column:
+    """Struct (key, label): a source's own category of a lot from its raw payload, as one of the taxonomy. ``ids`` is the
+    key of the source that numbers its categories, looked up by the caller; sources without a use for theirs give nulls."""
+    field = lambda name: F.nullif(F.coalesce(F.get_json_object(raw, f"$.item.{name}"), F.get_json_object(raw, f"$.{name}")), F.lit(""))
+    keys = F.create_map(*[F.lit(v) for pair in HOUSE_KEYS.items() for v in pair])
+    pair = lambda key, label: F.struct(key.alias("key"), label.alias("label"))
+    own, fine, top, name = field("category"), F.coalesce(field("subcategory"), field("category")), field("categoryNameLevel1"), field("categoryName")
+    none = F.lit(None).cast("string")
+    return (
+        F.when(house == "auctionet", pair(none if ids is None else ids, field("category_id")))
+        .when(house == "budi", pair(F.coalesce(keys[own], by_label(own)), own))
+        .when(house == "vaxxa", pair(by_label(fine), fine))
+        .when(house == "klaravik", pair(by_label(top), top))
+        .when(house == "tradera", pair(by_name(name), name))
+        .when(house == "pantbanken", pair(F.when(raw.isNotNull(), "smycken/smycken-sub"), F.when(raw.isNotNull(), "pantbank")))
+        .otherwise(pair(none, none))
+    )
+
+
 def classified(text_key: Column, house_key: Column, house_name: Column) -> Column:
     """Struct (category, confidence): mixed lots first, then the house's category unless it says nothing, then text."""
     usable = house_key.isNotNull() & ~F.coalesce(F.lower(house_name).rlike(CATCH_ALL), F.lit(False))
@@ -68,3 +95,11 @@ def vote(titles: DataFrame, key: str, title: str, lexicon: DataFrame, min_eviden
     best = sums.groupBy("__title").agg(F.sum("w").alias("total"), F.min(F.struct((-F.col("w")).alias("n"), "category", "evidence")).alias("top"))
     won = best.select("__title", "top.category", "top.evidence", (-F.col("top.n") / F.col("total")).alias("share")).filter((F.col("evidence") >= min_evidence) & (F.col("share") >= min_share))
     return titles.join(won, titles[title] == won["__title"]).select(titles[key], "category", "evidence", "share")
+
+
+def learned_or_ask(rows: DataFrame, key: str, title: str, lexicon: DataFrame, min_evidence: int = MIN_EVIDENCE, min_share: float = MIN_SHARE) -> DataFrame:
+    """``rows`` with the ``category`` that the lexicon is sure of and the ``way`` it is found: 'learned', or 'ask' for
+    those that a service has to be asked about."""
+    won = vote(rows, key, title, lexicon, min_evidence, min_share).select(F.col(key).alias("__key"), "category")
+    found = rows.drop("category").join(won, rows[key] == won["__key"], "left").drop("__key")
+    return found.withColumn("way", F.when(F.col("category").isNull(), "ask").otherwise("learned"))

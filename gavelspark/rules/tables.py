@@ -313,3 +313,42 @@ FEE_KNOTS = (
     (65000, 5515), (97200, 5515), (108000, 6565), (120000, 6565), (160000, 7090), (200000, 7770), (225000, 8085),
     (490000, 12390), (2650000, 37485),
 )
+
+# The months as they are written short; a full name starts with its short one.
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "maj": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "okt": 10, "nov": 11, "dec": 12}
+
+# Category keys of one source and what each stands for.
+HOUSE_KEYS = {
+    "construction-home": "bygg/byggmaterial",
+    "cars": "fordon/personbilar",
+    "leisure-electronics": "elektronik/ljud-bild-tv",
+    "construction": "entreprenad/gravmaskin-lastare",
+    "forestry-agriculture": "lantbruk/traktor",
+    "transport": "fordon/lastbil-buss",
+    "caravan-motorhome": "fordon/husbil-husvagn",
+    "business-operations": "restaurang/butik",
+    "vehicle": "fordon/personbilar",
+    "it": "elektronik/datorer",
+}
+
+# Patterns of category labels that no title pattern knows, in order.
+LABEL_RULES: tuple[tuple[str, str], ...] = (
+    (r"personbil|\bbilar\b", "fordon/personbilar"),
+    (r"lastbil|\btransport\b", "fordon/lastbil-buss"),
+    (r"\bkonst\b", "konst/konst-tavlor"),
+    (r"m[öo]bler", "mobler/mobler-sub"),
+    (r"smycken", "smycken/smycken-sub"),
+    (r"elektronik|\bdata\b|\bit\b", "elektronik/datorer"),
+    (r"entreprenad", "entreprenad/gravmaskin-lastare"),
+    (r"lantbruk|jordbruk", "lantbruk/traktor"),
+    (r"skogsbruk|\bskog\b", "lantbruk/skogsmaskin"),
+    (r"\bverktyg\b", "verktyg/handverktyg"),
+    (r"hush[åa]ll", "hem/husgerad-kok"),
+    (r"kl[äa]der|\bmode\b", "klader/klader-skor"),
+    (r"\bbygg\b|\bhem\b", "bygg/byggmaterial"),
+    (r"fritid|elektronik", "elektronik/ljud-bild-tv"),
+    (r"aff[äa]rs|butik|kontor", "restaurang/butik"),
+)
+
+# Words of an auction's title or contact that tell of an insolvency, each with the field it counts in.
+INSOLVENCY_WORDS = (("title", "konkurs"), ("contact", "konkurs"), ("contact", "advokat"), ("title", "likvidation"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 ITEM_COLUMNS = {
     "house": "string", "external_id": "string", "auction_external_id": "string", "title": "string", "description": "string", "location": "string",
-    "status": "string", "ends_at": "timestamp_ntz", "min_bid": "bigint", "current_bid": "bigint", "bid_count": "int", "reserve_status": "string",
+    "status": "string", "ends_at": "timestamp_ntz", "listed_at": "timestamp_ntz", "min_bid": "bigint", "current_bid": "bigint", "bid_count": "int", "reserve_status": "string",
     "reserve_price": "bigint", "fee_value": "bigint", "vat_rate": "double", "currency": "string", "seller": "string", "source_url": "string",
     "media": "array<string>", "raw": "string",
 }

@@ -8,16 +8,31 @@ PER_SEARCH = 30
 SOON_MINUTES = 65
 
 
-def match_searches(items: DataFrame, searches: list[tuple[str, Column]], since: Column, upto: Column, first_seen: str = "first_seen", limit: int = PER_SEARCH) -> DataFrame:
+def match_searches(items: DataFrame, searches: list[tuple[str, Column]], since: Column, upto: Column, first_seen: str = "first_seen", limit: int | None = PER_SEARCH) -> DataFrame:
     """(search, item columns) for items first seen in the half-open window; each search is one predicate, and a row
     carries the array of those it meets, so the items are read once however many searches there are."""
     fresh = items.filter((F.col(first_seen) > since) & (F.col(first_seen) <= upto))
     hit = F.array_compact(F.array(*[F.when(p, F.lit(name)) for name, p in searches]))
     rows = fresh.select("*", F.explode(hit).alias("search"))
+    if limit is None:
+        return rows
     order = Window.partitionBy("search").orderBy(F.desc(first_seen), "house", "external_id")
     return rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= limit).drop("__r")
 
 
+def new_watches(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """(house, external_id, notified_reserve, notified_ended) of new watches. What is so already gives no news later;
+    nothing is so for a lot that is not known."""
+    now = items.select("house", "external_id", (F.col("reserve_status") == "met").alias("r"), (F.col("status") == "ended").alias("e"))
+    rows = asked.select("house", "external_id").distinct().join(now, ["house", "external_id"], "left")
+    return rows.select("house", "external_id", F.coalesce("r", F.lit(False)).alias("notified_reserve"), F.coalesce("e", F.lit(False)).alias("notified_ended"))
+
+
+def watched_first() -> list[Column]:
+    """The order of watched lots: what is over comes last, then by the end."""
+    return [F.coalesce(F.col("status") == "ended", F.lit(False)), F.col("ends_at").asc_nulls_last(), F.col("house"), F.col("external_id")]
+
+
 def transitions(before: DataFrame, after: DataFrame, as_of: Column, key: list[str], soon: int = SOON_MINUTES) -> DataFrame:
     """(key, event, dedup_key) for what became true: ending_soon, reserve_met, ended. A key that ``before`` lacks starts
     with its present state and gives no event."""
