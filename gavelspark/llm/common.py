@@ -55,6 +55,21 @@ def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     return df
 
 
+def join_split(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, how: str = "inner", share: int = 1000, floor: int = 1000) -> DataFrame:
+    """``rows`` joined with ``lookup``, which has one row for each key and in ``weight`` how many of ``rows`` hold it.
+
+    A key that holds more than one in ``share`` of the rows would make one task of the shuffle long. There are fewer
+    than ``share`` such keys whatever the input, so their look-up rows are broadcast and only the others are shuffled.
+    """
+    limit = max(floor, rows.count() // share)
+    values = [c for c in lookup.columns if c not in (*keys, weight)]
+    hot = lookup.filter(F.col(weight) > limit).select(*keys, F.struct(*values).alias("__hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    warm = marked.filter(F.col("__hot").isNotNull()).select(*rows.columns, *[F.col("__hot")[v].alias(v) for v in values])
+    cold = marked.filter(F.col("__hot").isNull()).drop("__hot").join(lookup.filter(F.col(weight) <= limit).drop(weight), keys, how)
+    return warm.union(cold.select(*warm.columns))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

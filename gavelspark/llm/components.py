@@ -3,15 +3,15 @@
 Each round every node picks the neighbour (or itself) of least priority, a hash that changes with the round; edges are
 rewritten to the picked nodes, and loops and duplicates fall away. Random priorities shrink even a long chain by a
 constant share per round, so the number of rounds grows with the logarithm of the largest component. Nothing but
-"is an edge left?" reaches the driver. Picks are plain minimum aggregations (combined before the shuffle), and the
-joins have one row per node on one side, so that a node with very many edges is split by the adaptive skew join.
+"is an edge left?" and row counts reach the driver. Picks are plain minimum aggregations (combined before the shuffle);
+picks of nodes with very many edges are broadcast to the edges, which no single task then gathers.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import durable
+from .common import durable, join_split
 
 
 def _rank(col: str, turn: int) -> Column:
@@ -28,9 +28,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     turn = 0
     while not live.isEmpty():
         both = live.union(live.select("v", "u"))
-        picks = durable(both.groupBy("u").agg(F.least(F.min(_rank("v", turn)), F.first(_rank("u", turn))).getField("node").alias("p")), "picks")
-        pu, pv = picks.select("u", F.col("p").alias("a")), picks.select(F.col("u").alias("v"), F.col("p").alias("b"))
-        live = durable(live.join(pu, "u").join(pv, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+        picks = both.groupBy("u").agg(F.min(_rank("v", turn)).alias("least"), F.count(F.lit(1)).alias("edges"))
+        picks = durable(picks.select("u", F.least("least", _rank("u", turn)).getField("node").alias("p"), "edges"), "picks")
+        pu, pv = picks.select("u", F.col("p").alias("a"), "edges"), picks.select(F.col("u").alias("v"), F.col("p").alias("b"), "edges")
+        moved = durable(join_split(live, pu, ["u"], "edges"), "moved")
+        live = durable(join_split(moved, pv, ["v"], "edges").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u != v").distinct(), "edges")
         if found is None:
             found = picks.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:

@@ -53,6 +53,30 @@ def test_chains_through_a_hot_bucket(spark):
     assert all(g[1] <= w[1] for g, w in zip(got, want))
 
 
+def test_shape_follows_the_number_of_vectors():
+    last = 0
+    for rows in (1, 100, 10_000, 10**6, 10**9):
+        bits, tables = embed_dedup.shape(rows)
+        assert bits >= last and rows <= 2 ** (bits - embed_dedup.SPARE)
+        last = bits
+        p = (1 - np.arccos(0.95) / np.pi) ** bits
+        assert 1 - (1 - p) ** tables >= embed_dedup.RECALL > 1 - (1 - p) ** (tables - 1)
+    assert embed_dedup.shape(10, threshold=1.0)[1] == 1
+
+
+def test_copies_and_clusters_beside_many_unlike_vectors(spark):
+    """Buckets of two, of a few and of many; equal vectors that hold a third of the rows."""
+    rng = np.random.default_rng(8)
+    rows = [rng.normal(size=24) for _ in range(500)]
+    for size in (2, 3, 5, 60):
+        base = rng.normal(size=24)
+        rows += [base + rng.normal(scale=0.1, size=24) for _ in range(size)]
+    rows += [rows[0]] * 400
+    rows = [(i, v.tolist()) for i, v in enumerate(rows)]
+    got = sorted(map(tuple, embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == brute(rows)
+
+
 def test_extreme_lengths_of_vectors(spark):
     rows = [(1, [1e200, 1e199]), (2, [1e-200, 1e-201]), (3, [-1.0, 0.0])]
     got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
