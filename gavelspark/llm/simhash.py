@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ID, NO_ID, RK, aside, durable, keyed, per_batch, shuffle_width
+from .common import ID, NO_ID, RK, aside, durable, join_split, keyed, per_batch, shuffle_width, small_batches
 from .components import connected_components
 
 RADIUS = 2
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rk"), pa.array(fps, pa.int64())], names=["id", "rk", "fp"])
 
     rows = keyed(docs, id_col, text_col).select(F.col(ID).alias("id"), F.col(RK).alias("rk"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(per_batch(run), "id long, rk long, fp long")
+    return small_batches(rows).mapInArrow(per_batch(run), "id long, rk long, fp long")
 
 
 def _masks(bits: list[int], blocks: int, keep: int) -> list[int]:
@@ -188,12 +188,13 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, rk, fp, component_id) per row, with ``NO_ID`` for null ids."""
     prints = durable(fingerprints(docs, id_col, text_col), "prints")
-    distinct = durable(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    distinct = durable(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
     roots = connected_components(fingerprint_links(distinct, radius))
-    linked = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    groups = distinct.join(roots.select(F.col("node").alias("fp"), "root").join(least, "root"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(groups, "fp")
+    linked = durable(distinct.join(roots.withColumnRenamed("node", "fp"), "fp"), "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    grouped_prints = join_split(linked, durable(least, "least"), ["root"], "prints").select("fp", "rows", "component_id")
+    alone = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left_anti").select("fp", "rows", F.col("least").alias("component_id"))
+    return join_split(prints, durable(grouped_prints.union(alone), "groups"), ["fp"], "rows")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -100,3 +100,15 @@ def test_components_of_a_chain(spark):
 def test_empty_table(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.keep_one(empty(spark)).count() == 0
+
+
+def test_hot_keys_are_joined_apart(spark):
+    from pyspark.sql import functions as F
+
+    from gavelspark.llm.common import join_split
+
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("x")).union(spark.range(3000).selectExpr("3L", "id"))
+    counts = rows.filter("k != 5").groupBy("k").agg(F.count(F.lit(1)).alias("w"), F.max("x").alias("top"))
+    for how in ("inner", "left"):
+        got = join_split(rows, counts, ["k"], "w", how, share=10, floor=200)
+        assert sorted(got.collect(), key=str) == sorted(rows.join(counts.drop("w"), "k", how).collect(), key=str)
