@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.regex import like_escape, matches, word_start
 from ..functions.text import lot_count, main_category, quoted_models, telling_words
 from ..rules import classify
 from .facets import index_percentiles
 from .fuzzy import similar_pairs, word_pairs
+from .stable import pinned
 
 MOST, LEAST, SAMPLES = 250, 3, 15
 SIMILARITY = 0.45
@@ -81,48 +83,112 @@ def sale_mains(sales: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     return sales.withColumn("s_main", F.coalesce(trusted, voted, stored, main_category(classify.by_text(F.col("title"))))).drop("__title", "__voted")
 
 
-def comparables(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY, lexicon: DataFrame | None = None) -> DataFrame:
-    """Gated comparable sales per distinct target title and main category: one row each with ``strict``,
-    ``similarity`` and ``price``. A target has at most ``MOST`` candidates, the most similar and then the newest; the
-    cut is the feature's own. Sales of one title and main are alike to every target, so no more than ``MOST`` of them
-    enter the join, however many a hot title has."""
-    t = targets.select("title", main_category(F.col("category")).alias("main")).distinct()
-    sold = sale_mains(verified(history), lexicon).select(F.col("title").alias("b"), "s_main", F.col("final_total").alias("price"), "external_id", "ended_at")
-    newest = F.row_number().over(Window.partitionBy("b", "s_main").orderBy(F.desc("ended_at"), "external_id"))
-    recent = sold.withColumn("__r", newest).filter(F.col("__r") <= MOST).drop("__r")
-    pairs = title_pairs(t, sold.select(F.col("b").alias("title")), threshold)
-    pairs = pairs.filter(overlap_ok(F.col("a"), F.col("b"), F.col("similarity"), threshold) & counts_agree(lot_count(F.col("a")), lot_count(F.col("b"))))
-    pairs = pairs.withColumn("strict", model_agrees(quoted_models(F.col("a")), F.col("b")))
-    rows = t.join(pairs, t.title == pairs.a).join(recent, "b")
+#: Facts of a lot that must not clash, and its year (fixed names).
+ATTRIBUTES, YEAR = ("b", "m", "d", "t"), "y"
+
+
+def _class_columns(targets: DataFrame) -> list[str]:
+    """What makes two targets alike: the title, the main category and, where they are known, count and facts."""
+    return ["title", "main", *[c for c in ("lot_count", "attrs") if c in targets.columns]]
+
+
+def _classes(targets: DataFrame) -> DataFrame:
+    """``targets`` with ``main`` and ``class``, a key of the columns that make them alike."""
+    rows = targets.withColumn("main", main_category(F.col("category")))
+    return rows.withColumn("class", F.xxhash64(*[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in _class_columns(targets)]))
+
+
+def _candidates(classes: DataFrame, history: DataFrame, threshold: float, lexicon: DataFrame | None) -> DataFrame:
+    """Gated sales of each class of targets, before any cut but one: sales that are alike to every target (of one title,
+    main, count and facts) are cut to their newest, one more than a target can take, however many a hot title has."""
+    known = lambda name: F.col(name) if name in history.columns else F.lit(None)
+    sold = sale_mains(verified(history), lexicon).withColumns({"s_count": F.coalesce(known("lot_count").cast("long"), lot_count(F.col("title"))), "s_attrs": known("attrs")})
+    keys = [c for c in ("house", "external_id") if c in history.columns]
+    sold = sold.select(F.col("title").alias("b"), "s_main", "s_count", "s_attrs", F.col("final_total").alias("price"), *[F.col(k).alias("s_" + k) for k in keys], "ended_at").filter("price > 0")
+    alike = Window.partitionBy("b", "s_main", "s_count", "s_attrs").orderBy(F.desc("ended_at"), "s_external_id")
+    recent = sold.withColumn("__r", F.row_number().over(alike)).filter(F.col("__r") <= MOST + 1).drop("__r")
+    pairs = title_pairs(classes, sold.select(F.col("b").alias("title")), threshold)
+    pairs = pairs.filter(overlap_ok(F.col("a"), F.col("b"), F.col("similarity"), threshold))
+    pairs = pinned(pairs.withColumn("strict", model_agrees(quoted_models(F.col("a")), F.col("b"))))
+    rows = classes.join(pairs, classes.title == pairs.a).join(recent, "b")
     rows = rows.filter(F.coalesce(F.col("main") == F.col("s_main"), F.col("main").isNull()))
-    place = F.row_number().over(Window.partitionBy("title", "main").orderBy(F.desc("similarity"), F.desc("ended_at"), "external_id"))
-    return rows.withColumn("place", place).filter(F.col("place") <= MOST).select("title", "main", "strict", "similarity", "price", "external_id", "place")
+    own_count = F.coalesce(F.col("lot_count").cast("long"), lot_count(F.col("title"))) if "lot_count" in classes.columns else lot_count(F.col("title"))
+    rows = rows.filter(counts_agree(own_count, F.col("s_count")))
+    if "attrs" in classes.columns and "attrs" in history.columns:
+        facts = lambda c: {name: F.col(c)[name] for name in ATTRIBUTES}
+        rows = rows.filter(attributes_agree(facts("attrs"), facts("s_attrs"), F.col("attrs")[YEAR], F.col("s_attrs")[YEAR]))
+    return rows.select(*classes.columns, "strict", "similarity", "price", *["s_" + k for k in keys], "ended_at")
+
+
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), F.desc("ended_at"), "s_external_id"))
+    return rows.withColumn("place", place).filter(F.col("place") <= MOST)
+
+
+def comparables(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY, lexicon: DataFrame | None = None) -> DataFrame:
+    """Gated comparable sales per class of alike targets: one row each with ``strict``, ``similarity`` and ``price``. A
+    class has at most ``MOST``, the most similar and then the newest; the cut is the feature's own."""
+    columns = _class_columns(targets)
+    classes = _classes(targets).select(*columns, "class").distinct()
+    rows = _ranked(_candidates(classes, history, threshold, lexicon), ["class"])
+    return rows.select(*columns, "strict", "similarity", "price", F.col("s_external_id").alias("external_id"), "place")
+
+
+def _chosen(found: DataFrame, by: list[str]) -> DataFrame:
+    """The strict rows of a group, or all of them where fewer than ``LEAST`` are strict (``loose``)."""
+    strict = F.count_if("strict").over(Window.partitionBy(*by))
+    return found.withColumn("loose", strict < LEAST).filter(F.col("strict") | F.col("loose"))
 
 
 def _used(targets: DataFrame, history: DataFrame, threshold: float, lexicon: DataFrame | None) -> DataFrame:
-    found = comparables(targets, history, threshold, lexicon)
-    by = Window.partitionBy("title", "main")
-    return found.withColumn("n_strict", F.count_if("strict").over(by)).filter(F.col("strict") | (F.col("n_strict") < LEAST))
+    return _chosen(comparables(targets, history, threshold, lexicon), _class_columns(targets))
 
 
-def price_stats(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY, lexicon: DataFrame | None = None) -> DataFrame:
-    """Per target title and main category: statistics over the strict comparables, or over all when the strict are too
-    few; none under three."""
-    return index_percentiles(_used(targets, history, threshold, lexicon), ["title", "main"], "price").filter(F.col("n") >= LEAST)
+def price_stats(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY, lexicon: DataFrame | None = None, loose: bool = False) -> DataFrame:
+    """Per class of alike targets: statistics over the strict comparables, or over all when the strict are too few; none
+    under three. With ``loose`` also whether they were too few."""
+    by = [*_class_columns(targets), *(["loose"] if loose else [])]
+    return index_percentiles(_used(targets, history, threshold, lexicon), by, "price").filter(F.col("n") >= LEAST)
 
 
 def price_samples(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY, lexicon: DataFrame | None = None) -> DataFrame:
-    """The comparables behind ``price_stats``, the ``SAMPLES`` most similar of each title and main, numbered from 1."""
-    by = Window.partitionBy("title", "main")
+    """The comparables behind ``price_stats``, the ``SAMPLES`` most similar of each class, numbered from 1."""
+    columns = _class_columns(targets)
+    by = Window.partitionBy(*columns)
     rows = _used(targets, history, threshold, lexicon).withColumns({"n": F.count("price").over(by), "sample": F.row_number().over(by.orderBy("place"))})
-    return rows.filter((F.col("n") >= LEAST) & (F.col("sample") <= SAMPLES)).select("title", "main", "sample", "external_id", "similarity", "price")
-
-
-def lookup(history: DataFrame, words: list[str], since: Column, as_of: Column, months: int = 12) -> DataFrame:
-    """Verified sales whose title has all words, within the last months."""
+    return rows.filter((F.col("n") >= LEAST) & (F.col("sample") <= SAMPLES)).select(*columns, "sample", "external_id", "similarity", "price")
+
+
+def estimates(targets: DataFrame, history: DataFrame, rejected: DataFrame | None = None, threshold: float = SIMILARITY, lexicon: DataFrame | None = None) -> DataFrame:
+    """(house, external_id, loose, statistics) per target; targets without an estimate have ``n`` 0.
+
+    A target's own sale never counts, nor do sales that a person rejected for it (``rejected``: house, external_id,
+    cmp_house, cmp_external_id). Targets that neither touches share the statistics of their class, so only the few that
+    are touched are computed one by one.
+    """
+    key, by = ["house", "external_id"], ["house", "external_id", "loose"]
+    members = _classes(targets).select(*key, "class")
+    classes = _classes(targets).select(*_class_columns(targets), "class").distinct()
+    found = pinned(_candidates(classes, history, threshold, lexicon).select("class", "strict", "similarity", "price", "s_house", "s_external_id", "ended_at"))
+    own = members.join(found.select("class", F.col("s_house").alias("house"), F.col("s_external_id").alias("external_id")), ["class", *key], "left_semi").select(*key)
+    touched = own if rejected is None else own.union(rejected.select(*key)).distinct()
+    alone = members.join(touched, key, "left_semi")
+    one_by_one = alone.join(found, "class").filter((F.col("s_house") != F.col("house")) | (F.col("s_external_id") != F.col("external_id")))
+    one_by_one = _ranked(one_by_one, key)
+    if rejected is not None:
+        pairs = rejected.select(*key, F.col("cmp_house").alias("s_house"), F.col("cmp_external_id").alias("s_external_id"))
+        one_by_one = one_by_one.join(pairs, [*key, "s_house", "s_external_id"], "left_anti")
+    special = index_percentiles(_chosen(one_by_one, key), by, "price").filter(F.col("n") >= LEAST)
+    shared = index_percentiles(_chosen(_ranked(found, ["class"]), ["class"]), ["class", "loose"], "price").filter(F.col("n") >= LEAST)
+    shared = members.join(touched, key, "left_anti").join(shared, "class").select(*special.columns)
+    return members.select(*key).join(shared.union(special), key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def lookup(history: DataFrame, words: list[str], since: Column, as_of: Column) -> DataFrame:
+    """Sales since a day whose title has all words, each at the start of a word."""
     rows = history.filter("sold").filter(F.coalesce(F.col("ended_at") <= as_of, F.lit(True))).filter(F.col("ended_at") >= since)
     for w in words:
-        rows = rows.filter(F.col("title").ilike(f"%{w}%"))
+        rows = rows.filter(F.col("title").ilike(f"%{like_escape(w)}%") & matches("title", word_start(w)))
     return rows
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import money
 from ..functions.vectors import trigram_similarity
 from ..operators import facets, fuzzy, price, search
-from .adapt import AS_OF, HISTORY_SQL, ITEMS_SQL, history, items, ntz, table
+from .adapt import AS_OF, HISTORY_SQL, ITEMS_SQL, LOTS_SQL, history, items, lots, ntz, table
 from .registry import query
 
 
@@ -50,7 +50,7 @@ def history_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SINCE = "2000-06-01 00:00:00"
-_FOUND = f"WITH {HISTORY_SQL}, f AS (SELECT * FROM history WHERE sold AND ended_at <= TIMESTAMP '{AS_OF}' AND ended_at >= TIMESTAMP '{_SINCE}' AND title ILIKE '%red%' AND title ILIKE '%widget%')"
+_FOUND = f"WITH {HISTORY_SQL}, f AS (SELECT * FROM history WHERE sold AND ended_at <= TIMESTAMP '{AS_OF}' AND ended_at >= TIMESTAMP '{_SINCE}' AND title ILIKE '%red%' AND title ILIKE '%widget%' AND regexp_matches(title, '(?i)(^|[^\\p{{L}}\\p{{N}}_])red') AND regexp_matches(title, '(?i)(^|[^\\p{{L}}\\p{{N}}_])widget'))"
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,3 +129,66 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdict_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q <> 0")
     return facets.index_percentiles(table(spark, sf_dir, "documents").join(verdicts, "doc_id"), ["source"], "n_chars")
+
+
+_MODEL = lambda key: f"CASE {key} % 5 WHEN 0 THEN ' \"Nova 300\"' WHEN 1 THEN ', 2 st' WHEN 2 THEN ' \"Fyra Goda Stolar\"' WHEN 3 THEN ' nova fyra goda' ELSE '' END"
+_TOKENS = "list_filter(regexp_split_to_array(lower(m), '[^a-z0-9åäöé]+'), lambda w: length(w) >= 3)"
+_ALPHA = f"list_filter({_TOKENS}, lambda w: NOT regexp_matches(w, '[0-9]'))"
+_HELD = f"(contains(lower(b), lower(m)) OR len(list_filter({_TOKENS}, lambda w: regexp_matches(w, '[0-9]') AND contains(lower(b), w))) > 0 OR len({_ALPHA}) > 0 AND len(list_filter({_ALPHA}, lambda w: contains(lower(b), w))) >= ceil(len({_ALPHA}) * 0.6))"
+_COUNT = lambda x: f"TRY_CAST(regexp_extract({x}, '(\\d+) st$', 1) AS BIGINT)"
+_MODELS_SQL = f"""WITH {ITEMS_SQL}, {HISTORY_SQL},
+i AS (SELECT title || {_MODEL("part_id")} AS title, split_part(category, '/', 1) AS main FROM items WHERE {_ACTIVE}),
+h AS (SELECT title || {_MODEL("split_part(external_id, '-', 3)::BIGINT")} AS title, split_part(category, '/', 1) AS main, final_total AS price, ended_at, external_id FROM history WHERE sold),
+t AS (SELECT DISTINCT title, main FROM i), x AS (SELECT DISTINCT title AS a FROM t), y AS (SELECT DISTINCT title AS b FROM h),
+p AS (SELECT a, b, {_sim('a', 'b')} AS raw, {_WORDS('a')} AS wa, len(list_filter({_WORDS('a')}, lambda w: len(list_filter(regexp_split_to_array(lower(b), '[^a-z0-9åäöéü]+'), lambda z: starts_with(z, w))) > 0)) AS shared,
+             list_transform(regexp_extract_all(a, '"([^"]+)"', 1), lambda m: {_HELD}) AS held FROM x, y),
+q AS (SELECT *, list_reduce(list_prepend('', wa), lambda m, w: CASE WHEN length(w) > length(m) THEN w ELSE m END) AS word FROM p),
+g AS (SELECT a, b, CASE WHEN raw >= 0.45 THEN raw ELSE 0 END AS s, len(held) = 0 OR list_contains(held, true) AS strict FROM q
+      WHERE (raw >= 0.45 OR word <> '' AND regexp_matches(b, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || word)) AND (raw >= 0.45 OR len(wa) < 2 OR shared >= 2)
+        AND CASE WHEN {_COUNT('a')} > 1 THEN coalesce({_COUNT('b')} = {_COUNT('a')}, false) ELSE coalesce({_COUNT('b')} <= 1, true) END),
+c AS (SELECT t.title, t.main, h.price, g.strict, row_number() OVER (PARTITION BY t.title, t.main ORDER BY s DESC, ended_at DESC, external_id) AS place FROM t JOIN g ON t.title = g.a JOIN h ON h.title = g.b AND h.main = t.main),
+k AS (SELECT *, count(*) FILTER (WHERE strict) OVER (PARTITION BY title, main) < 3 AS loose FROM c WHERE place <= 250),
+u AS (SELECT * FROM k WHERE strict OR loose)"""
+
+
+def _with_models(rows: DataFrame, key: F.Column) -> DataFrame:
+    """Titles with quoted models, counts and the bare words of a model."""
+    ends = F.element_at(F.array(*[F.lit(x) for x in (' "Nova 300"', ", 2 st", ' "Fyra Goda Stolar"', " nova fyra goda", "")]), (key % 5 + 1).cast("int"))
+    return rows.withColumn("title", F.concat("title", ends))
+
+
+@query("price_strict_loose", f"{_MODELS_SQL} SELECT * FROM ({_stats('title, main, loose', 'u', 'price')}) WHERE n >= 3")
+def price_strict_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles with models: strict comparables where there are three, else all."""
+    targets = search.Filters(as_of=ntz(AS_OF)).apply(_with_models(items(spark, sf_dir), F.col("part_id")))
+    sales = _with_models(history(spark, sf_dir), F.split_part("external_id", F.lit("-"), F.lit(3)).cast("long"))
+    return price.price_stats(targets, sales, loose=True)
+
+
+_EST = f"""WITH {LOTS_SQL}, l AS (SELECT *, CASE WHEN k % 2 = 0 THEN 1960 + k % 30 END AS y, category AS main, coalesce(category, 'fordon') AS s_main FROM lots),
+s AS (SELECT * FROM l WHERE status = 'ended' AND current_bid > 0 AND reserve_status IS DISTINCT FROM 'not_met' AND (reserve_price IS NULL OR current_bid >= reserve_price)),
+c AS (SELECT t.house, t.external_id, s.current_bid AS price, s.k AS sk, t.k AS tk, row_number() OVER (PARTITION BY t.k ORDER BY s.ends_at DESC, s.external_id) AS place
+      FROM l t JOIN s ON s.title = t.title AND (t.main IS NULL OR t.main = s.s_main) AND s.k <> t.k AND coalesce(abs(s.y - t.y) <= 20, true)),
+u AS (SELECT * FROM c WHERE place <= 250 AND NOT (tk % 3 = 0 AND sk = tk + 4)),
+e AS (SELECT * FROM ({_stats('house, external_id', 'u', 'price')}) WHERE n >= 3)
+SELECT l.house, l.external_id, coalesce(e.n, 0) AS n, e.median, e.p25, e.p75 FROM l LEFT JOIN e USING (house, external_id)"""
+
+
+@query("item_estimates", _EST)
+def item_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An estimate for every lot, without its own sale and the sales a person rejected for it; years must not clash."""
+    from ..operators.merge import sales_of
+
+    key = F.col("external_id").cast("long")
+    facts = F.struct(*[F.lit(None).cast("string").alias(n) for n in price.ATTRIBUTES], F.when(key % 2 == 0, (1960 + key % 30).cast("int")).alias(price.YEAR))
+    rows = lots(spark, sf_dir).withColumn("attrs", facts)
+    sold = sales_of(rows.filter("status = 'ended'")).withColumn("final_total", F.col("final_bid")).join(rows.select("house", "external_id", "attrs", "reserve_price", "reserve_status", "category_conf"), ["house", "external_id"])
+    others = lots(spark, sf_dir).select(F.col("house").alias("cmp_house"), F.col("external_id").alias("cmp_external_id"))
+    rejected = rows.filter(key % 3 == 0).select("house", "external_id", (key + 4).cast("string").alias("cmp_external_id")).join(others, "cmp_external_id")
+    return price.estimates(rows, sold, rejected).select("house", "external_id", "n", "median", "p25", "p75")
+
+
+@query("public_prices", f"{_MODELS_SQL} SELECT title, main, count(price) AS n FROM u GROUP BY title, main HAVING count(price) >= 3")
+def public_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What everybody may see: the number behind an estimate, never the sales."""
+    return price.public(price_strict_loose(spark, sf_dir)).select("title", "main", "n")
