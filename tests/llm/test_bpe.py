@@ -3,18 +3,19 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 import tiktoken
 
 from gavelspark.llm import bpe, queries
 
-from ..support import SMALL
+from ..support import MIDDLE, SMALL
 from .fixtures import EDGE, documents, empty
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def encoder():
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+def encoder(path=PATH):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -27,9 +28,10 @@ def want(rows):
     return sorted(out, key=repr)
 
 
-def test_query_equals_library(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
-    assert sorted(map(tuple, queries.QUERIES["op10_byte_bpe"](spark, SMALL).collect()), key=repr) == want([(d.doc_id, d.text) for d in docs])
+@pytest.mark.parametrize("sf_dir", [SMALL, MIDDLE])
+def test_query_equals_library(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert sorted(map(tuple, queries.QUERIES["op10_byte_bpe"](spark, sf_dir).collect()), key=repr) == want([(d.doc_id, d.text) for d in docs])
 
 
 def test_edge_and_odd_texts(spark):
@@ -51,9 +53,17 @@ def test_ids_and_bytes(spark):
     assert {r.doc_id: bytes(r.bytes) for r in bpe.decode(ids, PATH).collect()} == {x[0]: (x[1] or "").encode() for x in EDGE[:4]}
 
 
-def test_unordered_ranks_fall_back():
-    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"abc": 299}
+def test_unordered_ranks_fall_back(spark, tmp_path):
+    """A token that is ranked before its own parts: one contraction at a time still gives the library's ids."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"abc": 257, b"ab": 300, b"aba": 258, b"ba": 299, b"bab": 260, b"cab": 259, b"ca": 301}
     assert not bpe.ranks_are_ordered(ranks)
+    path = tmp_path / "unordered.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in sorted(ranks.items(), key=lambda x: x[1])))
+    r = random.Random(9)
+    rows = [(i, "".join(r.choice("abc") for _ in range(r.randint(1, 60))), None, None) for i in range(200)]
+    got = {x.doc_id: x.ids for x in bpe.encode(documents(spark, rows), str(path), public_tokenizers.PATTERN).collect()}
+    enc = encoder(path)
+    assert got == {i: enc.encode_ordinary(t) for i, t, *_ in rows}
     assert bpe.ranks_are_ordered({bytes([b]): b for b in range(256)} | {b"ab": 299, b"abc": 300})
 
 

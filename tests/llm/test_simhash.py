@@ -1,11 +1,12 @@
 import random
 
+import pytest
 import xxhash
 
 from gavelspark.llm import queries, simhash
 from gavelspark.llm.components import connected_components
 
-from ..support import SMALL
+from ..support import MIDDLE, SMALL
 from .fixtures import EDGE, documents, empty, groups_of
 
 INF = 1 << 62
@@ -36,11 +37,12 @@ def brute_components(ids, prints):
     return [None if least[of[p]] == INF else least[of[p]] for p in prints]
 
 
-def test_query_equals_brute_force(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+@pytest.mark.parametrize("sf_dir", [SMALL, MIDDLE])
+def test_query_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     prints = [brute_print(d.text) for d in docs]
     want = sorted((d.doc_id, f"{p:016x}", c) for d, p, c in zip(docs, prints, brute_components([d.doc_id for d in docs], prints)))
-    assert sorted(map(tuple, queries.QUERIES["op9_simhash_near_dedup"](spark, SMALL).collect())) == want
+    assert sorted(map(tuple, queries.QUERIES["op9_simhash_near_dedup"](spark, sf_dir).collect())) == want
 
 
 def test_edge_rows(spark):
