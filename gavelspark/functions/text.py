@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..rules.tables import CITY_NAMES, CONDITION_NEW, CONDITION_UNTESTED, STOP_WORDS
+from ..rules.tables import BRAND, CITY_NAMES, CONDITION_NEW, CONDITION_UNTESTED, ENTITIES, LOT_COUNT, LOT_PAIR, NEW_THING, PLATE, STOP_WORDS
 from .regex import ascii_words, escape, unicode_words
 
-_ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 QUOTES = "\"”“„"
 
 
@@ -34,8 +33,8 @@ def condition_badge(col: Column) -> Column:
 
 def lot_count(title: Column) -> Column:
     """Number of pieces a title states: 'N st', a pair is 2, else null."""
-    stated = F.nullif(F.regexp_extract(title, ascii_words(r"(?i)(\d+)\s*(?:stycken|styck|st)\.?\b"), 1), F.lit("")).cast("long")
-    pair = title.rlike(ascii_words(r"(?i)\bett\s+par\b|\b1\s+par\b|,\s*par\b|\bpar,|\bpar\s+(?=[”\"“])"))
+    stated = F.nullif(F.regexp_extract(title, ascii_words(LOT_COUNT), 1), F.lit("")).cast("long")
+    pair = title.rlike(ascii_words(LOT_PAIR))
     return F.coalesce(F.when(stated > 0, stated), F.when(pair, F.lit(2).cast("long")))
 
 
@@ -71,7 +70,7 @@ def main_category(key: Column) -> Column:
 def plate(text: Column) -> Column:
     """A registration plate in a text, without look-alikes such as AAA000."""
     upper = F.upper(text)
-    pattern = ascii_words(r"\b([A-HJ-PR-UW-Z]{3})\s?(\d{2}[\dA-HJ-PR-UW-Z])\b")
+    pattern = ascii_words(PLATE)
     found = F.concat(F.regexp_extract(upper, pattern, 1), F.regexp_extract(upper, pattern, 2))
     sample = found.rlike(r"^(.)\1\1") & found.contains("000")
     return F.when((found != "") & ~sample, found)
@@ -89,7 +88,7 @@ def digits(text: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Common character references; the ampersand last."""
-    for name, char in _ENTITIES.items():
+    for name, char in ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
@@ -176,12 +175,12 @@ def brand(title: Column) -> Column:
 def condition(description: Column, title: Column | None = None) -> Column:
     """'new' when a text says that a thing is new or unused, else 'used'."""
     text = F.lower(description if title is None else F.concat_ws(" ", description, title))
-    return F.when(text.rlike(ascii_words(r"\b(ny|nytt|nya|oanvänd|oanvänt|unused|new\s+condition)\b")), "new").otherwise("used")
+    return F.when(text.rlike(ascii_words(NEW_THING)), "new").otherwise("used")
 
 
 def stated_brand(description: Column) -> Column:
     """The first word behind 'Märke', 'Fabrikat' or 'Tillverkare' in a description; null if none is stated."""
-    found = F.trim(F.regexp_extract(strip_html_lines(description), r"(?iu)(?:Märke|Fabrikat|Tillverkare)\s*[:=]\s*([^\n,]+)", 1))
+    found = F.trim(F.regexp_extract(strip_html_lines(description), BRAND, 1))
     return F.nullif(F.substring_index(found, " ", 1), F.lit(""))
 
 

@@ -1,8 +1,9 @@
 """Fuzzy joins by trigram similarity.
 
 Pairs at similarity t or more share enough trigrams that at least one lies in the first n - ceil(t n) + 1 of the rarer
-ones of either side, so only those are joined on (prefix filter); candidates are then verified on their whole sets.
-Equal texts are matched once.
+ones of either side, and neither has less than t times the other's trigrams; so only those are joined on (prefix and
+length filter), and only texts and sizes travel. Distinct candidates are then verified on their whole sets. Equal texts
+are matched once.
 """
 
 from __future__ import annotations
@@ -11,15 +12,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.regex import escape, unicode_words
 from ..functions.text import telling_words
-from ..functions.vectors import jaccard, trigrams
+from ..functions.vectors import trigram_similarity, trigrams
 
 
 def _prefixed(texts: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
-    """(text, grams, gram): the rarest grams of each text that a match must share."""
-    rows = texts.select("text", "grams", F.explode("grams").alias("gram")).join(weights, "gram")
+    """(text, size, gram): the rarest grams of each text that a match must share."""
+    rows = texts.select("text", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(weights, "gram")
     order = Window.partitionBy("text").orderBy("freq", "gram")
-    size = F.size("grams")
-    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size - F.ceil(size * threshold) + 1).select("text", "grams", "gram")
+    size = F.col("size")
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size - F.ceil(size * threshold) + 1).select("text", "size", "gram")
 
 
 def similar_pairs(left: DataFrame, left_col: str, right: DataFrame, right_col: str, threshold: float = 0.45) -> DataFrame:
@@ -28,10 +29,11 @@ def similar_pairs(left: DataFrame, left_col: str, right: DataFrame, right_col: s
     prep = lambda df, c: df.select(F.col(c).alias("text")).filter(F.col("text").isNotNull()).distinct().withColumn("grams", trigrams(F.col("text"))).filter(F.size("grams") > 0)
     a, b = prep(left, left_col), prep(right, right_col)
     weights = a.union(b).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
-    pa = _prefixed(a, weights, threshold).select(F.col("text").alias("a"), F.col("grams").alias("ga"), "gram")
-    pb = _prefixed(b, weights, threshold).select(F.col("text").alias("b"), F.col("grams").alias("gb"), "gram")
-    pairs = pa.join(pb, "gram").select("a", "b", "ga", "gb").dropDuplicates(["a", "b"])
-    return pairs.withColumn("similarity", jaccard(F.col("ga"), F.col("gb"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    pa = _prefixed(a, weights, threshold).select(F.col("text").alias("a"), F.col("size").alias("na"), "gram")
+    pb = _prefixed(b, weights, threshold).select(F.col("text").alias("b"), F.col("size").alias("nb"), "gram")
+    like = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
+    pairs = pa.join(pb, "gram").filter(like).select("a", "b").distinct()
+    return pairs.withColumn("similarity", trigram_similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= threshold)
 
 
 def word_pairs(left: DataFrame, left_col: str, right: DataFrame, right_col: str) -> DataFrame:

@@ -246,8 +246,9 @@ def over_rows(name: str, fn, source: str, key: str, text: str, sql: str | None =
 
 
 _SQUEEZED = "trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g'))"
+_BODY = "left(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 400)"
 over_rows("keyword_classify_rows", classify.by_text, "part", "p_partkey", "p_name")
-over_rows("lot_count_rows", T.lot_count, "part", "p_partkey", "p_name")
+over_rows("lot_count_rows", T.lot_count, "part", "p_partkey", "p_name", "CASE WHEN regexp_matches(p_name, '(?i)[1-9][0-9]*\\s*(stycken|styck|st)\\b') THEN TRY_CAST(regexp_extract(p_name, '(?i)(\\d+)\\s*(?:stycken|styck|st)\\b', 1) AS BIGINT) END")
 over_rows("plate_regex_rows", T.plate, "documents", "doc_id", "text")
 over_rows("swedish_number_rows", T.number, "documents", "doc_id", "text")
 over_rows("slugify_rows", T.slug, "part", "p_partkey", "p_name", "regexp_replace(regexp_replace(translate(lower(p_name), 'åäöéèüàçñóíêß', 'aaoeeuacnoies'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
@@ -255,10 +256,10 @@ over_rows("countdown_rows", times.countdown_seconds, "documents", "doc_id", "tex
 over_rows("quoted_models_rows", lambda x: F.array_join(T.quoted_models(x), "|"), "documents", "doc_id", "text")
 over_rows("condition_badge_rows", T.condition_badge, "documents", "doc_id", "text")
 over_rows("normalise_query_rows", T.normalise_query, "part", "p_partkey", "p_name", _SQUEEZED)
-over_rows("clock_minutes_rows", times.clock_minutes, "documents", "doc_id", "text")
+over_rows("clock_minutes_rows", times.clock_minutes, "documents", "doc_id", "text", "CASE WHEN regexp_full_match(text, '([0-1]?[0-9]|2[0-3]):[0-5][0-9]') THEN split_part(text, ':', 1)::INT * 60 + split_part(text, ':', 2)::INT END")
 over_rows("html_entities_rows", T.strip_html, "pages", "page_id", "html")
-over_rows("item_text_rows", lambda x: T.item_text(F.lit("Stol"), x), "documents", "doc_id", "text")
+over_rows("item_text_rows", lambda x: T.item_text(F.lit("Stol"), x), "documents", "doc_id", "text", f"CASE WHEN {_BODY} = '' THEN 'Stol' ELSE 'Stol. ' || {_BODY} END")
 over_rows("spec_value_rows", lambda x: T.label_value(x, "Höjd", ("Bredd", "Vikt")), "documents", "doc_id", "text")
-over_rows("image_url_rows", T.image_url, "pages", "page_id", "url")
+over_rows("image_url_rows", T.image_url, "pages", "page_id", "url", "regexp_replace(url, '(?i)([_-](thumb|small|mid|large|\\d+x\\d+))(\\.(jpe?g|png|webp))', '\\3', 'g')")
 over_rows("fitted_text_rows", lambda x: T.fitted(x, 10), "part", "p_partkey", "p_name", "CASE WHEN length(p_name) <= 10 THEN p_name ELSE rtrim(left(p_name, 9)) || '…' END")
 over_rows("worth_expanding_rows", T.worth_expanding, "part", "p_partkey", "p_name", f"length({_SQUEEZED}) BETWEEN 4 AND 60 AND regexp_matches({_SQUEEZED}, '\\p{{L}}{{4,}}')")

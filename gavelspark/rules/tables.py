@@ -352,3 +352,48 @@ LABEL_RULES: tuple[tuple[str, str], ...] = (
 
 # Words of an auction's title or contact that tell of an insolvency, each with the field it counts in.
 INSOLVENCY_WORDS = (("title", "konkurs"), ("contact", "konkurs"), ("contact", "advokat"), ("title", "likvidation"))
+
+# Patterns of what titles and descriptions state: a number of pieces, a pair, a plate, a thing never used, a brand.
+LOT_COUNT = r"(?i)(\d+)\s*(?:stycken|styck|st)\.?\b"
+LOT_PAIR = r"(?i)\bett\s+par\b|\b1\s+par\b|,\s*par\b|\bpar,|\bpar\s+(?=[”\"“])"
+PLATE = r"\b([A-HJ-PR-UW-Z]{3})\s?(\d{2}[\dA-HJ-PR-UW-Z])\b"
+NEW_THING = r"\b(ny|nytt|nya|oanvänd|oanvänt|unused|new\s+condition)\b"
+BRAND = r"(?iu)(?:Märke|Fabrikat|Tillverkare)\s*[:=]\s*([^\n,]+)"
+
+# Character references that sources use, the ampersand last.
+ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
+# Labels of a table that stand for months.
+MONTH_LABEL = r"(?iu)^(januari|februari|mars|april|maj|juni|juli|augusti|september|oktober|november|december|jan|feb|mar|apr|jun|jul|aug|sep|okt|nov|dec)\b|^\d{4}-\d{2}"
+
+# Where the fields of a card stand on the pages of two sources, and of a lot's table of facts.
+METROPOL_CARD = {
+    "start": "block-product-cards__card",
+    "link": r'href="(/go/\d+/(\d+))"',
+    "title": r"(?i)__name[^>]*>\s*([^<]+)",
+    "description": r"(?is)__description[^>]*>(.*?)</p>",
+    "least": r"(?i)Bjud mer än:\s*<span>([^<]+)</span>",
+    "end": r'(?i)<time datetime="([^"]+)"',
+    "image": r'(?i)<img\s+src="([^"]+\.(?:jpe?g|png|webp))"',
+}
+PANTBANKEN_CARD = {
+    "start": r'(?=<div class="varubild">)',
+    "key": r"f_id=(\d+)",
+    "title": r'(?is)<h5><a class="vara"[^>]*>(.*?)</a>',
+    "alt": r'(?i)alt="([^"]+)"',
+    "bid": r'(?i)aktuellt_bud current-bid">([^<]+)',
+    "start_bid": r'(?i)name="start_bud"[^>]*value="(\d+)"',
+    "leader": r'(?i)bid-leader">([^<]*)',
+    "bids": r'(?i)num-bids">([^<]*)',
+    "end": r'(?i)class="stanger">([^<]+)',
+    "image": r'(?i)<img\s+src="([^"]*imagehandler[^"]+)"',
+}
+LOT_FACT = r'(?i)class="varurubrik">([^<]+)</td>\s*<td class="varuvarde">([^<]*)<'
+NO_FACT = "(?i)utropspris|aktuellt bud|stänger|provision"
+
+# Labels of a vehicle's page, and where a price stands behind a heading.
+VEHICLE = {
+    "status": "Status", "registered": "Först registrerad", "owners": "Antal ägare", "inspected": "Senast besiktigad", "odometer": "Mätarställning (besiktning)", "tax": "Årlig skatt",
+    "on_credit": "Kreditköp", "imported": "Import / Införsel", "horsepower": "Hästkrafter", "fuel": "Drivmedel", "other_fuel": "Bränsle",
+}
+PRICE_RANGE = r"(?is)<h4>{label}:?</h4>.{{0,300}}?<em>([^<]+)</em>"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.money import half_up
 from ..functions.text import digits, strip_html
 from ..functions.times import countdown_seconds, exact_local, yearless
+from ..rules.tables import LOT_FACT, METROPOL_CARD, NO_FACT, PANTBANKEN_CARD
 from .contract import conform, reserve, status_at
 from .houses import instant, parsed
 from .houses_lists import no_blanks, positive
@@ -128,37 +129,34 @@ def _field(pattern: str) -> Column:
 
 def metropol(pages: DataFrame, as_of: Column, html: str = "html") -> DataFrame:
     """Cards of list pages. Only the lowest valid bid is told, so the current one is unknown."""
-    rows = _pieces(pages, html, "block-product-cards__card")
-    path = F.regexp_extract("p", r'href="(/go/\d+/(\d+))"', 1)
-    key = F.nullif(F.regexp_extract("p", r'href="(/go/\d+/(\d+))"', 2), F.lit(""))
-    ends = exact_local(F.regexp_extract("p", r'(?i)<time datetime="([^"]+)"', 1))
-    title = F.coalesce(_field(r"(?i)__name[^>]*>\s*([^<]+)"), F.concat(F.lit("Metropol "), key))
-    image = F.nullif(F.regexp_extract("p", r'(?i)<img\s+src="([^"]+\.(?:jpe?g|png|webp))"', 1), F.lit(""))
+    at = METROPOL_CARD
+    rows = _pieces(pages, html, at["start"])
+    key = F.nullif(F.regexp_extract("p", at["link"], 2), F.lit(""))
+    ends = exact_local(F.regexp_extract("p", at["end"], 1))
     return conform(
-        rows, "metropol", external_id=key, auction_external_id=key, title=title, description=_field(r"(?is)__description[^>]*>(.*?)</p>"), status=status_at(ends, as_of), ends_at=ends, min_bid=digits(_field(r"(?i)Bjud mer än:\s*<span>([^<]+)</span>")),
-        seller=F.lit("Metropol Auktioner"), source_url=F.concat(F.lit("https://www.metropol.se"), path), media=no_blanks(F.array(image)), raw=F.to_json(F.struct("p")))
+        rows, "metropol", external_id=key, auction_external_id=key, title=F.coalesce(_field(at["title"]), F.concat(F.lit("Metropol "), key)), description=_field(at["description"]), status=status_at(ends, as_of), ends_at=ends, min_bid=digits(_field(at["least"])),
+        seller=F.lit("Metropol Auktioner"), source_url=F.concat(F.lit("https://www.metropol.se"), F.regexp_extract("p", at["link"], 1)), media=no_blanks(F.array(F.regexp_extract("p", at["image"], 1))), raw=F.to_json(F.struct("p")))
 
 
 def pantbanken(pages: DataFrame, as_of: Column, html: str = "html") -> DataFrame:
     """Cards of list pages. What a card shows is the winning bid if somebody leads, else the starting price; who leads
     is not carried."""
-    rows = _pieces(pages, html, r'(?=<div class="varubild">)')
-    key = F.nullif(F.regexp_extract("p", r"f_id=(\d+)", 1), F.lit(""))
-    leader = F.trim(F.regexp_extract("p", r'(?i)bid-leader">([^<]*)', 1))
+    at = PANTBANKEN_CARD
+    rows = _pieces(pages, html, at["start"])
+    key = F.nullif(F.regexp_extract("p", at["key"], 1), F.lit(""))
+    leader = F.trim(F.regexp_extract("p", at["leader"], 1))
     led = (leader != "") & (leader != "-")
-    shown, start = digits(_field(r'(?i)aktuellt_bud current-bid">([^<]+)')), digits(_field(r'(?i)name="start_bud"[^>]*value="(\d+)"'))
-    count = F.coalesce(positive(digits(F.regexp_extract("p", r'(?i)num-bids">([^<]*)', 1))), F.lit(1))
-    ends = exact_local(F.regexp_extract("p", r'(?i)class="stanger">([^<]+)', 1))
-    title = F.coalesce(_field(r'(?is)<h5><a class="vara"[^>]*>(.*?)</a>'), _field(r'(?i)alt="([^"]+)"'), F.concat(F.lit("Pantbanken "), key))
-    image = F.nullif(F.regexp_extract("p", r'(?i)<img\s+src="([^"]*imagehandler[^"]+)"', 1), F.lit(""))
+    shown, start = digits(_field(at["bid"])), digits(_field(at["start_bid"]))
+    count = F.coalesce(positive(digits(F.regexp_extract("p", at["bids"], 1))), F.lit(1))
+    ends = exact_local(F.regexp_extract("p", at["end"], 1))
     return conform(
-        rows, "pantbanken", external_id=key, auction_external_id=key, title=title, status=status_at(ends, as_of), ends_at=ends, min_bid=F.when(led, start).otherwise(shown), current_bid=F.when(led, shown), bid_count=F.when(led, count).otherwise(0),
-        seller=F.lit("Pantbanken Sverige"), source_url=F.concat(F.lit("https://www.pantbanken.se/auktioner/visa-auktionsvara/?f_id="), key), media=no_blanks(F.array(image)), raw=F.to_json(F.struct("p")))
+        rows, "pantbanken", external_id=key, auction_external_id=key, title=F.coalesce(_field(at["title"]), _field(at["alt"]), F.concat(F.lit("Pantbanken "), key)), status=status_at(ends, as_of), ends_at=ends, min_bid=F.when(led, start).otherwise(shown),
+        current_bid=F.when(led, shown), bid_count=F.when(led, count).otherwise(0), seller=F.lit("Pantbanken Sverige"), source_url=F.concat(F.lit("https://www.pantbanken.se/auktioner/visa-auktionsvara/?f_id="), key),
+        media=no_blanks(F.array(F.regexp_extract("p", at["image"], 1))), raw=F.to_json(F.struct("p")))
 
 
-def lot_facts(html: Column, skipped: str = "(?i)utropspris|aktuellt bud|stänger|provision") -> Column:
+def lot_facts(html: Column) -> Column:
     """Lines 'label: value' of a lot's table of facts, without those that are fields of their own."""
-    labels, values = (F.transform(F.regexp_extract_all(html, F.lit(r'(?i)class="varurubrik">([^<]+)</td>\s*<td class="varuvarde">([^<]*)<'), F.lit(k)), strip_html) for k in (1, 2))
-    pairs = F.filter(F.arrays_zip(labels.alias("k"), values.alias("v")), lambda p: (p["k"] != "") & (p["v"] != "") & ~p["k"].rlike(skipped))
+    labels, values = (F.transform(F.regexp_extract_all(html, F.lit(LOT_FACT), F.lit(k)), strip_html) for k in (1, 2))
+    pairs = F.filter(F.arrays_zip(labels.alias("k"), values.alias("v")), lambda p: (p["k"] != "") & (p["v"] != "") & ~p["k"].rlike(NO_FACT))
     return F.nullif(F.array_join(F.transform(pairs, lambda p: F.concat_ws(": ", p["k"], p["v"])), "\n"), F.lit(""))
-

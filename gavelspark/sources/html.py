@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.money import nice_ceiling
 from ..functions.text import digits, number, strip_html, unescape
+from ..rules.tables import MONTH_LABEL, PRICE_RANGE, VEHICLE
 
 _PAIRS = (
     r"(?is)<t[hd][^>]*>\s*([^<>:]{2,60}?)\s*:?\s*</t[hd]>\s*<td[^>]*>(.*?)</td>",
@@ -53,7 +54,7 @@ def _amount(text: Column) -> Column:
 
 def price_range(html: Column, label: str) -> Column:
     """Struct (low, high) of the price after a heading; one number is both; null if there is none."""
-    told = F.regexp_extract(html, rf"(?is)<h4>{label}:?</h4>.{{0,300}}?<em>([^<]+)</em>", 1)
+    told = F.regexp_extract(html, PRICE_RANGE.format(label=label), 1)
     numbers = F.filter(F.transform(F.regexp_extract_all(unescape(told), F.lit(r"([\d \u00a0]{2,})"), F.lit(1)), _amount), lambda n: n.isNotNull())
     low = F.get(numbers, F.lit(0))
     return F.when(low.isNotNull(), F.struct(low.alias("low"), F.coalesce(F.get(numbers, F.lit(1)), low).alias("high")))
@@ -62,12 +63,12 @@ def price_range(html: Column, label: str) -> Column:
 def vehicle(html: Column, plate: Column) -> Column:
     """The typed record of a vehicle's page, from its labels; null for a page of another vehicle."""
     title, labels = F.regexp_extract(html, "<title>([^<]*)</title>", 1), label_values(html)
-    told = lambda name: F.try_element_at(labels, F.lit(name))
+    told = lambda name: F.try_element_at(labels, F.lit(VEHICLE[name]))
     day = lambda name: F.regexp_extract(told(name), r"\d{4}-\d{2}-\d{2}", 0).try_cast("date")
     yes = lambda name: F.when(told(name).rlike("(?i)^ja"), True).when(told(name).rlike("(?i)^nej"), False)
-    record = F.struct(
-        F.upper(plate).alias("plate"), told("Status").alias("status"), day("Först registrerad").alias("registered"), _amount(told("Antal ägare")).alias("owners"), day("Senast besiktigad").alias("inspected"), _amount(told("Mätarställning (besiktning)")).alias("odometer"),
-        _amount(told("Årlig skatt")).alias("tax"), yes("Kreditköp").alias("on_credit"), yes("Import / Införsel").alias("imported"), _amount(told("Hästkrafter")).alias("horsepower"), F.coalesce(told("Drivmedel"), told("Bränsle")).alias("fuel"))
+    kinds = {"status": told, "registered": day, "owners": lambda n: _amount(told(n)), "inspected": day, "odometer": lambda n: _amount(told(n)), "tax": lambda n: _amount(told(n)), "on_credit": yes, "imported": yes, "horsepower": lambda n: _amount(told(n))}
+    fuel = F.coalesce(told("fuel"), told("other_fuel"))
+    record = F.struct(F.upper(plate).alias("plate"), *[kind(name).alias(name) for name, kind in kinds.items()], fuel.alias("fuel"))
     return F.when(F.upper(title).contains(F.upper(plate)), record)
 
 
@@ -79,9 +80,8 @@ def chart_kind(n: Column, shares: Column, dated: Column) -> Column:
 def series_kind(rows: DataFrame, key: str) -> DataFrame:
     """(key, kind, top) for each series of ``table_series``: 'pie' for parts that make about a hundred, 'line' when every
     label is a year or a month, else 'bar'; ``top`` is where its axis ends."""
-    month = r"(?iu)^(januari|februari|mars|april|maj|juni|juli|augusti|september|oktober|november|december|jan|feb|mar|apr|jun|jul|aug|sep|okt|nov|dec)\b|^\d{4}-\d{2}"
     label, value = F.trim("label"), F.col("value")
-    sums = rows.groupBy(key).agg(F.sum("value").alias("sum"), F.max("value").alias("high"), F.min("value").alias("low"), F.bool_and(label.rlike(r"^\d{4}$")).alias("years"), F.bool_and(label.rlike(month)).alias("months"))
+    sums = rows.groupBy(key).agg(F.sum("value").alias("sum"), F.max("value").alias("high"), F.min("value").alias("low"), F.bool_and(label.rlike(r"^\d{4}$")).alias("years"), F.bool_and(label.rlike(MONTH_LABEL)).alias("months"))
     kind = F.when((F.col("low") >= 0) & (F.col("high") <= 100) & F.col("sum").between(95, 100.5), "pie").when(F.col("years") | F.col("months"), "line").otherwise("bar")
     return sums.select(key, kind.alias("kind"), F.when(F.col("high") > 0, nice_ceiling(F.col("high"))).alias("top"))
 
