@@ -125,6 +125,7 @@ class Coder:
         self.con.register("vocabulary_in", vocabulary)
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
         self.long_step = LONG_STEP if ranks_are_ordered(ranks) else SHORT_STEP
+        self.whole = ranks
         self.known: dict[str, np.ndarray] = {}
         self.before: dict[str, np.ndarray] = {}
 
@@ -148,8 +149,10 @@ class Coder:
             if ids[i] is None:
                 if (old := self.before.get(p)) is not None:
                     ids[i] = self.known[p] = old
+                elif (whole := self.whole.get(raw := p.encode())) is not None:  # a piece that is a token is that token
+                    ids[i] = self.known[p] = np.array([whole], np.int32)
                 else:
-                    missing.append((len(raw := p.encode()), i, raw))
+                    missing.append((len(raw), i, raw))
         missing.sort(key=lambda m: m[0])
         at = 0
         while at < len(missing):

@@ -54,13 +54,13 @@ def test_ids_and_bytes(spark):
 
 
 def test_unordered_ranks_fall_back(spark, tmp_path):
-    """A token that is ranked before its own parts: one contraction at a time still gives the library's ids."""
-    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"abc": 257, b"ab": 300, b"aba": 258, b"ba": 299, b"bab": 260, b"cab": 259, b"ca": 301}
+    """Tokens that are ranked before their own parts, and one that no contraction reaches: the library's ids still."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"abc": 257, b"ab": 300, b"aba": 258, b"ba": 299, b"bab": 260, b"cab": 259, b"ca": 301, b"ccc": 302}
     assert not bpe.ranks_are_ordered(ranks)
     path = tmp_path / "unordered.tiktoken"
     path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in sorted(ranks.items(), key=lambda x: x[1])))
     r = random.Random(9)
-    rows = [(i, "".join(r.choice("abc") for _ in range(r.randint(1, 60))), None, None) for i in range(200)]
+    rows = [(i, "".join(r.choice("abc") for _ in range(r.randint(1, 60))), None, None) for i in range(200)] + [(200, "ccc ccc", None, None)]
     got = {x.doc_id: x.ids for x in bpe.encode(documents(spark, rows), str(path), public_tokenizers.PATTERN).collect()}
     enc = encoder(path)
     assert got == {i: enc.encode_ordinary(t) for i, t, *_ in rows}
