@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.regex import like_escape, matches, word_start
@@ -106,8 +110,10 @@ def _candidates(classes: DataFrame, history: DataFrame, threshold: float, lexico
     keys = [c for c in ("house", "external_id") if c in history.columns]
     sold = sold.select(F.col("title").alias("b"), "s_main", "s_count", "s_attrs", F.col("final_total").alias("price"), *[F.col(k).alias("s_" + k) for k in keys], "ended_at").filter("price > 0")
     alike = Window.partitionBy("b", "s_main", "s_count", "s_attrs").orderBy(F.desc("ended_at"), "s_external_id")
-    recent = sold.withColumn("__r", F.row_number().over(alike)).filter(F.col("__r") <= MOST + 1).drop("__r")
-    pairs = title_pairs(classes, sold.select(F.col("b").alias("title")), threshold)
+    recent = pinned(sold.withColumn("__r", F.row_number().over(alike)).filter(F.col("__r") <= MOST + 1).drop("__r"))
+    # classes and titles are read several times below, so each is made once
+    classes = pinned(classes)
+    pairs = title_pairs(classes, pinned(recent.select(F.col("b").alias("title")).distinct()), threshold)
     pairs = pairs.filter(overlap_ok(F.col("a"), F.col("b"), F.col("similarity"), threshold))
     pairs = pinned(pairs.withColumn("strict", model_agrees(quoted_models(F.col("a")), F.col("b"))))
     rows = classes.join(pairs, classes.title == pairs.a).join(recent, "b")
@@ -208,3 +214,24 @@ def next_cards(samples: DataFrame, verdicts: DataFrame, images: DataFrame, targe
 def with_items(history: DataFrame, items: DataFrame, key: tuple[str, ...] = ("house", "external_id")) -> DataFrame:
     """Sales with what is known of their lot; a sale whose lot is gone stays."""
     return history.join(items, list(key), "left")
+
+
+def price_model(rows: DataFrame, by: list[str], y: str, features: list[str], least: int = 30) -> DataFrame:
+    """(by, n, intercept, slopes, r2): ordinary least squares of ``y`` on the features within each group of at least
+    ``least`` complete rows. Only each group's covariances leave the aggregation; the small system of each is solved in
+    one batch of groups. Features that do not vary, or follow from others, get the slopes of least norm."""
+    full = rows.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (y, *features)]))
+    k = len(features)
+    cov = [F.covar_pop(a, b) for a in features for b in features] + [F.covar_pop(a, y) for a in features]
+    sums = full.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*cov).alias("cov"), F.array(*[F.avg(c) for c in (*features, y)]).alias("mean"), F.var_pop(y).alias("var")).filter(F.col("n") >= least)
+
+    @F.pandas_udf("slopes array<double>, intercept double, r2 double")
+    def solve(cov: pd.Series, mean: pd.Series, var: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, m, v in zip(cov, mean, var):
+            square, right = np.array(c[: k * k]).reshape(k, k), np.array(c[k * k :])
+            slopes = np.linalg.lstsq(square, right, rcond=1e-12)[0]
+            out.append((slopes.tolist(), float(m[-1] - slopes @ np.array(m[:-1])), float(slopes @ right / v) if v else None))
+        return pd.DataFrame(out, columns=["slopes", "intercept", "r2"])
+
+    return sums.withColumn("fit", solve("cov", "mean", "var")).select(*by, "n", "fit.intercept", "fit.slopes", "fit.r2")

@@ -192,3 +192,18 @@ def item_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def public_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What everybody may see: the number behind an estimate, never the sales."""
     return price.public(price_strict_loose(spark, sf_dir)).select("title", "main", "n")
+
+
+@query(
+    "price_model",
+    """WITH r AS (SELECT p_type, ln(l_extendedprice) AS y, l_quantity AS a, l_discount * 100 AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
+s AS (SELECT p_type, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS b_y, var_pop(y) AS yy FROM r GROUP BY p_type HAVING count(*) >= 30),
+f AS (SELECT *, (ay * bb - b_y * ab) / (aa * bb - ab * ab) AS s1, (b_y * aa - ay * ab) / (aa * bb - ab * ab) AS s2 FROM s)
+SELECT p_type, n, round(s1, 7) AS by_quantity, round(s2, 7) AS by_discount, round(my - s1 * ma - s2 * mb, 6) AS intercept, round((s1 * ay + s2 * b_y) / yy, 7) AS r2 FROM f""",
+)
+def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log price on two features within each kind."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.select("p_type", F.log("l_extendedprice").alias("y"), F.col("l_quantity").alias("a"), (F.col("l_discount") * 100).alias("b"))
+    fit = price.price_model(rows, ["p_type"], "y", ["a", "b"])
+    return fit.select("p_type", "n", F.round(F.col("slopes")[0], 7).alias("by_quantity"), F.round(F.col("slopes")[1], 7).alias("by_discount"), F.round("intercept", 6).alias("intercept"), F.round("r2", 7).alias("r2"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.regex import ascii_words
@@ -20,8 +22,17 @@ def by_text(title: Column, description: Column | None = None, rules: tuple[tuple
     does a mixed-lot word when no rule holds; null if nothing holds."""
     text = padded(title) if description is None else padded(title, description)
     hits = F.array_compact(F.array(*[F.when(text.rlike(ascii_words(p)), key) for p, key in rules]))
-    mains = F.size(F.array_distinct(F.transform(hits, lambda k: F.substring_index(k, "/", 1))))
-    return F.when(mains >= 3, MIXED).when(mains > 0, F.get(hits, F.lit(0))).when(text.rlike(ascii_words(MIXED_SIGNAL)), MIXED)
+
+    def chosen(found: Column) -> Column:
+        mains = F.size(F.array_distinct(F.transform(found, lambda k: F.substring_index(k, "/", 1))))
+        return F.when(mains >= 3, MIXED).when(mains > 0, F.get(found, F.lit(0))).when(text.rlike(ascii_words(MIXED_SIGNAL)), MIXED)
+
+    return _once(hits, chosen)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is costly and used more than once, so that it is computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def by_name(name: Column, rules: tuple[tuple[str, str], ...] = NAME_RULES) -> Column:
@@ -35,7 +46,7 @@ def by_label(label: Column) -> Column:
     as_title = by_text(label)
     text = F.concat(F.lit(" "), F.lower(label), F.lit(" "))
     known = F.coalesce(*[F.when(text.rlike(ascii_words(p)), key) for p, key in LABEL_RULES])
-    return F.when(F.length(label) >= 2, F.coalesce(F.when(as_title != MIXED, as_title), known))
+    return F.when(F.length(label) >= 2, _once(as_title, lambda key: F.coalesce(F.when(key != MIXED, key), known)))
 
 
 def house_category(house: Column, raw: Column, ids: Column | None = None) -> Column:
