@@ -109,7 +109,7 @@ def soft_close_stream(bids: DataFrame, run: int = RUN_MINUTES, extend: int = EXT
         rows = [tuple(r) for r in pending]
         for batch in batches:
             micros = batch["created_at"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
-            newest = max(newest, *micros)
+            newest = max([newest, *micros])
             rows += zip(micros, batch["bid_id"].tolist(), batch["value"].tolist())
         if not closed:
             rows.sort(key=lambda r: r[:2])

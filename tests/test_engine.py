@@ -79,7 +79,8 @@ def test_route_timeline(spark):
     first = [r for r in got if r.route_id == 1]
     assert [r.stop_id for r in first][0] == first[-1].stop_id == 0 and {r.stop_id for r in first} == {0, 1, 2}
     assert all(b.arrival >= a.arrival + a.wait for a, b in zip(first, first[1:]))
-    assert [r.late for r in first if r.stop_id == 2] == [True] and [r.place for r in got if r.route_id == 2] == [0, 1]
+    assert [r.late for r in first if r.stop_id == 2] == [True] and not any(r.refused for r in first)
+    assert [(r.place, r.refused) for r in got if r.route_id == 2] == [(None, True)]
 
 
 def test_polygon(spark):
