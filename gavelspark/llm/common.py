@@ -20,6 +20,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = (1 << 63) - 1
 #: Column names that operators add while they work; a caller's columns of these names are never touched.
 ID, RK = "__id", "__rk"
+#: Bits of a bitmap of row keys, and the names that probing it uses.
+KEY_BITS = 1 << 23
+BITMAP_BYTES = 4096  # of one of Spark's bitmaps
+PROBE = ("__bucket", "__bit", "__bits")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +64,13 @@ def join_split(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str,
 
     A key that holds more than one in ``share`` of the rows would make one task of the shuffle long. There are fewer
     than ``share`` such keys whatever the input, so their look-up rows are broadcast and only the others are shuffled.
+    Without such a key it is the plain join.
     """
-    limit = max(floor, rows.count() // share)
+    most, total = lookup.agg(F.max(weight), F.sum(weight)).first()
+    limit = max(floor, (total or 0) // share)
+    if most is None or most <= limit:
+        return rows.join(lookup.drop(weight), keys, how)
+    rows = durable(rows, "split")  # read by both branches
     values = [c for c in lookup.columns if c not in (*keys, weight)]
     hot = lookup.filter(F.col(weight) > limit).select(*keys, F.struct(*values).alias("__hot"))
     marked = rows.join(F.broadcast(hot), keys, "left")
@@ -70,6 +79,31 @@ def join_split(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str,
     return warm.union(cold.select(*warm.columns))
 
 
+def key_bitmap(keys: DataFrame) -> DataFrame:
+    """A bitmap of the row keys (``__id``, ``__rk``) by their hashes: ``KEY_BITS`` bits, one megabyte, however many
+    keys there are, so it may be broadcast. With very many keys it tells little, but never anything wrong."""
+    place = _place()
+    found = keys.select(F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place).alias("__bit"))
+    found = found.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    width = 8 * BITMAP_BYTES
+    every = keys.sparkSession.range(1, max(KEY_BITS // width, 1) + 1, 1, 1).withColumnRenamed("id", "__bucket")
+    return durable(every.join(found, "__bucket", "left").withColumn("__bits", F.coalesce("__bits", F.lit(bytes(BITMAP_BYTES)))), "bitmap")
+
+
+def _place() -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), F.col(ID), F.col(RK)), F.lit(KEY_BITS)) + 1
+
+
+def maybe_among(rows: DataFrame, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keyed ``rows`` apart: those whose key may be in the bitmap, and those whose key surely is not, which need no
+    shuffle to meet anything."""
+    byte = F.expr("CAST(conv(hex(substring(__bits, CAST(__bit DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)")
+    marked = rows.withColumns({"__bucket": F.bitmap_bucket_number(_place()), "__bit": F.bitmap_bit_position(_place())}).join(F.broadcast(bitmap), "__bucket", "left")
+    held = F.coalesce(F.call_function("shiftright", byte, (F.col("__bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    keep = [F.col(f"`{c}`") for c in rows.columns]
+    return marked.filter(held).select(*keep), marked.filter(~held).select(*keep)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,8 @@ intersection of one conjunction's postings. Candidates' texts are then verified
 without a mandatory trigram scan every text.
 
 Spans come from one pass of the expression that puts a mark around each match: the pieces between marks are numbered,
-and a running sum of their code points gives starts and ends. Text goes through joins once, postings carry keys only.
+and a running sum of their code points gives starts and ends. Postings carry keys only; a bitmap of the candidates'
+keys, of bounded size, keeps most other texts out of the join that brings candidates their text.
 Masking replaces the spans that were found, whatever rule gave them.
 
 Edge cases: null and empty texts have no spans; the mark character inside a text is replaced by another that no rule
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ID, RK, ascii_lower, aside, durable, keyed
+from .common import ID, PROBE, RK, ascii_lower, aside, durable, key_bitmap, keyed, maybe_among
 
 SPANS = "__spans"
 MARK, STAND_IN = "\u0001", "�"
@@ -238,8 +239,9 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
     if indexed:
         grams = sorted(set().union(*(g for q in indexed.values() for g in q)))
         index = durable(postings(texts, grams), "postings")
-        kinds = candidates(index, indexed).groupBy(ID, RK).agg(F.collect_set("kind").alias("kinds"))
-        chosen = durable(texts.join(kinds, [ID, RK]), "candidates")
+        kinds = durable(candidates(index, indexed).groupBy(ID, RK).agg(F.collect_set("kind").alias("kinds")), "kinds")
+        likely, _ = maybe_among(texts, key_bitmap(kinds))
+        chosen = durable(likely.join(kinds, [ID, RK]), "candidates")
     for rule in rules:
         source = chosen.filter(F.array_contains("kinds", rule.kind)) if rule.kind in indexed else texts
         spans = _matches(source.select(ID, RK, "text"), rule)
@@ -290,8 +292,10 @@ def masked_text(text: Column, spans: Column, mask: str = MASK, step: int = 4096)
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span that ``find_spans`` gives replaced by ``MASK``; texts without one stay as they were."""
-    docs, back = aside(docs, ID, RK, SPANS)
+    docs, back = aside(docs, ID, RK, SPANS, *PROBE)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     spans = find_spans(docs, rules, id_col, text_col).groupBy(ID, RK).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(SPANS))
-    rows = keyed(docs, id_col, text_col).join(spans, [ID, RK], "left")
+    spans = durable(spans, "spans")
+    likely, quiet = maybe_among(keyed(docs, id_col, text_col), key_bitmap(spans))
     masked = F.when(F.col(SPANS).isNotNull(), masked_text(F.col(text_col), F.col(SPANS))).otherwise(F.col(text_col))
-    return back(rows.withColumn(text_col, masked).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return back(quiet.select(*columns).union(likely.join(spans, [ID, RK], "left").withColumn(text_col, masked).select(*columns)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 LONG = " ".join(f"word{i % 977}" for i in range(120_000))
 #: Names that operators use while they work.
-CLASHES = ["id", "rk", "t", "fp", "kinds", "keep_bitmap", "h1", "pos", "score", "lang_pred", "rejected", "n", "node", "y", "length", "bucket", "place", "root", "key", "v", "text_2", "__id", "__RK", "__keep", "__spans", "caller_0"]
+CLASHES = ["id", "rk", "t", "fp", "kinds", "keep_bitmap", "h1", "pos", "score", "lang_pred", "rejected", "n", "node", "y", "length", "bucket", "place", "root", "key", "v", "text_2", "__id", "__RK", "__keep", "__spans", "__bit", "caller_0"]
 EDGE = [
     (1, "A shared line of text\nonly here\n\nA shared line of text", "en", "web"),
     (2, None, "en", "web"),
