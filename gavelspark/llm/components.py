@@ -31,8 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         picks = both.groupBy("u").agg(F.min(_rank("v", turn)).alias("least"), F.count(F.lit(1)).alias("edges"))
         picks = durable(picks.select("u", F.least("least", _rank("u", turn)).getField("node").alias("p"), "edges"), "picks")
         pu, pv = picks.select("u", F.col("p").alias("a"), "edges"), picks.select(F.col("u").alias("v"), F.col("p").alias("b"), "edges")
-        moved = durable(join_split(live, pu, ["u"], "edges"), "moved")
-        live = durable(join_split(moved, pv, ["v"], "edges").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+        live = durable(join_split(join_split(live, pu, ["u"], "edges"), pv, ["v"], "edges").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u != v").distinct(), "edges")
         if found is None:
             found = picks.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:

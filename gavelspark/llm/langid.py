@@ -183,7 +183,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     order = order[np.random.default_rng(1).permutation(len(order))]
     hists = Histograms(b.values.to_numpy(), c.values.to_numpy(), b.offsets.to_numpy().astype(np.int64))
     number = {l: k for k, l in enumerate(langs)}
-    return fit(hists, order, np.array([number[labels[i]] for i in order], int), langs)
+    model = fit(hists, order, np.array([number[labels[i]] for i in order], int), langs)
+    del got, hists, b, c, ids_
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

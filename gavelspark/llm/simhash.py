@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ID, NO_ID, RK, aside, durable, join_split, keyed, per_batch, shuffle_width, small_batches
+from .common import ID, NO_ID, PROBE, RK, aside, durable, join_split, key_bitmap, keyed, maybe_among, per_batch, shuffle_width, small_batches
 from .components import connected_components
 
 RADIUS = 2
@@ -165,21 +165,18 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _shards(members: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Members of the shards with two or more, apart for those within and beyond ``TREE``."""
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = members.join(sizes, keys)
-    return kept.filter(F.col("n") <= TREE).drop("n"), kept.filter(F.col("n") > TREE).drop("n")
-
-
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links that connect every two distinct fingerprints within the radius, directly or through others."""
     cut = _first_cut(radius)
-    small, large = _shards(_dealt(fps.select("fp"), cut, "t", "k"), ["t", "k"])
+    members = _dealt(fps.select("fp"), cut, "t", "k")
+    sizes = durable(members.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    small = members.join(sizes.filter(F.col("n") <= TREE).drop("n"), ["t", "k"])
     rows = small.select("t", "k", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("k2"), "fp")
-    for t, mask in enumerate(cut):
-        again = _dealt(large.filter(F.col("t") == t), _second_cut(mask, radius), "t2", "k2")
-        rows = rows.union(again.select("t", "k", "t2", "k2", "fp"))
+    large = durable(members.join(sizes.filter(F.col("n") > TREE).drop("n"), ["t", "k"]), "large")
+    if not large.isEmpty():
+        for t, mask in enumerate(cut):
+            again = _dealt(large.filter(F.col("t") == t), _second_cut(mask, radius), "t2", "k2")
+            rows = rows.union(again.select("t", "k", "t2", "k2", "fp"))
     keys = ["t", "k", "t2", "k2"]
     dealt = rows.repartition(shuffle_width(fps.sparkSession), *keys).sortWithinPartitions(*keys, "fp")
     return dealt.mapInArrow(_links_of_sorted(radius), "a long, b long")
@@ -210,6 +207,9 @@ def hex_digits(fp: str = "fp") -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` without the members of a group but its smallest id. Rows that share id and text share their fate; rows
     that share only the id are judged each in its own group."""
-    docs, back = aside(docs, ID, RK)
+    docs, back = aside(docs, ID, RK, *PROBE)
     lost = grouped(docs, id_col, text_col, radius).filter("id != component_id").select(F.col("id").alias(ID), F.col("rk").alias(RK)).distinct()
-    return back(keyed(docs, id_col, text_col).join(lost, [ID, RK], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    lost = durable(lost, "lost")
+    likely, quiet = maybe_among(keyed(docs, id_col, text_col), key_bitmap(lost))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return back(quiet.select(*columns).union(likely.join(lost, [ID, RK], "left_anti").select(*columns)))

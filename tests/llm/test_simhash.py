@@ -2,6 +2,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gavelspark.llm import queries, simhash
 from gavelspark.llm.components import connected_components
@@ -105,8 +106,6 @@ def test_empty_table(spark):
 
 
 def test_hot_keys_are_joined_apart(spark):
-    from pyspark.sql import functions as F
-
     from gavelspark.llm.common import join_split
 
     rows = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("x")).union(spark.range(3000).selectExpr("3L", "id"))
@@ -114,3 +113,17 @@ def test_hot_keys_are_joined_apart(spark):
     for how in ("inner", "left"):
         got = join_split(rows, counts, ["k"], "w", how, share=10, floor=200)
         assert sorted(got.collect(), key=str) == sorted(rows.join(counts.drop("w"), "k", how).collect(), key=str)
+
+
+def test_bitmap_of_keys(spark, monkeypatch):
+    """No key of the bitmap is missed, few others pass, and a full bitmap only lets everything pass."""
+    from gavelspark.llm import common
+
+    rows = spark.range(5000).select(F.col("id").alias(common.ID), F.xxhash64("id").alias(common.RK), F.lit("t").alias("text"))
+    inside = rows.filter(f"{common.ID} % 10 = 0")
+    for bits, most in ((common.KEY_BITS, 510), (64, 5000)):
+        monkeypatch.setattr(common, "KEY_BITS", bits)
+        likely, quiet = common.maybe_among(rows, common.key_bitmap(inside))
+        assert likely.columns == rows.columns and likely.count() + quiet.count() == 5000
+        assert inside.select(common.ID).exceptAll(likely.select(common.ID)).count() == 0 and likely.count() <= most
+    assert common.maybe_among(rows, common.key_bitmap(inside.limit(0)))[0].count() == 0
