@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -157,3 +158,38 @@ def with_columns(batch: pa.RecordBatch, drop: Iterable[str] = (), **new: pa.Arra
     drop = set(drop)
     names = [n for n in batch.schema.names if n not in drop and n not in new]
     return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + list(new.values()), names=names + list(new))
+
+
+def numbered(rows: DataFrame, group: str, order: list[Column], place: str = "place") -> DataFrame:
+    """``rows`` with ``place``: 0, 1, 2 ... in ``order`` among the rows of a ``group`` (an int column of few values).
+
+    Rows are range-partitioned by group and order, so a group that holds everything still runs over all tasks; each
+    partition counts on its own, and the counts of earlier partitions (groups times partitions, which the driver adds
+    up) are put on top. The result is written once: a range partitioning samples its input.
+    """
+    spark, names = rows.sparkSession, rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            values = batch.column(group).to_numpy(zero_copy_only=False)
+            local = np.empty(len(values), np.int64)
+            for g in np.unique(values).tolist():
+                at = np.nonzero(values == g)[0]
+                local[at] = seen.get(g, 0) + np.arange(len(at))
+                seen[g] = seen.get(g, 0) + len(at)
+            yield with_columns(batch, __part=pa.array(np.full(len(values), part, np.int32)), __local=pa.array(local))
+
+    keys = [F.col(group), *order]
+    ranged = rows.repartitionByRange(shuffle_width(spark), *keys).sortWithinPartitions(*keys)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    local = durable(ranged.mapInArrow(run, f"{kinds}, __part int, __local long"), "numbered")
+    offsets, before, last = [], 0, None
+    for r in local.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("n")).orderBy(group, "__part").collect():
+        before = before if r[group] == last else 0
+        offsets.append((r[group], r["__part"], before))
+        before, last = before + r.n, r[group]
+    offset = spark.createDataFrame(offsets, f"`{group}` int, __part int, __before long")
+    return local.join(F.broadcast(offset), [group, "__part"]).select(*[f"`{c}`" for c in names], (F.col("__before") + F.col("__local")).alias(place))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embed_dedup, html_extract, langid, line_dedup, packing, quality, secrets, simhash, toxicity
+from . import align, bpe, embed_dedup, html_extract, langid, line_dedup, packing, quality, resample, secrets, shards, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,61 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract_text(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op11_kd_sharding")
+def op11_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shards.kd_shards(table(spark, sf_dir, "documents"), shards.SHARDS)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS row, 0 AS kind, text FROM documents
+  UNION ALL SELECT NULL, -row_number() OVER (), 1, text FROM benchmark),
+lists AS (
+  SELECT doc_id, row, kind, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS list FROM texts),
+counted AS (SELECT row, kind, word, count(*) AS n FROM (SELECT row, kind, unnest(list) AS word FROM lists) GROUP BY ALL),
+-- CRC-32 of a word's bytes, four bits at a time, low ones first
+steps(step) AS (SELECT [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+                        3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[]),
+hexed AS (SELECT word, hex(encode(word)) AS digits FROM (SELECT DISTINCT word FROM counted)),
+nibbles AS (
+  SELECT word, flatten([[strpos('0123456789ABCDEF', digits[2 * i]) - 1, strpos('0123456789ABCDEF', digits[2 * i - 1]) - 1]
+                        for i in range(1, length(digits) // 2 + 1)])::BIGINT[] AS low_first FROM hexed),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, low_first),
+                               lambda crc, x: xor(crc >> 4, step[(xor(crc, x) & 15) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM nibbles, steps),
+filled AS (SELECT kind, bucket, sum(n)::BIGINT AS n FROM counted JOIN hashed USING (word) GROUP BY ALL),
+sums AS (SELECT coalesce(sum(n) FILTER (WHERE kind = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE kind = 1), 0)::DOUBLE AS t FROM filled),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(sum(n) FILTER (WHERE kind = 1), 0)::DOUBLE + 1) * (any_value(s) + 10000)
+                                 / ((coalesce(sum(n) FILTER (WHERE kind = 0), 0)::DOUBLE + 1) * (any_value(t) + 10000))))::BIGINT AS gain
+  FROM filled, sums GROUP BY bucket),
+weighed AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM counted JOIN hashed USING (word) JOIN gains USING (bucket) WHERE kind = 0 GROUP BY row),
+scored AS (
+  SELECT doc_id, len(list) AS n_words, coalesce(n_features, 0) AS n_features,
+         coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+         floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS noise
+  FROM lists LEFT JOIN weighed USING (row) WHERE kind = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY n_words >= 20) AS among FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, weight + noise AS score,
+       CASE WHEN n_words >= 20 AND place <= 10 * among // 100 THEN place END AS rank
+FROM ranked
+"""
+
+
+@query("op12_importance_resampling", OP12_SQL)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
