@@ -3,13 +3,15 @@
 Tags are cut as browsers cut them: an attribute value is quoted only if it starts with a quote, so one inside a name or
 an unquoted value is a character like any other, and a quote that nothing closes ends with its word. Elements whose
 content is no text of the page are skipped up to their own end tag. One without an end tag ends at the next block, so
-that what follows is not lost; only an unclosed script or style takes the rest of the page, as in a browser.
+that what follows is not lost; only an unclosed script or style takes the rest of the page, as in a browser. Open
+elements are kept by name as well as in order, so reading is linear however broken a page is.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -18,12 +20,12 @@ _ATTRIBUTES = rf"(?:[\s/]+|(?:=[^\s/>=]*|[^\s/>=]+)(?:{_VALUE})?)*+"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s/>=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))")
 _MATH = "math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mspace mtable mtr mtd semantics"
-INLINE = frozenset(f"a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark nobr picture q ruby rp rt s samp small span strike strong sub sup time tt u var video wbr {_MATH}".split())
+INLINE = frozenset(f"a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd mark nobr picture q ruby rp rt s samp small span strike strong sub sup time tt u var video wbr {_MATH}".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold text only, up to their end tag.
 RAW = frozenset("script style textarea iframe title xmp noembed noframes".split())
 #: Elements whose whole content is left out.
-SKIPPED = frozenset("noscript template svg select object".split())
+SKIPPED = frozenset("noscript template svg select object label button legend".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag closes an open element of these names (up to the nearest scope).
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -78,6 +80,10 @@ def read(page: str) -> Page:
     nodes = [Node("#root", "", -1, 0)]
     blocks: list[tuple[int, str]] = []
     open_: list[tuple[str, int]] = [("#root", 0)]  # (tag, block node that holds text here)
+    where: dict[str, list[int]] = {}  # places in open_ by tag
+    solid: list[int] = []  # places of elements that are not inline
+    scopes: list[int] = []
+    unclosed: set[str] = set()  # elements that hold text only and have no end tag from here on
     run: list[str] = []
     links = 0
     linked = 0
@@ -95,13 +101,32 @@ def read(page: str) -> Page:
                 nodes[at].last = text[-1]
         linked = 0
 
+    def push(tag: str, node: int) -> None:
+        nonlocal links
+        where.setdefault(tag, []).append(len(open_))
+        if tag not in INLINE:
+            solid.append(len(open_))
+        if tag in SCOPE:
+            scopes.append(len(open_))
+        links += tag == "a"
+        open_.append((tag, node))
+
     def close(k: int) -> None:
         """Close the open elements from place ``k`` on."""
         nonlocal links
-        if any(t not in INLINE for t, _ in open_[k:]):
+        if solid and solid[-1] >= k:
             flush()
-        links -= sum(t == "a" for t, _ in open_[k:])
-        del open_[k:]
+        while len(open_) > k:
+            tag, _ = open_.pop()
+            where[tag].pop()
+            links -= tag == "a"
+            for places in (solid, scopes):
+                if places and places[-1] == len(open_):
+                    places.pop()
+
+    def last(tags: Iterable[str]) -> int:
+        """Place of the last open element of these tags, 0 if there is none."""
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -134,15 +159,14 @@ def read(page: str) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == tag or tag in HEADINGS and open_[k][0] in HEADINGS:
-                    close(k)
-                    break
-                if tag in INLINE and open_[k][0] not in INLINE:
-                    break
+            k = last(HEADINGS if tag in HEADINGS else (tag,))
+            if k and (tag not in INLINE or not solid or k > solid[-1]):
+                close(k)
             continue
         if tag in RAW:
-            end = _RAW_END[tag].search(page, at)
+            end = None if tag in unclosed else _RAW_END[tag].search(page, at)
+            if end is None:
+                unclosed.add(tag)
             if end is not None:
                 at = end.end()
             elif tag in ("script", "style"):
@@ -160,22 +184,18 @@ def read(page: str) -> Page:
             if tag == "br":
                 text(" ")
             elif tag not in VOID and not m[3].endswith("/"):
-                open_.append((tag, open_[-1][1]))
-                links += tag == "a"
+                push(tag, open_[-1][1])
             continue
         flush()
         closing = CLOSES.get(tag, {"p"})
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k][0] in closing:
-                close(k)
-                break
-            if open_[k][0] in SCOPE and open_[k][0] not in closing:
-                break
+        k = last(closing)
+        if k and k >= next((s for s in reversed(scopes) if open_[s][0] not in closing), 0):
+            close(k)
         if tag in VOID:
             continue
         parent = open_[-1][1]
         nodes.append(Node(tag, m[3], parent, m.start()))
         nodes[parent].children.append(len(nodes) - 1)
-        open_.append((tag, len(nodes) - 1))
+        push(tag, len(nodes) - 1)
     flush()
     return Page(nodes, blocks, size)

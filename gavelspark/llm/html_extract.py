@@ -1,7 +1,8 @@
 """Main-text extraction with a tree-structured graphical model.
 
 A page's block elements form a tree of binary variables (content or not). Node potentials come from sparse features
-(tag, words in class, id and role, own text and that right below, links, place, a page without containers); parent-child potentials depend on both labels and the
+(tag, words in class, id and role, the nearest container above, own text and that right below, links, place, a page
+without containers); parent-child potentials depend on both labels and the
 child's kind. Sum-product messages go up the tree and back down and give each node's content marginal; the text blocks
 of nodes at one half or more make the result. The weights maximise the likelihood of labelled pages, by gradient steps
 on the difference between observed and expected features, which the same messages yield. Training pages come from a
@@ -68,11 +69,14 @@ def _index(name: str) -> int:
     return _NAMES.setdefault(name, len(_NAMES))
 
 
-for _n in ["bias", *(f"tag:{g}" for g in [*_GROUPS, "other"]), *(f"hint:{h}" for h in HINTS), *(f"{a}:{k}" for a in ("own", "all", "near") for k in range(6)), *(f"{a}:{k}" for a in ("links", "alllinks") for k in range(4)), "stop", "nostop", "first", "last", "classless", *(f"bare:{g}" for g in ("page", "text", "heading", "box"))]:
+for _n in ["bias", *(f"tag:{g}" for g in [*_GROUPS, "other"]), *(f"hint:{h}" for h in HINTS), *(f"{a}:{k}" for a in ("own", "all", "near") for k in range(6)), *(f"{a}:{k}" for a in ("links", "alllinks") for k in range(4)), "stop", "nostop", "first", "last", "classless", *(f"under:{u}{k}" for u in ("none", "content", "boiler", "both") for k in ("", ":plain", ":links")), *(f"bare:{g}" for g in ("page", "text", "heading", "box"))]:
     _index(_n)
 SIZE = len(_NAMES)
 #: A page without any node of these features is bare.
 _CONTAINERS = frozenset(_NAMES[n] for n in ("tag:article", "tag:main", "hint:content"))
+#: What makes an element one of boilerplate to those below; a header inside a container may hold its title.
+_AROUND = frozenset(_NAMES[n] for n in ("tag:nav", "tag:footer", "tag:aside", "tag:form", *(f"hint:{h}" for h in HINTS if h not in ("content", "header", "share"))))
+_HEADERS = frozenset(_NAMES[n] for n in ("tag:header", "hint:header"))
 
 
 @lru_cache(maxsize=65536)
@@ -96,6 +100,20 @@ def _share(part: int, whole: int) -> int:
     return 0 if not part else 1 if part * 3 < whole else 2 if part * 3 < 2 * whole else 3
 
 
+def _containers_above(nodes: list[dom.Node], markup: list[tuple[int, ...]]) -> list[str]:
+    """For each node what its ancestors are: a container of content, of boilerplate, both (content inside of
+    boilerplate) or none; boilerplate inside of content is boilerplate."""
+    below, out = ["none"] * len(nodes), ["none"] * len(nodes)
+    for i, n in enumerate(nodes):
+        state = out[i] = below[n.parent] if i else "none"
+        if not _AROUND.isdisjoint(markup[i]) or state == "none" and not _HEADERS.isdisjoint(markup[i]):
+            state = "boiler"
+        elif not _CONTAINERS.isdisjoint(markup[i]):
+            state = "both" if state in ("boiler", "both") else "content"
+        below[i] = state
+    return out
+
+
 def features(page: dom.Page) -> list[list[int]]:
     nodes = page.nodes
     total, linked = [n.own for n in nodes], [n.linked for n in nodes]
@@ -108,9 +126,16 @@ def features(page: dom.Page) -> list[list[int]]:
             near[n.parent] += n.own
     markup = [_markup(n.tag, n.attrs) for n in nodes]
     bare = not any(_CONTAINERS.intersection(f) for f in markup)
+    above = _containers_above(nodes, markup)
+    plain = _NAMES["classless"]
     out = []
     for i, n in enumerate(nodes):
         f = [*markup[i], _NAMES[f"near:{_step(near[i])}"], _NAMES[f"own:{_step(n.own)}"], _NAMES[f"all:{_step(total[i])}"]]
+        f.append(_NAMES[f"under:{above[i]}"])
+        if total[i] and linked[i] * 2 > total[i]:
+            f.append(_NAMES[f"under:{above[i]}:links"])
+        elif plain in markup[i]:
+            f.append(_NAMES[f"under:{above[i]}:plain"])
         if n.own:
             f.append(_NAMES[f"links:{_share(n.linked, n.own)}"])
             f.append(_NAMES["stop" if n.last in ".!?:;\"'”" else "nostop"])

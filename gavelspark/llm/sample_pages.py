@@ -1,8 +1,9 @@
 """Labelled pages for training the extractor: a seeded generator of varied layouts.
 
 Every block element carries ``data-y``: 1 for main content and its container, 0 for the rest. Markup is drawn from many habits of real
-pages: semantic and class-only containers, boilerplate in every place including inside the article, comments, notices,
-forms, unclosed paragraphs and list items, pages cut off at the end. Some pages have no container: their paragraphs lie
+pages: semantic and class-only containers, also one inside another, content in sections, figures and boxes with and
+without a class, text right in a box, boilerplate of the same tags in every place including inside the article,
+comments, notices, forms, unclosed paragraphs and list items, pages cut off at the end. Some pages have no container: their paragraphs lie
 in the body, or their text stands there (or in no element at all) with line breaks.
 """
 
@@ -12,6 +13,8 @@ import random
 
 _SYLLABLES = "an er in th on es ra ti or ve lu mo é à ü ka no si te ol qu sh ma pe do".split()
 _CONTENT = ["content", "post", "entry-content", "article-body", "story", "main-content", "post-text", "page-content", "article__body"]
+#: Names of boxes that say nothing of what they hold.
+_NEUTRAL = ["row", "col-8", "inner", "block", "wrapper", "grid", "x1a2b", "section", "body-copy", "rich", "module", "container", "sc-f3", "media", "image"]
 _BOILER = {
     "nav": ["nav", "menu", "navbar", "breadcrumb", "main-menu", "navigation", "topnav"],
     "header": ["header", "masthead", "site-header", "banner", "top-bar", "branding"],
@@ -61,26 +64,54 @@ class Maker:
             out.append(f'<header data-y="1">{h}</header>' if r.random() < 0.15 else h)
         if r.random() < 0.1:  # many short lines without a full stop
             out += [f'<p data-y="1">{self.words(r.randint(1, 24))[:-1]}{end}</p>' for end in r.choices([",", "", " |"], k=r.choice([10, 30, 80, 160]))]
-        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14])):
-            kind = r.random()
-            if kind < 0.08:
-                k = r.randint(2, 4)
-                out.append(f'<h{k} data-y="1">{self.words(r.randint(1, 6))}</h{k}>')
-            elif kind < 0.16:
-                out.append('<ul data-y="1">' + "".join(f'<li data-y="1">{self.inline(self.text(1, 2))}' + r.choice(["</li>", ""]) for _ in range(r.randint(2, 5))) + "</ul>")
-            elif kind < 0.2:
-                out.append(f'<blockquote data-y="1">{self.inline(self.text(1, 3))}</blockquote>')
-            elif kind < 0.23:
-                out.append(f'<pre data-y="1">{self.text(1, 2)}</pre>')
-            elif kind < 0.26:
-                out.append('<table data-y="1"><tr data-y="1">' + "".join(f'<td data-y="1">{self.words(2)}</td>' for _ in range(3)) + "</tr></table>")
-            elif kind < 0.32:
-                out.append(f'<p data-y="1"><b>{self.words(r.randint(1, 20))}<br>')
+        out += self.parts(r.choice([0, 1, 1, 2, 3, 5, 8, 14]), depth=0)
+        return "".join(out)
+
+    def parts(self, count: int, depth: int) -> list[str]:
+        """Pieces of an article, some in boxes of their own."""
+        r, out = self.r, []
+        while count > 0:
+            if depth < 3 and r.random() < 0.3:
+                inside = r.randint(1, count)
+                out.append(self.boxed("".join(self.parts(inside, depth + 1))))
+                count -= inside
             else:
-                out.append(f'<p data-y="1">{self.inline(self.text(1, r.choice([1, 2, 4, 9])))}' + r.choice(["</p>", "</p>", ""]))
+                out.append(self.part())
+                count -= 1
             if r.random() < 0.08:
-                out.append(self.boiler(r.choice(["ad", "sidebar", "share", "notice"])))
-        return "".join(out)
+                out.append(self.boiler(r.choice(["ad", "sidebar", "share", "notice", "form", "nav"])))
+        return out
+
+    def boxed(self, inner: str) -> str:
+        r = self.r
+        tag = r.choice(["div", "div", "section", "section", "div"])
+        name = r.choice(["", "", self.named(_NEUTRAL), self.named(_CONTENT)])
+        head = f'<h2 data-y="1">{self.words(r.randint(1, 6))}</h2>' if tag == "section" and r.random() < 0.7 else ""
+        return f'<{tag}{name} data-y="1">{head}{inner}</{tag}>'
+
+    def part(self) -> str:
+        r, kind = self.r, self.r.random()
+        if kind < 0.08:
+            k = r.randint(2, 4)
+            return f'<h{k} data-y="1">{self.words(r.randint(1, 6))}</h{k}>'
+        if kind < 0.16:
+            return '<ul data-y="1">' + "".join(f'<li data-y="1">{self.inline(self.text(1, 2))}' + r.choice(["</li>", ""]) for _ in range(r.randint(2, 5))) + "</ul>"
+        if kind < 0.2:
+            return f'<blockquote data-y="1">{self.inline(self.text(1, 3))}</blockquote>'
+        if kind < 0.23:
+            return f'<pre data-y="1">{self.text(1, 2)}</pre>'
+        if kind < 0.26:
+            return '<table data-y="1"><tr data-y="1">' + "".join(f'<td data-y="1">{self.words(2)}</td>' for _ in range(3)) + "</tr></table>"
+        if kind < 0.3:
+            return f'<p data-y="1"><b>{self.words(r.randint(1, 20))}<br>'
+        if kind < 0.35:
+            caption = f'<figcaption data-y="1">{self.words(r.randint(2, 16))}</figcaption>'
+            return f'<figure{r.choice(["", self.named(_NEUTRAL)])} data-y="1"><img src="x.jpg">{caption}</figure>'
+        if kind < 0.43:
+            return f'<div{r.choice(["", "", self.named(_NEUTRAL)])} data-y="1">{self.inline(self.text(1, r.choice([1, 2, 4])))}</div>'
+        if kind < 0.45:
+            return f'<dl data-y="1"><dt data-y="1">{self.words(2)}</dt><dd data-y="1">{self.text(1, 2)}</dd></dl>'
+        return f'<p data-y="1">{self.inline(self.text(1, r.choice([1, 2, 4, 9])))}' + r.choice(["</p>", "</p>", ""])
 
     def boiler(self, kind: str) -> str:
         r = self.r
@@ -125,12 +156,15 @@ class Maker:
         inner = self.content()
         if r.random() < 0.15:
             inner += self.boiler("comments")
+        if r.random() < 0.3:  # one container inside another
+            inside, its = r.choice([("article", ""), ("div", self.named(_CONTENT)), ("section", ""), ("div", ""), ("div", self.named(_NEUTRAL))])
+            inner = ("".join(map(self.boiler, r.sample(["nav", "ad", "share", "form"], r.choice([0, 0, 1])))) + f'<{inside}{its} data-y="1">{inner}</{inside}>')
         body = "".join(map(self.boiler, before)) + f'<{tag}{name} data-y="1">{inner}</{tag}>'
         if r.random() < 0.3:
             body += self.boiler("sidebar")
         body += "".join(map(self.boiler, after))
         if r.random() < 0.4:
-            body = f'<div data-y="0"{r.choice(["", self.named(["wrap", "container", "page", "site", "layout"])])}>{body}</div>'
+            body = f'<div data-y="0"{r.choice(["", self.named(["wrap", "container", "page", "site", "layout", "with-sidebar", "no-header"])])}>{body}</div>'
         page = f'<!DOCTYPE html><html data-y="0"><head data-y="0"><title>{self.words(4)}</title><style>p{{}}</style></head><body data-y="0">{body}</body></html>'
         return page[: int(len(page) * r.uniform(0.6, 1))] if r.random() < 0.1 else page
 
