@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -16,3 +17,13 @@ def pinned(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared checkpoint folder, for what is written once and read by later steps."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+    return f"{context.getCheckpointDir()}/{tag}-{uuid.uuid4().hex}"

@@ -140,7 +140,17 @@ def capped_partition_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped_partition_ranges(spark, sf_dir).groupBy("o_orderpriority").agg(F.sum("n").alias("n"))
 
 
-@query("capped_partition_ranges")
+@query(
+    "capped_partition_ranges",
+    """WITH RECURSIVE c AS (SELECT o_orderpriority AS p, floor(o_totalprice * 100)::BIGINT AS v, count(*) AS c FROM orders GROUP BY ALL),
+r AS (SELECT p, min(v) AS low, max(v) AS high, sum(c)::BIGINT AS n FROM c GROUP BY p
+  UNION ALL
+  SELECT h.p, h.low, h.high, sum(c.c)::BIGINT AS n
+  FROM (SELECT p, CASE side WHEN 0 THEN low ELSE (low + high) // 2 + 1 END AS low, CASE side WHEN 0 THEN (low + high) // 2 ELSE high END AS high
+        FROM r, (VALUES (0), (1)) AS sides(side) WHERE n > 500 AND low < high) h
+  JOIN c ON c.p = h.p AND c.v BETWEEN h.low AND h.high GROUP BY ALL)
+SELECT p AS o_orderpriority, low, high, n, n > 500 AS over_cap FROM r WHERE n <= 500 OR low >= high""",
+)
 def capped_partition_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = table(spark, sf_dir, "orders").withColumn("cents", F.floor(F.col("o_totalprice") * 100))
     return queues.capped_ranges(cents, "o_orderpriority", "cents", cap=500)

@@ -397,3 +397,6 @@ VEHICLE = {
     "on_credit": "Kreditköp", "imported": "Import / Införsel", "horsepower": "Hästkrafter", "fuel": "Drivmedel", "other_fuel": "Bränsle",
 }
 PRICE_RANGE = r"(?is)<h4>{label}:?</h4>.{{0,300}}?<em>([^<]+)</em>"
+
+# Bounds of the price bands that a search over its ceiling is first divided into.
+PRICE_BANDS = (0, 100, 200, 300, 500, 1000, 2500, 10000, 100000, 5000000)
