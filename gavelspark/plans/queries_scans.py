@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.stable import shared_path
-from ..sources import sliced
-from .adapt import ITEMS_SQL, items
+from ..sources import cursors, sliced
+from .adapt import ITEMS_SQL, items, table
 from .registry import query
 
 _SCANNED = "house string, external_id string, category string, location string, flag string, price long"
@@ -29,3 +29,32 @@ def capped_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = items(spark, sf_dir).select(F.collect_set("location"), F.collect_set("flag")).first()  # facet values, as a service lists them
     sliced.register_sliced(spark, name, _SCANNED, search, {"location": sorted(known[0]), "flag": sorted(known[1])})
     return spark.read.format(name).load()
+
+
+def swept(spark: SparkSession, sf_dir: str, by_place: bool, rounds: int = 2, limit: int = 400) -> DataFrame:
+    """The customers as a sweep reads them, page by page, over some rounds."""
+    path, sink, state = (shared_path(spark, tag) for tag in ("recorded", "sink", "state"))
+    table(spark, sf_dir, "customer").select("c_custkey", "c_name").write.parquet(path)
+    name = f"sweep_{uuid.uuid4().hex}"
+    limit = max(limit, spark.read.parquet(path).count() // 12)  # as many pages at any size
+    fetch = cursors.RecordedRows(path, "c_custkey", by_place)
+    cursors.register_cursor(spark, name, "c_custkey long, c_name string", cursors.Cursor(fetch, limit, None if by_place else "c_custkey", rounds))
+    stream = spark.readStream.format(name).load().writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).start()
+    try:
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return spark.read.parquet(sink)
+
+
+_SWEPT = "SELECT c_custkey, c_name, sweep, false AS mark FROM customer, (VALUES (0::BIGINT), (1::BIGINT)) AS s(sweep) UNION ALL SELECT NULL, NULL, sweep, true FROM (VALUES (0::BIGINT), (1::BIGINT)) AS s(sweep)"
+
+
+@query("keyset_sweep", _SWEPT)
+def keyset_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swept(spark, sf_dir, False)
+
+
+@query("offset_sweep", _SWEPT)
+def offset_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swept(spark, sf_dir, True)
