@@ -10,6 +10,10 @@ How often a pair of ids is linked in the whole corpus is a sum over all document
 ``HOT`` links are fewer than ``HOT`` whatever the input, so their counts are broadcast (17 bytes each); what documents
 hold of all rarer pairs meets its counts in a shuffle.
 
+Where neither side can join a space to what stands before it (a byte-level split at white space; pieces with a space
+only in front), texts are cut there and each distinct piece is tokenized once and remembered, which gives the same ids.
+Other tokenizers get whole texts.
+
 Edge cases: texts that are null or empty, and those whose tokens do not give back a space and the text (a piece model
 may normalise), have no tokens and all-zero results; special tokens' strings are ordinary text; rows with equal or null
 ids count apart; other columns are not looked at.
@@ -18,7 +22,10 @@ ids count apart; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,6 +39,11 @@ from .common import durable, per_batch, small_batches
 HOT = 1_000_000
 #: Characters of the texts that are aligned at a time; a longer text is aligned alone.
 CHUNK = 1 << 20
+#: Pieces that a process remembers, and the longest that it does.
+REMEMBERED, LONGEST = 800_000, 100
+_SPACED = re.compile(r" [^ ]*")
+#: A space behind what may be white space to a tokenizer.
+_RUN = re.compile(r"[^!-~\w] | $")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -104,22 +116,70 @@ class Aligner:
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.a_names, self.b_names = ([str(i) for i in range(len(t))] for t in (self.a_bytes, self.b_bytes))
 
-    def tokens(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B for each text, none where the bytes of either are not a space and the text."""
-        at = [k for k, t in enumerate(texts) if t]
-        a, b = [[] for _ in texts], [[] for _ in texts]
-        full = [" " + texts[k] for k in at]
-        firsts = [e.ids for e in self.first.encode_batch_fast(full, add_special_tokens=False)] if at else []
-        seconds = self.second.encode([texts[k] for k in at], num_threads=1) if at else []
-        for k, want, x, y in zip(at, full, firsts, seconds):
-            raw = want.encode()
-            if b"".join(map(self.a_bytes.__getitem__, x)) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw:
-                a[k], b[k] = x, y
-        return a, b
+        self.local = self._local(json.loads(self.first.to_str()))
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.before: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _local(self, form: dict) -> bool:
+        """Whether both tokenizers end a token before every space that follows something else than white space."""
+        split = form["pre_tokenizer"] or {}
+        first = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and form["normalizer"] is None and all(t["special"] for t in form["added_tokens"])
+        odd = "a  b\t\n ﬁ½ é\u0301 ＡⅣ \u00a0 "
+        second = all("▁" not in self.second.id_to_piece(i).lstrip("▁") for i in range(self.second.get_piece_size())) and self.second.normalize(odd).replace("▁", " ") == " " + odd
+        return bool(first and second)
+
+    def pieces(self, full: str) -> list[str]:
+        """``full``, which begins with a space, cut before spaces that follow a letter, a digit or ASCII punctuation."""
+        if not self.local:
+            return [full]
+        parts = _SPACED.findall(full)
+        if not _RUN.search(full):
+            return parts
+        out: list[str] = []
+        open_ = False  # whether the last piece may go on
+        for p in parts:
+            if open_:
+                out[-1] += p
+            else:
+                out.append(p)
+            open_ = _RUN.match(p[-1] + " ") is not None
+        if len(out) > 1 and out[-1] == " ":
+            out[-2:] = [out[-2] + " "]
+        return out
+
+    def _tokenized(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Ids of A and of B for each piece, as four bytes each; None where the bytes of either are not the piece's."""
+        firsts = self.first.encode_batch_fast(pieces, add_special_tokens=False)
+        seconds = self.second.encode([p[1:] for p in pieces], num_threads=1)  # it adds the space
+        out: dict[str, tuple[bytes, bytes] | None] = {}
+        for p, x, y in zip(pieces, firsts, seconds):
+            raw, ids = p.encode(), x.ids
+            same = b"".join([self.a_bytes[i] for i in ids]) == raw and b"".join([self.b_bytes[i] for i in y]) == raw
+            out[p] = (array("I", ids).tobytes(), array("I", y).tobytes()) if same else None
+        return out
+
+    def tokens(self, texts: list[str | None]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and of B end to end, and where each text's begin and end; none where the bytes of either are not a
+        space and the text. What was met lately is remembered in two generations."""
+        cut = [self.pieces(" " + t) if t else [] for t in texts]
+        new = set().union(*cut).difference(self.known)
+        self.known.update((p, self.before[p]) for p in new.intersection(self.before))
+        missing = new.difference(self.known)
+        found = self._tokenized(sorted(missing)) if missing else {}
+        self.known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
+        known = self.known | found if any(len(p) > LONGEST for p in found) else self.known
+        a: list[bytes] = []
+        b: list[bytes] = []
+        for pieces in cut:
+            ids = [known[p] for p in pieces]
+            a.append(b"" if None in ids else b"".join([i[0] for i in ids]))
+            b.append(b"" if None in ids else b"".join([i[1] for i in ids]))
+        if len(self.known) > REMEMBERED // 2:
+            self.before, self.known = self.known, {}
+        return tuple((np.frombuffer(b"".join(side), np.uint32).astype(np.int64), np.cumsum([0, *map(len, side)]) // 4) for side in (a, b))
 
     def align(self, texts: list[str | None]) -> Aligned:
-        lists = self.tokens(texts)
-        (a, b), (a_doc, b_doc) = ([np.fromiter((i for ids in side for i in ids), np.int64) for side in lists], [np.cumsum([0, *map(len, side)]) for side in lists])
+        (a, a_doc), (b, b_doc) = self.tokens(texts)
         a_end, b_end = self.a_size[a].cumsum(), self.b_size[b].cumsum()
         size = int(a_end[-1]) if len(a_end) else 0
         doc_end = np.concatenate([[0], a_end])[a_doc[1:]]  # where each document's bytes end

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -106,6 +107,25 @@ def test_long_text_is_cut_nowhere():
     assert x.a_doc[1] == x.a_doc[2] == len(c.tokens([text])[0][0]) and x.group_doc[3] == x.group_doc[2] + 1
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    """Cut texts against whole ones, with white space of many kinds next to spaces."""
+    c = align.aligner(A, B)
+    assert c.local
+    r = random.Random(7)
+    pool = "    ab1.,'s\n\t\r\x0b\x0c\x1c\x1f\x85\u00a0\u1680\u180e\u2003\u200b\u2028\u3000\ufeff\x00é\u0301ßж東🎉½Ⅳ▁<>_-"
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(1, 60))) for _ in range(4000)] + [" ", "  ", "a ", "a  ", " a", "a \n b", "a\n \nb", "x" * 500 + " y " * 40, "it's  they'll 's"]
+    (a, a_ends), (b, b_ends) = c.tokens(texts)
+    first = [e.ids for e in c.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    kept = 0
+    for k, t in enumerate(texts):
+        x, y, raw = first[k], c.second.encode(t), (" " + t).encode()
+        if b"".join(c.a_bytes[i] for i in x) != raw or b"".join(c.b_bytes[i] for i in y) != raw:
+            x, y = [], []
+        kept += bool(x)
+        assert (a[a_ends[k] : a_ends[k + 1]].tolist(), b[b_ends[k] : b_ends[k + 1]].tolist()) == (x, y), repr(t)
+    assert kept > 1000
+
+
 def test_empty_table(spark):
     assert align.alignment_report(empty(spark), A, B).collect() == []
     assert align.align(empty(spark), A, B).collect() == []
