@@ -63,9 +63,11 @@ def reclassify_queue(items: DataFrame, tried: DataFrame, limit: int) -> DataFram
     return rows.orderBy(F.col("ends_at").desc_nulls_last(), "house", "external_id").limit(limit)
 
 
-def some_of_first(rows: DataFrame, order: list[Column], first: int, take: int, seed: int) -> DataFrame:
-    """``take`` of the ``first`` rows by an order, drawn by a seed; the cut is the feature's own."""
-    return rows.orderBy(*order).limit(first).withColumn("__r", F.rand(seed)).orderBy("__r").limit(take).drop("__r")
+def some_of_first(rows: DataFrame, order: list[Column], first: int, take: int, seed: int, key: list[str]) -> DataFrame:
+    """``take`` of the ``first`` rows by an order, drawn by a hash of seed and key, so that a task that runs again draws
+    the same; the cut is the feature's own."""
+    drawn = F.sha2(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key]), 256)
+    return rows.orderBy(*order).limit(first).orderBy(drawn, *key).limit(take)
 
 
 def pending_images(images: DataFrame, items: DataFrame, limit: int) -> DataFrame:

@@ -32,19 +32,19 @@ def telling_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.telling_words(title), " ").alias("words"))
 
 
-@query("place_spellings", "WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Copenhagen K' WHEN 1 THEN 'KÖPENHAMN' WHEN 2 THEN 'Kobenhavn' ELSE c_name END AS place FROM customer) SELECT c_custkey, c_custkey % 4 = 0 OR c_custkey % 4 = 1 AS hit FROM c WHERE c_custkey % 4 <> 2")
+@query("place_spellings", "WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Copenhagen K' WHEN 1 THEN 'KÖPENHAMN' WHEN 2 THEN 'Kobenhavn' ELSE c_name END AS place FROM customer) SELECT c_custkey, c_custkey % 4 < 2 AS hit FROM c")
 def place_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A place is found under its foreign spellings too."""
+    """A place is found under its foreign spellings too, but not under one that nobody listed."""
     from ..functions.text import location_pattern
 
     k = c("c_custkey") % 4
-    place = F.when(k == 0, "Copenhagen K").when(k == 1, "KÖPENHAMN").otherwise(c("c_name"))
-    return table(spark, sf_dir, "customer").filter(k != 2).select("c_custkey", place.rlike(location_pattern("Köpenhamn")).alias("hit"))
+    place = F.when(k == 0, "Copenhagen K").when(k == 1, "KÖPENHAMN").when(k == 2, "Kobenhavn").otherwise(c("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", place.rlike(location_pattern("Köpenhamn")).alias("hit"))
 
 
-@query("thing_condition", "SELECT doc_id, CASE WHEN regexp_matches(lower(concat_ws(' ', text, source)), '(^|[^a-z0-9_])(ny|nytt|nya|unused|new\\s+condition)([^a-z0-9_]|$)') THEN 'new' ELSE 'used' END AS condition FROM documents")
+@query("thing_condition", "SELECT doc_id, CASE WHEN regexp_matches(lower(concat_ws(' ', text, CASE WHEN n_chars % 3 = 0 THEN 'Nytt, från ' END || source)), '(^|[^a-z0-9_])(ny|nytt|nya|unused|new\\s+condition)([^a-z0-9_]|$)') THEN 'new' ELSE 'used' END AS condition FROM documents")
 def thing_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.condition(c("text"), c("source")).alias("condition"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.condition(c("text"), F.when(c("n_chars") % 3 == 0, F.concat(lit("Nytt, från "), "source"))).alias("condition"))
 
 
 @query("stated_brand", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_brand WHEN 1 THEN split_part(p_name, ' ', 1) END AS brand FROM part")
@@ -75,11 +75,14 @@ def safe_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.allow_tags(raw).alias("html"))
 
 
-@query("map_points", "SELECT o_orderkey, '38.5,-120.2|40.7,-120.95|43.252,-126.453' AS points FROM orders")
+@query("map_points", "SELECT o_orderkey, '3850000,-12020000|' || (3850000 + o_custkey % 16) || ',' || (-12020000 - o_orderkey % 16 - 1) AS points FROM orders")
 def map_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(lit("_p~iF~ps|U_ulLnnqC_mqNvxq`@"), F.when(c("o_orderkey") < 0, "x").otherwise(""))
+    """A fixed point, and one that lies so many steps north and west of it as the order's keys say."""
+    step = lambda n: F.char(lit(63) + n)
+    text = F.concat(lit("_p~iF~ps|U"), step(2 * (c("o_custkey") % 16)), step(2 * (c("o_orderkey") % 16) + 1))
+    whole = lambda x: F.round(x * 100000).cast("long").cast("string")
     points = vectors.polyline(text)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(points, lambda p: F.concat_ws(",", p["lat"].cast("string"), p["lon"].cast("string"))), "|").alias("points"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(points, lambda p: F.concat_ws(",", whole(p["lat"]), whole(p["lon"]))), "|").alias("points"))
 
 
 @query("price_ranges", "SELECT p_partkey, (p_size * 1000)::BIGINT AS low, CASE WHEN p_size % 2 = 0 THEN p_size * 1000 + 500 ELSE p_size * 1000 END::BIGINT AS high FROM part WHERE p_size % 3 > 0 UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_size % 3 = 0")
@@ -266,9 +269,9 @@ def next_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price.next_cards(samples, samples.filter("cmp % 3 = 0").select("target", "cmp"), parts)
 
 
-@query("some_of_first")
+@query("some_of_first", "SELECT o_orderkey, o_orderdate FROM (SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 50) ORDER BY sha256('5:' || o_orderkey) LIMIT 8")
 def some_of_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queues.some_of_first(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [c("o_orderdate"), c("o_orderkey")], 50, 8, seed=5)
+    return queues.some_of_first(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [c("o_orderdate"), c("o_orderkey")], 50, 8, 5, ["o_orderkey"])
 
 
 @query("page_addresses", "SELECT DISTINCT url FROM (SELECT url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url FROM pages WHERE page_id % 3 = 0)")
@@ -283,10 +286,10 @@ def addressed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.addressed(p, "html", "url").select("sha256", "copies", "path")
 
 
-@query("url_batch", "WITH p AS (SELECT 'u' || user_id AS url, min(ts) AS seen FROM events GROUP BY user_id), sent AS (SELECT 'u' || user_id AS url FROM events WHERE event_type = 'error') SELECT url FROM p WHERE url NOT IN (SELECT url FROM sent) ORDER BY seen, url LIMIT 40")
+@query("url_batch", "WITH p AS (SELECT 'u' || user_id AS url, min(ts) AS seen FROM events GROUP BY user_id), sent AS (SELECT 'u' || user_id AS url FROM events WHERE event_type = 'error' AND user_id % 3 = 0) SELECT url FROM p WHERE url NOT IN (SELECT url FROM sent) ORDER BY seen, url LIMIT 40")
 def url_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.concat(lit("u"), c("user_id")).alias("url"), c("ts").alias("seen"), "event_type")
-    return H.url_batch(e, e.filter("event_type = 'error'").select("url").distinct(), 40).select("url")
+    e = table(spark, sf_dir, "events").select(F.concat(lit("u"), c("user_id")).alias("url"), "user_id", c("ts").alias("seen"), "event_type")
+    return H.url_batch(e, e.filter("event_type = 'error' AND user_id % 3 = 0").select("url").distinct(), 40).select("url")
 
 
 @query("unsent_news", "SELECT DISTINCT user_id || ':' || event_type AS dedup_key FROM events WHERE user_id || ':' || event_type NOT IN (SELECT user_id || ':' || event_type FROM events WHERE event_id % 50 = 0)")

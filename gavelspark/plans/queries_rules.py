@@ -236,30 +236,36 @@ def best_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("house", "external_id", money.best_price(total, F.col("current_bid"), F.col("min_bid")).alias("price"))
 
 
-def over_rows(name: str, fn, source: str, key: str, text: str, sql: str | None = None) -> None:
-    """A query that applies a scalar function to a column of a table."""
+def over_rows(name: str, fn, source: str, key: str, text: Callable[[], Column], sql: str | None = None, given: str | None = None) -> None:
+    """A query that applies a scalar function to a text of each row of a table: a column, or one made from the row's own
+    columns (``given`` is its SQL, ``x`` in ``sql``)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, source).select(key, fn(F.col(text)).alias("y"))
+        return table(spark, sf_dir, source).select(key, fn(text()).alias("y"))
 
-    query(name, sql and f"SELECT {key}, {sql} AS y FROM {source}")(run)
+    inner = f"(SELECT *, {given} AS x FROM {source})" if given else source
+    query(name, sql and f"SELECT {key}, {sql} AS y FROM {inner}")(run)
 
 
 _SQUEEZED = "trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g'))"
 _BODY = "left(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 400)"
-over_rows("keyword_classify_rows", classify.by_text, "part", "p_partkey", "p_name")
-over_rows("lot_count_rows", T.lot_count, "part", "p_partkey", "p_name", "CASE WHEN regexp_matches(p_name, '(?i)[1-9][0-9]*\\s*(stycken|styck|st)\\b') THEN TRY_CAST(regexp_extract(p_name, '(?i)(\\d+)\\s*(?:stycken|styck|st)\\b', 1) AS BIGINT) END")
-over_rows("plate_regex_rows", T.plate, "documents", "doc_id", "text")
-over_rows("swedish_number_rows", T.number, "documents", "doc_id", "text")
-over_rows("slugify_rows", T.slug, "part", "p_partkey", "p_name", "regexp_replace(regexp_replace(translate(lower(p_name), 'åäöéèüàçñóíêß', 'aaoeeuacnoies'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
-over_rows("countdown_rows", times.countdown_seconds, "documents", "doc_id", "text")
-over_rows("quoted_models_rows", lambda x: F.array_join(T.quoted_models(x), "|"), "documents", "doc_id", "text")
-over_rows("condition_badge_rows", T.condition_badge, "documents", "doc_id", "text")
-over_rows("normalise_query_rows", T.normalise_query, "part", "p_partkey", "p_name", _SQUEEZED)
-over_rows("clock_minutes_rows", times.clock_minutes, "documents", "doc_id", "text", "CASE WHEN regexp_full_match(text, '([0-1]?[0-9]|2[0-3]):[0-5][0-9]') THEN split_part(text, ':', 1)::INT * 60 + split_part(text, ':', 2)::INT END")
-over_rows("html_entities_rows", T.strip_html, "pages", "page_id", "html")
-over_rows("item_text_rows", lambda x: T.item_text(F.lit("Stol"), x), "documents", "doc_id", "text", f"CASE WHEN {_BODY} = '' THEN 'Stol' ELSE 'Stol. ' || {_BODY} END")
-over_rows("spec_value_rows", lambda x: T.label_value(x, "Höjd", ("Bredd", "Vikt")), "documents", "doc_id", "text")
-over_rows("image_url_rows", T.image_url, "pages", "page_id", "url", "regexp_replace(url, '(?i)([_-](thumb|small|mid|large|\\d+x\\d+))(\\.(jpe?g|png|webp))', '\\3', 'g')")
-over_rows("fitted_text_rows", lambda x: T.fitted(x, 10), "part", "p_partkey", "p_name", "CASE WHEN length(p_name) <= 10 THEN p_name ELSE rtrim(left(p_name, 9)) || '…' END")
-over_rows("worth_expanding_rows", T.worth_expanding, "part", "p_partkey", "p_name", f"length({_SQUEEZED}) BETWEEN 4 AND 60 AND regexp_matches({_SQUEEZED}, '\\p{{L}}{{4,}}')")
+_SEGMENTS = {"AUTOMOBILE": ("Volvo V70 kombi", "fordon/personbilar"), "HOUSEHOLD": ("Guldring 18k", "smycken/smycken-sub"), "MACHINERY": ("okänd sak", None), "BUILDING": ("Diverse dödsbo", "ovrigt/partier"), "FURNITURE": ("LP-skiva vinyl", "media/vinyl")}
+_DOC = lambda *parts: F.concat(F.coalesce("text", F.lit("")), *parts)
+_TEXT = "coalesce(text, '') || "
+_N, _ID = (lambda: F.col("n_chars")), (lambda: F.col("doc_id"))
+over_rows("keyword_classify_rows", classify.by_text, "customer", "c_custkey", lambda: F.concat("c_name", F.lit(" "), F.coalesce(F.create_map(*[F.lit(x) for k, (t, _) in _SEGMENTS.items() for x in (k, t)])[F.col("c_mktsegment")], F.lit(""))), "CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, (_, v) in _SEGMENTS.items() if v) + " END")
+over_rows("lot_count_rows", T.lot_count, "documents", "doc_id", lambda: F.when(_ID() % 3 > 0, _DOC(F.lit(" "), _N() % 90 + 1, F.lit(" st kvar"))).otherwise(F.col("text")), "coalesce(nullif(TRY_CAST(nullif(regexp_extract(x, '(?i)(\\d+)\\s*(?:stycken|styck|st)\\.?\\b', 1), '') AS BIGINT), 0), CASE WHEN regexp_matches(x, '(?i)\\bett\\s+par\\b|\\b1\\s+par\\b|,\\s*par\\b|\\bpar,|\\bpar\\s+[”\"“]') THEN 2 END)", f"CASE WHEN doc_id % 3 > 0 THEN {_TEXT} ' ' || (n_chars % 90 + 1) || ' st kvar' ELSE text END")
+over_rows("plate_regex_rows", T.plate, "documents", "doc_id", lambda: _DOC(F.when(_ID() % 2 == 0, F.concat(F.lit(" bil abc "), _ID() % 900 + 100, F.lit("."))).otherwise("")), "CASE WHEN p <> '' AND NOT (regexp_matches(p, '^(AAA|BBB|CCC|DDD|EEE|FFF|GGG|HHH|JJJ|KKK|LLL|MMM|NNN|OOO|PPP|RRR|SSS|TTT|UUU|WWW|XXX|YYY|ZZZ)') AND contains(p, '000')) THEN p END", f"upper({_TEXT} CASE WHEN doc_id % 2 = 0 THEN ' bil abc ' || (doc_id % 900 + 100) || '.' ELSE '' END) AS u, regexp_extract(u, '\\b([A-HJ-PR-UW-Z]{{3}})\\s?(\\d{{2}}[\\dA-HJ-PR-UW-Z])\\b', 1) || regexp_extract(u, '\\b([A-HJ-PR-UW-Z]{{3}})\\s?(\\d{{2}}[\\dA-HJ-PR-UW-Z])\\b', 2) AS p, 0")
+over_rows("swedish_number_rows", T.number, "documents", "doc_id", lambda: F.when(_ID() % 4 > 0, F.concat(F.regexp_replace(_N().cast("string"), r"(\d)(?=(\d{3})+$)", "$1 "), F.lit(","), _ID() % 10)).otherwise(F.col("text")), "CASE WHEN doc_id % 4 > 0 THEN (n_chars * 10 + doc_id % 10) / 10.0::DOUBLE END")
+over_rows("slugify_rows", T.slug, "part", "p_partkey", lambda: F.col("p_name"), "regexp_replace(regexp_replace(translate(lower(p_name), 'åäöéèüàçñóíêß', 'aaoeeuacnoies'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
+over_rows("countdown_rows", times.countdown_seconds, "documents", "doc_id", lambda: F.when(_ID() % 3 > 0, F.concat(_N() % 6, F.lit(" dygn "), _ID() % 24, F.lit(" tim"))).otherwise(F.concat(_N() % 60, F.lit(" minuter"))), "CASE WHEN doc_id % 3 > 0 THEN n_chars % 6 * 86400 + doc_id % 24 * 3600 ELSE n_chars % 60 * 60 END::BIGINT")
+over_rows("quoted_models_rows", lambda x: F.array_join(T.quoted_models(x), "|"), "documents", "doc_id", lambda: _DOC(F.lit(' "'), F.coalesce("source", F.lit("?")), F.lit(" "), _N(), F.lit('" ”x”')), "array_to_string(list_filter(list_transform(regexp_extract_all(x, '[\"”“„]([^\"”“„]{2,40})[\"”“„]', 1), lambda s: trim(s)), lambda s: length(s) >= 2), '|')", f"{_TEXT} ' \"' || coalesce(source, '?') || ' ' || n_chars || '\" ”x”'")
+over_rows("condition_badge_rows", T.condition_badge, "documents", "doc_id", lambda: _DOC(F.lit("\n"), F.when(_N() % 3 == 0, "Ny i kartong").when(_N() % 3 == 1, "ej testad").otherwise("oanvändbar")), "CASE n_chars % 3 WHEN 0 THEN 'ny' WHEN 1 THEN 'otestad' END")
+over_rows("normalise_query_rows", T.normalise_query, "part", "p_partkey", lambda: F.col("p_name"), _SQUEEZED)
+over_rows("clock_minutes_rows", times.clock_minutes, "documents", "doc_id", lambda: F.concat(_N() % 30, F.lit(":"), F.lpad((_ID() % 70).cast("string"), 2, "0")), "CASE WHEN n_chars % 30 < 24 AND doc_id % 70 < 60 THEN n_chars % 30 * 60 + doc_id % 70 END::INTEGER")
+over_rows("html_entities_rows", T.strip_html, "pages", "page_id", lambda: F.col("html"))
+over_rows("item_text_rows", lambda x: T.item_text(F.lit("Stol"), x), "documents", "doc_id", lambda: F.col("text"), f"CASE WHEN {_BODY} = '' THEN 'Stol' ELSE 'Stol. ' || {_BODY} END")
+over_rows("spec_value_rows", lambda x: T.label_value(x, "Höjd", ("Bredd", "Vikt")), "documents", "doc_id", lambda: _DOC(F.when(_ID() % 2 == 0, F.concat(F.lit("\nHöjd: "), _N(), F.lit(" cm Bredd: 10"))).otherwise("")), "CASE WHEN doc_id % 2 = 0 THEN n_chars || ' cm' END")
+over_rows("image_url_rows", T.image_url, "pages", "page_id", lambda: F.col("url"), "regexp_replace(url, '(?i)([_-](thumb|small|mid|large|\\d+x\\d+))(\\.(jpe?g|png|webp))', '\\3', 'g')")
+over_rows("fitted_text_rows", lambda x: T.fitted(x, 10), "part", "p_partkey", lambda: F.col("p_name"), "CASE WHEN length(p_name) <= 10 THEN p_name ELSE rtrim(left(p_name, 9)) || '…' END")
+over_rows("worth_expanding_rows", T.worth_expanding, "part", "p_partkey", lambda: F.col("p_name"), f"length({_SQUEEZED}) BETWEEN 4 AND 60 AND regexp_matches({_SQUEEZED}, '\\p{{L}}{{4,}}')")
