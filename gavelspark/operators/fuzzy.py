@@ -36,14 +36,18 @@ def similar_pairs(left: DataFrame, left_col: str, right: DataFrame, right_col: s
     return pairs.withColumn("similarity", trigram_similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= threshold)
 
 
-def word_pairs(left: DataFrame, left_col: str, right: DataFrame, right_col: str) -> DataFrame:
+def word_pairs(left: DataFrame, left_col: str, right: DataFrame, right_col: str, within: tuple[str, str] | None = None) -> DataFrame:
     """(a, b): texts of the right that have the left's most telling word at a word start, as an equi-join on that word
-    against the right's words cut to its length."""
-    a = left.select(F.col(left_col).alias("a")).distinct().withColumn("word", F.get(telling_words(F.col("a")), F.lit(0))).filter("word IS NOT NULL")
+    against the right's words cut to its length. With ``within``, a column of either side, only texts that agree in it
+    pair up, and a left row without a value pairs with all; so a common word is parted by what it is said of."""
+    own, other = (F.col(c) if within else F.lit(None).cast("string") for c in within or ("", ""))
+    a = left.select(F.col(left_col).alias("a"), own.alias("own")).distinct().withColumn("word", F.get(telling_words(F.col("a")), F.lit(0))).filter("word IS NOT NULL")
     lengths = a.select(F.length("word").alias("n")).distinct()
-    words = right.select(F.col(right_col).alias("b")).distinct().withColumn("token", F.explode(F.array_distinct(F.split(F.lower("b"), r"[^\p{L}\p{N}_]+"))))
-    starts = words.join(F.broadcast(lengths), F.length("token") >= F.col("n")).select("b", F.substring("token", F.lit(1), F.col("n")).alias("word")).distinct()
-    return a.join(starts, "word").select("a", "b").distinct()
+    words = right.select(F.col(right_col).alias("b"), other.alias("own")).distinct().withColumn("token", F.explode(F.array_distinct(F.split(F.lower("b"), r"[^\p{L}\p{N}_]+"))))
+    starts = words.join(F.broadcast(lengths), F.length("token") >= F.col("n")).select("b", "own", F.substring("token", F.lit(1), F.col("n")).alias("word")).distinct()
+    every = a.filter("own IS NULL").drop("own").join(starts.drop("own"), "word").select("a", "b")
+    alike = a.filter("own IS NOT NULL").join(starts, ["word", "own"]).select("a", "b")
+    return (alike.union(every) if within else every).distinct()
 
 
 def verified(a: Column, word: str) -> Column:

@@ -65,7 +65,8 @@ def overlap_ok(target: Column, sample: Column, similarity: Column, threshold: fl
 def title_pairs(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity): title pairs that may compare, by similarity or by the most telling word."""
     similar = similar_pairs(targets, "title", history, "title", threshold)
-    by_word = word_pairs(targets, "title", history, "title").withColumn("similarity", F.lit(0.0))
+    within = ("main", "s_main") if "main" in targets.columns and "s_main" in history.columns else None
+    by_word = word_pairs(targets, "title", history, "title", within).withColumn("similarity", F.lit(0.0))
     return similar.unionByName(by_word).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
@@ -103,31 +104,41 @@ def _classes(targets: DataFrame) -> DataFrame:
 
 
 def _candidates(classes: DataFrame, history: DataFrame, threshold: float, lexicon: DataFrame | None) -> DataFrame:
-    """Gated sales of each class of targets, before any cut but one: sales that are alike to every target (of one title,
-    main, count and facts) are cut to their newest, one more than a target can take, however many a hot title has."""
-    known = lambda name: F.col(name) if name in history.columns else F.lit(None)
-    sold = sale_mains(verified(history), lexicon).withColumns({"s_count": F.coalesce(known("lot_count").cast("long"), lot_count(F.col("title"))), "s_attrs": known("attrs")})
+    """Gated sales of each class of targets. Sales that are alike to every target (of one title, main, count and facts)
+    are cut to their newest, one more than a target can take, and groups of them that lie behind that many more similar
+    sales are left out, however many a hot title or word has."""
+    known = lambda name, kind: F.col(name) if name in history.columns else F.lit(None).cast(kind)
+    sold = sale_mains(verified(history), lexicon).withColumns({"s_count": F.coalesce(known("lot_count", "long").cast("long"), lot_count(F.col("title"))), "s_attrs": known("attrs", "string")})
     keys = [c for c in ("house", "external_id") if c in history.columns]
-    sold = sold.select(F.col("title").alias("b"), "s_main", "s_count", "s_attrs", F.col("final_total").alias("price"), *[F.col(k).alias("s_" + k) for k in keys], "ended_at").filter("price > 0")
-    alike = Window.partitionBy("b", "s_main", "s_count", "s_attrs").orderBy(F.desc("ended_at"), "s_external_id")
-    recent = pinned(sold.withColumn("__r", F.row_number().over(alike)).filter(F.col("__r") <= MOST + 1).drop("__r"))
-    # classes and titles are read several times below, so each is made once
+    alike = ["b", "s_main", "s_count", "s_attrs"]
+    sold = sold.select(F.col("title").alias("b"), *alike[1:], F.col("final_total").alias("price"), *[F.col(k).alias("s_" + k) for k in keys], "ended_at").filter("price > 0")
+    newest = Window.partitionBy(*alike).orderBy(F.desc("ended_at"), "s_external_id", *[f"s_{k}" for k in keys if k == "house"])
+    recent = sold.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= MOST + 1).drop("__r")
+    recent = pinned(recent.withColumn("__alike", F.xxhash64(*[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in alike])))
+    groups = pinned(recent.groupBy("__alike", *alike).agg(F.count(F.lit(1)).alias("__n")))
+    # classes are read several times below, so each is made once
     classes = pinned(classes)
-    pairs = title_pairs(classes, pinned(recent.select(F.col("b").alias("title")).distinct()), threshold)
+    pairs = title_pairs(classes, groups.select(F.col("b").alias("title"), "s_main"), threshold)
     pairs = pairs.filter(overlap_ok(F.col("a"), F.col("b"), F.col("similarity"), threshold))
-    pairs = pinned(pairs.withColumn("strict", model_agrees(quoted_models(F.col("a")), F.col("b"))))
-    rows = classes.join(pairs, classes.title == pairs.a).join(recent, "b")
+    pairs = pairs.withColumn("strict", model_agrees(quoted_models(F.col("a")), F.col("b")))
+    # every gate looks only at what makes sales alike, so groups pass them, not sales
+    rows = classes.join(pairs, classes.title == pairs.a).join(groups, "b")
     rows = rows.filter(F.coalesce(F.col("main") == F.col("s_main"), F.col("main").isNull()))
     own_count = F.coalesce(F.col("lot_count").cast("long"), lot_count(F.col("title"))) if "lot_count" in classes.columns else lot_count(F.col("title"))
     rows = rows.filter(counts_agree(own_count, F.col("s_count")))
     if "attrs" in classes.columns and "attrs" in history.columns:
         facts = lambda c: {name: F.col(c)[name] for name in ATTRIBUTES}
         rows = rows.filter(attributes_agree(facts("attrs"), facts("s_attrs"), F.col("attrs")[YEAR], F.col("s_attrs")[YEAR]))
+    # groups behind enough more similar sales can never be among a class's most similar
+    ahead = Window.partitionBy("class").orderBy(F.desc("similarity")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    nearer = F.sum("__n").over(ahead) - F.sum("__n").over(Window.partitionBy("class", "similarity"))
+    rows = rows.withColumn("__nearer", nearer).filter(F.col("__nearer") <= MOST)
+    rows = rows.select(*classes.columns, "strict", "similarity", "__alike").join(recent.select("__alike", "price", *["s_" + k for k in keys], "ended_at"), "__alike")
     return rows.select(*classes.columns, "strict", "similarity", "price", *["s_" + k for k in keys], "ended_at")
 
 
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), F.desc("ended_at"), "s_external_id"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), F.desc("ended_at"), "s_external_id", *[c for c in ("s_house",) if c in rows.columns]))
     return rows.withColumn("place", place).filter(F.col("place") <= MOST)
 
 

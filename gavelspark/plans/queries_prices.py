@@ -81,9 +81,7 @@ _WORDS = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9åä
 _ACTIVE = f"status = 'active' AND (ends_at IS NULL OR ends_at > TIMESTAMP '{AS_OF}')"
 
 
-@query(
-    "price_stats_all_targets",
-    f"""WITH {ITEMS_SQL}, {HISTORY_SQL},
+_COMPARED = f"""WITH {ITEMS_SQL}, {HISTORY_SQL},
 t AS (SELECT DISTINCT title, split_part(category, '/', 1) AS main FROM items WHERE {_ACTIVE}),
 x AS (SELECT DISTINCT title AS a FROM t), y AS (SELECT DISTINCT title AS b FROM history WHERE sold),
 p AS (SELECT a, b, {_sim('a', 'b')} AS raw, {_WORDS('a')} AS wa,
@@ -92,21 +90,22 @@ q AS (SELECT *, list_reduce(wa, lambda m, w: CASE WHEN length(w) > length(m) THE
       UNION ALL SELECT *, NULL FROM p WHERE len(wa) = 0),
 g AS (SELECT a, b, CASE WHEN raw >= 0.45 THEN raw ELSE 0 END AS s FROM q
       WHERE (raw >= 0.45 OR coalesce(regexp_matches(b, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || word), false)) AND (raw >= 0.45 OR len(wa) < 2 OR shared >= 2)),
-c AS (SELECT t.title, t.main, h.final_total AS price,
+c AS (SELECT t.title, t.main, h.final_total AS price, h.external_id, s,
              row_number() OVER (PARTITION BY t.title, t.main ORDER BY s DESC, ended_at DESC, external_id) AS place
       FROM t JOIN g ON t.title = g.a JOIN history h ON h.title = g.b AND h.sold AND split_part(h.category, '/', 1) = t.main),
-k AS (SELECT * FROM c WHERE place <= 250)
-SELECT * FROM ({_stats('title, main', 'k', 'price')}) WHERE n >= 3""",
-)
+k AS (SELECT * FROM c WHERE place <= 250)"""
+
+
+@query("price_stats_all_targets", f"{_COMPARED} SELECT * FROM ({_stats('title, main', 'k', 'price')}) WHERE n >= 3")
 def price_stats_all_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = search.Filters(as_of=ntz(AS_OF)).apply(items(spark, sf_dir))
     return price.price_stats(targets, history(spark, sf_dir))
 
 
-@query("price_samples_all_targets")
+@query("price_samples_all_targets", f"{_COMPARED} SELECT title, main, place::INT AS sample, external_id, round(s, 9) AS similarity, price FROM k WHERE place <= 15 QUALIFY count(*) OVER (PARTITION BY title, main) >= 3")
 def price_samples_all_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = search.Filters(as_of=ntz(AS_OF)).apply(items(spark, sf_dir))
-    return price.price_samples(targets, history(spark, sf_dir))
+    return price.price_samples(targets, history(spark, sf_dir)).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(
