@@ -186,12 +186,13 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     signed = durable(small_batches(vectors).select("id", "v").mapInArrow(per_batch(_signed(bits, tables)), "id long, sigs array<bigint>"), "signatures")
     members = signed.select("id", F.explode("sigs").alias("key"))
     shared = durable(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
-    met = durable(members.join(shared, "key"), "members")
+    # a bucket may hold most vectors: hot keys are looked up by broadcast
+    met = durable(join_split(members, shared.withColumn("weight", F.col("n")), ["key"], "weight"), "members")
     # buckets of the same members: the one of the first table stands for all
     marks = [F.expr(f"bit_xor(xxhash64({k}, id))").alias(f"mark{k}") for k in (1, 2)]
     sets = met.groupBy("key", "n").agg(*marks).groupBy("n", "mark1", "mark2").agg(F.min_by("key", F.col("key").bitwiseAND(F.lit(_TABLE))).alias("key"))
-    kept = sets.select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
-    placed = met.drop("n").join(kept, "key").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    kept = durable(sets.select("key", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"), "n"), "kept")
+    placed = join_split(met.drop("n"), kept, ["key"], "n").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
     every = F.sequence(F.lit(0), F.col("pieces") - 1)
     meets = placed.withColumn("other", F.explode(every))
     meets = meets.select("key", F.least("piece", "other").alias("a"), F.greatest("piece", "other").alias("b"), "piece", "id")

@@ -170,9 +170,10 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     cut = _first_cut(radius)
     members = _dealt(fps.select("fp"), cut, "t", "k")
     sizes = durable(members.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-    small = members.join(sizes.filter(F.col("n") <= TREE).drop("n"), ["t", "k"])
-    rows = small.select("t", "k", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("k2"), "fp")
-    large = durable(members.join(sizes.filter(F.col("n") > TREE).drop("n"), ["t", "k"]), "large")
+    # a shard may hold most fingerprints: hot shards are looked up by broadcast
+    sized = join_split(members, sizes.withColumn("size", F.col("n")), ["t", "k"], "n")
+    rows = sized.filter(F.col("size") <= TREE).select("t", "k", F.lit(-1).alias("t2"), F.lit(0).cast("long").alias("k2"), "fp")
+    large = durable(sized.filter(F.col("size") > TREE).drop("size"), "large")
     if not large.isEmpty():
         for t, mask in enumerate(cut):
             again = _dealt(large.filter(F.col("t") == t), _second_cut(mask, radius), "t2", "k2")
