@@ -195,3 +195,19 @@ def keyset_page(df: DataFrame, key: str, after, limit: int) -> DataFrame:
 
 def rate(currency: str = "currency") -> Column:
     return sort_rate(F.col(currency))
+
+
+def details(items: DataFrame, bids: DataFrame, media: DataFrame, vehicles: DataFrame, plate: Column, most: int = 100, salts: int = 16) -> DataFrame:
+    """``items`` with what is shown of each: ``bids``, the ``most`` highest of them (value, bid_id), highest first;
+    ``media``, the addresses by their order; ``vehicle``, the data of ``plate`` for lots under 'fordon' only.
+    ``bids``: KEY, bid_id, value; ``media``: KEY, url, sort; ``vehicles``: plate, vehicle. Bids are cut in parts first,
+    so a lot that everybody bids on is not one task's work."""
+    best = [F.desc("value"), F.col("bid_id")]
+    top = bids.join(items.select(*KEY).distinct(), KEY, "left_semi").withColumn("__salt", F.pmod(F.xxhash64("bid_id"), F.lit(salts)))
+    for by in ([*KEY, "__salt"], KEY):
+        top = top.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).filter(F.col("__r") <= most)
+    listed = top.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("__r", "value", "bid_id"))).alias("bids"))
+    shown = media.join(items.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("sort", "url"))), lambda m: m["url"]).alias("media"))
+    of = F.when(F.col("category").startswith("fordon"), plate)
+    rows = items.withColumn("plate", of).join(vehicles.select("plate", "vehicle"), "plate", "left").join(listed, KEY, "left").join(shown, KEY, "left")
+    return rows.withColumns({"bids": F.transform(F.coalesce("bids", F.array()), lambda b: F.struct(b["value"].alias("value"), b["bid_id"].alias("bid_id"))), "media": F.coalesce("media", F.array().cast("array<string>"))})
