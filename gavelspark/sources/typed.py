@@ -41,7 +41,8 @@ def typed_values(rows: DataFrame, key: str, payload: str) -> DataFrame:
         out = plain if out is None else out.unionByName(plain)
         if level.isEmpty():
             return out.withColumnRenamed("__id", key)
-        maps, lists = (level.withColumn("inner", F.try_variant_get("v", path, "variant")).filter("inner IS NOT NULL").drop("v") for path in ("$.mapValue.fields", "$.arrayValue.values"))
-        below = maps.lateralJoin(explode("inner")).select("__id", F.concat("path", F.lit("."), "key").alias("path"), F.col("value").alias("v"))
-        members = lists.lateralJoin(explode("inner")).select("__id", F.concat("path", F.lit("["), "pos", F.lit("]")).alias("path"), F.col("value").alias("v"))
-        level = below.unionByName(members)
+        inner = F.coalesce(*[F.try_variant_get("v", path, "variant") for path in ("$.mapValue.fields", "$.arrayValue.values")])
+        held = level.withColumn("inner", inner).filter("inner IS NOT NULL").drop("v")
+        # members of arrays have no name; one branch for both, so that a level has no more partitions than the last
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), "pos", F.lit("]")))
+        level = held.lateralJoin(explode("inner")).select("__id", F.concat("path", step).alias("path"), F.col("value").alias("v"))
