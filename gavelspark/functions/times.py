@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..rules.tables import MONTHS
+from ..rules.tables import COUNTDOWN, MONTHS
 
 
 def month_rule_utc(local: Column) -> Column:
@@ -55,7 +55,7 @@ def countdown_seconds(text: Column) -> Column:
     """Seconds that a countdown such as '3 dygn 10 tim 46 minuter 5 sek' leaves; null if it says nothing."""
     total = None
     said = None
-    for pattern, seconds in ((r"(\d+)\s*(?:dygn|dagar|dag|d\b)", 86400), (r"(\d+)\s*(?:timmar|timme|tim|h\b)", 3600), (r"(\d+)\s*(?:minuter|minut|min|m\b)", 60), (r"(\d+)\s*(?:sekunder|sekund|sek|s\b)", 1)):
+    for pattern, seconds in COUNTDOWN:
         n = F.nullif(F.regexp_extract(F.lower(text), pattern, 1), F.lit("")).cast("long")
         part = F.coalesce(n, F.lit(0)) * seconds
         total, said = (part, n.isNotNull()) if total is None else (total + part, said | n.isNotNull())

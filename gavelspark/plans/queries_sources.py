@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources import houses, houses_cards as cards, houses_lists as lists
+from ..sources import houses, houses_cards as cards, houses_lists as lists, pages
 from .adapt import AS_OF, ntz, table
-from .registry import query
+from .registry import ORACLE, query
 
 c, lit = F.col, F.lit
 MONTHS = "jan feb mar apr maj jun jul aug sep okt nov dec".split()
@@ -291,3 +291,35 @@ mapped(
     lambda p: F.array(record(auctionId=p.key, name=F.concat(F.when(p.size % 6 == 0, "Bra ").otherwise(""), "p_name"), endDate=p.iso, winnersGenerated=p.size % 5 == 0, catalogText=F.concat(lit("<p>"), "p_type", lit(" &amp; mer</p>")))),
     {"external_id": "p_partkey::VARCHAR", "title": "CASE WHEN p_size % 6 = 0 THEN 'Bra ' ELSE '' END || p_name", "description": "p_type || ' & mer'", "status": "CASE WHEN p_size > 25 AND p_size % 5 > 0 THEN 'active' ELSE 'ended' END", "ends_at": _ENDS},
 )
+
+
+def _pages_of_gak(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """List pages of up to 44 lots, and the lots' own pages, built from the parts that ``map_gak`` takes as cards."""
+    p = Part()
+    parts = table(spark, sf_dir, "part")
+    bid = some(p.bid.isNotNull(), F.concat(lit('<span class="itemCurrentBid big"> '), F.regexp_replace(p.bid.cast("string"), r"(\d)(?=(\d{3})+$)", "$1 "), lit(" kr</span>")))
+    card = F.concat(
+        lit('<div class="item" data-item-id="'), p.key, lit('"><a href="/auktion/objekt/s/'), p.key, lit('"><img data-src="https://x.se/tn/small1/'), p.key, lit('.jpg"></a><meta name="title" content="'), p.key, lit(". "), "p_name",
+        lit('"><div class="timeWrapper x"><span>'), p.dated(FULL), lit("</span></div>"), F.coalesce(bid, lit('<span class="itemCurrentBid">Inga bud</span>')), lit("</div>"))
+    lists_ = parts.groupBy(F.floor(p.key / 44)).agg(F.concat(lit("<html><body><nav>x</nav>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", card.alias("card")))), lambda r: r["card"]), "\n"), lit("</body>")).alias("html"))
+    terms = F.concat(lit('<div class="priceInfo row" data-purchase-fee="12.5" data-auction-fee="30"'), F.when(p.even, ' data-item-vat="0.25"').otherwise(""), lit(">"))
+    own = F.concat(lit('<p>x</p><div class="a itemDescription">Fin &amp; '), "p_type", lit("<br>hel</div><div>"), F.when(p.size % 5 > 0, terms).otherwise("<div>"), lit('<img itemprop="image" src="/AuctionItem/medium1.jpg"><img data-src="/AuctionItem/1.jpg"><img data-src="/AuctionItem/2.jpg">'))
+    return lists_.select("html"), parts.select(p.key.alias("id"), own.alias("html"))
+
+
+@query("pages_gak", f"SELECT g.*, 'Fin & ' || p_type || ' hel' AS description, '/AuctionItem/medium1.jpg,/AuctionItem/2.jpg' AS pictures FROM ({ORACLE['map_gak']}) g JOIN part ON p_partkey::VARCHAR = g.external_id")
+def pages_gak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cards.gak(pages.gak_payloads(*_pages_of_gak(spark, sf_dir)), ntz(AS_OF))
+    return rows.withColumn("pictures", F.array_join("media", ",")).select("external_id", "title", "ends_at", "status", "current_bid", "fee_value", "vat_rate", "description", "pictures")
+
+
+@query("pages_siko", f"SELECT s.*, CASE WHEN p_size % 5 > 0 THEN p_type || ' av god kvalitet' END AS description FROM ({ORACLE['map_siko']}) s JOIN part ON p_partkey::VARCHAR = s.external_id")
+def pages_siko(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Part()
+    parts = table(spark, sf_dir, "part")
+    local = p.ends + F.when(F.month(p.ends).between(4, 10), F.expr("INTERVAL 2 HOURS")).otherwise(F.expr("INTERVAL 1 HOUR"))
+    clock = F.when(p.even, F.concat(lit('<span class="x countdown" title="'), F.date_format(local, "yyyy-MM-dd HH:mm:ss"), lit('"></span>'))).otherwise("")
+    own = F.concat(lit("<title>"), "p_name", lit(" - Sikö Auktioner</title><p>Vi använder cookies på sidan</p>"), clock, lit("<p>kort</p><p><b>"), "p_type", lit("</b> av god kvalitet</p><p>En annan text som är lång nog</p>Utrop: 1 200 kr"))
+    live = parts.select(p.key.cast("long").alias("id"), F.coalesce(p.bid, lit(0)).cast("long").alias("bid"), ((p.size - 25) * 60).cast("long").alias("secondsRemaining"))
+    rows = cards.siko(pages.siko_payloads(live, parts.filter(p.size % 5 > 0).select(p.key.cast("long").alias("id"), own.alias("html"))), ntz(AS_OF))
+    return rows.select("external_id", "title", "status", "ends_at", "current_bid", "description")

@@ -400,3 +400,21 @@ PRICE_RANGE = r"(?is)<h4>{label}:?</h4>.{{0,300}}?<em>([^<]+)</em>"
 
 # Bounds of the price bands that a search over its ceiling is first divided into.
 PRICE_BANDS = (0, 100, 200, 300, 500, 1000, 2500, 10000, 100000, 5000000)
+
+# Where facts stand on the list pages and lot pages of two houses.
+LOT_PAGES = {
+    "link": "/auktion/objekt/([a-z0-9åäö-]+)/{id}",
+    "end": "timeWrapper",
+    "bid": "itemCurrentBid",
+    "terms": "priceInfo",
+    "fees": ("data-purchase-fee", "data-auction-fee", "data-item-vat"),
+    "description": "itemDescription",
+    "pictures": "AuctionItem",
+    "small print": "cookie|villkor|provision|slagavgift|inloggad|samtycke",
+    "worth": r"(?:Värdering|Utrop)[^0-9]{0,12}([\d\s]+)\s*kr",
+    "house": r"\s*-\s*Sik[öo] Auktioner$",
+    "picture": "https://siko-im920.fra1.cdn.digitaloceanspaces.com/{lot:08}_{n}.jpg",
+}
+
+# Units of a countdown and their seconds.
+COUNTDOWN = ((r"(\d+)\s*(?:dygn|dagar|dag|d\b)", 86400), (r"(\d+)\s*(?:timmar|timme|tim|h\b)", 3600), (r"(\d+)\s*(?:minuter|minut|min|m\b)", 60), (r"(\d+)\s*(?:sekunder|sekund|sek|s\b)", 1))
