@@ -19,6 +19,7 @@ from ..rules.tables import LOT_PAGES
 CARD = "id string, slug string, title string, endText string, currentBid long, image string"
 TERMS = "description string, purchaseFeePct double, auctionFeeKr double, itemVatRate double, images array<string>"
 LOT = "title string, description string, stops string, valuation long, images array<string>"
+_BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -153,23 +154,26 @@ class _Lot(Walk):
         self.paragraph: list[str] = []
         self.description = self.stops = self.valuation = None
         self.told: list[str] = []
+        self.inside = False
 
     def seen(self, tag: str, attrs: dict[str, str]) -> None:
         if "countdown" in attrs.get("class", "") and self.stops is None:
             self.stops = attrs.get("title") or None
-        if tag == "p":
+        if tag in _BLOCKS:  # a block ends a paragraph, closed or not
             self._end()
+            self.inside = tag == "p"
 
     def said(self, text: str) -> None:
         if self.open and self.open[-1][0] == "title":
             self.title.append(text)
-        elif any(tag == "p" for tag, _ in self.open):
+        elif self.inside:
             self.paragraph.append(text)
         self.told.append(text)
 
     def left(self, tag: str, classes: str) -> None:
-        if tag == "p":
+        if tag in _BLOCKS:
             self._end()
+            self.inside = False
 
     def _end(self) -> None:
         text = squeezed(self.paragraph)
