@@ -137,9 +137,9 @@ def _candidates(classes: DataFrame, history: DataFrame, threshold: float, lexico
     return rows.select(*classes.columns, "strict", "similarity", "price", *["s_" + k for k in keys], "ended_at")
 
 
-def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+def _ranked(rows: DataFrame, by: list[str], most: int = MOST) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), F.desc("ended_at"), "s_external_id", *[c for c in ("s_house",) if c in rows.columns]))
-    return rows.withColumn("place", place).filter(F.col("place") <= MOST)
+    return rows.withColumn("place", place).filter(F.col("place") <= most)
 
 
 def comparables(targets: DataFrame, history: DataFrame, threshold: float = SIMILARITY, lexicon: DataFrame | None = None) -> DataFrame:
@@ -180,23 +180,31 @@ def estimates(targets: DataFrame, history: DataFrame, rejected: DataFrame | None
     """(house, external_id, loose, statistics) per target; targets without an estimate have ``n`` 0.
 
     A target's own sale never counts, nor do sales that a person rejected for it (``rejected``: house, external_id,
-    cmp_house, cmp_external_id). Targets that neither touches share the statistics of their class, so only the few that
-    are touched are computed one by one.
+    cmp_house, cmp_external_id). Targets that neither touches share the statistics of their class. A class ranks its
+    sales alike for all its targets, so its first ones, one more than a target takes, are all that a touched target
+    needs: they come as one array of bounded size, and what is not the target's is left out inside its row.
     """
-    key, by = ["house", "external_id"], ["house", "external_id", "loose"]
+    key = ["house", "external_id"]
     members = _classes(targets).select(*key, "class")
     classes = _classes(targets).select(*_class_columns(targets), "class").distinct()
-    found = pinned(_candidates(classes, history, threshold, lexicon).select("class", "strict", "similarity", "price", "s_house", "s_external_id", "ended_at"))
+    found = _candidates(classes, history, threshold, lexicon).select("class", "strict", "similarity", "price", "s_house", "s_external_id", "ended_at")
+    found = pinned(_ranked(found, ["class"], MOST + 1))
     own = members.join(found.select("class", F.col("s_house").alias("house"), F.col("s_external_id").alias("external_id")), ["class", *key], "left_semi").select(*key)
     touched = own if rejected is None else own.union(rejected.select(*key)).distinct()
-    alone = members.join(touched, key, "left_semi")
-    one_by_one = alone.join(found, "class").filter((F.col("s_house") != F.col("house")) | (F.col("s_external_id") != F.col("external_id")))
-    one_by_one = _ranked(one_by_one, key)
+    lists = found.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("place", "strict", "price", "s_house", "s_external_id"))).alias("sales"))
+    alone = members.join(touched, key, "left_semi").join(lists, "class")
+    used = F.slice(F.filter("sales", lambda x: (x["s_house"] != F.col("house")) | (x["s_external_id"] != F.col("external_id"))), 1, MOST)
     if rejected is not None:
-        pairs = rejected.select(*key, F.col("cmp_house").alias("s_house"), F.col("cmp_external_id").alias("s_external_id"))
-        one_by_one = one_by_one.join(pairs, [*key, "s_house", "s_external_id"], "left_anti")
-    special = index_percentiles(_chosen(one_by_one, key), by, "price").filter(F.col("n") >= LEAST)
-    shared = index_percentiles(_chosen(_ranked(found, ["class"]), ["class"]), ["class", "loose"], "price").filter(F.col("n") >= LEAST)
+        refused = rejected.groupBy(*key).agg(F.collect_set(F.struct(F.col("cmp_house").alias("s_house"), F.col("cmp_external_id").alias("s_external_id"))).alias("refused"))
+        alone = alone.join(refused, key, "left")
+        used = F.filter(used, lambda x: ~F.coalesce(F.array_contains("refused", F.struct(x["s_house"], x["s_external_id"])), F.lit(False)))
+    alone = alone.withColumn("used", used).withColumn("loose", F.size(F.filter("used", lambda x: x["strict"])) < LEAST)
+    prices = F.array_sort(F.transform(F.filter("used", lambda x: x["strict"] | F.col("loose")), lambda x: x["price"]))
+    alone = alone.select(*key, "loose", prices.alias("prices")).withColumn("n", F.size("prices").cast("long")).filter(F.col("n") >= LEAST)
+    at = lambda q: F.element_at("prices", (F.least(F.floor(F.col("n") * q), F.col("n") - 1) + 1).cast("int"))
+    mean = F.floor(F.aggregate("prices", F.lit(0.0), lambda t, p: t + p) / F.col("n") + 0.5)
+    special = alone.select(*key, "loose", "n", at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"), at(0.0).alias("low"), at(1.0).alias("high"), mean.alias("mean"))
+    shared = index_percentiles(_chosen(found.filter(F.col("place") <= MOST), ["class"]), ["class", "loose"], "price").filter(F.col("n") >= LEAST)
     shared = members.join(touched, key, "left_anti").join(shared, "class").select(*special.columns)
     return members.select(*key).join(shared.union(special), key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
