@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources import houses, houses_cards as cards, houses_lists as lists, pages
+from ..sources import houses, houses_cards as cards, houses_lists as lists, pages, pages_houses as readers
 from .adapt import AS_OF, ntz, table
 from .registry import ORACLE, query
 
@@ -323,3 +323,176 @@ def pages_siko(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = parts.select(p.key.cast("long").alias("id"), F.coalesce(p.bid, lit(0)).cast("long").alias("bid"), ((p.size - 25) * 60).cast("long").alias("secondsRemaining"))
     rows = cards.siko(pages.siko_payloads(live, parts.filter(p.size % 5 > 0).select(p.key.cast("long").alias("id"), own.alias("html"))), ntz(AS_OF))
     return rows.select("external_id", "title", "status", "ends_at", "current_bid", "description")
+
+
+def _listed(parts: DataFrame, card: Column, before: str, after: str, size: int = 40, event: Column | None = None) -> DataFrame:
+    """Pages of up to ``size`` cards in the order of their keys, or one page for each event."""
+    sheet = F.floor(c("p_partkey") / size) if event is None else event
+    drawn = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", card.alias("card")))), lambda r: r["card"])
+    return parts.groupBy(sheet.alias("sheet")).agg(F.concat(lit(before), F.array_join(drawn, "\n"), lit(after)).alias("html"))
+
+
+def _spaced(n: Column) -> Column:
+    """A number with its thousands set apart."""
+    return F.regexp_replace(n.cast("string"), r"(\d)(?=(\d{3})+$)", "$1 ")
+
+
+def _joined(*parts: Column | str) -> Column:
+    return F.concat(*[lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+
+def _local(p: Part) -> Column:
+    """The local time that ``_LOCAL`` reads as UTC."""
+    return F.date_format(p.ends, "yyyy-MM-dd HH:mm:ss")
+
+
+_NET_SQL = f"""SELECT p_partkey::VARCHAR AS external_id, p_name || ' & co' AS title, CASE WHEN p_size % 3 > 0 THEN p_brand END AS location, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_type || ' i gott skick' END AS description,
+  CASE WHEN p_size > 27 AND (p_size % 7 = 0 OR p_size % 6 > 0) THEN 'active' ELSE 'ended' END AS status, {_LOCAL} AS ends_at, CASE WHEN p_size % 7 > 0 THEN p_size * 100 + 100 END::BIGINT AS min_bid, CASE WHEN p_size % 7 > 0 THEN {_BID} END AS current_bid,
+  CASE WHEN p_size % 7 > 0 THEN p_size % 4 END::INT AS bid_count, CASE WHEN p_size % 7 > 0 THEN CASE WHEN p_size % 3 = 1 THEN 'met' ELSE 'not_met' END END AS reserve_status, CASE WHEN p_size % 7 > 0 AND p_size % 4 > 0 AND p_size % 2 = 0 THEN 0 ELSE 25 END::DOUBLE AS vat_rate,
+  CASE WHEN p_size % 5 = 0 THEN 'https://www.netauktion.se/uploads/c' || p_partkey || '-l.jpg' ELSE 'https://www.netauktion.se/uploads/a' || p_partkey || '-l.jpg,https://www.netauktion.se/uploads/b-l.png' END AS pictures FROM part"""
+
+
+def _net_bids(p: Part) -> Column:
+    """A history of as many bids as ``bid_count`` says, the highest first."""
+    row = lambda k: _joined('<li class="row"><div class="date"><span>2001-05-', F.lpad((k + 10).cast("string"), 2, "0"), ' Kl<br>21:3', k, '</span></div><div class="u-avatar" register_id="5"></div><div class="u-name"><span>Anna</span></div><div class="price"><b>', _spaced(p.size * (101 - k)), " SEK</b>", F.when(k == 2, '<span class="autobid">(autobud)</span>').otherwise(""), "</div></li>")
+    return F.concat(lit("<h3 class='row'>Budhistorik</h3>"), F.array_join(F.transform(F.filter(F.array(lit(1), lit(2), lit(3)), lambda k: k <= p.size % 4), row), ""))
+
+
+def _net_status(parts: DataFrame) -> DataFrame:
+    """Answers on the lots' bids, some hundred lots an answer; a seventh of the lots is never answered."""
+    p = Part()
+    answer = record(
+        product_id=p.key.cast("string"), top_bid=F.coalesce(p.bid, lit(0)).cast("string"), top_bid_with_fee_and_tax=F.floor(F.coalesce(p.bid, lit(0)) * F.when(p.even, 1.0).otherwise(1.25) + 1.25 * F.least(F.greatest(p.bid * 0.12, lit(100.0)), lit(50000.0))).cast("string"),
+        top_bidder=lit("Anna"), is_over_resprice=F.when(p.met, 1).otherwise(0), reserve_met=p.met, expiration_datetime=_local(p), is_active=F.when(p.size % 6 > 0, 1).otherwise(0), next_ok_bid=(p.size * 100 + 100).cast("string"), bid_box=_net_bids(p))
+    return parts.filter(p.size % 7 > 0).groupBy(F.floor(p.key / 100)).agg(F.to_json(F.collect_list(answer)).alias("payload")).select("payload")
+
+
+@query("pages_netauktion", _NET_SQL)
+def pages_netauktion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List pages, answers on bids and the lots' own pages of one house, read and mapped."""
+    p, parts = Part(), table(spark, sf_dir, "part")
+    fact = lambda text: _joined('<div class="object-card-item-text"><b>', text, "</b></div>")
+    card = _joined(
+        "<article id='", p.key, "' class='x category-object-list'><a href='/auktion/en-sak?product=", p.key, "'><img src='/uploads/c", p.key, '-m.jpg\'></a><div class="object-card-title-text"> ', c("p_name"), " &amp; <i>co</i></div>",
+        F.when(p.size % 3 > 0, fact(_joined("Lagringsort: ", c("p_brand")))).otherwise(""), fact(_joined("Avslutas: ", _local(p))), "</article>")
+    own = _joined(
+        '<div class="a object-description">', c("p_type"), " i <b>gott</b>\n skick</div><div>Liknande</div><div class='product-images my-simple-gallery-", p.key, "'><a href='/uploads/a", p.key, "-m.jpg' itemprop='contentUrl'></a><a itemprop='contentUrl' href='/uploads/b-m.png'></a><a href='/uploads/a", p.key,
+        "-m.jpg' itemprop='contentUrl'></a></div><div class='my-simple-gallery-9999999'><a href='/uploads/z.jpg' itemprop='contentUrl'></a></div>")
+    lists_ = _listed(parts, card, "<section><article id='n'>x</article>", "</section>").select("html")
+    lots = parts.filter(p.size % 5 > 0).select(p.key.alias("id"), own.alias("html"))
+    rows = houses.netauktion(readers.netauktion_payloads(lists_, _net_status(parts), lots), ntz(AS_OF))
+    return rows.withColumn("pictures", F.array_join("media", ",")).select("external_id", "title", "location", "description", "status", "ends_at", "min_bid", "current_bid", "bid_count", "reserve_status", "vat_rate", "pictures")
+
+
+@query(
+    "pages_netauktion_bids",
+    """WITH k(k) AS (VALUES (1), (2), (3)) SELECT p_partkey || ':2001-05-' || (k + 10) || ' 21:3' || k || ':' || (p_size * (101 - k)) AS external_id, p_partkey::VARCHAR AS item_external_id, (p_size * (101 - k))::BIGINT AS value, CASE WHEN k = 2 THEN 'auto' ELSE 'normal' END AS type,
+  make_timestamp(2001, 5, k + 10, 19, 30 + k, 0) AS created_at FROM part, k WHERE k <= p_size % 4 AND p_size % 7 > 0""",
+)
+def pages_netauktion_bids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.netauktion_bids(_net_status(table(spark, sf_dir, "part")))
+
+
+def _fabeo_pages(parts: DataFrame) -> DataFrame:
+    """The pages of products: the price and end of a related product come first."""
+    p = Part()
+    price = lambda n: _joined('<span class="woo-Price-amount amount">', _spaced(n), "&nbsp;kr</span>")
+    row = lambda k: _joined('<tr class="bid" id="logid-', p.key * 10 + k, "\"><td class='date'>", k + 10, " maj 22:2", k, "</td><td class='bid'>", price(p.size * (101 - k)), "</td><td class='username'>", k, "</td></tr>")
+    page = _joined(
+        '<div class="auction-time-countdown" data-time="1" data-auctionid="-1"></div><span data-auction-id="-1" data-bid="5" data-status="ended"></span><p>', price(lit(77)), '</p><span class="auction-price" data-auction-id="', p.key, '" data-bid="', F.coalesce(p.bid, lit(0)), '" data-status="',
+        F.when(p.size % 5 > 0, "running").otherwise("ended"), '">Nu ', price(F.coalesce(p.bid, p.price)), '</span><div class="x auction-time-countdown" data-time="', p.seconds, '" data-auctionid="', p.key, '"></div><p>Startbud: <b>', _spaced(p.price), " kr</b> Höjning per bud: 500 kr</p><p>En slagavgift på <b>", _spaced(p.size * 100),
+        " kr</b> (exkl. moms) tillkommer.</p>", F.when(p.even, "<p>Objektet är momsfritt, momsfri försäljning</p>").otherwise("<p>12 % moms tillkommer på lagt bud</p>"), F.when(p.size % 3 == 0, "Inget reservationspris").when(p.size % 3 == 1, '<i class="reservation_yes"></i>').otherwise("Reservationspris ej uppnått"), "<a>Bud (", p.size % 4, ")</a><table>",
+        F.array_join(F.transform(F.filter(F.array(lit(1), lit(2), lit(3)), lambda k: k <= p.size % 4), row), ""), "</table>")
+    return parts.filter(p.size % 7 > 0).select(p.key.alias("id"), page.alias("html"))
+
+
+@query("pages_fabeo", f"""SELECT p_partkey::VARCHAR AS external_id, p_name AS title, p_type AS description, CASE WHEN p_size > 25 AND p_size % 5 > 0 AND p_size % 7 > 0 THEN 'active' ELSE 'ended' END AS status, CASE WHEN p_size % 7 > 0 THEN {_ENDS} END AS ends_at, CASE WHEN p_size % 7 > 0 THEN {_PRICE} END AS min_bid,
+  CASE WHEN p_size % 7 > 0 THEN {_BID} END AS current_bid, CASE WHEN p_size % 7 > 0 THEN p_size % 4 ELSE 0 END::INT AS bid_count, CASE WHEN p_size % 7 > 0 THEN {_RESERVE} END AS reserve_status, CASE WHEN p_size % 7 > 0 THEN p_size * 100 END::BIGINT AS fee_value,
+  CASE WHEN p_size % 7 = 0 THEN 25 WHEN p_size % 2 = 0 THEN 0 ELSE 12 END::DOUBLE AS vat_rate FROM part""")
+def pages_fabeo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shop's catalogue and the pages of its products."""
+    p, parts = Part(), table(spark, sf_dir, "part")
+    products = parts.select(F.to_json(record(id=p.key, name=c("p_name"), short_description=c("p_type"))).alias("payload"))
+    return cards.fabeo(readers.fabeo_payloads(products, _fabeo_pages(parts)), ntz(AS_OF)).select("external_id", "title", "description", "status", "ends_at", "min_bid", "current_bid", "bid_count", "reserve_status", "fee_value", "vat_rate")
+
+
+@query("pages_fabeo_bids", "WITH k(k) AS (VALUES (1), (2), (3)) SELECT (p_partkey * 10 + k)::VARCHAR AS external_id, p_partkey::VARCHAR AS item_external_id, (p_size * (101 - k))::BIGINT AS value, 'normal' AS type, make_timestamp(2001, 5, k + 10, 20, 20 + k, 0) AS created_at FROM part, k WHERE k <= p_size % 4 AND p_size % 7 > 0")
+def pages_fabeo_bids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.fabeo_bids(_fabeo_pages(table(spark, sf_dir, "part")), ntz(AS_OF))
+
+
+_BUK_PICTURES = "'https://d1.cloudfront.net/' || p_partkey || '/1.jpg,https://d1.cloudfront.net/2.jpg'"
+
+
+@query("pages_bukowskis", f"SELECT external_id, title, auction_external_id, status, ends_at, min_bid, current_bid, currency, CASE WHEN p_size % 5 > 0 THEN p_type || ' & olja' || chr(10) || 'Signerad.' END AS description, {_BUK_PICTURES} AS pictures FROM ({ORACLE['map_bukowskis']}) b JOIN part ON p_partkey::VARCHAR = external_id")
+def pages_bukowskis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List pages and the lots' own pages of an art house."""
+    p, parts = Part(), table(spark, sf_dir, "part")
+    coin = F.when(p.size % 3 == 0, "EUR").otherwise("SEK")
+    pictures = _joined("[&quot;https://d1.cloudfront.net/", p.key, "/1.jpg&quot;,&quot;https://d1.cloudfront.net/2.jpg&quot;]")
+    card = _joined(
+        "<div", F.when(p.size % 5 > 0, _joined(' data-end-date="', p.seconds, '"')).otherwise(""), ' data-lot-id="', p.key, '" data-images="', pictures, '"><a href="/sv/lots/page-2">x</a><a href="/sv/', F.when(p.even, "auctions/E1/").otherwise(""), "lots/", p.key, '-s"><img alt="', c("p_name"),
+        '" src="https://d1.cloudfront.net/2.jpg"></a></div><p>', F.coalesce(_joined("<span>Aktuellt bud</span> <b>", _spaced(p.bid), "</b> ", coin), lit("Inga bud")), "</p><p>Utropspris ", _spaced(p.price), " ", coin, "</p>")
+    own = _joined('<p>x</p><div class="c-lot-description"><p>', c("p_type"), " &amp; <i>olja</i></p><p> </p><p>Signerad.</p></div><p>y</p>")
+    lots = parts.filter(p.size % 5 > 0).select(p.key.alias("id"), own.alias("html"))
+    rows = cards.bukowskis(readers.bukowskis_payloads(_listed(parts, card, "<h1>1 588 föremål</h1>", "<footer>z</footer>").select("html"), lots), ntz(AS_OF))
+    return rows.withColumn("pictures", F.array_join("media", ",")).select("external_id", "title", "auction_external_id", "status", "ends_at", "min_bid", "current_bid", "currency", "description", "pictures")
+
+
+@query("pages_bna", f"SELECT b.* REPLACE (p_type AS location), 'https://bna.nu/auktion/objekt/en-/-sak/' || external_id AS source_url, 'https://bna.nu/images/custom/AuctionItem/' || external_id || '.jpg,https://bna.nu/images/custom/AuctionItem/7' || external_id || '.jpg' AS pictures FROM ({ORACLE['map_bna']}) b JOIN part ON p_partkey::VARCHAR = external_id")
+def pages_bna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of events, one for each size of a part, and of their lots."""
+    p, parts = Part(), table(spark, sf_dir, "part")
+    href = _joined("/auktion/objekt/en-/-sak/", p.key)
+    card = _joined('<a href="', href, '">x</a><a href="/auktion/2001-06-01-annan/9">y</a><a href="', href, '">z</a>')
+    own = _joined(
+        "<h1>", p.key, ". <b>", c("p_name"), "</b></h1><h1>annat</h1>", F.coalesce(_joined("<p>Högsta bud: <b>", _spaced(p.bid), "</b> kr</p>"), lit("<p>Inga bud</p>")), "<p>Utrop: ", _spaced(p.price), " kr</p><p>Slutar ", F.date_format(p.ends, "yyyy-MM-dd HH:mm"), "</p>", F.when(p.even, "<p>Moms tillkommer med 25 % på budet</p>").otherwise("<p>Momsfritt</p>"),
+        "<dl><dt>Ort:</dt><dd>", c("p_type"), '</dd></dl><img data-src="/images/custom/AuctionItem/tn/', p.key, '.jpg"><img src="/images/custom/AuctionItem/', p.key, '.jpg"><img src="/images/custom/AuctionItem/tn/7', p.key, '.jpg">')
+    events = _listed(parts, card, "<html>", "</html>", event=p.size).select(c("sheet").alias("event"), "html")
+    rows = cards.bna(readers.bna_payloads(events, parts.select(href.alias("href"), own.alias("html"))), ntz(AS_OF))
+    return rows.withColumn("pictures", F.array_join("media", ",")).select("external_id", "title", "auction_external_id", "location", "status", "ends_at", "min_bid", "current_bid", "vat_rate", "source_url", "pictures")
+
+
+@query("pages_blinto", f"""SELECT external_id, title, CASE WHEN p_size % 3 > 0 THEN p_brand END AS location, ends_at, status, CASE WHEN p_size % 2 = 0 THEN {_PRICE} END AS min_bid, current_bid, fee_value, CASE WHEN p_size % 5 > 0 AND p_size % 3 = 0 THEN 0 ELSE 25 END::DOUBLE AS vat_rate,
+  CASE WHEN p_size % 5 > 0 THEN 'https://cdn.blinto.se/object/' || p_partkey || '/1.jpg/1200x900f,https://static.blinto.se/object/' || p_partkey || '_2.png' ELSE 'https://cdn.blinto.se/object/' || p_partkey || '/1.jpg/1200x900f' END AS pictures,
+  CASE WHEN p_size % 5 > 0 THEN p_type || ' & mer' || chr(10) || chr(10) || '- Rad ett' || chr(10) || chr(10) || '- Rad två' END AS description FROM ({ORACLE['map_blinto']}) b JOIN part ON p_partkey::VARCHAR = external_id""")
+def pages_blinto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pages, both kinds of answers on bids, and the lots' own pages. Answers by lot come for every second lot,
+    which then ends exactly when they say."""
+    p, parts = Part(), table(spark, sf_dir, "part")
+    kind = F.when(p.size % 3 == 0, F.initcap(F.substring_index("p_name", " ", 1))).otherwise(c("p_type"))
+    auction = p.key + 500000
+    card = _joined(
+        '<a class="c" href="/auction/en-sak-', p.key, "-", auction, '/"><img data-src="https://cdn.blinto.se/object/', p.key, '/1.jpg/300x200f?x=1"><span class="brand-type">', kind, '</span><span class="h3-second-line b">', c("p_name"), "</span>",
+        F.when(p.size % 3 > 0, _joined('<div class="card-location"><i class="icon"></i> ', c("p_brand"), "</div>")).otherwise(""), '<span id="time-left_', p.key, '">', p.dated(MONTHS), "</span><b>7 SEK</b><b>", p.size % 4, " bud</b></a>")
+    live = parts.filter(p.even).select(_joined(auction, "|", p.size * 100, "|x|", _local(p), "|1|mån|y|tis||0|", p.price).alias("answer"))
+    told = record(maxbid=_joined(_spaced(p.size * 100), " SEK"), numbid=_joined(p.size % 4, " bud"))
+    counts = parts.groupBy(F.floor(p.key / 100)).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(auction.cast("string"), told)))).alias("payload"))
+    own = _joined(
+        '<script>{"slagavgift på":"x","Momsfri försäljning":"y"}</script><p>En slagavgift på <b>', p.size, " SEK</b> (exkl. moms)</p>", F.when(p.size % 3 == 0, "<p>Momsfri försäljning</p>").otherwise("<p>25 % moms tillkommer på lagt bud</p>"), '<img src="https://cdn.blinto.se/object/', p.key,
+        '/1.jpg/90x60f"><img src="https://cdn.blinto.se/object/x/9.jpg"><img src="https://static.blinto.se/object/', p.key, '_2.png"><img src="https://cdn.blinto.se/object/', p.key, "/1.jpg/1200x900f\"><div id='description-content'><p>", c("p_type"),
+        " &amp;  mer</p><ul><li>Rad ett</li><li>Rad två</li></ul><p>Objektet säljs på uppdrag av en kund</p><p>slut</p></div><p>annat</p>")
+    lots = parts.filter(p.size % 5 > 0).select(p.key.alias("id"), own.alias("html"))
+    rows = cards.blinto(readers.blinto_payloads(_listed(parts, card, "<html>", "<p>fot 9 SEK</p></html>").select("html"), live, counts.select("payload"), lots), ntz(AS_OF))
+    return rows.withColumn("pictures", F.array_join("media", ",")).select("external_id", "title", "location", "ends_at", "status", "min_bid", "current_bid", "fee_value", "vat_rate", "pictures", "description")
+
+
+_KFM = "https://pic1.auction2000.online/aukpic/kfm/"
+
+
+@query("pages_kronofogden", f"""SELECT k.* REPLACE (CASE WHEN p_size % 4 > 0 THEN NULL ELSE {_PRICE} END AS min_bid), p_brand || ' väg 1' AS location, CASE WHEN p_size % 5 > 0 THEN p_type || chr(10) || 'Fin & hel.' || chr(10) || chr(10) || 'Varunr F1' END AS description,
+  '{_KFM}' || p_size || '/' || p_partkey || '_1.jpg' || CASE WHEN p_size % 5 > 0 THEN ',{_KFM}' || p_size || '/' || p_partkey || '_2.jpg' ELSE '' END AS pictures
+  FROM (SELECT *, NULL::BIGINT AS min_bid FROM ({ORACLE['map_kronofogden']})) k JOIN part ON p_partkey::VARCHAR = external_id""")
+def pages_kronofogden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List pages with live facts and the lots' own pages of the enforcement authority."""
+    p, parts = Part(), table(spark, sf_dir, "part")
+    picture = lambda n, size: _joined(_KFM, p.size, "/", p.key, f"_{n}{size}.jpg")
+    card = _joined(
+        '<div id="', p.key, '" class="obj_thumbnail c"><a href="w.object?inC=KFM&amp;inA=', p.size, '&amp;inO=7"><span onmouseover="show(\'', picture(1, "_thumb"), "?5')\"></span></a><small class=\"text-muted\">före</small><div class=\"obj_txt c_obj_", p.key, '"><span class="text-muted">F1.</span> ', c("p_name"),
+        '<br><small><span class="glyphicon glyphicon-map-marker"></span> ', c("p_brand"), ' väg 1</small><br><span class="nico28">9 SEK</span></div><div class="bid_txt_', p.key, '"><span>', F.when(p.bid.isNotNull(), "Högsta bud").otherwise("Startpris"), "</span> <b>", _spaced(F.coalesce(p.bid, p.price)), " SEK</b> <i>1 SEK</i></div><span id=\"time_txt_", p.key, '">',
+        p.size % 4, " dygn ", p.size % 24, " tim ", p.size % 60, " minuter</span></div>")
+    own = _joined(
+        '<p>x</p><div style="margin-top: 20px;"><p>', c("p_type"), "<br>\nFin &amp; hel.<br><br>Varunr F1<br>Vi kan inte erbjuda frakt.<br>z</p></div><p>y</p><img src='", picture(1, "_mid"), "?1'><img src='", picture(2, ""), "'><img src='", _KFM, "1/9", p.key, "_1.jpg'>")
+    lots = parts.filter(p.size % 5 > 0).select(p.key.alias("id"), own.alias("html"))
+    rows = cards.kronofogden(readers.kronofogden_payloads(_listed(parts, card, "<html>", "</html>").select("html"), lots), ntz(AS_OF))
+    return rows.withColumn("pictures", F.array_join("media", ",")).select("external_id", "title", "auction_external_id", "status", "ends_at", "current_bid", "fee_value", "vat_rate", "source_url", "min_bid", "location", "description", "pictures")

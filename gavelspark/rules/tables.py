@@ -416,5 +416,33 @@ LOT_PAGES = {
     "picture": "https://siko-im920.fra1.cdn.digitaloceanspaces.com/{lot:08}_{n}.jpg",
 }
 
+# Where facts stand on the list pages and lot pages of six more houses (class names, links, labels).
+HOUSE_PAGES = {
+    "netauktion": {
+        "origin": "https://www.netauktion.se", "card": "category-object-list", "link": r"/auktion/([a-z0-9-]+)\?product=\d+", "title": "object-card-title-text", "fact": "object-card-item-text", "place": "Lagringsort:", "end": "Avslutas:",
+        "picture": r"/uploads/", "thumbnail": r"-m(?=\.(?:jpe?g|png)$)", "large": "-l", "description": ("object-description", "auction-description", "product-description"), "gallery": "my-simple-gallery-",
+        "bid": r"([\d\s]+)\s*SEK", "auto": "autobud", "undivided": r"Starttid:\s*[\d:]+(.{20,1200}?)(?:Liknande|Andra objekt|Slagavgift|Frakt|Dela|$)",
+    },
+    "fabeo": {
+        "price": "Price-amount", "end": "auction-time-countdown", "start": r"Startbud:\s*([\d\s]+)", "step": r"Höjning per bud:\s*([\d\s]+)", "fee": r"slagavgift\s+p\D*([\d\s]+)\s*kr", "exempt": "momsfri|momsbefria|ingen moms", "vat": r"(\d+)\s*%\s*moms\s+tillkommer",
+        "no reserve": "Inget reservationspris", "met": "reservation_yes", "not met": "reservation_no", "said not met": r"Reservationspris\s+ej\s+uppn", "said met": r"Reservationspris\s+uppn", "count": r"Bud\s*\((\d+)\)", "bid row": r"logid-(\d+)",
+    },
+    "bukowskis": {"link": r"/(?:sv|en)/(?:auctions/([^/]+)/)?lots/\d+-", "bid": r"Aktuellt bud\s+([\d\s]+?)\s+([A-Z]{3})", "estimate": r"Utropspris\s+([\d\s]+?)\s+([A-Z]{3})", "none": "Inga bud", "picture": r"https://[a-z0-9]+\.cloudfront\.net/[^\"\\\s&]+", "description": "lot-description"},
+    "bna": {
+        "event": r"/auktion/(\d{4}-\d{2}-\d{2}.*)/(\d+)", "lot": r"/auktion/objekt/.+/(\d+)", "bid": r"Högsta bud\D{0,8}([\d\s]+?)\s*kr", "least": r"Utrop(?:spris)?\D{0,8}([\d\s]+?)\s*kr", "end": r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2})?",
+        "vat": "Moms tillkommer med 25", "place": r"(?:Ort|Plats|Avhämtning)\s*:?\s*([A-ZÅÄÖ][A-Za-zÅÄÖåäö -]{2,30})", "picture": r"/images/custom/AuctionItem/(?:[a-z]+/)?(\d+)\.jpg", "full": "https://bna.nu/images/custom/AuctionItem/{}.jpg",
+    },
+    "blinto": {
+        "link": r"/auction/[A-Za-z0-9-]+-(\d+)-(\d+)/", "kind": "brand-type", "title": "h3-second-line", "place": "card-location", "end": "time-left_", "date": r"\d{1,2}\s+(?:jan|feb|mar|apr|maj|jun|jul|aug|sep|okt|nov|dec)\s+\d{1,2}:\d{2}", "bid": r"([\d\s]{2,})\s*SEK", "bids": r"(\d+)\s*bud",
+        "picture": r"https://(?:cdn|static)\.blinto\.se/object/[^\"\s]+?\.(?:jpe?g|webp|png)", "cdn": "cdn.blinto.se", "large": "/1200x900f", "fee": r"slagavgift\s+p\S*\s+([\d\s]+?)\s*(?:SEK|kr)\s*\(exkl", "exempt": r"Momsfri\s+f\S*ljning(?!\s*\":)", "vat": r"25\s*%\s*moms tillkommer p\S* lagt bud(?!\s*\":)",
+        "description": "description-content", "house text": r"Blintos\s+auktionsm\S*klare|Objektet\s+s\S*ljs\s+p\S*\s+uppdrag|Har\s+du\s+ocks\S*\s+n\S*got\s+att\s+s\S*lja",
+    },
+    "kronofogden": {
+        "card": "obj_thumbnail", "link": r"w\.object\?inC=KFM&inA=([0-9_]+)&inO=(\d+)", "facts": "obj_txt", "number": "text-muted", "place": "glyphicon-map-marker", "bid": "bid_txt_", "amount": r"(\d[\d\s]*?)\s*SEK", "start": "startpris", "clock": "time_txt_",
+        "picture": r"https://[a-z0-9.]*auction2000[^\"'\s]*/{id}_\d+[^\"'\s]*?\.(?:jpe?g|png)", "size": r"_(?:thumb|mid|small)(?=\.(?:jpe?g|png))", "description": "margin-top:20px",
+        "house text": "Vi (?:kan inte erbjuda frakt|erbjuder frakt|säljer all egendom)|Objektet har ing[åa]tt i momspliktig",
+    },
+}
+
 # Units of a countdown and their seconds.
 COUNTDOWN = ((r"(\d+)\s*(?:dygn|dagar|dag|d\b)", 86400), (r"(\d+)\s*(?:timmar|timme|tim|h\b)", 3600), (r"(\d+)\s*(?:minuter|minut|min|m\b)", 60), (r"(\d+)\s*(?:sekunder|sekund|sek|s\b)", 1))

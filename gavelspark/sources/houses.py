@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.money import residual_vat, stepwise
 from ..functions.text import image_url, strip_html
-from ..functions.times import month_rule_utc
+from ..functions.times import exact_local, month_rule_utc
 from .contract import conform, reserve, status_at
 
 
@@ -54,16 +54,25 @@ def retrade(payloads: DataFrame, as_of: Column) -> DataFrame:
     return conform(rows, "retrade", external_id=d("id"), title=d("heading"), location=d("place"), status=status_at(ends, as_of, ~over), ends_at=ends, current_bid=F.nullif(d("highestBid"), F.lit(0)), currency=F.coalesce(d("currency"), F.lit("SEK")), media=F.array_compact(F.array(d("image"))), raw=F.col("raw"))
 
 
+def flag(text: Column) -> Column:
+    """A yes or no that comes as true, 1 or "1"; null if it is neither yes nor no."""
+    return F.when(F.lower(text).isin("1", "true"), True).when(F.lower(text).isin("0", "false", ""), False)
+
+
 def netauktion(payloads: DataFrame, as_of: Column) -> DataFrame:
-    """Numbers come as texts, times as local ones; VAT follows from the exact total of the top bid."""
-    rows = exploded(payloads, "array<struct<product_id:string,title:string,top_bid:string,top_bid_with_fee_and_tax:string,is_over_resprice:boolean,reserve_met:boolean,expiration_datetime:string,is_active:boolean,next_ok_bid:string,fee:double>>")
+    """Numbers come as texts, yes and no as numbers, times as local ones; VAT follows from the exact total of the top bid
+    and is 25 while there is none. What a list card and the lot's page told may stand in the same record."""
+    fields = "product_id:string,title:string,slug:string,location:string,description:string,images:array<string>,top_bid:string,top_bid_with_fee_and_tax:string,is_over_resprice:string,reserve_met:string,expiration_datetime:string,is_active:string,next_ok_bid:string,fee:double,bid_count:int"
+    rows = exploded(payloads, f"array<struct<{fields}>>")
     d = lambda c: F.col(f"d.{c}")
     bid, total = d("top_bid").try_cast("double"), d("top_bid_with_fee_and_tax").try_cast("double")
     fee = F.coalesce(d("fee"), F.least(F.greatest(bid * 0.12, F.lit(100.0)), F.lit(50000.0)))
-    ends = month_rule_utc(F.try_to_timestamp(d("expiration_datetime")).cast("timestamp_ntz"))
+    ends = exact_local(d("expiration_datetime"))
+    met = F.coalesce(flag(d("reserve_met")), flag(d("is_over_resprice")))
     return conform(
-        rows, "netauktion", external_id=d("product_id"), title=d("title"), status=status_at(ends, as_of, d("is_active")), ends_at=ends, min_bid=d("next_ok_bid").try_cast("double"), current_bid=F.when(bid > 0, bid),
-        reserve_status=F.when(F.coalesce(d("reserve_met"), d("is_over_resprice")), "met").otherwise("not_met"), vat_rate=residual_vat(total, bid, fee), raw=F.col("raw"))
+        rows, "netauktion", external_id=d("product_id"), title=d("title"), description=d("description"), location=d("location"), status=status_at(ends, as_of, flag(d("is_active"))), ends_at=ends, min_bid=d("next_ok_bid").try_cast("double"), current_bid=F.when(bid > 0, bid),
+        bid_count=d("bid_count"), reserve_status=reserve(met, F.lit(False)), vat_rate=F.when((bid > 0) & total.isNotNull(), residual_vat(total, bid, fee)).otherwise(25), seller=F.lit("Netauktion"),
+        source_url=F.when(d("slug").isNotNull(), F.concat(F.lit("https://www.netauktion.se/auktion/"), d("slug"), F.lit("?product="), d("product_id"))), media=F.array_compact("d.images"), raw=F.col("raw"))
 
 
 def psauction(payloads: DataFrame, as_of: Column) -> DataFrame:

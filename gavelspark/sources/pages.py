@@ -7,6 +7,7 @@ cards in it. Spark deals the pages; a page without cards yields nothing, and wha
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,27 +25,40 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 
 
 class Walk(HTMLParser):
-    """Tags and texts of a page with the classes of the open elements; ``seen`` gets every tag, ``said`` every text."""
+    """Tags and texts of a page with the classes and ids of the open elements; ``seen`` gets every tag, ``said`` every
+    text. Open elements are counted by tag and by name, so a page that closes nothing, or closes what was never open,
+    costs no more than its length."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, str]] = []
+        self.tags: Counter[str] = Counter()
+        self.names: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         known = {k: v or "" for k, v in attrs}
         if tag not in _VOID:
-            self.open.append((tag, known.get("class", "")))
+            name = f"{known.get('class', '')} {known.get('id', '')}".strip()
+            self.open.append((tag, name))
+            self.tags[tag] += 1
+            if name:
+                self.names[name] += 1
         self.seen(tag, known)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.seen(tag, {k: v or "" for k, v in attrs})
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                for gone in reversed(self.open[k:]):
-                    self.left(*gone)
-                del self.open[k:]
+        while self.tags[tag]:
+            last, name = self.open[-1]
+            self.left(last, name)
+            self.open.pop()
+            self.tags[last] -= 1
+            if name and self.names[name] > 1:
+                self.names[name] -= 1
+            elif name:
+                del self.names[name]
+            if last == tag:
                 return
 
     def handle_data(self, data: str) -> None:
@@ -52,7 +66,7 @@ class Walk(HTMLParser):
             self.said(data)
 
     def within(self, name: str) -> bool:
-        return any(name in classes for _, classes in self.open)
+        return any(name in names for names in self.names)
 
     def seen(self, tag: str, attrs: dict[str, str]) -> None: ...
 
