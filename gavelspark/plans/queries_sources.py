@@ -254,8 +254,10 @@ mapped(
 )
 mapped(
     "frivio", houses.frivio,
-    lambda p: F.array(record(id=p.key, title=c("p_name"), city=c("p_brand"), region=lit("Norr"), starting_price=p.price, current_price=p.size * 100, reservations_pris=p.even, auction_end=p.seconds * 1000, bid_count=p.size % 4, photos=F.array(lit("https://x/a_thumb.jpg")))),
-    _KEY | {"location": "p_brand || ', Norr'", "status": _LIVE, "ends_at": _ENDS, "current_bid": _BID, "reserve_status": "CASE WHEN p_size % 2 = 0 THEN 'not_met' ELSE 'none' END", "pictures": "'https://x/a.jpg'"},
+    lambda p: F.array(record(id=p.key, title=F.when(p.even, c("p_name")).otherwise(F.concat(F.lower("p_brand"), lit(" "), "p_name")), brand=c("p_brand"), city=some(p.size % 3 > 0, "Malmö"), region=lit("Norr"), active=p.size % 5 > 0, auction_end_state=some(p.size % 7 == 0, "unsold"), starting_price=p.price, current_price=p.size * 100, reservations_pris=lit(False), hammer_fee=lit(5),
+                             auction_end=p.seconds * 1000, bid_count=p.size % 4, photos=F.array(lit("https://x/a_thumb.jpg"), lit("b1.jpeg")))),
+    {"external_id": "p_partkey::VARCHAR", "title": "CASE WHEN p_size % 2 = 0 THEN p_brand ELSE lower(p_brand) END || ' ' || p_name", "location": "CASE WHEN p_size % 3 > 0 THEN 'Malmö' ELSE 'Norr' END", "status": "CASE WHEN p_size > 25 AND p_size % 5 > 0 AND p_size % 7 > 0 THEN 'active' ELSE 'ended' END", "ends_at": _ENDS, "min_bid": _PRICE, "current_bid": _BID,
+     "reserve_status": "NULL::VARCHAR", "pictures": "'https://x/a.jpg,https://backend.frivio.se/vehicle/' || p_partkey || '/b1.jpeg'"},
 )
 mapped(
     "retrade", houses.retrade, lambda p: record(auctions=F.array(record(id=p.key.cast("string"), heading=c("p_name"), highestBid=F.coalesce(p.bid, lit(0)), place=c("p_brand"), auctionEnd=p.iso, hasEnded=p.size % 5 == 0, isSold=p.size % 7 == 0))),
@@ -271,21 +273,52 @@ mapped(
     lambda p: record(auctions=F.array(record(remoteId=p.key.cast("string"), name=c("p_name"), city=c("p_brand"), numBids=p.size % 4, currentPrice=p.size * 100, reservationPrice=lit(1000.0), reservationPriceMet=p.even, withoutReservationPrice=p.size % 5 == 0, endTimeUtc=F.date_format(p.ends, "yyyy-MM-dd'T'HH:mm:ss"), status=F.when(p.size % 7 > 0, 2).otherwise(3)))),
     _KEY | {"status": "CASE WHEN p_size > 25 AND p_size % 7 > 0 THEN 'active' ELSE 'ended' END", "ends_at": _ENDS, "current_bid": _BID, "reserve_status": "CASE WHEN p_size % 5 = 0 THEN 'none' WHEN p_size % 2 = 0 THEN 'met' ELSE 'not_met' END", "fee_value": "265::BIGINT"},
 )
+_PS_LOCAL = "p_size % 3 = 0"
 mapped(
     "psauction", houses.psauction,
-    lambda p: record(id=p.key, title=c("p_name"), highest=some(p.even, (p.size * 200).cast("string")), sold=p.size % 5 == 0, reservationPriceReached=p.size % 3 == 1, noReserve=p.size % 3 == 2, bids=F.transform(F.filter(F.array(lit(2), lit(1), lit(3)), lambda k: k <= p.size % 4), lambda k: record(bid=(k * 100).cast("string"), date=lit("2001-05-01T00:00:00Z"), vat=lit(25))), endingDate=p.iso),
-    _KEY | {"status": "CASE WHEN p_size > 25 AND p_size % 5 > 0 THEN 'active' ELSE 'ended' END", "bid_count": "p_size % 4", "current_bid": "CASE WHEN p_size % 4 > 0 THEN CASE WHEN p_size % 2 = 0 THEN p_size * 200 ELSE p_size % 4 * 100 END END::BIGINT", "reserve_status": "CASE p_size % 3 WHEN 1 THEN 'met' WHEN 2 THEN 'none' ELSE 'not_met' END", "vat_rate": "CASE WHEN p_size % 4 > 0 THEN 25 END::DOUBLE"},
+    lambda p: record(id=p.key, title=c("p_name"), highest=some(p.even, F.concat((p.size * 200).cast("string"), lit(".00"))), nextBid=F.concat(lit("1 "), F.lpad(p.size.cast("string"), 3, "0")), active=F.when(p.size % 5 > 0, 1).otherwise(0), cancelled=F.when(p.size % 7 > 0, 0).otherwise(1), sold=p.size % 5 == 0, reservationPriceReached=p.size % 3 == 1, noReserve=p.size % 3 == 2, currency=lit("SEK"),
+                     bidVatLabel=F.when(p.even, "exkl 25% moms").otherwise("inkl ej avlyftbar moms"), bids=F.transform(F.filter(F.array(lit(2), lit(1), lit(3)), lambda k: k <= p.size % 4), lambda k: record(bid=F.concat((k * 100).cast("string"), lit(".00")), date=lit("2001-05-01 10:00"), vat=lit(12))),
+                     endingDate=F.when(p.size % 3 == 0, F.date_format(p.ends, "yyyy-MM-dd HH:mm")).otherwise(p.iso)),
+    _KEY | {"status": f"CASE WHEN p_size > CASE WHEN {_PS_LOCAL} THEN 27 ELSE 25 END AND p_size % 5 > 0 AND p_size % 7 > 0 THEN 'active' ELSE 'ended' END", "ends_at": f"CASE WHEN {_PS_LOCAL} THEN {_LOCAL} ELSE {_ENDS} END", "min_bid": "(1000 + p_size)::BIGINT", "bid_count": "p_size % 4",
+            "current_bid": "CASE WHEN p_size % 4 > 0 THEN CASE WHEN p_size % 2 = 0 THEN p_size * 200 ELSE p_size % 4 * 100 END END::BIGINT", "reserve_status": "CASE p_size % 3 WHEN 1 THEN 'met' WHEN 2 THEN 'none' ELSE 'not_met' END", "vat_rate": "CASE WHEN p_size % 4 > 0 THEN 12 WHEN p_size % 2 = 0 THEN 25 ELSE 0 END::DOUBLE"},
 )
 mapped(
     "vaxxa", houses.vaxxa,
-    lambda p: record(results=F.array(record(found=lit(1), hits=F.array(record(document=record(id=p.key.cast("string"), title=c("p_name"), price=p.price, bids_count=p.size % 4, end_time=p.seconds, is_reserve_met=p.even, location_city=c("p_brand"))))))),
-    _KEY | {"location": "p_brand", "status": _LIVE, "ends_at": _ENDS, "min_bid": _PRICE, "current_bid": f"CASE WHEN p_size % 4 > 0 THEN {_PRICE} END", "bid_count": "p_size % 4", "reserve_status": "CASE WHEN p_size % 2 = 0 THEN 'met' ELSE 'not_met' END"},
-)
-mapped(
-    "bidflow", houses.bidflow,
-    lambda p: F.array(record(Query=lit("q"), Page=lit(1), Total=lit(1), Result=F.array(record(LotId=record(AuctionId=F.concat(lit("+"), p.size), LotId=F.concat(lit("+"), p.key)), Name=record(se=some(p.even, c("p_name")), en=lit("english")), BidStatus=record(BiddingFinished=p.size % 5 == 0, EndDate=p.iso), CurrentBid=F.coalesce(p.bid, lit(0)), ReservedPriceMet=p.even, Images=F.array(record(Id=lit("i"), Version=lit("2"))))))),
-    {"external_id": "p_size || '-' || p_partkey", "auction_external_id": "p_size::VARCHAR", "title": "CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'english' END", "status": "CASE WHEN p_size > 25 AND p_size % 5 > 0 THEN 'active' ELSE 'ended' END", "current_bid": _BID, "reserve_status": "CASE WHEN p_size % 2 = 0 THEN 'met' ELSE 'not_met' END", "pictures": "'i-2'"},
+    lambda p: record(results=F.array(record(found=lit(1), hits=F.array(record(document=record(id=F.concat(lit("u"), p.key), old_id=some(p.size % 3 > 0, p.key.cast("string")), title=some(p.size % 6 > 0, c("p_name")), price=p.price, listing_type=F.when(p.even, "BUY_NOW").otherwise("AUCTION"), bids_count=p.size % 4, end_time=p.seconds, is_reserve_met=p.even,
+                     image_url=lit("https://images.vaxxa.se/1.jpg"), location_city=some(p.size % 5 > 0, c("p_brand")), location_county=lit("Sjöbo"))))))),
+    {"external_id": "CASE WHEN p_size % 3 > 0 THEN '' ELSE 'u' END || p_partkey", "title": "CASE WHEN p_size % 6 > 0 THEN p_name ELSE 'Vaxxa u' || p_partkey END", "location": "CASE WHEN p_size % 5 > 0 THEN p_brand ELSE 'Sjöbo' END", "status": _LIVE, "ends_at": _ENDS, "min_bid": f"CASE WHEN p_size % 2 = 0 THEN {_PRICE} END",
+     "current_bid": f"CASE WHEN p_size % 4 > 0 THEN {_PRICE} END", "bid_count": "p_size % 4", "reserve_status": "CASE WHEN p_size % 2 = 0 THEN 'met' ELSE 'not_met' END", "pictures": "'https://images.vaxxa.se/1.jpg'"},
 )
+
+
+def _bidflow(p: Part) -> Column:
+    result = F.when(p.size % 5 == 0, "Sold").when(p.size % 7 == 0, "Unsold")
+    lot = record(
+        LotId=record(AuctionId=F.concat(lit("+"), p.size), LotId=F.concat(lit("+"), p.key)), Name=record(se=some(p.even, c("p_name")), en=lit("english")), BidStatus=record(BiddingFinished=result), CurrentBid=F.coalesce(p.bid, lit(0)), ReservedPriceMet=p.met, ReservedPrice=some(p.even, p.size),
+        Images=F.array(record(Id=lit("i"), Version=lit("v")), record(Id=lit("j"), Version=lit("")), record(Id=lit(""), Version=lit("v"))), LotLocation=record(Address=record(Address=c("p_brand"))))
+    return F.array(record(Query=record(AuctionId=lit("+1"), Language=lit("se")), Page=lit(1), Total=lit(1), Result=F.array(lot)))
+
+
+_BIDFLOW = {
+    "external_id": "p_size || '-' || p_partkey", "auction_external_id": "p_size::VARCHAR", "title": "CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'english' END", "location": "p_brand", "status": "CASE WHEN p_size % 5 > 0 AND p_size % 7 > 0 THEN 'active' ELSE 'ended' END", "current_bid": _BID, "reserve_status": _RESERVE,
+    "reserve_price": "CASE WHEN p_size % 2 = 0 THEN nullif(p_size, 0) END::BIGINT", "pictures": "'https://img.imageboss.me/v/width/1600/withoutEnlargement:true/i,https://img.imageboss.me/byraneffecta/width/1600/withoutEnlargement:true/j'",
+}
+mapped("bidflow", houses.bidflow, _bidflow, _BIDFLOW)
+
+
+@query("bidflow_of_auctions", "SELECT " + ", ".join(f"{e} AS {x}" for x, e in {
+    **{k: _BIDFLOW[k] for k in ("external_id", "current_bid")}, "status": "CASE WHEN p_size % 5 > 0 AND p_size % 7 > 0 AND (s_suppkey IS NULL OR (s_suppkey % 3 > 0 AND p_size > 25)) THEN 'active' ELSE 'ended' END", "ends_at": f"CASE WHEN s_suppkey IS NOT NULL THEN {_ENDS} END",
+    "fee_value": "CASE WHEN p_size % 4 > 0 THEN floor(p_size * 100 * 0.25 + 30.5) END::BIGINT", "vat_rate": "CASE WHEN p_size % 4 > 0 THEN 0 WHEN s_suppkey % 2 = 0 THEN 0 WHEN s_suppkey % 2 = 1 THEN 25 END::DOUBLE"}.items()) + " FROM part LEFT JOIN supplier ON s_suppkey = p_size AND s_suppkey % 4 > 0")
+def bidflow_of_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lots under the auctions of a catalogue, one for each supplier, under a calibrated fee."""
+    at = ntz(AS_OF) + F.make_dt_interval(hours=c("s_suppkey").cast("int") - 25)
+    name = F.concat(lit("Marsauktion-"), F.when(c("s_suppkey") % 2 == 0, "Momsfri").otherwise("Moms"))
+    auction = record(Id=F.concat(lit("+"), "s_suppkey"), Date=F.date_format(at + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss'+02:00'"), Status=F.when(c("s_suppkey") % 3 == 0, "Finished").otherwise("Open"), HeadInfo=record(Head=record(en=lit(""), se=name)))
+    known = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 > 0").groupBy(F.floor(c("s_suppkey") / 50)).agg(F.to_json(record(ActiveAuctions=F.collect_list(F.when(c("s_suppkey") % 3 > 0, auction)), HistoryAuctions=F.collect_list(F.when(c("s_suppkey") % 3 == 0, auction)))).alias("payload"))
+    lots = table(spark, sf_dir, "part").select(F.to_json(_bidflow(Part())).alias("payload"))
+    return houses.bidflow(lots, ntz(AS_OF), "sajab", houses.bidflow_auctions(known), (0.25, 30.0)).select("external_id", "current_bid", "status", "ends_at", "fee_value", "vat_rate")
+
+
 mapped(
     "upplands", houses.upplands,
     lambda p: F.array(record(auctionId=p.key, name=F.concat(F.when(p.size % 6 == 0, "Bra ").otherwise(""), "p_name"), endDate=p.iso, winnersGenerated=p.size % 5 == 0, catalogText=F.concat(lit("<p>"), "p_type", lit(" &amp; mer</p>")))),
@@ -496,3 +529,25 @@ def pages_kronofogden(spark: SparkSession, sf_dir: str) -> DataFrame:
     lots = parts.filter(p.size % 5 > 0).select(p.key.alias("id"), own.alias("html"))
     rows = cards.kronofogden(readers.kronofogden_payloads(_listed(parts, card, "<html>", "</html>").select("html"), lots), ntz(AS_OF))
     return rows.withColumn("pictures", F.array_join("media", ",")).select("external_id", "title", "auction_external_id", "status", "ends_at", "current_bid", "fee_value", "vat_rate", "source_url", "min_bid", "location", "description", "pictures")
+
+
+@query("pages_upplands", f"""WITH a AS (SELECT s_suppkey, s_suppkey % 7 > 0 AS given, TIMESTAMP '{AS_OF}' + to_hours(s_suppkey::INT - 25) AS a_ends FROM supplier)
+SELECT p_partkey::VARCHAR AS external_id, p_size::VARCHAR AS auction_external_id, p_name AS title, p_type || ' "hel" & ren' AS description, coalesce(CASE WHEN p_size % 3 > 0 THEN {_ENDS} END, CASE WHEN given THEN a_ends END) AS ends_at,
+  CASE WHEN coalesce(coalesce(CASE WHEN p_size % 3 > 0 THEN {_ENDS} END, CASE WHEN given THEN a_ends END) > TIMESTAMP '{AS_OF}', true) THEN 'active' ELSE 'ended' END AS status, {_PRICE} AS min_bid, {_BID} AS current_bid,
+  CASE WHEN p_size % 5 = 0 THEN 'none' WHEN p_size % 2 = 0 THEN 'met' ELSE 'not_met' END AS reserve_status, CASE WHEN given AND p_size % 4 > 0 THEN floor(p_size * 100 * 0.2 + 30.5) END::BIGINT AS fee_value, CASE WHEN given AND p_size % 4 > 0 THEN 0 END::DOUBLE AS vat_rate, 'u1,u2' AS pictures
+FROM part LEFT JOIN a ON s_suppkey = p_size""")
+def pages_upplands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of auctions, one for each size of a part, which hold their lots as data, under the terms of the
+    auctions, one for each supplier. Every seventh is a test, whose terms do not count."""
+    p, parts = Part(), table(spark, sf_dir, "part")
+    lot = record(
+        id=p.key, auctionId=p.size, name=c("p_name"), description=F.concat(lit('<p>'), "p_type", lit(' "hel" &amp; <b>ren</b></p>')), minBid=p.price, highBid=F.coalesce(p.bid, lit(0)), endDate=some(p.size % 3 > 0, p.iso), hasReserve=p.size % 5 > 0, reserveMet=p.even,
+        defaultImage=record(images=F.array(*[record(url=lit(u)) for u in ("u1", "u2", "u1")])))
+    data = F.to_json(record(props=record(pageProps=record(inventoryItems=F.collect_list(lot)))))
+    pages_ = parts.groupBy(p.size).agg(_joined('<!DOCTYPE html><html><script>1</script><script id="__NEXT_DATA__" type="application/json">', data, "</script></html>").alias("html"))
+    key = c("s_suppkey")
+    ends = F.date_format(ntz(AS_OF) + F.make_dt_interval(hours=key.cast("int") - 25), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    terms = record(auctionId=key, name=F.concat(F.when(key % 7 > 0, "Auktion ").otherwise("Ett test "), key), endDate=ends, winnersGenerated=key % 2 == 0, buyersPremium=lit(16.0), hammerFees=record(buyer=record(total=lit(30.0))))
+    auctions = table(spark, sf_dir, "supplier").groupBy(F.floor(key / 50)).agg(F.to_json(F.collect_list(terms)).alias("payload"))
+    rows = houses.upplands_lots(pages_, auctions, ntz(AS_OF))
+    return rows.withColumn("pictures", F.array_join("media", ",")).select("external_id", "auction_external_id", "title", "description", "ends_at", "status", "min_bid", "current_bid", "reserve_status", "fee_value", "vat_rate", "pictures")

@@ -444,5 +444,10 @@ HOUSE_PAGES = {
     },
 }
 
+# Addresses of two sources' pictures, and where a page holds its data.
+FRIVIO_PICTURE = "https://backend.frivio.se/vehicle/"
+BIDFLOW_PICTURE = ("https://img.imageboss.me/", "byraneffecta", "/width/1600/withoutEnlargement:true/")
+PAGE_DATA = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
+
 # Units of a countdown and their seconds.
 COUNTDOWN = ((r"(\d+)\s*(?:dygn|dagar|dag|d\b)", 86400), (r"(\d+)\s*(?:timmar|timme|tim|h\b)", 3600), (r"(\d+)\s*(?:minuter|minut|min|m\b)", 60), (r"(\d+)\s*(?:sekunder|sekund|sek|s\b)", 1))

@@ -25,10 +25,10 @@ def rows(df):
 
 
 def test_flat_list_with_epoch_times(spark):
-    lot = {"id": 7, "title": "Volvo V70", "city": "Umeå", "region": "Norr", "starting_price": 1000, "current_price": 2500, "reservations_pris": True, "auction_end": 1785585600000 + 86_400_000, "bid_count": 3, "photos": ["https://x/a_thumb.jpg"]}
+    lot = {"id": 7, "title": "Volvo V70", "city": "Umeå", "region": "Norr", "starting_price": 1000, "current_price": 2500, "reservations_pris": True, "auction_end": 1785585600000 + 86_400_000, "bid_count": 3, "active": True, "photos": ["https://x/a_thumb.jpg", "b.jpeg"]}
     got = rows(houses.frivio(payloads(spark, [lot, {**lot, "id": 8, "bid_count": 0, "auction_end": 0, "reservations_pris": False}], None, "not json"), now()))
-    assert (got["7"].status, got["7"].current_bid, got["7"].reserve_status, got["7"].media, got["7"].location) == ("active", 2500, "not_met", ["https://x/a.jpg"], "Umeå, Norr")
-    assert (got["8"].status, got["8"].current_bid, got["8"].reserve_status) == ("ended", None, "none")
+    assert (got["7"].status, got["7"].current_bid, got["7"].reserve_status, got["7"].media, got["7"].location) == ("active", 2500, None, ["https://x/a.jpg", "https://backend.frivio.se/vehicle/7/b.jpeg"], "Umeå")
+    assert (got["8"].status, got["8"].current_bid, got["8"].reserve_status) == ("ended", None, None)
     assert json.loads(got["7"].raw)["title"] == "Volvo V70"
 
 
@@ -65,7 +65,7 @@ def test_search_envelope_and_nested_batches(spark):
     assert (got["v1"].current_bid, got["v1"].reserve_status, got["v1"].location) == (400, "met", "Kalmar")
     batch = [{"Query": "q", "Page": 1, "PageSize": 1, "Total": 2, "Result": [{"LotId": {"AuctionId": "+221", "LotId": "9"}, "Name": {"se": "Hjullastare"}, "AuctionName": {"en": "Sale", "se": "Rea"}, "BidStatus": {"BiddingFinished": True}, "CurrentBid": 0, "ReservedPriceMet": False, "Images": [{"Id": "a", "Version": "2"}]}]}]
     lot = rows(houses.bidflow(payloads(spark, batch), now()))["221-9"]
-    assert (lot.title, lot.description, lot.status, lot.current_bid, lot.media) == ("Hjullastare", "Rea", "ended", None, ["a-2"])
+    assert (lot.title, lot.description, lot.status, lot.current_bid, lot.media) == ("Hjullastare", "Rea", "ended", None, ["https://img.imageboss.me/2/width/1600/withoutEnlargement:true/a"])
     auction = [{"auctionId": 1, "name": "Konkurs", "endDate": "2026-09-01T10:00:00Z", "catalogText": "<p>Allt &amp; mer</p>"}, {"auctionId": 2, "name": "Test 1", "endDate": "2026-09-01T10:00:00Z"}]
     both = all_sources([houses.upplands(payloads(spark, auction), now()), houses.vaxxa(payloads(spark, {"results": []}), now())])
     assert [(r.external_id, r.description) for r in both.collect()] == [("1", "Allt & mer")]
@@ -169,3 +169,39 @@ def test_routes_refuse_too_many_stops(spark):
     got = plan_routes(stops).collect()
     assert sorted((r.route_id, r.place) for r in got if not r.refused) == [(2, 0), (2, 1), (2, 2), (2, 3)]
     assert sorted(r.route_id for r in got if r.refused) == [1, 3]
+
+
+def test_shapes_of_recorded_answers(spark):
+    """The shapes in which the sources were recorded: results as words, amounts with decimals, yes and no as numbers,
+    local times, file names of pictures, old ids."""
+    at = F.lit("2026-06-25 00:00:00").cast("timestamp_ntz")
+    lots = [{"Query": {"AuctionId": "+221", "Language": "se"}, "Page": 1, "PageSize": 100, "Total": 76, "Result": [
+        {"LotId": {"AuctionId": "+221", "LotId": "+1"}, "Name": {"se": "Volvo BM 350 "}, "AuctionName": {"en": "", "se": "Juniauktion"}, "BidStatus": {"BiddingFinished": "Sold"}, "CurrentBid": 28000, "ReservedPriceMet": True, "ReservedPrice": None, "Estimate": 0, "Images": [{"Id": "6b", "Version": "byraneffecta"}], "LotLocation": {"Address": {"Address": "Gård 1"}}},
+        {"LotId": {"AuctionId": "+222", "LotId": "+2"}, "Name": {"se": "Plog"}, "BidStatus": {}, "CurrentBid": None, "ReservedPriceMet": None, "Images": []}]}]
+    catalogue = {"ActiveAuctions": [{"Id": "+222", "Date": "2026-07-25T10:00:00+02:00", "Status": "Open", "HeadInfo": {"Head": {"se": "Gårdsauktion-Momsfri"}, "ViewingText2": {}}}], "HistoryAuctions": [{"Id": "+221", "Date": "2026-06-24T10:00:00+02:00", "Status": "Finished", "HeadInfo": {"Head": {"en": "", "se": "Juniauktion"}}}]}
+    got = rows(houses.bidflow(payloads(spark, lots), at, "sajab", houses.bidflow_auctions(payloads(spark, catalogue, "no json"))))
+    assert (got["221-1"].status, got["221-1"].title, got["221-1"].reserve_status, got["221-1"].location, got["221-1"].vat_rate) == ("ended", "Volvo BM 350", "met", "Gård 1", None)
+    assert (got["222-2"].status, got["222-2"].ends_at.isoformat(), got["222-2"].reserve_status, got["222-2"].vat_rate) == ("active", "2026-07-25T08:00:00", None, 0.0)
+
+    item = {"id": 1840151, "highest": "100.00", "sold": True, "reservationPriceReached": True, "nextBid": "200", "bidVatLabel": "exkl 25% moms", "currency": "SEK", "bids": [{"bid": "100.00", "date": "2026-06-27 15:54", "bidder": "x", "bidderId": 1, "currency": "SEK", "vat": 25}], "active": 1, "cancelled": 0, "endingDate": "2026-06-28 14:00"}
+    got = rows(houses.psauction(payloads(spark, item), at))["1840151"]
+    assert (got.status, got.current_bid, got.min_bid, got.bid_count, got.vat_rate, got.ends_at.isoformat()) == ("active", 100, 200, 1, 25.0, "2026-06-28T12:00:00")
+    assert [tuple(map(str, r)) for r in houses.psauction_bids(payloads(spark, item)).collect()] == [("1840151:2026-06-27 15:54:100", "1840151", "100", "2026-06-27 13:54:00")]
+
+    vehicle = {"title": "560 LU", "id": 596, "year": 2019, "region": "Blekinge", "active": True, "city": "Karlshamn", "brand": "Hobby", "photos": ["a1.jpeg"], "reservations_pris": False, "auction_end_state": None, "starting_price": 105000, "current_price": 136000, "hammer_fee": 5, "auction_end": 1782830160000, "bid_count": 4}
+    got = rows(houses.frivio(payloads(spark, [vehicle, {**vehicle, "id": 597, "auction_end_state": "sold"}]), at))
+    assert (got["596"].title, got["596"].status, got["596"].media, got["597"].status) == ("Hobby 560 LU", "active", ["https://backend.frivio.se/vehicle/596/a1.jpeg"], "ended")
+
+    doc = {"bids_count": 1, "end_time": 1782925380, "id": "04e2", "image_url": "https://images.vaxxa.se/215911/s=list/4.jpg", "is_reserve_met": True, "listing_type": "AUCTION", "location_city": "Lövestad", "old_id": "215911", "price": 100, "title": "Taksteg"}
+    buy = {**doc, "old_id": "7", "bids_count": 0, "listing_type": "BUY_NOW", "is_reserve_met": False}
+    got = rows(houses.vaxxa(payloads(spark, {"results": [{"found": 167, "hits": [{"document": doc, "highlight": {}}, {"document": buy}]}]}), at))
+    assert (got["215911"].current_bid, got["215911"].min_bid, got["215911"].source_url) == (100, None, "https://app.vaxxa.se/auctions/215911")
+    assert (got["7"].current_bid, got["7"].min_bid, got["7"].reserve_status) == (None, 100, "not_met")
+
+    data = {"props": {"pageProps": {"inventoryItems": [{"auctionId": 81, "description": "<p>Höjd 75 </p>", "endDate": "2026-07-12T13:23:54.02Z", "hasReserve": False, "highBid": 10000, "id": 20460, "minBid": 50, "name": 'Spegel "1011"', "reserveMet": True, "defaultImage": {"images": [{"url": "u"}, {"url": "u"}]}}, {"auctionId": 82, "id": 5, "highBid": 0}]}}}
+    page = spark.createDataFrame([(f'<html><script id="__NEXT_DATA__" type="application/json">{json.dumps(data)}</script>',), ("<html>",), (None,)], "html string")
+    terms = [{"auctionId": 81, "name": "Auktion", "endDate": "2026-07-12T13:00:00Z", "winnersGenerated": False, "buyersPremium": 20, "hammerFees": {"buyer": {"total": 30}}}, {"auctionId": 82, "name": "Test 2", "buyersPremium": 20}]
+    for known in (terms, {"auctions": terms}):
+        got = rows(houses.upplands_lots(page, payloads(spark, known, None, "no json"), at))
+        assert (got["20460"].fee_value, got["20460"].vat_rate, got["20460"].reserve_status, got["20460"].media, got["20460"].description) == (2530, 0.0, "none", ["u"], "Höjd 75")
+        assert (got["5"].title, got["5"].fee_value, got["5"].current_bid, got["5"].status) == ("Objekt 5", None, None, "active")
