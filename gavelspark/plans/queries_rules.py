@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import money, text as T, times, vectors
+from ..operators import price
 from ..rules import classify
 from ..rules.tables import FEE_KNOTS, STOP_WORDS
 from ..sources import html as H
@@ -54,6 +55,30 @@ def lexicon_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.select("p_partkey", "category", "evidence", F.round("share", 6).alias("share"))
 
 
+_MAINS_SQL = """WITH k AS (SELECT *, split_part(p_name, ' ', 1) AS a FROM part),
+seen AS (SELECT DISTINCT w AS token, a || '/y' AS category, p_partkey FROM k, unnest(regexp_split_to_array(lower(p_name), '[^a-z]+')) AS u(w) WHERE a <> 'cold' AND length(w) >= 3),
+lex AS (SELECT token, category, count(*) AS seen FROM seen GROUP BY token, category),
+w AS (SELECT token, category, seen, seen * (max(seen) OVER (PARTITION BY token) / (sum(seen) OVER (PARTITION BY token))::DOUBLE) AS w FROM lex),
+sales AS (SELECT p_partkey, CASE WHEN p_size % 7 = 3 THEN 'Guldring 18k med safir' ELSE p_name END AS title, CASE WHEN p_size % 7 = 3 THEN NULL WHEN p_size % 3 > 0 THEN lower(p_type) END AS stored, p_size % 5 = 0 AS trusted FROM part),
+t AS (SELECT DISTINCT title, u.x AS token FROM sales, unnest(regexp_split_to_array(lower(title), '[^a-z]+')) AS u(x)),
+s AS (SELECT title, category, sum(w) AS w, sum(seen) AS evidence FROM t JOIN w USING (token) GROUP BY title, category),
+b AS (SELECT *, sum(w) OVER (PARTITION BY title) AS total, row_number() OVER (PARTITION BY title ORDER BY round(w, 9) DESC, category) AS rn FROM s),
+votes AS (SELECT title, split_part(category, '/', 1) AS voted FROM b WHERE rn = 1 AND evidence >= 12 AND w / total >= 0.75)
+SELECT p_partkey, coalesce(CASE WHEN trusted THEN stored END, voted, stored, CASE WHEN title LIKE 'Guldring%' OR title LIKE '% ring' THEN 'smycken' END) AS main FROM sales LEFT JOIN votes USING (title)"""
+
+
+@query("sale_main_categories", _MAINS_SQL)
+def sale_main_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main categories of sales by all four sources: a trusted category, the lexicon, the stored one, the title's words.
+    The lexicon knows names by their first word, but for one of them; every third stored category is unsorted."""
+    parts = table(spark, sf_dir, "part")
+    word, size, ring = F.substring_index("p_name", " ", 1), F.col("p_size"), F.col("p_size") % 7 == 3
+    lexicon = classify.train_lexicon(parts.filter(word != "cold").withColumn("kind", F.concat(word, F.lit("/y"))), "p_name", "kind")
+    category = F.when(ring, F.lit(None).cast("string")).when(size % 3 > 0, F.concat(F.lower("p_type"), F.lit("/x"))).otherwise("ovrigt/partier")
+    sales = parts.select("p_partkey", F.when(ring, "Guldring 18k med safir").otherwise(F.col("p_name")).alias("title"), category.alias("category"), F.when(size % 5 == 0, "human").otherwise("house").alias("category_conf"))
+    return price.sale_mains(sales, lexicon).select("p_partkey", F.col("s_main").alias("main"))
+
+
 @query(
     "conflict_flag",
     "SELECT p_partkey, p_partkey % 3 = 0 AND lower(split_part(p_type, ' ', 1)) <> CASE WHEN p_size > 25 THEN 'promo' ELSE 'large' END AS conflict FROM part",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..streaming import keyed
+from ..streaming import keyed, watch
 from ..streaming.replay import replayed
 from .adapt import table
 from .registry import query
@@ -85,3 +85,10 @@ def stale_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stale_sweep_stream", _STALE_SQL)
 def stale_sweep_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replayed(sweeps(spark, sf_dir), "seen_at", lambda s: keyed.stale_sweep(s, buckets=4))
+
+
+@query("news_sent_stream", "SELECT DISTINCT user_id || ':' || event_type AS dedup_key FROM events")
+def news_sent_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News by user and kind, each sent once over four batches."""
+    rows = table(spark, sf_dir, "events").select("ts", F.concat_ws(":", "user_id", "event_type").alias("dedup_key"))
+    return replayed(rows, "ts", lambda s: watch.first_only(s), 4).select("dedup_key")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from . import keyed
+
 PER_SEARCH = 30
 SOON_MINUTES = 65
 
@@ -53,9 +55,19 @@ def unsent(batch: DataFrame, sent: DataFrame, key: str = "dedup_key") -> DataFra
     return batch.dropDuplicates([key]).join(sent.select(key), key, "left_anti")
 
 
+def first_only(news: DataFrame, key: str = "dedup_key") -> DataFrame:
+    """A stream of news with one row for each key ever. Keys lie in the stream's state, spread by hash, so a batch costs
+    a look-up for each of its own rows however many keys were sent before; a restart goes on from the state, and a sink
+    that commits batches (a file sink) then repeats nothing. Rows without a key are dropped. Needs the state store of
+    ``keyed.with_state_store``, which keeps old keys on disk."""
+    keyed.with_state_store(news.sparkSession)
+    return news.filter(F.col(key).isNotNull()).dropDuplicates([key])
+
+
 def notify_once(spark: SparkSession, path: str, schema: str, key: str = "dedup_key"):
     """A foreachBatch function that appends only unsent rows to the Parquet folder ``path``. A batch writes its own
-    subfolder and overwrites it when it is replayed, so that a restart neither loses nor repeats a row."""
+    subfolder and overwrites it when it is replayed, so that a restart neither loses nor repeats a row. It looks keys up
+    among all rows in ``path``, also those of other streams; where one stream sends all, ``first_only`` costs less."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session, kinds = batch.sparkSession, f"{schema}, batch long"

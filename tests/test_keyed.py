@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gavelspark.plans.queries import ORACLE, QUERIES
 from gavelspark.plans.queries_streams import lot_states, sweeps
 from gavelspark.sources import cursors
-from gavelspark.streaming import keyed, replay
+from gavelspark.streaming import keyed, replay, watch
 
 from .support import SMALL, assert_same, rows_of
 
@@ -20,7 +20,7 @@ def at(minutes):
     return None if minutes is None else START + timedelta(minutes=minutes)
 
 
-@pytest.mark.parametrize("name", ["watch_news", "watch_news_stream", "stale_sweep", "stale_sweep_stream", "keyset_sweep", "offset_sweep"])
+@pytest.mark.parametrize("name", ["watch_news", "watch_news_stream", "stale_sweep", "stale_sweep_stream", "keyset_sweep", "offset_sweep", "news_sent_stream"])
 def test_query_equals_sql(spark, name):
     assert_same(QUERIES[name](spark, SMALL), SMALL, ORACLE[name])
 
@@ -156,3 +156,11 @@ def test_cursor_by_place_ends_on_a_full_page():
         rows, offset = c.step(offset)
         pages.append([r.get("k") for r, mark in rows if not mark])
     assert pages == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9], []] and c.step(offset) == ([], offset)
+
+
+def test_news_are_sent_once_over_restarts(spark, tmp_path):
+    schema, sink, state = "dedup_key string, n long", str(tmp_path / "sink"), str(tmp_path / "state")
+    for batches in ([[("a", 1), ("b", 2), ("b", 2)], [("a", 1), (None, 9)]], [[("b", 2), ("c", 3)]], []):
+        source = files(spark, tmp_path, batches, schema) if batches else str(tmp_path / "in")
+        replay.run_over(spark, source, schema, watch.first_only, sink, state, files=1)
+    assert sorted(map(tuple, spark.read.parquet(sink).collect())) == [("a", 1), ("b", 2), ("c", 3)]
