@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 EARTH = 6_371_000.0
 
@@ -75,3 +78,24 @@ def looks_alike(a: Column, b: Column, least: float = 0.30) -> Column:
     """False only when both vectors are known and too far apart."""
     known = (F.size(a) > 0) & (F.size(b) > 0)
     return ~F.coalesce(known, F.lit(False)) | (dot(a, b) >= least)
+
+
+@F.pandas_udf(BinaryType())
+def _to_bytes(vectors: pd.Series) -> pd.Series:
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def _from_bytes(packed: pd.Series) -> pd.Series:
+    return packed.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+
+def vector_bytes(vector: Column) -> Column:
+    """A vector as little-endian 32-bit floats, four bytes a component; null if it or one of its components is null."""
+    return _to_bytes(F.when(~F.exists(vector, lambda x: x.isNull()), vector.cast("array<float>")))
+
+
+def bytes_vector(packed: Column) -> Column:
+    """The vector in such bytes; null for no bytes and for a length that no whole number of components has."""
+    size = F.octet_length(packed)
+    return _from_bytes(F.when((size > 0) & (size % 4 == 0), packed))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as T
+from ..functions import text as T, vectors
 from ..operators import neighbours, places, search
 from ..rules import fees
 from ..sources import typed
@@ -130,3 +130,19 @@ def deals_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best deals first."""
     rows = deals(spark, sf_dir).join(items(spark, sf_dir).select(*search.KEY, "status", "ends_at"), search.KEY)
     return search.list_items(rows, search.Filters(), "deal", 5).select(*search.KEY, "deal_percent", "ends_at")
+
+
+@query(
+    "vector_codec",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::FLOAT::DOUBLE) AS v FROM embeddings)
+SELECT vec_id, (4 * len(v))::INT AS n_bytes, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * i)), 6) AS weighted, true AS stable, CASE WHEN vec_id % 3 > 0 THEN (len(v) - 1)::INT END AS n_cut FROM v""",
+)
+def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors to bytes and back, weighted by place so that the order counts. Packed again they give the same bytes;
+    bytes cut by a whole component make a shorter vector, cut elsewhere none."""
+    packed = table(spark, sf_dir, "embeddings").select("vec_id", vectors.vector_bytes(c("embedding")).alias("b"))
+    n = F.octet_length("b")
+    cut = F.substring("b", lit(1), n - F.when(c("vec_id") % 3 == 0, 3).otherwise(4))
+    rows = packed.select("vec_id", "b", n.alias("n_bytes"), vectors.bytes_vector(c("b")).alias("v"), vectors.bytes_vector(cut).alias("short"))
+    weighted = F.aggregate(F.transform("v", lambda x, i: x.cast("double") * (i + 1)), lit(0.0), lambda s, x: s + x)
+    return rows.select("vec_id", "n_bytes", F.round(weighted, 6).alias("weighted"), (vectors.vector_bytes(c("v")) == c("b")).alias("stable"), F.when(c("short").isNotNull(), F.size("short")).alias("n_cut"))

@@ -283,3 +283,18 @@ def watched_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     watched = rows.filter(c("external_id").cast("long") % 100 < 3).select("house", "external_id")
     order = watched_first()
     return rows.join(watched, ["house", "external_id"], "left_semi").select("house", "external_id", F.row_number().over(Window.orderBy(*order)).alias("place"))
+
+
+@query(
+    "settings_overwrite",
+    """WITH o AS (SELECT 'job' || user_id % 40 AS name, max(event_id) AS value, max(ts) AS updated_at FROM events WHERE event_id % 2 = 0 AND user_id % 40 < 30 GROUP BY 1),
+n AS (SELECT 'job' || user_id % 40 AS name, CASE WHEN user_id % 40 <> 17 THEN max(event_id) END AS value, max(ts) AS updated_at FROM events WHERE event_id % 2 = 1 AND user_id % 40 >= 10 GROUP BY user_id % 40)
+SELECT coalesce(n.name, o.name) AS name, CASE WHEN n.name IS NULL THEN o.value ELSE n.value END AS value, coalesce(n.updated_at, o.updated_at) AS updated_at, o.name IS NULL AS added FROM o FULL JOIN n USING (name)""",
+)
+def settings_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings and states of jobs: what is written last stands, a null too; jobs of users come in two lots."""
+    e, job = table(spark, sf_dir, "events"), c("user_id") % 40
+    stand = lambda rows, value: rows.groupBy(F.concat(F.lit("job"), job.cast("string")).alias("name"), job.alias("j")).agg(value.alias("value"), F.max("ts").alias("updated_at")).drop("j")
+    before = stand(e.filter((c("event_id") % 2 == 0) & (job < 30)), F.max("event_id"))
+    batch = stand(e.filter((c("event_id") % 2 == 1) & (job >= 10)), F.max(F.when(job != 17, c("event_id"))))
+    return M.merge(before, batch, ["name"], {"value": M.overwrite, "updated_at": M.overwrite}, flag="added")

@@ -134,3 +134,11 @@ def test_sources_refetch_probe_and_hang_together(spark):
         register_paged(spark, f"t_{name}", schema, lambda shard, page, rows=rows: ([rows[page - 1]], len(rows)))
     parts, lots, offers = hierarchy(spark, "t_parts", "t_lots", "t_offers", "part", "lot")
     assert (parts.count(), [r.lot for r in lots.collect()], [r.value for r in offers.collect()]) == (2, [10], [5])
+
+
+def test_vectors_as_bytes(spark):
+    rows = spark.createDataFrame([(1, [1.0, -2.5]), (2, []), (3, None), (4, [1.0, None]), (5, [float("nan")])], "k int, v array<double>")
+    packed = {r.k: r.b for r in rows.select("k", vectors.vector_bytes(F.col("v")).alias("b")).collect()}
+    assert (packed[1], packed[2], packed[3], packed[4]) == (b"\x00\x00\x80\x3f\x00\x00\x20\xc0", b"", None, None) and len(packed[5]) == 4
+    kept = spark.createDataFrame([(1, bytes(packed[1])), (2, b""), (3, None), (4, b"abc")], "k int, b binary")
+    assert [r.v for r in kept.orderBy("k").select(vectors.bytes_vector(F.col("b")).alias("v")).collect()] == [[1.0, -2.5], None, None, None]
