@@ -551,3 +551,28 @@ def pages_upplands(spark: SparkSession, sf_dir: str) -> DataFrame:
     auctions = table(spark, sf_dir, "supplier").groupBy(F.floor(key / 50)).agg(F.to_json(F.collect_list(terms)).alias("payload"))
     rows = houses.upplands_lots(pages_, auctions, ntz(AS_OF))
     return rows.withColumn("pictures", F.array_join("media", ",")).select("external_id", "auction_external_id", "title", "description", "ends_at", "status", "min_bid", "current_bid", "reserve_status", "fee_value", "vat_rate", "pictures")
+
+
+@query("pages_budi", f"""WITH b AS (SELECT *, p_size % 3 > 0 AS live, p_size % 4 AS n, 'https://media.budi.se/cdn-cgi/image/format=auto,quality=high,width=800/auctionobjects/images/k/' || p_partkey AS base FROM part)
+SELECT p_partkey::VARCHAR AS external_id, p_name || ' & co' AS title, p_brand AS location, {_ENDS} AS ends_at, CASE WHEN p_size > 25 AND p_size % 5 > 0 AND (NOT live OR p_size % 7 > 0) THEN 'active' ELSE 'ended' END AS status, CASE WHEN n = 0 THEN CASE WHEN live THEN 4321 ELSE 1000 + p_size END END::BIGINT AS min_bid,
+  CASE WHEN n > 0 THEN CASE WHEN live THEN p_size * 100 ELSE 1000 + p_size END END::BIGINT AS current_bid, n::INT AS bid_count, CASE WHEN live THEN CASE WHEN p_size % 2 = 0 THEN 'met' ELSE 'not_met' END END AS reserve_status,
+  CASE WHEN n > 0 AND live AND p_size % 5 > 1 THEN CASE WHEN p_size % 2 = 0 THEN greatest(floor(p_size * 16 + 0.5), 300) ELSE 99 END END::BIGINT AS fee_value, CASE WHEN live THEN CASE WHEN p_size % 2 = 0 THEN 0 ELSE 25 END END::DOUBLE AS vat_rate,
+  CASE WHEN p_size % 5 > 1 THEN p_type || ' "fin"' END AS description, base || CASE WHEN p_size % 5 > 1 THEN '.jpg,' || base || '-2.jpg,' || base || '-10.jpg' ELSE '.jpg' END AS pictures FROM b""")
+def pages_budi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue pages, live answers for two thirds of the lots, and the lots' own pages."""
+    p, parts = Part(), table(spark, sf_dir, "part")
+    picture = lambda key, n, size: _joined("https://media.budi.se/cdn-cgi/image/fit=cover,width=", size, "/auctionobjects/images/k/", key, n, ".jpg")
+    iso = F.concat(F.date_format(p.ends + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), lit("&#x2B;02:00"))
+    card = _joined(
+        '<a href="/objekt/', p.key, '/s" class="budi-auctionobject__card" data-budi-auctionobject-id="', p.key, '" data-budi-auctionobject-endingdatetimeiso="', iso, '" data-budi-auctionobject-isended="', F.when(p.size % 5 == 0, "true").otherwise("false"), '" data-budi-auctionobject-citykey="', c("p_brand"), '"><div><img src="',
+        picture(p.key, "", "466"), '" alt="x"><img src="/static/y.svg"></div><time title="08 juli">7d</time><div class="budi-auctionobject__desc"><p title="', c("p_name"), ' &amp; co">kort</p></div><span class="budi-auctionobject__bid-current-amount notranslate">', _spaced(p.size + 1000),
+        '&#xA0;kr</span><span class="budi-auctionobject__bid-count-separator"> 9 </span><span class="budi-auctionobject__bid-count notranslate">', p.size % 4, "</span> bud</a>")
+    answer = record(
+        auctionObjectId=p.key, bidCurrentAmount=record(exVat=F.coalesce(p.bid, lit(0)), vatPercentage=F.when(p.even, 0).otherwise(25)), bidNextAmount=record(exVat=lit(4321)), bidCount=p.size % 4, isReservationPriceMet=p.even, isEnded=lit(False), isBiddingOpen=p.size % 7 > 0)
+    answers = parts.filter(p.size % 3 > 0).groupBy(F.floor(p.key / 100)).agg(F.to_json(record(items=F.collect_list(answer))).alias("payload"))
+    own = _joined(
+        '<meta name="description" content="', c("p_type"), ' &quot;fin&quot;"><b data-budi-servicefee-exvat="99" data-budi-servicefee-dynpercentage-bps="', F.when(p.even, 1600).otherwise(0), '" data-budi-servicefee-dynminexvat="300"></b><img src="', picture(p.key, "-10", "90"), '"><img src="', picture(p.key, "", "90"),
+        '"><img src="', picture(p.key, "-2", "90"), '" srcset="', picture(p.key, "-2", "900"), ' 3x"><img src="', picture(lit("x9"), "", "90"), '">')
+    lots = parts.filter(p.size % 5 > 1).select(p.key.alias("id"), own.alias("html"))
+    rows = cards.budi(readers.budi_payloads(_listed(parts, card, "<h1>830 objekt</h1>", "<a href='/'>0</a>").select("html"), answers.select("payload"), lots), ntz(AS_OF))
+    return rows.withColumn("pictures", F.array_join("media", ",")).select("external_id", "title", "location", "ends_at", "status", "min_bid", "current_bid", "bid_count", "reserve_status", "fee_value", "vat_rate", "description", "pictures")

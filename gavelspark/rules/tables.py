@@ -427,6 +427,10 @@ HOUSE_PAGES = {
         "price": "Price-amount", "end": "auction-time-countdown", "start": r"Startbud:\s*([\d\s]+)", "step": r"Höjning per bud:\s*([\d\s]+)", "fee": r"slagavgift\s+p\D*([\d\s]+)\s*kr", "exempt": "momsfri|momsbefria|ingen moms", "vat": r"(\d+)\s*%\s*moms\s+tillkommer",
         "no reserve": "Inget reservationspris", "met": "reservation_yes", "not met": "reservation_no", "said not met": r"Reservationspris\s+ej\s+uppn", "said met": r"Reservationspris\s+uppn", "count": r"Bud\s*\((\d+)\)", "bid row": r"logid-(\d+)",
     },
+    "budi": {
+        "origin": "https://www.budi.se", "lot": "data-budi-auctionobject-", "title": "budi-auctionobject__desc", "amount": "bid-current-amount", "count": "bid-count notranslate", "fee": "data-budi-servicefee-", "picture": r"auctionobjects/images/[^\"'\s?)]+\.(?:jpe?g|png|webp)",
+        "gallery": r"auctionobjects/images/([^/]+/\d+)(?:-\d+)?\.\w+$", "place": r"-(\d+)\.\w+$", "large": "https://media.budi.se/cdn-cgi/image/format=auto,quality=high,width=800/",
+    },
     "bukowskis": {"link": r"/(?:sv|en)/(?:auctions/([^/]+)/)?lots/\d+-", "bid": r"Aktuellt bud\s+([\d\s]+?)\s+([A-Z]{3})", "estimate": r"Utropspris\s+([\d\s]+?)\s+([A-Z]{3})", "none": "Inga bud", "picture": r"https://[a-z0-9]+\.cloudfront\.net/[^\"\\\s&]+", "description": "lot-description"},
     "bna": {
         "event": r"/auktion/(\d{4}-\d{2}-\d{2}.*)/(\d+)", "lot": r"/auktion/objekt/.+/(\d+)", "bid": r"Högsta bud\D{0,8}([\d\s]+?)\s*kr", "least": r"Utrop(?:spris)?\D{0,8}([\d\s]+?)\s*kr", "end": r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2})?",

@@ -1,4 +1,4 @@
-"""Reading the list pages and lot pages of six more houses as cards and details for their mappers.
+"""Reading the list pages and lot pages of seven more houses as cards and details for their mappers.
 
 A page is read tag by tag as in ``pages``. A reader names the elements whose text is a field; a list page begins a card
 at each lot's element, and a lot met twice on a page is its first card. Null and empty pages, and pages without a lot,
@@ -18,7 +18,7 @@ from ..functions.times import exact_local, yearless
 from ..rules.tables import HOUSE_PAGES
 from .pages import Walk, squeezed, whole
 
-NET, FAB, BUK, BNA, BLI, KRO = (HOUSE_PAGES[h] for h in ("netauktion", "fabeo", "bukowskis", "bna", "blinto", "kronofogden"))
+NET, FAB, BUD, BUK, BNA, BLI, KRO = (HOUSE_PAGES[h] for h in ("netauktion", "fabeo", "budi", "bukowskis", "bna", "blinto", "kronofogden"))
 _LINES = frozenset("p li ul div h1 h2 h3 h4 h5 h6".split())
 
 
@@ -692,3 +692,95 @@ def kronofogden_payloads(lists: DataFrame, lots: DataFrame) -> DataFrame:
     item = F.struct("objId", "inA", "inO", "title", "location", "startBid", "currentBid", "countdown", "image")
     own = lots.select(F.col("id").cast("string").alias("objId"), "html").lateralJoin(KronofogdenLot(F.col("html").outer(), F.col("objId").outer())).drop("html")
     return cards.select("objId", item.alias("item")).join(own.select("objId", F.struct("description", "images").alias("detail")), "objId", "left").select(F.to_json(F.struct("item", "detail")).alias("payload"))
+
+
+# Budi: a card is a link with the lot's facts as attributes; live answers on bids; fee and gallery on the lot's page.
+
+
+def budi_picture(address: str) -> str:
+    """A picture in a middle size; other addresses as they are."""
+    path = re.search(r"/cdn-cgi/image/[^/]+/(.+)$", address)
+    return BUD["large"] + path[1] if path else address
+
+
+class _BudList(Marked):
+    marks = {"amount": BUD["amount"], "count": BUD["count"]}
+    closed = True
+
+    def seen(self, tag: str, attrs: dict[str, str]) -> None:
+        told = {k.removeprefix(BUD["lot"]): v for k, v in attrs.items() if k.startswith(BUD["lot"])}
+        if tag == "a" and told.get("id", "").isdigit():
+            if told["id"] in self.cards:
+                self.card = None
+                return
+            self.begin(told["id"])
+            self.card.fields |= {"href": attrs.get("href", ""), "ends": told.get("endingdatetimeiso", ""), "ended": told.get("isended", ""), "city": told.get("citykey", "")}
+        if self.card is None:
+            return
+        if attrs.get("title") and "title" not in self.card.fields and self.within(BUD["title"]):
+            self.card.fields["title"] = " ".join(attrs["title"].split())
+        if tag == "img":
+            if attrs.get("src") and not self.card.pictures:
+                self.card.pictures.append(budi_picture(attrs["src"]))
+            if attrs.get("alt"):
+                self.card.fields.setdefault("alt", " ".join(attrs["alt"].split()))
+
+
+@udtf(returnType="id string, title string, location string, endsAt string, ended boolean, amount long, bidCount int, sourceUrl string, image string")
+class BudiCards:
+    def eval(self, html: str) -> Iterator[tuple]:
+        for c in read(_BudList(), html).cards.values():
+            f = c.fields
+            yield c.key, f.get("title") or f.get("alt") or f"Budi {c.key}", f["city"] or None, f["ends"] or None, f["ended"] == "true", whole(c.text("amount")), shown(c.text("count")) or 0, urljoin(BUD["origin"], f["href"] or f"/objekt/{c.key}"), next(iter(c.pictures), None)
+
+
+class _BudLot(Walk):
+    """Description, terms of the fee, and the pictures that share the card's folder and number."""
+
+    def __init__(self, image: str | None) -> None:
+        super().__init__()
+        self.base = first(BUD["gallery"], image)
+        self.description: str | None = None
+        self.fee: dict[str, float] = {}
+        self.paths: set[str] = set()
+
+    def seen(self, tag: str, attrs: dict[str, str]) -> None:
+        if tag == "meta" and attrs.get("name") == "description" and self.description is None:
+            self.description = squeezed([attrs.get("content", "")])
+        for name, value in attrs.items():
+            if name.startswith(BUD["fee"]) and re.fullmatch(r"\d+(?:\.\d+)?", value):
+                self.fee.setdefault(name.removeprefix(BUD["fee"]), float(value))
+        if self.base:
+            self.paths |= {p for p in addresses(attrs, BUD["picture"]) if first(BUD["gallery"], p) == self.base}
+
+    def row(self) -> tuple:
+        ordered = sorted(self.paths, key=lambda p: (int(first(BUD["place"], p) or 0), p))
+        fixed, share = self.fee.get("exvat"), self.fee.get("dynpercentage-bps", 0.0)
+        fee = (share, self.fee.get("dynminexvat", 0.0), fixed) if fixed is not None or share > 0 else None
+        return self.description if self.description and len(self.description) > 2 else None, fee, [BUD["large"] + p for p in ordered]
+
+
+@udtf(returnType="description string, feeParams struct<dynBps:double,dynMinExVat:double,fixedExVat:double>, images array<string>")
+class BudiLot:
+    def eval(self, html: str, image: str) -> Iterator[tuple]:
+        yield read(_BudLot(image), html).row()
+
+
+def budi_payloads(lists: DataFrame, answers: DataFrame, lots: DataFrame) -> DataFrame:
+    """Payloads from catalogue pages (html), live answers (payload) and lots' own pages (id, html). What an answer tells
+    goes before what the card does; a card's price is the bid if there are bids, else the least one."""
+    cards = lists.lateralJoin(BudiCards(F.col("html").outer())).drop("html").dropDuplicates(["id"])
+    amount = "struct<exVat:double,vatPercentage:double>"
+    told = answers.select(F.explode(F.from_json("payload", f"struct<items:array<struct<auctionObjectId:string,bidCurrentAmount:{amount},bidNextAmount:{amount},bidCount:int,isReservationPriceMet:boolean,isEnded:boolean,isBiddingOpen:boolean,endingDateTimeIso:string>>>")["items"]).alias("a"))
+    told = told.select(F.col("a.auctionObjectId").alias("id"), F.col("a").alias("t")).dropDuplicates(["id"])
+    rows = cards.join(told, "id", "left")
+    live, false = F.col("t").isNotNull(), F.lit(False)
+    count = F.when(live, F.coalesce("t.bidCount", F.lit(0))).otherwise(F.col("bidCount"))
+    now, following = (F.when(F.col(f"t.{c}.exVat") > 0, F.col(f"t.{c}.exVat").cast("long")) for c in ("bidCurrentAmount", "bidNextAmount"))
+    bid = F.when(live, F.when(count > 0, now)).when(count > 0, F.col("amount"))
+    rows = rows.select(
+        "id", "title", "location", "sourceUrl", "image", count.alias("bidCount"), bid.alias("currentBid"), F.when(bid.isNull(), F.coalesce(following, "amount")).alias("minBid"), F.when(live, F.coalesce("t.isReservationPriceMet", false)).alias("reserveMet"),
+        F.col("t.bidCurrentAmount.vatPercentage").alias("vatPercentage"), F.coalesce("t.endingDateTimeIso", "endsAt").alias("endsAt"), (F.col("ended") | (live & (F.coalesce("t.isEnded", false) | ~F.coalesce("t.isBiddingOpen", false)))).alias("ended"))
+    own = lots.select(F.col("id").cast("string"), "html").join(cards.select("id", "image"), "id").lateralJoin(BudiLot(F.col("html").outer(), F.col("image").outer())).select("id", "description", "feeParams", "images")
+    rows = rows.join(own, "id", "left")
+    return rows.select(F.to_json(F.struct(F.struct(*[c for c in rows.columns]).alias("item"))).alias("payload"))

@@ -45,7 +45,7 @@ def test_facts_of_a_lot(spark):
 
 
 READERS = {
-    "NetauktionCards": 0, "NetauktionBids": 0, "NetauktionLot": 1, "FabeoLot": 1, "BukowskisCards": 0, "BukowskisLot": 0, "BnaLinks": 0, "BnaLot": 0, "BlintoCards": 0, "BlintoLot": 1, "KronofogdenCards": 0, "KronofogdenLot": 1,
+    "NetauktionCards": 0, "NetauktionBids": 0, "NetauktionLot": 1, "FabeoLot": 1, "BukowskisCards": 0, "BukowskisLot": 0, "BnaLinks": 0, "BnaLot": 0, "BlintoCards": 0, "BlintoLot": 1, "KronofogdenCards": 0, "KronofogdenLot": 1, "BudiCards": 0, "BudiLot": 1,
 }
 
 
@@ -58,7 +58,7 @@ def test_pages_without_lots(spark, name):
     assert len(got) == (3 if name.endswith("Lot") else 0)
 
 
-@pytest.mark.parametrize("reader", [readers._NetList, readers._BidBox, lambda: readers._FabLot("1"), readers._BukList, readers._BnaLot, readers._BliList, lambda: readers._KroLot("1"), readers._KroList, pages._Cards, pages._Lot])
+@pytest.mark.parametrize("reader", [readers._NetList, readers._BidBox, lambda: readers._FabLot("1"), readers._BukList, readers._BnaLot, readers._BliList, lambda: readers._KroLot("1"), readers._KroList, readers._BudList, pages._Cards, pages._Lot])
 def test_a_broken_page_is_read_in_linear_time(reader):
     begin = time.perf_counter()
     readers.read(reader(), "<article id='1' class='category-object-list'><div id='2' class='obj_thumbnail' data-lot-id='3'>" + "<b class='x'>a</i>" * 60000)
