@@ -19,6 +19,45 @@ def ascii_words(pattern: str) -> str:
     return re.sub(r"\\b", lambda _: _ASCII_EDGE, pattern)
 
 
+_LITERAL = r"(?:\[([^\\^\]\[&-]+)\]|([^\\\[\](){}.*+?^$|]))(?![?*{])"
+
+
+def _edges(pattern: str) -> str:
+    """As ``ascii_words``, but an edge beside a word character that must be there looks at its other side only."""
+
+    def edge(m: re.Match) -> str:
+        if re.match(r"[A-Za-z0-9_](?![?*{])", pattern[m.end() :]):
+            return "(?<![A-Za-z0-9_])"
+        return "(?![A-Za-z0-9_])" if re.search(r"(?<!\\)[A-Za-z0-9_]$", pattern[: m.start()]) else _ASCII_EDGE
+
+    return re.sub(r"\\b", edge, pattern)
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between its outermost bars."""
+    out, depth, in_class = [""], 0, False
+    for piece in re.findall(r"\\.|.", pattern, re.S):
+        if piece == "|" and not depth and not in_class:
+            out.append("")
+            continue
+        out[-1] += piece
+        if in_class or piece == "[":
+            in_class = piece != "]"
+        else:
+            depth += (piece == "(") - (piece == ")")
+    return out
+
+
+def found_ascii_words(pattern: str) -> str:
+    """A pattern that is found in the texts where ``ascii_words(pattern)`` is, sooner: places whose character begins
+    none of the alternatives are passed over. What is found may differ, so it is for tests only."""
+    begins = [re.match(_LITERAL, re.sub(r"^\\b", "", a)) for a in alternatives(pattern)]
+    if not all(begins):
+        return _edges(pattern)
+    chars = "".join(sorted({x for m in begins for x in m[1] or m[2]}))
+    return f"(?=[{re.sub(r'([&^-])', chr(92) * 2 + '1', chars)}])(?:{_edges(pattern)})"
+
+
 def unicode_words(pattern: str) -> str:
     """Java form of a case-blind pattern with ``\\m`` / ``\\M`` word edges."""
     return "(?iu)" + pattern.replace(r"\m", f"(?<!{_WORD})").replace(r"\M", f"(?!{_WORD})")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from ..rules.tables import BRAND, CITY_NAMES, CONDITION_NEW, CONDITION_UNTESTED, ENTITIES, LOT_COUNT, LOT_PAIR, NEW_THING, PLATE, STOP_WORDS
@@ -67,6 +69,11 @@ def main_category(key: Column) -> Column:
     return F.nullif(top_level(key), F.lit("ovrigt"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is costly and used more than once, so that it is computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def plate(text: Column) -> Column:
     """A registration plate in a text, without look-alikes such as AAA000."""
     upper = F.upper(text)

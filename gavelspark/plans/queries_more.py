@@ -12,7 +12,7 @@ from ..rules.tables import TITLE_RULES
 from ..sources import answers, html as H
 from ..sources.contract import reserve
 from ..streaming import watch
-from .adapt import AS_OF, EVENTS_AS_OF, HISTORY_SQL, ITEMS_SQL, LOTS_SQL, history, items, lots, ntz, table
+from .adapt import AS_OF, EVENTS_AS_OF, HISTORY_SQL, ITEMS_SQL, LOTS_SQL, history, items, lots, ntz, spread, table
 from .queries_items import first_vector
 from .registry import query
 
@@ -101,7 +101,7 @@ def vehicle_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.concat(
         lit("<title>"), F.when(size % 4 > 0, F.upper(plate)).otherwise("Hittade inget"), lit(" - sida</title><table><tr><td>Mätarställning (besiktning)</td><td>"), size, lit(" 00 mil</td></tr><tr><td>Drivmedel</td><td>"), "p_type", lit("</td></tr></table><dl><dt>Import / Införsel</dt><dd>"),
         F.when(size % 2 == 0, "Ja, 2004").otherwise("Nej"), lit("</dd><dt>Först registrerad</dt><dd>den "), F.date_add(F.to_date(lit("2001-01-01")), size).cast("string"), lit("</dd><dt>Drivmedel</dt><dd>annat</dd></dl>"))
-    return table(spark, sf_dir, "part").select("p_partkey", H.vehicle(page, plate).alias("v")).select("p_partkey", "v.plate", "v.odometer", "v.imported", "v.registered", "v.fuel")
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", H.vehicle(page, plate).alias("v")).select("p_partkey", "v.plate", "v.odometer", "v.imported", "v.registered", "v.fuel")
 
 
 @query("reserve_states", f"WITH {LOTS_SQL} SELECT external_id, CASE WHEN k % 5 = 0 THEN 'none' WHEN k % 3 = 0 THEN 'met' WHEN k % 3 = 1 THEN 'not_met' END AS state FROM lots")
@@ -361,4 +361,4 @@ def title_rules_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of three categories and one that no rule knows."""
     assert TITLE_RULES
     title = F.element_at(F.array(*[lit(t) for t in ("Volvo V70 kombi 2008", "Guldring 18k med safir", "LP-skiva vinyl Abba", "Okänd sak")]), (c("p_partkey") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", classify.by_text(title).isNotNull().alias("hit"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", classify.by_text(title).isNotNull().alias("hit"))

@@ -11,7 +11,7 @@ from ..operators import price
 from ..rules import classify
 from ..rules.tables import FEE_KNOTS, STOP_WORDS
 from ..sources import html as H
-from .adapt import AS_OF, ITEMS_SQL, items, ntz, table
+from .adapt import AS_OF, ITEMS_SQL, items, ntz, spread, table
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -105,7 +105,7 @@ def derived(name: str, fn: Callable[[Column], Column], x: Callable[[], Column],
     give, from the same columns."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "part").select("p_partkey", fn(x()).alias("y"))
+        return spread(table(spark, sf_dir, "part")).select("p_partkey", fn(x()).alias("y"))
 
     query(name, f"SELECT p_partkey, {y} AS y FROM part")(run)
 
@@ -266,7 +266,7 @@ def over_rows(name: str, fn, source: str, key: str, text: Callable[[], Column],
     columns (``given`` is its SQL, ``x`` in ``sql``)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, source).select(key, fn(text()).alias("y"))
+        return spread(table(spark, sf_dir, source)).select(key, fn(text()).alias("y"))
 
     inner = f"(SELECT *, {given} AS x FROM {source})" if given else source
     query(name, sql and f"SELECT {key}, {sql} AS y FROM {inner}")(run)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import merge as M, queues
 from ..rules import classify
-from .adapt import AS_OF, ITEMS_SQL, LOTS_SQL, items, lots, ntz, table
+from .adapt import AS_OF, ITEMS_SQL, LOTS_SQL, items, lots, ntz, spread, table
 from .queries_items import FEES_SQL
 from .queries_rules import LEXICON_SQL, part_lexicon
 from .registry import query
@@ -162,7 +162,7 @@ _TEXT = "CASE k % 4 WHEN 0 THEN 'fordon' WHEN 1 THEN 'smycken' WHEN 2 THEN 'medi
 
 @query("conflict_sweep", f"WITH {LOTS_SQL} SELECT external_id, category_conflict OR coalesce(status = 'active' AND category_conf = 'text' AND {_TEXT} <> {_OWN}, false) AS category_conflict FROM lots")
 def conflict_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.flag_conflicts(lots(spark, sf_dir).withColumn("house", F.lit("budi"))).select("external_id", "category_conflict")
+    return M.flag_conflicts(spread(lots(spark, sf_dir)).withColumn("house", F.lit("budi"))).select("external_id", "category_conflict")
 
 
 @query(
@@ -183,7 +183,7 @@ def house_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     houses = F.element_at(F.array(*[lit(h) for h in ("budi", "vaxxa", "klaravik", "pantbanken", "auctionet", "siko")]), (kind + 1).cast("int"))
     ids = spark.createDataFrame([("0", "klockor")], "id string, ids string")
-    rows = table(spark, sf_dir, "part").select("p_partkey", houses.alias("house"), raw.alias("raw"))
+    rows = spread(table(spark, sf_dir, "part")).select("p_partkey", houses.alias("house"), raw.alias("raw"))
     rows = rows.join(F.broadcast(ids), F.get_json_object("raw", "$.category_id") == c("id"), "left")
     return rows.select("p_partkey", classify.house_category(c("house"), c("raw"), c("ids")).alias("own")).select("p_partkey", "own.key", "own.label")
 

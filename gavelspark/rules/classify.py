@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.regex import ascii_words
-from ..functions.text import title_tokens, top_level
+from ..functions.regex import found_ascii_words
+from ..functions.text import once, title_tokens, top_level
 from .tables import CATCH_ALL, CONFIDENCE_RANK, HOUSE_KEYS, LABEL_RULES, MIXED, MIXED_SIGNAL, NAME_RULES, TITLE_RULES, UNSORTED
 
 MIN_EVIDENCE, MIN_SHARE = 12, 0.75
@@ -20,33 +20,29 @@ def padded(*texts: Column) -> Column:
 def by_text(title: Column, description: Column | None = None, rules: tuple[tuple[str, str], ...] = TITLE_RULES) -> Column:
     """The category that the ordered rules give a text. Rules of three or more mains at once mean a mixed lot, and so
     does a mixed-lot word when no rule holds; null if nothing holds."""
-    text = padded(title) if description is None else padded(title, description)
-    hits = F.array_compact(F.array(*[F.when(text.rlike(ascii_words(p)), key) for p, key in rules]))
 
-    def chosen(found: Column) -> Column:
-        mains = F.size(F.array_distinct(F.transform(found, lambda k: F.substring_index(k, "/", 1))))
-        return F.when(mains >= 3, MIXED).when(mains > 0, F.get(found, F.lit(0))).when(text.rlike(ascii_words(MIXED_SIGNAL)), MIXED)
+    def judged(text: Column) -> Column:
+        def chosen(found: Column) -> Column:
+            mains = F.size(F.array_distinct(F.transform(found, lambda k: F.substring_index(k, "/", 1))))
+            return F.when(mains >= 3, MIXED).when(mains > 0, F.get(found, F.lit(0))).when(text.rlike(found_ascii_words(MIXED_SIGNAL)), MIXED)
 
-    return _once(hits, chosen)
+        return once(F.array_compact(F.array(*[F.when(text.rlike(found_ascii_words(p)), key) for p, key in rules])), chosen)
 
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is costly and used more than once, so that it is computed once a row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return once(padded(title) if description is None else padded(title, description), judged)
 
 
 def by_name(name: Column, rules: tuple[tuple[str, str], ...] = NAME_RULES) -> Column:
     """The category a source's own category name stands for; null if it is ambiguous."""
     text = F.concat(F.lit(" "), F.lower(F.coalesce(name, F.lit(""))), F.lit(" "))
-    return F.coalesce(*[F.when(text.rlike(ascii_words(p)), key) for p, key in rules])
+    return F.coalesce(*[F.when(text.rlike(found_ascii_words(p)), key) for p, key in rules])
 
 
 def by_label(label: Column) -> Column:
     """The category a source's label stands for: as a title would, else by the label patterns; null if unknown."""
     as_title = by_text(label)
     text = F.concat(F.lit(" "), F.lower(label), F.lit(" "))
-    known = F.coalesce(*[F.when(text.rlike(ascii_words(p)), key) for p, key in LABEL_RULES])
-    return F.when(F.length(label) >= 2, _once(as_title, lambda key: F.coalesce(F.when(key != MIXED, key), known)))
+    known = once(text, lambda t: F.coalesce(*[F.when(t.rlike(found_ascii_words(p)), key) for p, key in LABEL_RULES]))
+    return F.when(F.length(label) >= 2, once(as_title, lambda key: F.coalesce(F.when(key != MIXED, key), known)))
 
 
 def house_category(house: Column, raw: Column, ids: Column | None = None) -> Column:
