@@ -202,7 +202,8 @@ def flag_conflicts(items: DataFrame) -> DataFrame:
     """Active lots classified by their text are marked where the source's own category has another main. One pass over
     all of them stands for a sweep with a cursor."""
     own = house_category(F.col("house"), F.col("raw"))["key"]
-    clash = conflict(by_text(F.col("title"), F.col("description")), F.col("category_conf"), own) & (F.col("status") == "active")
+    asked = (F.col("status") == "active") & (F.col("category_conf") == "text")  # the rules are costly and change no other lot
+    clash = conflict(F.when(asked, by_text(F.col("title"), F.col("description"))), F.col("category_conf"), F.when(asked, own)) & (F.col("status") == "active")
     return items.withColumn("category_conflict", F.coalesce(clash, F.lit(False)) | F.col("category_conflict"))
 
 
