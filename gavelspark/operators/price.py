@@ -85,7 +85,9 @@ def sale_mains(sales: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     else:
         won = classify.vote(sales.select("title").distinct(), "title", "title", lexicon).select(F.col("title").alias("__title"), F.col("category").alias("__voted"))
         sales, voted = sales.join(won, sales.title == won["__title"], "left"), main_category(F.col("__voted"))
-    return sales.withColumn("s_main", F.coalesce(trusted, voted, stored, main_category(classify.by_text(F.col("title"))))).drop("__title", "__voted")
+    known = F.coalesce(trusted, voted, stored)
+    by_words = main_category(F.when(known.isNull(), classify.by_text(F.col("title"))))  # the rules are costly
+    return sales.withColumn("s_main", F.coalesce(known, by_words)).drop("__title", "__voted")
 
 
 #: Facts of a lot that must not clash, and its year (fixed names).
