@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.money import nice_ceiling
-from ..functions.text import digits, number, strip_html, unescape
+from ..functions.text import digits, number, once, strip_html, unescape
 from ..rules.tables import MONTH_LABEL, PRICE_RANGE, VEHICLE
 
 _PAIRS = (
@@ -62,14 +62,17 @@ def price_range(html: Column, label: str) -> Column:
 
 def vehicle(html: Column, plate: Column) -> Column:
     """The typed record of a vehicle's page, from its labels; null for a page of another vehicle."""
-    title, labels = F.regexp_extract(html, "<title>([^<]*)</title>", 1), label_values(html)
-    told = lambda name: F.try_element_at(labels, F.lit(VEHICLE[name]))
-    day = lambda name: F.regexp_extract(told(name), r"\d{4}-\d{2}-\d{2}", 0).try_cast("date")
-    yes = lambda name: F.when(told(name).rlike("(?i)^ja"), True).when(told(name).rlike("(?i)^nej"), False)
-    kinds = {"status": told, "registered": day, "owners": lambda n: _amount(told(n)), "inspected": day, "odometer": lambda n: _amount(told(n)), "tax": lambda n: _amount(told(n)), "on_credit": yes, "imported": yes, "horsepower": lambda n: _amount(told(n))}
-    fuel = F.coalesce(told("fuel"), told("other_fuel"))
-    record = F.struct(F.upper(plate).alias("plate"), *[kind(name).alias(name) for name, kind in kinds.items()], fuel.alias("fuel"))
-    return F.when(F.upper(title).contains(F.upper(plate)), record)
+    title = F.regexp_extract(html, "<title>([^<]*)</title>", 1)
+
+    def record(labels: Column) -> Column:
+        told = lambda name: F.try_element_at(labels, F.lit(VEHICLE[name]))
+        day = lambda name: F.regexp_extract(told(name), r"\d{4}-\d{2}-\d{2}", 0).try_cast("date")
+        yes = lambda name: F.when(told(name).rlike("(?i)^ja"), True).when(told(name).rlike("(?i)^nej"), False)
+        kinds = {"status": told, "registered": day, "owners": lambda n: _amount(told(n)), "inspected": day, "odometer": lambda n: _amount(told(n)), "tax": lambda n: _amount(told(n)), "on_credit": yes, "imported": yes, "horsepower": lambda n: _amount(told(n))}
+        fuel = F.coalesce(told("fuel"), told("other_fuel"))
+        return F.struct(F.upper(plate).alias("plate"), *[kind(name).alias(name) for name, kind in kinds.items()], fuel.alias("fuel"))
+
+    return F.when(F.upper(title).contains(F.upper(plate)), once(label_values(html), record))
 
 
 def chart_kind(n: Column, shares: Column, dated: Column) -> Column:
