@@ -76,8 +76,9 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def plate(text: Column) -> Column:
     """A registration plate in a text, without look-alikes such as AAA000."""
-    upper = F.upper(text)
-    pattern = ascii_words(PLATE)
+    # letter by letter, as the other engine does: F.upper makes two letters of some and so finds ASS 123 in "aß 123"
+    upper = F.translate(text, "abcdefghijklmnopqrstuvwxyzıſ", "ABCDEFGHIJKLMNOPQRSTUVWXYZIS")
+    pattern = ascii_words(PLATE).replace(r"\s", r"[\t\n\f\r ]")
     found = F.concat(F.regexp_extract(upper, pattern, 1), F.regexp_extract(upper, pattern, 2))
     sample = found.rlike(r"^(.)\1\1") & found.contains("000")
     return F.when((found != "") & ~sample, found)
