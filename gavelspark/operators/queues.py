@@ -76,25 +76,55 @@ def pending_images(images: DataFrame, items: DataFrame, limit: int) -> DataFrame
     return images.filter(F.col("local_path").isNull()).join(active, ["house", "external_id"], "left_semi").orderBy("image_id").limit(limit)
 
 
+#: Halvings of a range that one pass over its rows stands for, at most.
+LEVELS = 12
+
+
+def _halved(value: Column, times: Column) -> Column:
+    """Struct (low, high): the part of the range from ``low`` to ``high`` that a value lies in after some halvings."""
+
+    def half(r: Column, _: Column) -> Column:
+        low, high = r["low"], r["high"]
+        mid = low + F.shiftright(high - low, 1)
+        pair = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
+        return F.when(low >= high, r).when(value <= mid, pair(low, mid)).otherwise(pair(mid + 1, high))
+
+    steps = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.struct(F.col("low").alias("low"), F.col("high").alias("high")), half)
+
+
 def capped_ranges(rows: DataFrame, bucket: str, value: str, cap: int) -> DataFrame:
     """(bucket, low, high, n, over_cap): value ranges of each bucket by repeated halving of its span while a range holds
-    more than ``cap`` rows and more than one value; a single value over the cap is marked. Values are whole numbers, so
-    there are as many rounds as the widest span has bits at most. Rows only ever travel as counts per value."""
-    counts = pinned(rows.groupBy(bucket, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    leaves = None
-    spans = counts.groupBy(bucket).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
-    while True:
-        fits = (F.col("n") <= cap) | (F.col("low") >= F.col("high"))
-        done = spans.filter(fits)
-        leaves = done if leaves is None else leaves.unionByName(done)
-        spans = pinned(spans.filter(~fits))
-        if spans.isEmpty():
-            break
-        mid = F.floor((F.col("low") + F.col("high")) / 2)
-        halves = spans.select(bucket, F.inline(F.array(F.struct(F.col("low").alias("low"), mid.alias("high")), F.struct((mid + 1).alias("low"), F.col("high").alias("high")))))
-        inside = counts.withColumnRenamed(bucket, "__b").join(halves, (F.col("__b") == F.col(bucket)) & F.col("v").between(F.col("low"), F.col("high")))
-        spans = inside.groupBy(bucket, "low", "high").agg(F.sum("c").alias("n"))
-    return leaves.withColumn("over_cap", F.col("n") > cap)
+    more than ``cap`` rows and more than one value; a single value over the cap is marked. Values are whole numbers. A
+    pass counts the rows of all parts some halvings below the open ranges, as many as their counts call for, adds these
+    up to every range between, and leaves only rows of parts over the cap to the next one. Rows meet their range by
+    equality, so no bucket is one task's work."""
+    spans = pinned(rows.groupBy(F.col(bucket).alias("b")).agg(F.min(value).cast("long").alias("low"), F.max(value).cast("long").alias("high"), F.count(F.lit(1)).alias("n")))
+    fits = (F.col("n") <= cap) | F.coalesce(F.col("low") >= F.col("high"), F.lit(True))
+    leaves = spans.filter(fits)
+
+    def deeper(found: DataFrame) -> DataFrame:
+        levels = F.least(F.ceil(F.log2(F.col("n") / cap)).cast("int") + 2, F.lit(LEVELS))
+        return found.filter(~fits).select(F.col("b").alias("o_b"), F.col("low").alias("o_low"), F.col("high").alias("o_high"), levels.alias("levels"))
+
+    wide = deeper(spans)
+    inside = rows.select(F.col(bucket).alias("b"), F.col(value).cast("long").alias("v")).filter("v IS NOT NULL").join(F.broadcast(wide), F.col("b").eqNullSafe(F.col("o_b")))
+    inside = inside.select("b", "v", F.col("o_low").alias("low"), F.col("o_high").alias("high"), "levels")
+    while not wide.isEmpty():
+        placed = inside.select("b", "v", "low", "high", "levels", F.inline(F.array(_halved(F.col("v"), F.col("levels")))).alias("at", "to"))
+        cells = placed.groupBy("b", "low", "high", "levels", "at").agg(F.count(F.lit(1)).alias("n"))
+        deep = cells.withColumn("d", F.explode(F.sequence(F.lit(1), F.col("levels"))))
+        pairs = deep.select("b", "d", "n", (F.col("d") == F.col("levels")).alias("last"), _halved(F.col("at"), F.col("d")).alias("r"), _halved(F.col("at"), F.col("d") - 1).alias("above"))
+        pairs = pairs.filter(F.col("above.low") < F.col("above.high"))
+        nodes = pinned(pairs.groupBy("b", "d", "last", F.col("r.low").alias("low"), F.col("r.high").alias("high"), F.col("above.low").alias("p_low"), F.col("above.high").alias("p_high")).agg(F.sum("n").alias("n")))
+        parents = nodes.select(F.col("b").alias("a_b"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), F.col("n").alias("a_n"))
+        known = nodes.join(parents, F.col("b").eqNullSafe(F.col("a_b")) & (F.col("p_low") == F.col("a_low")) & (F.col("p_high") == F.col("a_high")), "left")
+        leaves = leaves.unionByName(known.filter(fits & ((F.col("d") == 1) | (F.col("a_n") > cap))).select("b", "low", "high", "n"))
+        wide = deeper(nodes.filter("last"))
+        still = placed.select("b", "v", F.col("at").alias("low"), F.col("to").alias("high"))
+        met = F.col("b").eqNullSafe(F.col("o_b")) & (F.col("low") == F.col("o_low")) & (F.col("high") == F.col("o_high"))
+        inside = pinned(still.join(wide, met).select("b", "v", "low", "high", "levels"))
+    return leaves.select(F.col("b").alias(bucket), "low", "high", "n", (F.col("n") > cap).alias("over_cap"))
 
 
 def numbered_pages(rows: DataFrame, key: str, size: int) -> DataFrame:
