@@ -1,11 +1,13 @@
-"""The most similar vectors of every vector, exactly, by centroid cells and the triangle inequality.
+"""The most similar vectors of every vector, exactly, by blocks of neighbouring cells and the triangle inequality.
 
 Vectors are taken to unit length, so that cosine and distance order alike. Some of them, by a hash of the id, are
-centroids (``CENTROIDS`` at most, broadcast); every vector lies in the cell of its nearest one. A vector first meets its
-own cell, which bounds how far its k-th neighbour can be; then it goes to each other cell whose ball is nearer than
-that bound. Inside a cell, members whose distance from the centroid differs by more than the bound from the vector's own
-cannot be nearer and are not compared. Cells and the vectors that visit them are cut into blocks, so that no task holds
-a cell whole. Rows whose vector is null, empty, zero or not finite have no neighbours.
+centroids (``CENTROIDS`` at most, broadcast); every vector lies in the cell of its nearest one. Vectors in the order of
+their cells are packed into blocks of at most ``BLOCK``, one row each, and a block's own members first bound how far the
+k-th neighbour of each can be. Then every block meets every block in a Cartesian product of the packed rows, which
+shuffles nothing: a task keeps the best of one block of vectors at a time while the blocks of a share of the others pass
+by. A cell whose ball is farther than a vector's bound is not compared with it. What a task holds and hands on does not
+depend on how many cells a vector may reach; all pairs are compared where the vectors leave no cell out of reach.
+Rows whose vector is null, empty, zero or not finite have no neighbours.
 """
 
 from __future__ import annotations
@@ -14,51 +16,133 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .stable import pinned
 
-CENTROIDS, BLOCK, VISITORS = 1000, 4096, 20_000
-_FOUND = "id long, other long, score double, compared long, bound double"
-_SLACK = 1e-9
+#: Blocks of a task's share of the others at most, beyond ``SHARES`` shares.
+CENTROIDS, BLOCK, SHARES, VISITORS = 1000, 4096, 12, 32
+#: Vectors whose scores are held at a time, and how far a score of the matrix product may lie from a pair's own.
+_ROWS, _SLACK = 256, 1e-9
+_PACKED = "ids binary, vectors binary, cells binary, away binary, bound binary"
+_FOUND = "id long, others array<long>, scores array<double>, compared long"
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column])
 
 
-def _top(ids: np.ndarray, others: np.ndarray, scores: np.ndarray, k: int, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row of ``scores`` the places of its k best of at least ``least``, best first, then by id."""
-    out = []
-    for i in range(len(ids)):
-        at = np.flatnonzero((scores[i] >= least) & (others != ids[i]))
-        at = at[np.lexsort((others[at], -scores[i][at]))[:k]]
-        out.append((at, scores[i][at]))
-    return out
-
-
-def _meet(k: int, least: float):
-    """cogrouped: visitors of a block against the block's members."""
-
-    def run(visitors: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        if visitors.empty or members.empty:
-            return pd.DataFrame(columns=["id", "other", "score", "compared", "bound"])
-        v, m = _matrix(visitors["v"]), _matrix(members["m_v"])
-        ids, others = visitors["id"].to_numpy(), members["m_id"].to_numpy()
-        far, bound = visitors["away"].to_numpy(), visitors["bound"].to_numpy()
-        radius = members["m_away"].to_numpy()
-        rows = []
-        for first in range(0, len(v), 256):
-            part = slice(first, first + 256)
-            able = np.abs(far[part, None] - radius[None, :]) <= bound[part, None] + _SLACK
-            any_ = np.flatnonzero(able.any(axis=0))
-            scores = np.where(able[:, any_], v[part] @ m[any_].T, -2.0)
-            for i, (at, score) in enumerate(_top(ids[part], others[any_], scores, k, least)):
-                n, who = int(able[i].sum()), ids[first + i]
-                reach = float(np.sqrt(max(2 - 2 * score[-1], 0))) if len(at) == k else 9.0
-                rows += [(who, others[any_[a]], s, 0, reach) for a, s in zip(at, score)]
-                rows.append((who, -1, -2.0, n, reach))
-        return pd.DataFrame(rows, columns=["id", "other", "score", "compared", "bound"])
+class _Best:
+    """The k best neighbours of a block's vectors so far, best first, then by id."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int, least: float) -> None:
+        self.ids, self.v, self.k = ids, v, k
+        self.others, self.scores = np.full((len(v), k), -1, np.int64), np.full((len(v), k), -np.inf)
+        self.floor, self.least = np.full(len(v), least), least  # a neighbour scores this at least
+        self.compared = 0
+
+    def meet(self, at: np.ndarray, others: np.ndarray, m: np.ndarray) -> None:
+        """Vectors number ``at`` against members."""
+        self.compared += len(at) * len(m)
+        for first in range(0, len(at), _ROWS):
+            rows = at[first : first + _ROWS]
+            scores = self.v[rows] @ m.T
+            scores[others[None, :] == self.ids[rows, None]] = -np.inf
+            able = scores >= self.floor[rows, None] - _SLACK
+            if (many := np.flatnonzero(able.sum(axis=1) > 4 * self.k)).size:
+                kth = np.partition(scores[many], len(m) - self.k, axis=1)[:, len(m) - self.k] - _SLACK
+                able[many] &= scores[many] >= kth[:, None]
+            r, c = np.nonzero(able)
+            if len(r):
+                self._take(rows[r], others[c], m, c)
+
+    def _take(self, r: np.ndarray, others: np.ndarray, m: np.ndarray, c: np.ndarray) -> None:
+        # a pair's score by its own two vectors alone, so that copies tie wherever they lie
+        found = np.concatenate([(self.v[r[i : i + 65536]] * m[c[i : i + 65536]]).sum(axis=1) for i in range(0, len(r), 65536)])
+        keep = found >= self.least
+        touched = np.unique(r[keep])
+        old = np.repeat(touched, self.k)
+        r, others, found = (np.concatenate(x) for x in ((r[keep], old), (others[keep], self.others[touched].ravel()), (found[keep], self.scores[touched].ravel())))
+        order = np.lexsort((others, -found, r))
+        r, others, found = r[order], others[order], found[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        top = place < self.k
+        self.others[r[top], place[top]], self.scores[r[top], place[top]] = others[top], found[top]
+        self.floor[touched] = np.maximum(self.floor[touched], self.scores[touched, self.k - 1])
+
+    def reach(self) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * self.floor, 0))
+
+    def rows(self) -> pa.RecordBatch:
+        sizes = (self.others >= 0) | np.isfinite(self.scores)
+        ends = np.concatenate([[0], sizes.sum(axis=1).cumsum()]).astype(np.int32)
+        compared = np.zeros(len(self.ids), np.int64)
+        compared[:1] = self.compared
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[sizes])) for x in (self.others, self.scores)]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids), *lists, pa.array(compared)], names=["id", "others", "scores", "compared"])
+
+
+def _pack(k: int, least: float, size: int):
+    """Rows in the order of their cells as packed blocks, each vector with the least score of a neighbour as far as its
+    own block tells."""
+
+    def block(rows: pd.DataFrame) -> pa.RecordBatch:
+        ids, v = rows["id"].to_numpy(np.int64), _matrix(rows["v"])
+        own = _Best(ids, v, k, least)
+        own.meet(np.arange(len(v)), ids, v)
+        values = (ids, v, rows["cell"].to_numpy(np.int32), rows["away"].to_numpy(np.float64), own.floor)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in values], names=["ids", "vectors", "cells", "away", "bound"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            rows = batch.to_pandas()
+            while len(rows):
+                held.append(rows[: size - n])
+                n, rows = n + len(held[-1]), rows[size - n :]
+                if n == size:
+                    yield block(pd.concat(held))
+                    held, n = [], 0
+        if held:
+            yield block(pd.concat(held))
+
+    return run
+
+
+def _compare(k: int, least: float, shared):
+    """Pairs of packed blocks, those of one block of vectors one after another."""
+
+    def met(best: _Best, row: dict, centres: np.ndarray) -> None:
+        others, cells, away = (np.frombuffer(row[n], t) for n, t in (("m_ids", np.int64), ("m_cells", np.int32), ("m_away", np.float64)))
+        m = np.frombuffer(row["m_vectors"], np.float64).reshape(len(others), -1)
+        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        high, low = np.maximum.reduceat(away, first), np.minimum.reduceat(away, first)
+        far = np.sqrt(np.maximum(2 - 2 * (best.v @ centres[cells[first]].T), 0))
+        # 1e-6: near a centroid, a distance taken from a cosine is as rough as the root of its last digits
+        reach = best.reach()[:, None] + 1e-6
+        able = (far - high <= reach) & (low - far <= reach)
+        if able.mean() > 0.5:
+            return best.meet(np.flatnonzero(able.any(axis=1)), others, m)
+        last = np.append(first[1:], len(others))
+        for i in np.flatnonzero(able.any(axis=0)):
+            best.meet(np.flatnonzero(able[:, i]), others[first[i] : last[i]], m[first[i] : last[i]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, of = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_buffer() for n in batch.schema.names}
+                if of is None or not row["ids"].equals(of):
+                    if best is not None:
+                        yield best.rows()
+                    of = pa.py_buffer(row["ids"].to_pybytes())
+                    ids = np.frombuffer(of, np.int64)
+                    best = _Best(ids, np.frombuffer(row["vectors"].to_pybytes(), np.float64).reshape(len(ids), -1), k, least)
+                    best.floor = np.frombuffer(row["bound"], np.float64).copy()
+                met(best, row, shared.value)
+        if best is not None:
+            yield best.rows()
 
     return run
 
@@ -83,47 +167,15 @@ def all_neighbours(vectors: DataFrame, id_col: str, vector_col: str = "embedding
                 cell = away.argmin(axis=1)
                 yield pd.DataFrame({"id": batch["id"], "v": batch["v"], "cell": cell.astype(np.int32), "away": away[np.arange(len(cell)), cell]})
 
-    placed = pinned(unit.mapInPandas(nearest, "id long, v array<double>, cell int, away double"))
-    sizes = {r.cell: (r.n, r.low, r.high) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect()}
-    blocks = {c: -(-s[0] // BLOCK) for c, s in sizes.items()}  # at most ``CENTROIDS`` rows
-
-    def in_blocks(rows: DataFrame, visitors: dict[int, int]) -> tuple[DataFrame, DataFrame]:
-        """Visitors and members of each (cell, block, part): members for every part of a cell's visitors, visitors for
-        every block of it."""
-        spark = rows.sparkSession
-        shape = F.broadcast(spark.createDataFrame([(c, blocks[c], max(1, -(-visitors.get(c, 0) // VISITORS))) for c in blocks], "cell int, blocks int, parts int"))
-        members = placed.join(shape, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        seen = rows.join(shape, "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        # renamed, as both sides may come from the same rows
-        return seen.select("cell", "block", "part", "id", "v", "away", "bound"), members.selectExpr(*[f"{x} AS m_{x}" for x in ("cell", "block", "part", "id", "v", "away")])
-
-    def compared(rows: DataFrame, visitors: dict[int, int]) -> DataFrame:
-        seen, members = in_blocks(rows, visitors)
-        by = ["cell", "block", "part"]
-        return pinned(seen.groupBy(*by).cogroup(members.groupBy(*[f"m_{x}" for x in by])).applyInPandas(_meet(k, least), _FOUND))
-
-    limit = float(np.sqrt(max(2 - 2 * least, 0)))  # nothing farther counts
-    own = compared(placed.withColumn("bound", F.lit(limit)), {c: s[0] for c, s in sizes.items()})
-    # several blocks of a cell each bound a vector's k-th neighbour; the least bound holds
-    bounds = own.groupBy("id").agg(F.least(F.min("bound"), F.lit(limit)).alias("bound"))
-    reach = unit.sparkSession.sparkContext.broadcast({c: (s[1], s[2]) for c, s in sizes.items()})
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.array(sorted(reach.value))
-        low, high = (np.array([reach.value[c][i] for c in cells]) for i in (0, 1))
-        for batch in batches:
-            if not len(batch):
-                continue
-            away = np.sqrt(np.maximum(2 - 2 * (_matrix(batch["v"]) @ shared.value[cells].T), 0))
-            bound = batch["bound"].to_numpy()[:, None] + _SLACK
-            able = (away - high[None, :] <= bound) & (low[None, :] - away <= bound) & (cells[None, :] != batch["cell"].to_numpy()[:, None])
-            row, column = np.nonzero(able)
-            yield pd.DataFrame({"id": batch["id"].to_numpy()[row], "v": batch["v"].to_numpy()[row], "cell": cells[column].astype(np.int32), "away": away[row, column], "bound": batch["bound"].to_numpy()[row]})
-
-    guests = pinned(placed.join(bounds, "id").mapInPandas(visits, "id long, v array<double>, cell int, away double, bound double"))
-    counts = {r.cell: r.n for r in guests.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    other = compared(guests, counts)
-    found = own.union(other)
-    best = found.filter("other >= 0").groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "other"))), 1, k).alias("best"))
-    best = best.select("id", F.posexplode("best").alias("place", "x")).select("id", F.col("x.other").alias("other"), (-F.col("x.s")).alias("score"), (F.col("place") + 1).alias("rank"))
+    blocks = max(1, -(-n // BLOCK))
+    placed = unit.mapInPandas(nearest, "id long, v array<double>, cell int, away double")
+    # by the hash as well, so that a cell of many copies is cut
+    order = ["cell", F.xxhash64("id"), "id"]
+    packed = pinned(placed.repartitionByRange(blocks, *order).sortWithinPartitions(*order).mapInArrow(_pack(k, least, BLOCK), _PACKED))
+    members = packed.select(*[F.col(c).alias(f"m_{c}") for c in ("ids", "vectors", "cells", "away")]).coalesce(max(SHARES, blocks // VISITORS))
+    pairs = packed.select("ids", "vectors", "bound").hint("shuffle_replicate_nl").crossJoin(members)
+    found = pinned(pairs.mapInArrow(_compare(k, least, shared), _FOUND))
+    every = found.groupBy("id").agg(F.flatten(F.collect_list(F.transform(F.arrays_zip("others", "scores"), lambda x: F.struct((-x["scores"]).alias("s"), x["others"].alias("other"))))).alias("all"))
+    best = every.select("id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("place", "x"))
+    best = best.select("id", F.col("x.other").alias("other"), (-F.col("x.s")).alias("score"), (F.col("place") + 1).alias("rank"))
     return best, found.agg(F.sum("compared").alias("compared"), F.lit(n * n).alias("pairs"))

@@ -73,6 +73,16 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, block):
     assert compared < 0.6 * pairs and set(got) <= set(sound)
 
 
+def test_vectors_do_not_travel_to_every_cell_in_reach(spark, monkeypatch):
+    written, pin = [], neighbours.pinned
+    monkeypatch.setattr(neighbours, "pinned", lambda df: written.append(pin(df)) or written[-1])
+    r = np.random.default_rng(6)
+    vectors = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(300, 16)))] + [(300 + i, [1.0] * 16) for i in range(100)]
+    found, _ = neighbours.all_neighbours(spark.createDataFrame(vectors, "id long, embedding array<double>"), "id", k=5, least=-1.0)
+    assert found.count() == 5 * len(vectors) and all(df.count() <= 2 * len(vectors) for df in written)
+    assert sorted(x.other for x in found.filter("id = 399").collect()) == [300, 301, 302, 303, 304]  # copies tie
+
+
 def test_no_vectors(spark):
     assert neighbours.all_neighbours(spark.createDataFrame([], "id long, embedding array<double>"), "id")[0].collect() == []
 
