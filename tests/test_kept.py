@@ -190,6 +190,22 @@ def test_limit_takes_the_newest_of_a_search_that_meets_everything(spark):
     assert [x[1] for x in found] == sorted(i[1] for i in best)
 
 
+def test_a_search_that_has_found_enough_does_not_meet_older_items(spark, monkeypatch):
+    for name, n in (("FIRST", 2), ("GROWTH", 2), ("BY_ROW", 40), ("ITEM_BLOCK", 16), ("SEARCH_BLOCK", 3)):
+        monkeypatch.setattr(saved, name, n)
+    met, paired = [], saved._paired
+    monkeypatch.setattr(saved, "_paired", lambda rows, asked: met.append(paired(rows, asked).count()) or paired(rows, asked))
+    items = [(("h", None)[n % 7 == 3], f"{n:04}", f"lot {n % 50}", None, f"Ort {n % 4}", n, None, datetime(2024, 1, 1 + n % 15, n % 5)) for n in range(600)]
+    none = (None,) * 8
+    searches = [(i, *none) for i in range(10)] + [(20, ["lot", "49"], *none[1:]), (21, *none[:3], "ort 2", *none[4:]), (22, *none[:4], 590, *none[5:]), (23, *none[:3], "nowhere", *none[4:])]
+    newest = sorted(items, key=lambda i: (-i[7].timestamp(), i[0] or "", i[1]))
+    fits = {20: lambda i: i[2] == "lot 49", 21: lambda i: i[4] == "Ort 2", 22: lambda i: i[5] >= 590, 23: lambda i: False}
+    want = sorted((s[0], i[1]) for s in searches for i in [i for i in newest if fits.get(s[0], lambda i: True)(i)][:5])
+    assert matched(spark, items, searches, limit=5) == want
+    assert len(met) > 4 and sum(met) < 2500  # ten searches without a condition would meet 6,000
+    assert len(matched(spark, items, searches, limit=None)) == 10 * 600 + 12 + 150 + 10
+
+
 def test_pair_work_is_far_below_rows_times_searches(spark):
     items, searches = saved_searches(spark, SMALL)
     new = items.filter("ends_at > '1999-12-01' AND ends_at <= '2000-06-01'")
