@@ -26,8 +26,9 @@ def recorded_items(spark: SparkSession, sf_dir: str, page: int = 100) -> sliced.
 def capped_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of a source whose searches show 500 rows at most, by a plan that only knows the searches' totals."""
     search, name = recorded_items(spark, sf_dir), f"scan_{uuid.uuid4().hex}"
-    known = items(spark, sf_dir).select(F.collect_set("location"), F.collect_set("flag")).first()  # facet values, as a service lists them
-    sliced.register_sliced(spark, name, _SCANNED, search, {"location": sorted(known[0]), "flag": sorted(known[1])})
+    known = spark.read.parquet(search.path).select(F.collect_set("location"), F.collect_set("flag")).first()  # facet values, as a service lists them
+    facets = {"location": sorted(known[0]), "flag": sorted(known[1])}
+    sliced.register_sliced(spark, name, _SCANNED, search, facets, planned=sliced.spread_plan(spark, search, facets))
     return spark.read.format(name).load()
 
 

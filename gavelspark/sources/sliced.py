@@ -2,11 +2,12 @@
 
 A search never shows more than ``cap`` rows, however many it finds, but says how many those are. The planner asks for
 the total of a slice and, while that is over the cap, divides the slice along its next free dimension: subcategories,
-price bands and their halves, then one facet after another. Every slice that fits becomes a partition; its pages are
-fetched inside the task. Rows already held play no part.
+price bands and their halves, then one facet after another. Every slice that fits is fetched page by page inside a
+task; small slices share a partition, which holds no more than ``cap`` rows either. Rows already held play no part.
 
 Slices of one level are asked for side by side, so a plan takes as many rounds as the deepest slice has cuts, and a
-cut costs as many questions as it has parts. Parts must make up the whole: a category is only divided where its
+cut costs as many questions as it has parts. ``spread_plan`` has Spark's tasks ask them, and only totals come back to the
+driver; ``plan`` asks from where it runs and keeps the first pages. Parts must make up the whole: a category is only divided where its
 children's counts add up to its own, prices are half-open ranges with a slice of their own for rows without a price,
 and what the parts of a slice lack (facet values that nobody listed, ends where no dimension is left) is counted as
 ``missing``; a reader refuses a plan that misses more than it was told to accept.
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -48,7 +50,8 @@ class Answer:
     children: list[tuple[str, int]] = field(default_factory=list)
 
 
-#: ``search(slice, page)``; pages count from 1, and those beyond the ceiling are empty.
+#: ``search(slice, page)``; pages count from 1, and those beyond the ceiling are empty. Page 0, which only
+#: ``spread_plan`` asks for, has no records.
 Search = Callable[[Slice, int], Answer]
 
 
@@ -85,24 +88,39 @@ def parts(s: Slice, answer: Answer, depth: int, seen: set[str], facets: dict[str
 
 def plan(search: Search, facets: dict[str, list[str]], cap: int = CAP, roots: list[str] | None = None, width: int = 16, max_probes: int | None = None) -> Plan:
     """Slices of at most ``cap`` rows that make up the source, or the categories ``roots`` of it."""
+    with ThreadPoolExecutor(width) as pool:
+        return _plan(lambda level: list(pool.map(lambda s: search(s, 1), level)), facets, cap, roots, max_probes)
+
+
+def spread_plan(spark: SparkSession, search: Search, facets: dict[str, list[str]], cap: int = CAP, roots: list[str] | None = None, max_probes: int | None = None) -> Plan:
+    """The plan of ``plan``, its questions dealt over the cluster, without records."""
+    context = spark.sparkContext
+
+    def ask(level: list[Slice]) -> list[Answer]:
+        tasks = min(len(level), 4 * context.defaultParallelism)
+        return context.parallelize(level, tasks).map(lambda s: search(s, 0)).collect()
+
+    return _plan(ask, facets, cap, roots, max_probes)
+
+
+def _plan(ask: Callable[[list[Slice]], list[Answer]], facets: dict[str, list[str]], cap: int, roots: list[str] | None, max_probes: int | None) -> Plan:
     found, seen = Plan([], 0, 0), set(roots or [])
     level = [(Slice(category=c), 0) for c in roots or [None]]
-    with ThreadPoolExecutor(width) as pool:
-        while level:
-            if max_probes is not None and found.probes + len(level) > max_probes:
-                raise ValueError(f"the plan needs more than {max_probes} searches")
-            answers = list(pool.map(lambda s: search(s[0], 1), level))
-            found.probes += len(level)
-            below: list[tuple[Slice, int]] = []
-            for (s, depth), answer in zip(level, answers):
-                found.missing -= answer.total if depth else 0  # its parent's total was added
-                if answer.total > cap and (cut := parts(s, answer, depth, seen, facets)):
-                    found.missing += answer.total
-                    below += [(c, depth + 1) for c in cut]
-                elif answer.total:
-                    found.leaves.append((s, answer))
-                    found.missing += max(answer.total - cap, 0)
-            level = below
+    while level:
+        if max_probes is not None and found.probes + len(level) > max_probes:
+            raise ValueError(f"the plan needs more than {max_probes} searches")
+        answers = ask([s for s, _ in level])
+        found.probes += len(level)
+        below: list[tuple[Slice, int]] = []
+        for (s, depth), answer in zip(level, answers):
+            found.missing -= answer.total if depth else 0  # its parent's total was added
+            if answer.total > cap and (cut := parts(s, answer, depth, seen, facets)):
+                found.missing += answer.total
+                below += [(c, depth + 1) for c in cut]
+            elif answer.total:
+                found.leaves.append((s, answer))
+                found.missing += max(answer.total - cap, 0)
+        level = below
     return found
 
 
@@ -112,19 +130,41 @@ class Leaf(InputPartition):
         self.what, self.total, self.records = what, answer.total, answer.records
 
 
+class Leaves(InputPartition):
+    """Leaves that hold no more than the ceiling together."""
+
+    def __init__(self, leaves: list[Leaf]) -> None:
+        super().__init__([leaf.what for leaf in leaves])
+        self.leaves = leaves
+
+
 class _Sliced(DataSourceReader):
-    def __init__(self, search: Search, facets: dict[str, list[str]], names: list[str], cap: int, accept: float, roots: list[str] | None) -> None:
-        self.search, self.facets, self.names, self.cap, self.accept, self.roots = search, facets, names, cap, accept, roots
+    def __init__(self, search: Search, facets: dict[str, list[str]], names: list[str], cap: int, accept: float, roots: list[str] | None, planned: Plan | None = None) -> None:
+        self.search, self.facets, self.names, self.cap, self.accept, self.roots, self.planned = search, facets, names, cap, accept, roots, planned
 
     def partitions(self) -> list[InputPartition]:
-        found = plan(self.search, self.facets, self.cap, self.roots)
+        found = self.planned or plan(self.search, self.facets, self.cap, self.roots)
         whole = sum(a.total for _, a in found.leaves)
         if found.missing > self.accept * whole:
             raise ValueError(f"{found.missing} of {whole + found.missing} rows are out of the search's reach")
-        return [Leaf(s, a) for s, a in found.leaves]
-
-    def read(self, partition: Leaf) -> Iterator[tuple]:
-        records, page, left = partition.records, 1, min(partition.total, self.cap)
+        packs: list[list[Leaf]] = []
+        room = 0
+        for leaf in (Leaf(s, a) for s, a in found.leaves):
+            if leaf.total > room:
+                packs.append([])
+                room = self.cap
+            packs[-1].append(leaf)
+            room -= leaf.total
+        self.planned = None  # a task needs its own leaves only
+        return [Leaves(pack) for pack in packs]
+
+    def read(self, partition: Leaf | Leaves) -> Iterator[tuple]:
+        for leaf in partition.leaves if isinstance(partition, Leaves) else [partition]:
+            yield from self._pages(leaf)
+
+    def _pages(self, partition: Leaf) -> Iterator[tuple]:
+        page, left = 1, min(partition.total, self.cap)
+        records = partition.records or (self.search(partition.what, 1).records if left else [])
         while records and left > 0:
             for record in records:
                 yield tuple(record.get(n) for n in self.names)
@@ -133,8 +173,8 @@ class _Sliced(DataSourceReader):
             records = self.search(partition.what, page).records if left > 0 else []
 
 
-def register_sliced(spark: SparkSession, name: str, schema: str, search: Search, facets: dict[str, list[str]], cap: int = CAP, accept: float = 0.0, roots: list[str] | None = None) -> None:
-    """Registers format ``name`` for spark.read. ``search`` must be picklable. With a live source, whose totals move
+def register_sliced(spark: SparkSession, name: str, schema: str, search: Search, facets: dict[str, list[str]], cap: int = CAP, accept: float = 0.0, roots: list[str] | None = None, planned: Plan | None = None) -> None:
+    """Registers format ``name`` for spark.read, by a plan if one is ``planned``. ``search`` must be picklable. With a live source, whose totals move
     between two questions, let ``accept`` be the share of rows that may be missing."""
     names = StructType.fromDDL(schema).names
 
@@ -147,27 +187,59 @@ def register_sliced(spark: SparkSession, name: str, schema: str, search: Search,
             return schema
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return _Sliced(search, facets, names, cap, accept, roots)
+            return _Sliced(search, facets, names, cap, accept, roots, planned)
 
     spark.dataSource.register(Sliced)
 
 
+@lru_cache(maxsize=4)
+def _recorded(uri: str):
+    """The files of a recorded source with the least and greatest ``main`` and ``category`` of each, read once a process."""
+    import pyarrow.dataset as ds
+    import pyarrow.fs as pf
+
+    system, path = pf.FileSystem.from_uri(uri) if ":" in uri else (pf.LocalFileSystem(), uri)
+    whole = ds.dataset(path, filesystem=system, format="parquet")
+    files = []
+    for f in whole.get_fragments():
+        f.ensure_complete_metadata()
+        held = [g.statistics for g in f.row_groups]
+        span = lambda n: (min(h[n]["min"] for h in held), max(h[n]["max"] for h in held)) if all(n in h for h in held) and held else None
+        files.append((f, [span(n) for n in ("main", "category")]))
+    return whole, files
+
+
+@lru_cache(maxsize=4)
+def _shown(source: Recorded, s: Slice) -> tuple:
+    """(rows that a search shows, how many it finds)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    best, total = None, 0
+    first = lambda t: t.take(pc.sort_indices(t, [(source.key, "ascending")])[: source.cap])
+    for batch in source.found(s):
+        total += batch.num_rows
+        part = pa.Table.from_batches([batch])
+        best = first(pa.concat_tables([best, part]) if best is not None else part)
+    return best, total
+
+
 @dataclass(frozen=True)
 class Recorded:
-    """A search over a recorded source: Parquet with the rows' own columns and ``main``, ``category`` and ``price``.
-    Like the service it shows ``cap`` rows at most, in the order of ``key``."""
+    """A search over a recorded source: Parquet with the rows' own columns and ``main``, ``category`` and ``price``,
+    written once. Like the service it shows ``cap`` rows at most, in the order of ``key``. A search reads the files that
+    may hold its category, batch by batch."""
 
     path: str
     key: str
     page: int = PAGE
     cap: int = CAP
 
-    def __call__(self, s: Slice, page: int) -> Answer:
+    def found(self, s: Slice, columns: list[str] | None = None) -> Iterator:
+        """Batches of what a slice holds."""
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
-        import pyarrow.fs as pf
 
-        system, path = pf.FileSystem.from_uri(self.path) if ":" in self.path else (pf.LocalFileSystem(), self.path)
         wanted = [pc.field(n) == v for n, v in s.facets]
         if s.category is not None:
             wanted.append((pc.field("category") == s.category) | (pc.field("main") == s.category))
@@ -177,9 +249,21 @@ class Recorded:
         rule = None
         for w in wanted:
             rule = w if rule is None else rule & w
-        found = ds.dataset(path, filesystem=system, format="parquet").to_table(filter=rule)
+        whole, files = _recorded(self.path)
+        able = [f for f, spans in files if s.category is None or any(x is None or x[0] <= s.category <= x[1] for x in spans)]
+        part = ds.FileSystemDataset(able, whole.schema, whole.format, whole.filesystem)
+        return (b for b in part.to_batches(filter=rule, columns=columns, use_threads=False) if b.num_rows)
+
+    def __call__(self, s: Slice, page: int) -> Answer:
         below = "main" if s.category is None else "category" if "/" not in s.category else None
-        children = [] if below is None else [(r["values"], r["counts"]) for r in pc.value_counts(found[below]).to_pylist() if r["values"] is not None]
+        children: dict[str, int] = {}
+        if page <= 1 and below is not None:
+            for batch in self.found(s, [below]):
+                for r in batch[below].value_counts().to_pylist():
+                    children[r["values"]] = children.get(r["values"], 0) + r["counts"]
+        children.pop(None, None)
+        if page < 1:
+            return Answer([], sum(b.num_rows for b in self.found(s, [self.key])), sorted(children.items()))
+        rows, total = _shown(self, s)
         first = (page - 1) * self.page
-        rows = found.take(pc.sort_indices(found, [(self.key, "ascending")]).slice(first, max(0, min(self.page, self.cap - first))))
-        return Answer(rows.to_pylist(), found.num_rows, sorted(children))
+        return Answer(rows.slice(first, max(0, min(self.page, self.cap - first))).to_pylist() if rows is not None else [], total, sorted(children.items()))

@@ -107,6 +107,15 @@ def test_recorded_source(spark):
     assert len(first.records) == 100 and not search(Slice(), 6).records
 
 
+def test_plan_of_tasks_is_the_same_and_carries_no_records(spark):
+    search = recorded_items(spark, SMALL)
+    here, spread = sliced.plan(search, {}), sliced.spread_plan(spark, search, {})
+    assert [(s, a.total) for s, a in spread.leaves] == [(s, a.total) for s, a in here.leaves] and spread.probes == here.probes
+    assert not any(a.records for _, a in spread.leaves)
+    packs = sliced._Sliced(search, {}, ["external_id"], sliced.CAP, 0.0, None, spread).partitions()
+    assert len(packs) < len(here.leaves) / 2 and max(sum(x.total for x in p.leaves) for p in packs) <= sliced.CAP
+
+
 def test_query(spark):
     df = QUERIES["capped_scan"](spark, SMALL)
     assert_same(df, SMALL, ORACLE["capped_scan"])
