@@ -3,14 +3,14 @@
 Spark splits each text by the tokenizer's pattern (JVM regular expression). A task gathers the distinct pieces of its
 batches that it has not met yet and hands them to an in-process DuckDB as token-position rows. A recursive query joins
 neighbouring tokens with the merge table, contracts each piece's minimum-rank pair, leftmost first, and repeats until
-no piece has a mergeable pair. Pieces' ids then fill in the documents' id sequences. Decoding joins (document,
-position, id) rows with the vocabulary and aggregates the bytes in order of position.
+no piece has a mergeable pair. Pieces' ids then fill in the documents' id sequences. Decoding looks each id's bytes up
+in the vocabulary.
 
 Within one step all non-overlapping occurrences of a piece's minimum-rank pair contract, from the left. That equals
 one contraction at a time because in a merge-ordered rank file a contraction never makes a pair of lower rank than its
 own; ``ranks_are_ordered`` checks the file for it once per process, and a file that fails gets one contraction a step.
 
-Memory: pieces enter DuckDB in chunks of ``CHUNK_BYTES``, decoding in groups of ``DECODE_TOKENS``, and the piece cache
+Memory: pieces enter DuckDB in chunks of ``CHUNK_BYTES``, decoding goes document by document, and the piece cache
 holds about ``CACHE`` entries; DuckDB runs single-threaded without a temporary folder.
 
 Edge cases: null and empty texts give no ids and empty bytes; special tokens' strings are ordinary text; pieces of any
@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import per_batch, small_batches
 
 CHUNK_BYTES = 1 << 21
-DECODE_TOKENS = 1 << 20
 CACHE = 600_000
 #: Unicode white space, as the tokenizer's ``\\s`` means it (fixed values).
 SPACE = r"\t-\r \x85\xA0  -     　"
@@ -80,11 +79,6 @@ SELECT w, tok FROM state WHERE NOT live ORDER BY g
 #: Bytes up to which a piece is short.
 SHORT = 32
 
-DECODE = """
-SELECT doc, string_agg(piece, '' ORDER BY pos) AS bytes
-FROM tokens JOIN vocabulary USING (tok) GROUP BY doc ORDER BY doc
-"""
-
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -120,10 +114,8 @@ class Coder:
         table = pa.table({"l": l, "r": r, "id": i})
         self.con.register("merges_in", table)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
-        # a byte b as the character U+0100 + b: its low byte is b
-        vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "piece": ["".join(chr(0x100 + b) for b in t) for t in ranks]})
-        self.con.register("vocabulary_in", vocabulary)
-        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
+        self.bytes_of = {r: t for t, r in ranks.items()}
+        self.names = {r: str(r).encode() for r in ranks.values()}
         self.long_step = LONG_STEP if ranks_are_ordered(ranks) else SHORT_STEP
         self.whole = ranks
         self.known: dict[str, np.ndarray] = {}
@@ -187,20 +179,11 @@ class Coder:
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The bytes of each document of an id sequence."""
-        out: list[bytes] = []
-        first = 0
-        while first < len(bounds) - 1:
-            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + DECODE_TOKENS, side="right")) - 1)
-            a, b = bounds[first], bounds[last]
-            sizes = np.diff(bounds[first : last + 1])
-            tokens = pa.table({"doc": pa.array(np.repeat(np.arange(last - first, dtype=np.int32), sizes)), "pos": pa.array(np.arange(b - a, dtype=np.int32)), "tok": pa.array(ids[a:b])})
-            self.con.register("tokens", tokens)
-            got = self.con.execute(DECODE).fetchall()
-            self.con.unregister("tokens")
-            texts = dict(got)
-            out += [texts.get(i, "").encode("utf-16-le")[::2] for i in range(last - first)]
-            first = last
-        return out
+        return [b"".join(map(self.bytes_of.__getitem__, ids[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:])]
+
+    def spelt(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Each document's ids in decimal, by commas."""
+        return [b",".join(map(self.names.__getitem__, ids[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -245,7 +228,7 @@ def coding_report(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = coder(path)
         ids, bounds = c.encode(batch.column("p"))
-        digests = [hashlib.sha256(",".join(map(str, ids[a:b].tolist())).encode()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:])]
+        digests = [hashlib.sha256(x).hexdigest() for x in c.spelt(ids, bounds)]
         back = [hashlib.sha256(x).hexdigest() for x in c.decode(ids, bounds)]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(digests, pa.string()), pa.array(back, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
