@@ -21,12 +21,14 @@ ids count apart; other columns are not looked at.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -54,6 +56,19 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Many small objects without cycles are made here; the collector would walk over all that is remembered again and
+    again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 @dataclass
 class Bits:
     """A bitset in 64-bit words with running popcounts."""
@@ -114,8 +129,8 @@ class Aligner:
         size = self.second.get_piece_size()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i in range(size) for p in [self.second.id_to_piece(i)]]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.a_names, self.b_names = ([str(i) for i in range(len(t))] for t in (self.a_bytes, self.b_bytes))
-
+        #: Each id in decimal with what follows it: of A inside a group and at the end of its A part, of B likewise.
+        self.signs = [f"{i}{mark}" for t, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks for i in range(len(t))]
         self.local = self._local(json.loads(self.first.to_str()))
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
         self.before: dict[str, tuple[bytes, bytes] | None] = {}
@@ -151,10 +166,11 @@ class Aligner:
         """Ids of A and of B for each piece, as four bytes each; None where the bytes of either are not the piece's."""
         firsts = self.first.encode_batch_fast(pieces, add_special_tokens=False)
         seconds = self.second.encode([p[1:] for p in pieces], num_threads=1)  # it adds the space
+        of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         out: dict[str, tuple[bytes, bytes] | None] = {}
         for p, x, y in zip(pieces, firsts, seconds):
             raw, ids = p.encode(), x.ids
-            same = b"".join([self.a_bytes[i] for i in ids]) == raw and b"".join([self.b_bytes[i] for i in y]) == raw
+            same = b"".join(map(of_a, ids)) == raw and b"".join(map(of_b, y)) == raw
             out[p] = (array("I", ids).tobytes(), array("I", y).tobytes()) if same else None
         return out
 
@@ -179,7 +195,8 @@ class Aligner:
         return tuple((np.frombuffer(b"".join(side), np.uint32).astype(np.int64), np.cumsum([0, *map(len, side)]) // 4) for side in (a, b))
 
     def align(self, texts: list[str | None]) -> Aligned:
-        (a, a_doc), (b, b_doc) = self.tokens(texts)
+        with _uncollected():
+            (a, a_doc), (b, b_doc) = self.tokens(texts)
         a_end, b_end = self.a_size[a].cumsum(), self.b_size[b].cumsum()
         size = int(a_end[-1]) if len(a_end) else 0
         doc_end = np.concatenate([[0], a_end])[a_doc[1:]]  # where each document's bytes end
@@ -192,18 +209,16 @@ class Aligner:
 
     def spelt(self, x: Aligned) -> list[str]:
         """Each document's groups as text: ids of A by commas, a bar, ids of B, groups by semicolons."""
-        a, b = [self.a_names[i] for i in x.a.tolist()], [self.b_names[i] for i in x.b.tolist()]
-        a_cut, b_cut = x.a_cut.tolist(), x.b_cut.tolist()
-        out, i, j = [], 0, 0
-        for first, last in zip(x.group_doc[:-1].tolist(), x.group_doc[1:].tolist()):
-            parts = []
-            for k in range(first, last):
-                p, q = a_cut[k], b_cut[k]
-                left = a[i] if p - i == 1 else ",".join(a[i:p])
-                parts.append(f"{left}|{b[j]}" if q - j == 1 else f"{left}|{','.join(b[j:q])}")
-                i, j = p, q
-            out.append(";".join(parts))
-        return out
+        a_sizes, b_sizes = np.diff(x.a_cut, prepend=0), np.diff(x.b_cut, prepend=0)
+        codes = np.empty(len(x.a) + len(x.b), np.int64)
+        # a group's tokens of A stand behind all earlier ones of B, those of B behind all of A up to the group's end
+        a_last, b_last = np.zeros(len(x.a), np.int64), np.zeros(len(x.b), np.int64)
+        a_last[x.a_cut - 1] = b_last[x.b_cut - 1] = 1
+        n_a, n_b = len(self.a_bytes), len(self.b_bytes)
+        codes[np.arange(len(x.a)) + np.repeat(x.b_cut - b_sizes, a_sizes)] = x.a + n_a * a_last
+        codes[np.arange(len(x.b)) + np.repeat(x.a_cut, b_sizes)] = 2 * n_a + x.b + n_b * b_last
+        ends = x.a_doc + x.b_doc
+        return ["".join(map(self.signs.__getitem__, codes[p:q].tolist()))[:-1] for p, q in zip(ends[:-1], ends[1:])]
 
 
 @lru_cache(maxsize=2)
