@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions.vectors import trigram_similarity, trigrams
 from . import merge as M
 from .kept import BUCKETS, KeptTable
+from .stable import pinned
 
 #: Files of a bucket in one addition, as a common trigram fills its bucket.
 SPREAD = 4
@@ -37,7 +38,7 @@ class GramIndex:
     @classmethod
     def build(cls, path: str, texts: DataFrame, buckets: int = BUCKETS) -> GramIndex:
         """An index of the distinct values of the one column of ``texts``."""
-        distinct = texts.toDF("text").filter("text IS NOT NULL").distinct()
+        distinct = pinned(texts.toDF("text").filter("text IS NOT NULL").distinct())  # written to three tables
         sets, root = _sets(distinct), path.rstrip("/")
         KeptTable.create(f"{root}/postings", sets.select("gram", "text", "size"), ["gram"], buckets)
         KeptTable.create(f"{root}/freq", sets.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), ["gram"], buckets)
@@ -48,7 +49,8 @@ class GramIndex:
         """The index with more texts; those it has are left out. Texts come last, so an addition that broke off is
         repeated, and a posting that is there twice finds its text once."""
         asked = texts.toDF("text").filter("text IS NOT NULL").distinct()
-        new = asked.join(self.texts.read(keys=asked), "text", "left_anti")
+        asked = pinned(asked)
+        new = pinned(asked.join(self.texts.read(keys=asked), "text", "left_anti"))
         sets = _sets(new)
         self.postings.append(sets.select("gram", "text", "size"), SPREAD)
         self.freq.merge(sets.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), lambda old, more: M.merge(old, more, ["gram"], {"n": M.add}))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import merge as M, saved
 from ..operators.gram_index import GramIndex, rows_with
 from ..operators.kept import KeptTable
-from ..operators.stable import shared_path
+from ..operators.stable import pinned, shared_path
 from . import queries_state  # noqa: F401 (its SQL is used here)
 from .adapt import ITEMS_SQL, history, items, lots, ntz, table
 from .queries_prices import _sim
@@ -45,7 +45,8 @@ def bid_refresh_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The refresh of ``bid_refresh`` on a kept table with its totals, in a batch for each of two groups of houses."""
     from ..rules.fees import with_total
 
-    rows = items(spark, sf_dir)
+    # the table holds what the refresh reads and what is asked of it: each merge writes its rows anew
+    rows = items(spark, sf_dir).select("house", "external_id", "current_bid", "min_bid", "bid_count", "currency", "fee_value", "vat_rate")
     bids = rows.filter("bid_count % 3 = 0").select("house", "external_id", F.explode(F.array(c("current_bid") + 20, c("current_bid") + 10)).alias("value"))
     kept = KeptTable.create(shared_path(spark, "kept"), with_total(rows), ["house", "external_id"])
     for houses in ("house < 'k'", "house >= 'k'"):
@@ -70,6 +71,7 @@ def finalize_history_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _title_index(spark: SparkSession, titles: DataFrame) -> GramIndex:
     """An index of a third of the titles, to which the others come in two additions, the second after a compaction."""
+    titles = pinned(titles.distinct())  # what they come from, often a join, is read once
     part = F.pmod(F.xxhash64(titles.columns[0]), F.lit(3))
     index = GramIndex.build(shared_path(spark, "grams"), titles.filter(part == 0), 16)
     return index.add(titles.filter(part == 1)).compact(1).add(titles.filter(part > 0))
