@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..rules.tables import COUNTDOWN, MONTHS
+from .text import once
 
 
 def month_rule_utc(local: Column) -> Column:
@@ -31,24 +32,31 @@ def past_biased(month: Column, day: Column, as_of: Column) -> Column:
 
 def exact_local(text: Column) -> Column:
     """UTC of the first 'YYYY-MM-DD HH:MM[:SS]' in a text that tells local time; null if there is none."""
-    part = lambda k: F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2})(:\d{2})?", k)
-    return month_rule_utc(F.try_to_timestamp(F.concat(part(1), F.lit(" "), part(2), F.coalesce(F.nullif(part(3), F.lit("")), F.lit(":00")))).cast("timestamp_ntz"))
+    found = F.regexp_extract(text, r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(?::\d{2})?", 0)
+    part = lambda m, start, size: F.substring(m, start, size)
+    written = lambda m: F.try_to_timestamp(F.concat(part(m, 1, 10), F.lit(" "), part(m, 12, 5), F.coalesce(F.nullif(part(m, 17, 3), F.lit("")), F.lit(":00")))).cast("timestamp_ntz")
+    return once(once(found, written), month_rule_utc)
 
 
 def yearless(text: Column, as_of: Column, past: bool = False) -> Column:
     """UTC of a local time such as '29 jun 09:59' or '23 augusti 15:01': of the year of ``as_of``, or of the next if
     that lies more than a day back (``past``: of the last if it lies more than a day ahead)."""
-    part = lambda k: F.regexp_extract(F.lower(text), r"(\d{1,2})\s+([a-zåäö]{3,})\.?\s+(\d{1,2}):(\d{2})", k)
-    month = F.create_map(*[F.lit(v) for pair in MONTHS.items() for v in pair])[F.left(part(2), F.lit(3))]
-    number = lambda k: part(k).try_cast("int")
+    found = F.regexp_extract(F.lower(text), r"\d{1,2}\s+[a-zåäö]{3,}\.?\s+\d{1,2}:\d{2}", 0)
+    day = F.expr("INTERVAL 1 DAY")
 
-    def of(year: Column) -> Column:
-        written = F.concat_ws(" ", F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(1), 2, "0")), F.concat(F.lpad(part(3), 2, "0"), F.lit(":"), part(4)))
-        return F.when(month.isNotNull() & (number(3) < 24), month_rule_utc(F.try_to_timestamp(written, F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")))
+    def told(parts: Column) -> Column:
+        part = lambda k: F.get(parts, F.lit(k))
+        month = F.create_map(*[F.lit(v) for pair in MONTHS.items() for v in pair])[F.left(part(1), F.lit(3))]
+        two = lambda v: F.lpad(v.cast("string"), 2, "0")
 
-    this, day = of(F.year(as_of)), F.expr("INTERVAL 1 DAY")
-    wrong = this > as_of + day if past else this < as_of - day
-    return F.when(wrong, of(F.year(as_of) + (-1 if past else 1))).otherwise(this)
+        def of(year: Column) -> Column:
+            written = F.concat(year.cast("string"), F.lit("-"), two(month), F.lit("-"), two(part(0)), F.lit(" "), two(part(2)), F.lit(":"), part(3))
+            return F.when(part(2).try_cast("int") < 24, once(F.try_to_timestamp(written, F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz"), month_rule_utc))
+
+        wrong = lambda this: this > as_of + day if past else this < as_of - day
+        return once(of(F.year(as_of)), lambda this: F.when(wrong(this), of(F.year(as_of) + (-1 if past else 1))).otherwise(this))
+
+    return once(F.split(found, r"\.?\s+|:"), told)
 
 
 def countdown_seconds(text: Column) -> Column:

@@ -12,8 +12,9 @@ from .contract import conform, reserve, status_at
 
 
 def parsed(payloads: DataFrame, schema: str, col: str = "payload") -> DataFrame:
-    """``d``: the payload under ``schema`` (null if it is no JSON), ``raw``: its text."""
-    return payloads.select(F.from_json(col, schema).alias("d"), F.col(col).alias("raw")).filter("d IS NOT NULL")
+    """``d``: the payload under ``schema``, ``raw``: its text; payloads that are no JSON are dropped. A filter would read
+    each payload twice, once for itself and once for the columns."""
+    return payloads.select(F.explode(F.array_compact(F.array(F.from_json(col, schema)))).alias("d"), F.col(col).alias("raw"))
 
 
 def exploded(payloads: DataFrame, schema: str, path: str = "") -> DataFrame:
