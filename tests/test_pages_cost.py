@@ -1,4 +1,4 @@
-"""What reading pages costs."""
+"""What reading pages costs: each lot is read once, by tasks that do not grow with the table."""
 
 import random
 import time
@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
+from gavelspark.plans import queries_sources
 from gavelspark.plans.queries import QUERIES
 from gavelspark.sources import pages, pages_houses as readers
 
@@ -78,6 +79,14 @@ def test_payloads_are_parsed_once(spark, name):
     assert plan.count(mapper) == 1
 
 
+def test_tasks_follow_the_number_of_lots(spark, monkeypatch):
+    monkeypatch.setattr(queries_sources, "LOTS_A_TASK", 5)
+    parts = queries_sources.parts_of(spark, SMALL)
+    assert parts.rdd.getNumPartitions() == parts.count() / 5
+    sheets = queries_sources._listed(queries_sources.parts_of(spark, SMALL, F.floor(F.col("p_partkey") / 10)), F.col("p_name"), "", "")
+    assert sheets.rdd.getNumPartitions() == parts.count() / 5 and sheets.count() == parts.count() / 10
+
+
 def test_pages_by_batches_are_what_the_table_function_yields(spark):
     row = lambda n: f"<li class='row'><b>{n} SEK</b><i>2026-06-22 Kl<br>21:34</i></li>"
     df = spark.createDataFrame([(1, "".join(row(n) for n in range(6000))), (2, None), (3, "<p>x</p>"), (4, row(7) + row("9" * 30))], "k int, html string")
