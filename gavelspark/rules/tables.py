@@ -403,7 +403,7 @@ PRICE_BANDS = (0, 100, 200, 300, 500, 1000, 2500, 10000, 100000, 5000000)
 
 # Where facts stand on the list pages and lot pages of two houses.
 LOT_PAGES = {
-    "link": "/auktion/objekt/([a-z0-9åäö-]+)/{id}",
+    "link": "(?=/auktion/objekt/([a-z0-9åäö-]+)(/))",  # the lot's id follows
     "end": "timeWrapper",
     "bid": "itemCurrentBid",
     "terms": "priceInfo",

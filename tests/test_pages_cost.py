@@ -48,7 +48,12 @@ def test_markup_is_told_apart_as_by_the_library():
         assert ours.told == theirs.told, html
 
 
+def card(n: int) -> str:
+    return f'<div class="item" data-item-id="{n}"><a href="/auktion/objekt/s/{n}"><img data-src="/tn/small1/{n}.jpg"></a><meta name="title" content="{n}. x"><span class="itemCurrentBid">{n} kr</span></div>'
+
+
 PAGES = {
+    "gak list": ("".join(map(card, range(1000, 1600))), pages._Cards),
     "blinto lot": ('<p>En <b>8 SEK</b></p><img src="https://cdn.blinto.se/object/1/1.jpg"><div id="description-content"><p>x</p><ul><li>Rad</li><li>Rad</li></ul></div>' * 300, lambda: readers._BliLot("1")),
     "netauktion lot": ('<div class="a object-description">x <b>y</b> z</div><div class="my-simple-gallery-1"><a href="/uploads/a-m.jpg" itemprop="contentUrl"></a></div>' * 300, lambda: readers._NetLot("1")),
 }
@@ -72,6 +77,12 @@ def test_reading_costs_little_more_than_telling_tags_apart(name):
     assert ours < 1.7 * theirs
 
 
+def test_the_links_of_a_card(spark):
+    href = "/auktion/objekt/auktion/objekt/b/12?x=/auktion/objekt/c/12"
+    page = f'<div class="item" data-item-id="12"><a href="/auktion/objekt/a/99"></a><a href="/AUKTION/objekt/å/x/12"></a><a href="{href}"></a></div>'
+    assert [c["slug"] for c in readers.read(pages._Cards(), page).cards] == ["b"]
+
+
 @pytest.mark.parametrize("name", ["pages_blinto", "pages_gak", "pages_netauktion"])
 def test_payloads_are_parsed_once(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
