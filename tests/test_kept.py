@@ -212,3 +212,34 @@ def test_pair_work_is_far_below_rows_times_searches(spark):
     met, matches = saved.candidates(new, searches, "ends_at").count(), QUERIES["saved_searches_all"](spark, SMALL).count()
     everything = new.count() * searches.count()
     assert matches <= met < everything / 5, (matches, met, everything)
+
+
+def fits(s, i):
+    """Whether an item meets a search, written from the conditions as they are told."""
+    _, words, houses, category, place, low, high, insolvent, last = s
+    house, _, title, cat, location, price, insolvency, seen = i
+    return (
+        (last is None or seen > last) and (low is None or (price is not None and price >= low)) and (high is None or (price is not None and price <= high)) and (not insolvent or insolvency is True)
+        and (not houses or (house is not None and house in houses)) and (category is None or (cat is not None and (cat == category or cat.startswith(category + "/")))) and (place is None or (location is not None and place.lower() in location.lower()))
+        and (not words or (title is not None and all(w is not None and w in title.lower() for w in words)))
+    )
+
+
+def test_blocks_of_any_size_find_what_a_loop_finds(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    some = lambda *x: r.choice((None, *x))
+    items = [(some("a", "b"), str(n), some("Röd RING", "stor ring 18k", "kugghjul", "x"), some("c", "c/d", "cd"), some("Ort 1", "ort 2", "Annan"), some(0, 5, 63, 64, 1 << 40, -3), some(True, False), datetime(2024, 1, 1 + r.randrange(19), r.randrange(3))) for n in range(300)]
+    searches = [(n, some(["ring"], ["ring", "röd"], [], ["18k", None], ["kugg"]), some(["a"], ["b", None], [], [None], ["a", "b"]), some("c", "c/d"), some("ort", "annan", "nirgends"), some(0, 5, 70, -5), some(63, 64, 1 << 41), some(True, False), some(day(3), day(12))) for n in range(150)]
+    want = {s[0]: sorted((i for i in items if fits(s, i)), key=lambda i: (-i[7].timestamp(), i[0] or "", i[1])) for s in searches}
+    for size in ((16, 30, 100, 3), (8192, 4096, 65_536, 64)):
+        for name, n in zip(("ITEM_BLOCK", "SEARCH_BLOCK", "BY_ROW", "CUTS"), size):
+            monkeypatch.setattr(saved, name, n)
+        assert matched(spark, items, searches, limit=None) == sorted((s, i[1]) for s, found in want.items() for i in found)
+        assert matched(spark, items, searches, limit=4) == sorted((s, i[1]) for s, found in want.items() for i in found[:4])
+
+
+def test_all_finds_are_made_without_a_shuffle_of_pairs(spark):
+    plan = QUERIES["saved_searches_all"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan  # items and searches of a key were copied through one
