@@ -243,3 +243,17 @@ def test_blocks_of_any_size_find_what_a_loop_finds(spark, monkeypatch):
 def test_all_finds_are_made_without_a_shuffle_of_pairs(spark):
     plan = QUERIES["saved_searches_all"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan  # items and searches of a key were copied through one
+
+
+def test_newest_finds_keep_no_more_than_is_asked_for(spark, monkeypatch):
+    sizes, pinned = [], saved.pinned
+
+    def counted(df):
+        df = pinned(df)
+        sizes.append(df.count())
+        return df
+
+    monkeypatch.setattr(saved, "pinned", counted)
+    items = [("h", f"{n:04}", "t", None, None, None, None, datetime(2024, 1, 1 + n % 15, n % 24)) for n in range(900)]
+    assert len(matched(spark, items, [(k, *(None,) * 8) for k in range(50)], limit=5)) == 250
+    assert max(sizes) <= 900  # all finds of a slab were written down, 64 times as many as are asked for at most
