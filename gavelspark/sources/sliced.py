@@ -3,7 +3,8 @@
 A search never shows more than ``cap`` rows, however many it finds, but says how many those are. The planner asks for
 the total of a slice and, while that is over the cap, divides the slice along its next free dimension: subcategories,
 price bands and their halves, then one facet after another. Every slice that fits is fetched page by page inside a
-task; small slices share a partition, which holds no more than ``cap`` rows either. Rows already held play no part.
+task; slices share a partition, which holds no more than ``cap`` rows either as long as there are few, and up to
+``PACK`` times as many in a large source, page by page. Rows already held play no part.
 
 Slices of one level are asked for side by side, so a plan takes as many rounds as the deepest slice has cuts, and a
 cut costs as many questions as it has parts. ``spread_plan`` has Spark's tasks ask them, and only totals come back to the
@@ -15,10 +16,12 @@ and what the parts of a slice lack (facet values that nobody listed, ends where
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,7 +29,13 @@ from pyspark.sql.types import StructType
 
 from ..rules.tables import PRICE_BANDS
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 CAP, PAGE, DEPTH = 500, 50, 8
+#: Partitions of a read at least before one holds more than ``cap`` rows, how many times ``cap`` rows it holds at most,
+#: rows that a reader hands on at a time, and row groups that a process of a recorded source holds.
+PARTS, PACK, HANDED, HELD = 256, 64, 10_000, 16
 
 
 @dataclass(frozen=True)
@@ -43,9 +52,10 @@ class Slice:
 
 @dataclass
 class Answer:
-    """One page of a search: its records, how many rows match in all, and the subcategories with their counts."""
+    """One page of a search: its records, as a list or a table, how many rows match in all, and the subcategories with
+    their counts."""
 
-    records: list[dict]
+    records: list[dict] | pa.Table
     total: int
     children: list[tuple[str, int]] = field(default_factory=list)
 
@@ -131,7 +141,7 @@ class Leaf(InputPartition):
 
 
 class Leaves(InputPartition):
-    """Leaves that hold no more than the ceiling together."""
+    """Leaves that one task reads."""
 
     def __init__(self, leaves: list[Leaf]) -> None:
         super().__init__([leaf.what for leaf in leaves])
@@ -148,31 +158,46 @@ class _Sliced(DataSourceReader):
         if found.missing > self.accept * whole:
             raise ValueError(f"{found.missing} of {whole + found.missing} rows are out of the search's reach")
         packs: list[list[Leaf]] = []
-        room = 0
+        room, most = 0, max(self.cap, min(whole // PARTS, PACK * self.cap))
         for leaf in (Leaf(s, a) for s, a in found.leaves):
             if leaf.total > room:
                 packs.append([])
-                room = self.cap
+                room = most
             packs[-1].append(leaf)
             room -= leaf.total
         self.planned = None  # a task needs its own leaves only
         return [Leaves(pack) for pack in packs]
 
-    def read(self, partition: Leaf | Leaves) -> Iterator[tuple]:
+    def read(self, partition: Leaf | Leaves) -> Iterator[tuple | pa.RecordBatch]:
+        held, n = [], 0  # pages that are tables are handed on many at a time
         for leaf in partition.leaves if isinstance(partition, Leaves) else [partition]:
-            yield from self._pages(leaf)
-
-    def _pages(self, partition: Leaf) -> Iterator[tuple]:
+            for records in self._pages(leaf):
+                if isinstance(records, list):
+                    yield from (tuple(record.get(n) for n in self.names) for record in records)
+                    continue
+                held.append(records.select(self.names))
+                n += len(records)
+                if n >= HANDED:
+                    yield from _joined(held)
+                    held, n = [], 0
+        yield from _joined(held)
+
+    def _pages(self, partition: Leaf) -> Iterator[list[dict] | pa.Table]:
         page, left = 1, min(partition.total, self.cap)
         records = partition.records or (self.search(partition.what, 1).records if left else [])
         while records and left > 0:
-            for record in records:
-                yield tuple(record.get(n) for n in self.names)
+            yield records
             left -= len(records)
             page += 1
             records = self.search(partition.what, page).records if left > 0 else []
 
 
+def _joined(tables: list[pa.Table]) -> list[pa.RecordBatch]:
+    import pyarrow as pa
+
+    return pa.concat_tables(tables).combine_chunks().to_batches() if tables else []
+
+
 def register_sliced(spark: SparkSession, name: str, schema: str, search: Search, facets: dict[str, list[str]], cap: int = CAP, accept: float = 0.0, roots: list[str] | None = None, planned: Plan | None = None) -> None:
     """Registers format ``name`` for spark.read, by a plan if one is ``planned``. ``search`` must be picklable. With a live source, whose totals move
     between two questions, let ``accept`` be the share of rows that may be missing."""
@@ -192,21 +217,59 @@ def register_sliced(spark: SparkSession, name: str, schema: str, search: Search,
     spark.dataSource.register(Sliced)
 
 
+class _Groups:
+    """The row groups of a recorded source with what their footers tell: rows, and the least and greatest ``main``,
+    ``category`` and ``price``, by which a question finds the few that it has to read."""
+
+    def __init__(self, uri: str) -> None:
+        import numpy as np
+        import pyarrow.dataset as ds
+        import pyarrow.fs as pf
+
+        system, path = pf.FileSystem.from_uri(uri) if ":" in uri else (pf.LocalFileSystem(), uri)
+        self.schema = ds.dataset(path, filesystem=system, format="parquet").schema
+        self.fragments, told = [], []
+        for f in ds.dataset(path, filesystem=system, format="parquet").get_fragments():
+            f.ensure_complete_metadata()
+            for g in f.row_groups:
+                of = g.statistics
+                self.fragments.append(f.subset(row_group_ids=[g.id]))
+                told.append((g.num_rows, *[(of[n]["min"], of[n]["max"]) if n in of and of[n]["min"] is not None else None for n in ("main", "category", "price")]))
+        self.rows = np.array([n for n, *_ in told], np.int64)
+        self.names, self.spans = {}, {}  # values in order, and places of the least and greatest among them
+        for i, name in enumerate(("main", "category"), 1):
+            self.names[name] = sorted({x for row in told if row[i] for x in row[i]})
+            at = {x: k for k, x in enumerate(self.names[name])}
+            self.spans[name] = np.array([(at[row[i][0]], at[row[i][1]]) if row[i] else (-1, len(at)) for row in told], np.int64).reshape(-1, 2)
+        self.price = np.array([row[3] or (np.iinfo(np.int64).min, np.iinfo(np.int64).max) for row in told], np.int64).reshape(-1, 2)
+
+    def able(self, s: Slice) -> list[int]:
+        """Row groups that may hold rows of a slice."""
+        import numpy as np
+
+        may = np.ones(len(self.rows), bool)
+        if s.category is not None:
+            may = self._spans("main", s.category) | self._spans("category", s.category)
+        if s.low is not None:
+            may &= self.price[:, 1] >= s.low
+        if s.high is not None:
+            may &= self.price[:, 0] < s.high
+        return np.flatnonzero(may).tolist()
+
+    def _spans(self, name: str, value: str):
+        low, high = bisect_left(self.names[name], value), bisect_right(self.names[name], value) - 1
+        return (self.spans[name][:, 0] <= high) & (self.spans[name][:, 1] >= low)
+
+
 @lru_cache(maxsize=4)
-def _recorded(uri: str):
-    """The files of a recorded source with the least and greatest ``main`` and ``category`` of each, read once a process."""
-    import pyarrow.dataset as ds
-    import pyarrow.fs as pf
-
-    system, path = pf.FileSystem.from_uri(uri) if ":" in uri else (pf.LocalFileSystem(), uri)
-    whole = ds.dataset(path, filesystem=system, format="parquet")
-    files = []
-    for f in whole.get_fragments():
-        f.ensure_complete_metadata()
-        held = [g.statistics for g in f.row_groups]
-        span = lambda n: (min(h[n]["min"] for h in held), max(h[n]["max"] for h in held)) if all(n in h for h in held) and held else None
-        files.append((f, [span(n) for n in ("main", "category")]))
-    return whole, files
+def _groups(uri: str) -> _Groups:
+    return _Groups(uri)
+
+
+@lru_cache(maxsize=HELD)
+def _held(uri: str, i: int, columns: tuple[str, ...] | None = None):
+    """Columns of a row group, by default all, read once while questions about it follow one another."""
+    return _groups(uri).fragments[i].to_table(columns=columns and list(columns), use_threads=False).combine_chunks()
 
 
 @lru_cache(maxsize=4)
@@ -217,9 +280,8 @@ def _shown(source: Recorded, s: Slice) -> tuple:
 
     best, total = None, 0
     first = lambda t: t.take(pc.sort_indices(t, [(source.key, "ascending")])[: source.cap])
-    for batch in source.found(s):
-        total += batch.num_rows
-        part = pa.Table.from_batches([batch])
+    for part in source.found(s):
+        total += part.num_rows
         best = first(pa.concat_tables([best, part]) if best is not None else part)
     return best, total
 
@@ -227,43 +289,67 @@ def _shown(source: Recorded, s: Slice) -> tuple:
 @dataclass(frozen=True)
 class Recorded:
     """A search over a recorded source: Parquet with the rows' own columns and ``main``, ``category`` and ``price``,
-    written once. Like the service it shows ``cap`` rows at most, in the order of ``key``. A search reads the files that
-    may hold its category, batch by batch."""
+    written once, best in the order of category and price. Like the service it shows ``cap`` rows at most, in the order
+    of ``key``. A search reads the row groups that may hold its category and prices, one after another; its records are
+    a table."""
 
     path: str
     key: str
     page: int = PAGE
     cap: int = CAP
 
-    def found(self, s: Slice, columns: list[str] | None = None) -> Iterator:
-        """Batches of what a slice holds."""
+    def found(self, s: Slice) -> Iterator:
+        """Tables of what a slice holds, none of them empty."""
+        for i in _groups(self.path).able(s):
+            rows = _held(self.path, i)
+            rule = _rule(rows, s)
+            if (rows := rows if rule is None else rows.filter(rule)).num_rows:
+                yield rows
+
+    def _counted(self, s: Slice, below: str | None) -> tuple[int, dict[str, int]]:
+        """How many rows a slice holds, and of each value of ``below``."""
         import pyarrow.compute as pc
-        import pyarrow.dataset as ds
 
-        wanted = [pc.field(n) == v for n, v in s.facets]
-        if s.category is not None:
-            wanted.append((pc.field("category") == s.category) | (pc.field("main") == s.category))
-        if s.priced is not None:
-            wanted.append(pc.field("price").is_valid() if s.priced else ~pc.field("price").is_valid())
-        wanted += [pc.field("price") >= s.low] * (s.low is not None) + [pc.field("price") < s.high] * (s.high is not None)
-        rule = None
-        for w in wanted:
-            rule = w if rule is None else rule & w
-        whole, files = _recorded(self.path)
-        able = [f for f, spans in files if s.category is None or any(x is None or x[0] <= s.category <= x[1] for x in spans)]
-        part = ds.FileSystemDataset(able, whole.schema, whole.format, whole.filesystem)
-        return (b for b in part.to_batches(filter=rule, columns=columns, use_threads=False) if b.num_rows)
+        total, children = 0, {}
+        columns = ("main", *["category"] * (s.category is not None), *["price"] * (s != replace(s, low=None, high=None, priced=None)), *[n for n, _ in s.facets])
+        for i in _groups(self.path).able(s):
+            rows = _held(self.path, i, columns)
+            rule = _rule(rows, s)
+            if below is None:
+                total += rows.num_rows if rule is None else pc.sum(rule).as_py() or 0
+                continue
+            rows = rows if rule is None else rows.filter(rule)
+            total += rows.num_rows
+            for r in rows[below].value_counts().to_pylist():
+                children[r["values"]] = children.get(r["values"], 0) + r["counts"]
+        children.pop(None, None)
+        return total, children
 
     def __call__(self, s: Slice, page: int) -> Answer:
         below = "main" if s.category is None else "category" if "/" not in s.category else None
-        children: dict[str, int] = {}
-        if page <= 1 and below is not None:
-            for batch in self.found(s, [below]):
-                for r in batch[below].value_counts().to_pylist():
-                    children[r["values"]] = children.get(r["values"], 0) + r["counts"]
-        children.pop(None, None)
         if page < 1:
-            return Answer([], sum(b.num_rows for b in self.found(s, [self.key])), sorted(children.items()))
+            total, children = self._counted(s, below)
+            return Answer([], total, sorted(children.items()))
+        children = self._counted(s, below)[1] if page == 1 and below is not None else {}
         rows, total = _shown(self, s)
         first = (page - 1) * self.page
-        return Answer(rows.slice(first, max(0, min(self.page, self.cap - first))).to_pylist() if rows is not None else [], total, sorted(children.items()))
+        return Answer(rows.slice(first, max(0, min(self.page, self.cap - first))) if rows is not None else [], total, sorted(children.items()))
+
+
+def _rule(rows, s: Slice):
+    """Which rows a slice holds, None for all."""
+    import pyarrow.compute as pc
+
+    wanted = [pc.equal(rows[n], v) for n, v in s.facets]
+    if s.category is not None:
+        wanted.append(pc.or_kleene(pc.equal(rows["category"], s.category), pc.equal(rows["main"], s.category)))
+    if s.priced is not None:
+        wanted.append(rows["price"].is_valid() if s.priced else rows["price"].is_null())
+    if s.low is not None:
+        wanted.append(pc.greater_equal(rows["price"], s.low))
+    if s.high is not None:
+        wanted.append(pc.less(rows["price"], s.high))
+    rule = None
+    for w in wanted:
+        rule = w if rule is None else pc.and_kleene(rule, w)
+    return rule

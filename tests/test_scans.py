@@ -124,3 +124,36 @@ def test_query(spark):
 
 def test_ranges(spark):
     assert_same(QUERIES["capped_partition_ranges"](spark, SMALL), SMALL, ORACLE["capped_partition_ranges"])
+
+
+def test_a_recorded_search_reads_the_row_groups_of_its_category_and_prices(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    made = [{"key": f"{i:05}", "main": m, "category": c, "price": p, "county": f"c{i % 3}"} for i, (m, c, p) in enumerate((m, c and f"{m}/{c}", p) for m in ("a", "b", None) for c in ("x", "y", None) for p in [None] * 20 + list(range(380)))]
+    (tmp_path / "recorded").mkdir()
+    for n in range(2):
+        pq.write_table(pa.Table.from_pylist(made[n::2]), tmp_path / "recorded" / f"part-{n}.parquet", row_group_size=50)
+    search = sliced.Recorded(str(tmp_path / "recorded"), "key", 30)
+    slices = [Slice(c, low, high, priced, f) for c in (None, "a", "a/x", "b/y", "zz") for low, high, priced in ((None, None, None), (None, None, False), (0, 100, True), (370, None, True), (500, None, True), (None, None, True)) for f in ((), (("county", "c1"),))]
+    for s in slices:
+        want = [r for r in made if s.category is None or s.category in (r["main"], r["category"])]
+        want = [r for r in want if s.priced is None or (r["price"] is not None) == s.priced and (s.low is None or r["price"] >= s.low) and (s.high is None or r["price"] < s.high)]
+        want = [r for r in want if all(r[n] == v for n, v in s.facets)]
+        below = None if "/" in (s.category or "") else "main" if s.category is None else "category"
+        children = Counter(r[below] for r in want if r[below] is not None) if below else {}
+        first, asked = search(s, 1), search(s, 0)
+        assert first.total == asked.total == len(want) and first.children == asked.children == sorted(children.items())
+        assert [r["key"] for page in range(1, 18) for r in (search(s, page).records.to_pylist() if search(s, page).records else [])] == [r["key"] for r in want][: sliced.CAP]
+    groups = sliced._groups(search.path)
+    assert len(groups.rows) > 60 and 4 * len(groups.able(Slice("a/x", 100, 120, True))) < len(groups.rows)  # all of both files were read
+
+
+def test_partitions_of_a_large_source_hold_many_leaves_but_no_task_grows_with_it():
+    sizes = {}
+    for leaves in (50, 3000, 100_000):
+        found = sliced.Plan([(Slice(low=i, high=i + 1, priced=True), Answer([], 400)) for i in range(leaves)], 0, 0)
+        packs = sliced._Sliced(None, {}, ["key"], 500, 0.0, None, found).partitions()
+        assert [x.what.low for p in packs for x in p.leaves] == list(range(leaves))
+        sizes[leaves] = (len(packs), max(sum(x.total for x in p.leaves) for p in packs))
+    assert sizes[50] == (50, 400) and sizes[3000][0] < 600 and sizes[100_000][0] < 2000 and sizes[100_000][1] <= sliced.PACK * 500
