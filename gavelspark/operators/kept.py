@@ -23,6 +23,10 @@ from .stable import pinned
 
 BUCKETS = 64
 BUCKET = "__bucket"
+#: Bytes of buckets that one step of a merge rewrites.
+STEP = 1 << 29
+#: Shuffle files of a write go when it is done, not when the driver happens to collect garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ``fn(current, batch)``: the next rows of the buckets that the batch touches.
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -49,10 +53,14 @@ class KeptTable:
         self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     @classmethod
-    def create(cls, path: str, rows: DataFrame, key: list[str], buckets: int = BUCKETS) -> KeptTable:
-        table = cls(rows.sparkSession, path)
+    def create(cls, path: str, rows: DataFrame, key: list[str], buckets: int = BUCKETS, steps: int = 1) -> KeptTable:
+        """A table of ``rows``, which must come out the same if they are asked for once a step: each step writes its
+        share of the buckets, so that what is shuffled lies on disk a share at a time."""
+        table, parts = cls(rows.sparkSession, path), {}
         empty = Version(0, key, buckets, rows.schema.json())
-        table._commit(empty, replace(empty, number=1, parts=table._write(empty, rows)))
+        for i in range(steps):
+            parts |= table._write(empty, rows if steps == 1 else rows.filter(table._bucket(empty) % steps == i))
+        table._commit(empty, replace(empty, number=1, parts=parts))
         return table
 
     # versions
@@ -104,10 +112,30 @@ class KeptTable:
         salt = F.pmod(F.xxhash64(*names[:1], F.monotonically_increasing_id()), F.lit(spread))
         marked = marked.repartition(F.col(BUCKET)) if spread == 1 else marked.repartition(F.col(BUCKET), salt)
         folder = f"{self.path}/data/{generation}"
-        marked.write.partitionBy(BUCKET).parquet(folder)
+        self._set_down(marked, folder, BUCKET)
         found = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop.Path(folder))]
         return {int(n.split("=")[1]): [generation] for n in found if n.startswith(BUCKET)}
 
+    def _set_down(self, rows: DataFrame, folder: str, *by: str) -> None:
+        before = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            rows.write.partitionBy(*by).parquet(folder)
+        finally:
+            self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
+
+    def _steps(self, v: Version, buckets: list[int]) -> list[list[int]]:
+        """Buckets that are rewritten together, by the bytes of their files."""
+        steps, room = [], 0
+        for b in sorted(buckets):
+            size = sum(self._fs.getContentSummary(self._hadoop.Path(f"{self.path}/data/{g}/{BUCKET}={b}")).getLength() for g in v.parts.get(b, []))
+            if not steps or size > room:
+                steps.append([])
+                room = STEP
+            steps[-1].append(b)
+            room -= size
+        return steps
+
     def _rows(self, v: Version, parts: dict[int, list[str]]) -> DataFrame:
         paths = [f"{self.path}/data/{g}/{BUCKET}={b}" for b, gs in parts.items() for g in gs]
         schema = StructType.fromJson(json.loads(v.schema))
@@ -140,16 +168,26 @@ class KeptTable:
 
     def merge(self, batch: DataFrame, fn: Merge) -> Version:
         """The next version: ``fn`` over the buckets that the batch touches; other buckets keep their files. ``fn`` may
-        add and drop rows, but only with keys of the batch's buckets."""
-        v = self.version()
-        batch = pinned(batch)
+        add and drop rows, but only with keys of the batch's buckets. It is asked of a step of buckets at a time if they
+        are large, with the batch's rows of them, so it must not look across keys."""
+        v, folder = self.version(), f"{self.path}/batch-{uuid.uuid4().hex}"
+        if any(kind == "void" for _, kind in batch.dtypes):
+            batch = pinned(batch)
+        else:  # smaller than a checkpoint, and gone when it is merged
+            self._set_down(batch, folder)
+            batch = self.spark.read.schema(batch.schema).parquet(folder)
         touched = self._touched(v, batch)
-        rows = fn(self._rows(v, {b: g for b, g in v.parts.items() if b in touched}), batch)
-        written = self._write(v, rows)
-        if strange := set(written) - set(touched):
-            raise ValueError(f"rows of buckets that the batch does not touch: {sorted(strange)[:5]}")
+        steps, written = self._steps(v, touched) or [[]], {}
+        for step in steps:
+            own = batch if len(steps) == 1 else batch.filter(self._bucket(v).isin(step))
+            new = self._write(v, fn(self._rows(v, {b: g for b, g in v.parts.items() if b in step}), own))
+            if strange := set(new) - set(step):
+                raise ValueError(f"rows of buckets that the batch does not touch: {sorted(strange)[:5]}")
+            written |= new
         kept = {b: g for b, g in v.parts.items() if b not in touched}
-        return self._next(v, parts=kept | written)
+        done = self._next(v, parts=kept | written)
+        self._fs.delete(self._hadoop.Path(folder), True)
+        return done
 
     def append(self, rows: DataFrame, spread: int = 1) -> Version:
         """The next version with more rows; ``spread`` files for a bucket whose key may be hot."""

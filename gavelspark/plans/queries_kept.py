@@ -15,6 +15,8 @@ from .queries_writes import _SALE, AS_OF
 from .registry import ORACLE, query
 
 c = F.col
+#: Lots of a step in which a kept table is made.
+LOTS_A_STEP = 50_000_000
 
 
 def _over(name: str, columns: str) -> str:
@@ -47,10 +49,13 @@ def bid_refresh_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # the table holds what the refresh reads and what is asked of it: each merge writes its rows anew
     rows = items(spark, sf_dir).select("house", "external_id", "current_bid", "min_bid", "bid_count", "currency", "fee_value", "vat_rate")
-    bids = rows.filter("bid_count % 3 = 0").select("house", "external_id", F.explode(F.array(c("current_bid") + 20, c("current_bid") + 10)).alias("value"))
-    kept = KeptTable.create(shared_path(spark, "kept"), with_total(rows), ["house", "external_id"])
+    steps = max(1, -(-table(spark, sf_dir, "lineitem").count() // LOTS_A_STEP))
+    kept = KeptTable.create(shared_path(spark, "kept"), with_total(rows), ["house", "external_id"], steps=steps)
+    # a lot is in one batch only, so its bids follow from the kept lot, without the joins behind it
     for houses in ("house < 'k'", "house >= 'k'"):
-        kept.merge(bids.filter(houses), lambda now, new: M.refresh_items(now, new))
+        bids = kept.read().filter(houses).filter("bid_count % 3 = 0").select("house", "external_id", F.explode(F.array(c("current_bid") + 20, c("current_bid") + 10)).alias("value"))
+        kept.merge(bids, lambda now, new: M.refresh_items(now, new))
+        kept.vacuum(1)  # the files of two versions at a time
     return kept.read().select("house", "external_id", "current_bid", "bid_count", "fee", "total_price", "total_basis")
 
 

@@ -257,3 +257,33 @@ def test_newest_finds_keep_no_more_than_is_asked_for(spark, monkeypatch):
     items = [("h", f"{n:04}", "t", None, None, None, None, datetime(2024, 1, 1 + n % 15, n % 24)) for n in range(900)]
     assert len(matched(spark, items, [(k, *(None,) * 8) for k in range(50)], limit=5)) == 250
     assert max(sizes) <= 900  # all finds of a slab were written down, 64 times as many as are asked for at most
+
+
+def test_large_buckets_are_made_and_merged_in_steps(spark, tmp_path, monkeypatch):
+    from gavelspark.operators import kept as K
+
+    monkeypatch.setattr(K, "STEP", 1)
+    table = KeptTable.create(str(tmp_path / "kept"), rows(spark, [(k, 0) for k in range(200)]), ["k"], 8, steps=3)
+    assert got(table.read()) == [(k, 0) for k in range(200)] and len(table.files()) == 8
+    seen = []
+
+    def add(now, new):
+        seen.append((now.count(), new.count()))
+        return total(now, new)
+
+    table.merge(rows(spark, [(k, 1) for k in range(0, 260, 2)]), add)
+    assert got(table.read()) == sorted([(k, int(k % 2 == 0)) for k in range(200)] + [(k, 1) for k in range(200, 260, 2)])
+    assert len(seen) == 8 and [sum(n) for n in zip(*seen)] == [200, 130]  # all buckets were rewritten in one shuffle
+    assert not list(tmp_path.glob("kept/batch-*"))
+    with pytest.raises(ValueError, match="does not touch"):
+        table.merge(rows(spark, [(1, 1)]), lambda now, new: rows(spark, [(k, 0) for k in range(50)]))
+
+
+def test_the_refresh_leaves_the_files_of_one_version(spark, tmp_path, monkeypatch):
+    from gavelspark.plans import queries_kept as Q
+
+    monkeypatch.setattr(Q, "shared_path", lambda spark, tag: str(tmp_path / tag))
+    monkeypatch.setattr(Q, "LOTS_A_STEP", 4000)
+    assert_same(QUERIES["bid_refresh_kept"](spark, SMALL), SMALL, ORACLE["bid_refresh_kept"])
+    assert len(list(tmp_path.glob("kept/versions/*.json"))) == 1  # there were three, each with all rows
+    assert len(list(tmp_path.glob("kept/data/*"))) == 1 and not list(tmp_path.glob("kept/batch-*"))
